@@ -14,14 +14,15 @@ def flag(condition: Column) -> Column:
     return condition.cast("int")
 
 
-def justification(text: Column, terms: Sequence[str] = dims.REASON_TERMS) -> Column:
-    return W.has_word(text, terms)
+def justification(text: Column, terms: Sequence[str] = dims.REASON_TERMS,
+                  toks: Column | None = None) -> Column:
+    return W.has_word(text, terms, toks)
 
 
 def payment_method(text: Column, debit: Sequence[str] = dims.DEBIT_TERMS,
-                   prepay: Sequence[str] = dims.PREPAY_TERMS) -> Column:
-    return (F.when(W.has_word(text, debit), "Direct Debit")
-            .when(W.has_word(text, prepay), "Prepayment Meter")
+                   prepay: Sequence[str] = dims.PREPAY_TERMS, toks: Column | None = None) -> Column:
+    return (F.when(W.has_word(text, debit, toks), "Direct Debit")
+            .when(W.has_word(text, prepay, toks), "Prepayment Meter")
             .otherwise("Other/Unspecified"))
 
 
@@ -36,9 +37,9 @@ def fuel_type(text: Column, own_brand: str | None = dims.OWN_BRAND,
 
 
 def tariff_type(text: Column, fixed: Sequence[str] = ("fixed",),
-                variable: Sequence[str] = ("variable", "tracker")) -> Column:
-    return (F.when(W.has_word(text, fixed), "Fixed")
-            .when(W.has_word(text, variable), "Variable").otherwise("Unknown"))
+                variable: Sequence[str] = ("variable", "tracker"), toks: Column | None = None) -> Column:
+    return (F.when(W.has_word(text, fixed, toks), "Fixed")
+            .when(W.has_word(text, variable, toks), "Variable").otherwise("Unknown"))
 
 
 def switching_stage(text: Column, intent: Sequence[str] = dims.INTENT_TERMS,
@@ -59,8 +60,9 @@ def regulatory_flag(text: Column, terms: Sequence[str] = dims.REGULATORY_TERMS)
     return flag(W.has_substring(text, terms))
 
 
-def channel_flags(text: Column, channels: Sequence[str] = dims.CHANNELS) -> dict[str, Column]:
-    return {f"channel_{c}": flag(W.has_word(text, [c])) for c in channels}
+def channel_flags(text: Column, channels: Sequence[str] = dims.CHANNELS,
+                  toks: Column | None = None) -> dict[str, Column]:
+    return {f"channel_{c}": flag(W.has_word(text, [c], toks)) for c in channels}
 
 
 def first_category(text: Column, terms: Mapping[str, Sequence[str]] = dims.CATEGORY_TERMS,

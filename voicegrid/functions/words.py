@@ -51,10 +51,14 @@ def in_list(words: Sequence[str]):
     return test
 
 
-def has_word(text: Column, terms: Sequence[str]) -> Column:
-    """True where a whole word or phrase occurs, in any case; False for NULL text."""
+def has_word(text: Column, terms: Sequence[str], toks: Column | None = None) -> Column:
+    """True where a whole word or phrase occurs, in any case; False for NULL text.
+
+    Here and below, ``toks`` is the text's word list where a caller has it already.
+    """
     if single_words(terms):
-        found = F.exists(tokens(text), in_list([t.lower() for t in terms]))
+        words = tokens(text) if toks is None else toks
+        found = F.exists(words, in_list([t.lower() for t in terms]))
     else:
         found = F.lower(text).rlike(word_pattern([t.lower() for t in terms]))
     return F.coalesce(found, F.lit(False))
@@ -69,11 +73,11 @@ def has_substring(text: Column, terms: Sequence[str]) -> Column:
     return F.coalesce(found, F.lit(False))
 
 
-def count_words(text: Column, terms: Sequence[str]) -> Column:
+def count_words(text: Column, terms: Sequence[str], toks: Column | None = None) -> Column:
     """Non-overlapping whole-word hits of any term; a phrase counts once. NULL text gives 0."""
     terms = [t.lower() for t in terms]
     if single_words(terms):
-        hits = F.size(F.filter(tokens(text), in_list(terms)))
+        hits = F.size(F.filter(tokens(text) if toks is None else toks, in_list(terms)))
     else:
         hits = F.regexp_count(F.lower(text), F.lit(word_pattern(terms)))
     return F.coalesce(hits, F.lit(0)).cast("int")

@@ -11,28 +11,30 @@ from voicegrid.functions import dates as D, labels as L, scores as S, words as W
 
 
 def topic_keyword_counts(df: DataFrame, text: str, terms: Mapping[str, Sequence[str]] = dims.TOPIC_TERMS,
-                         prefix: str = "kw_") -> DataFrame:
+                         prefix: str = "kw_", toks: str | None = None) -> DataFrame:
     """One ``kw_<topic>`` hit count per topic.
 
-    Topics made of single words share one tokenisation: the words of any topic are kept first,
-    and each topic then looks only at those. Topics with phrases are matched by pattern.
+    Topics made of single words share one tokenisation (``toks`` where the table has one): the
+    words of any topic are kept first, and each topic then looks only at those. Topics with
+    phrases are matched by pattern.
     """
     words = {k: [t.lower() for t in v] for k, v in terms.items() if W.single_words(v)}
     counts = {k: W.count_words(F.col(text), v) for k, v in terms.items() if k not in words}
     if words:
         wanted = sorted({w for v in words.values() for w in v})
-        df = df.withColumn("_hits", F.filter(W.tokens(F.col(text)), W.in_list(wanted)))
+        source = F.col(toks) if toks else W.tokens(F.col(text))
+        df = df.withColumn("_hits", F.filter(source, W.in_list(wanted)))
         for k, v in words.items():
-            hits = F.size(F.filter("_hits", W.in_list(v)))
-            counts[k] = F.coalesce(hits, F.lit(0)).cast("int")
+            counts[k] = F.coalesce(F.size(F.filter("_hits", W.in_list(v))), F.lit(0)).cast("int")
     return df.select(*[c for c in df.columns if c != "_hits"],
                      *[counts[k].alias(f"{prefix}{k}") for k in terms])
 
 
 def aspect_mention_weight(df: DataFrame, text: str,
-                          terms: Mapping[str, Sequence[str]] = dims.MENTION_TERMS) -> DataFrame:
+                          terms: Mapping[str, Sequence[str]] = dims.MENTION_TERMS,
+                          toks: str | None = None) -> DataFrame:
     """Hits per aspect in any case, 0 for NULL text, as ``w_<aspect>``."""
-    return topic_keyword_counts(df, text, terms, prefix="w_")
+    return topic_keyword_counts(df, text, terms, "w_", toks)
 
 
 def topic_coverage(df: DataFrame, counts: Sequence[str], out: str = "topic_cov_n") -> DataFrame:
@@ -48,30 +50,31 @@ def annotate(df: DataFrame, text: str = "review", date: str = "date",
              topics: Mapping[str, Sequence[str]] = dims.TOPIC_TERMS) -> DataFrame:
     """All row-level columns of an annotated review in one lazy projection.
 
-    Nothing is computed for columns a later query does not read.
+    The text is cut into words once for all of them. Nothing is computed for columns that a
+    later query does not read.
     """
-    body = F.col(text)
-    words = F.size(W.chunks(body))
-    df = topic_keyword_counts(df, text, topics)
+    body, toks = F.col(text), F.col("_toks")
+    df = topic_keyword_counts(df.withColumn("_toks", W.tokens(body)), text, topics, toks="_toks")
     df = df.withColumns({
         "month": D.month_start(F.col(date)),
-        "word_count": words,
+        "word_count": F.size(W.chunks(body)),
         "payment_method": L.payment_method(body),
         "fuel_type": L.fuel_type(body),
-        "tariff_type": L.tariff_type(body),
+        "tariff_type": L.tariff_type(body, toks=toks),
         "switching": L.switching_stage(body),
         "justification": L.flag(L.justification(body, dims.REASON_TERMS_SHORT)),
         "smart_meter_flag": L.smart_meter_flag(body),
         "promo_flag": L.promo_flag(body),
         "reg_ref_flag": L.regulatory_flag(body),
-        **L.channel_flags(body),
-    })
+        **L.channel_flags(body, toks=toks),
+    }).drop("_toks")
     return df.withColumns({"length_cat": S.length_bucket(F.col("word_count")),
                            "length_score": S.length_score(F.col("word_count"))})
 
 
 def quality_score(df: DataFrame, factors: Sequence[str], out: str = "quality_score") -> DataFrame:
-    return df.withColumn(out, S.half_even(S.row_mean([F.col(c) for c in factors]), 3))
+    """Mean of the factors that are present, 3 places; binary noise of the sum is removed first."""
+    return df.withColumn(out, S.half_even(S.half_even(S.row_mean([F.col(c) for c in factors]), 9), 3))
 
 
 def risk_flags(df: DataFrame, green_count: str = "kw_green", switching: str = "switching") -> DataFrame:

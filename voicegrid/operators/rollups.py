@@ -106,32 +106,33 @@ def monthly_category_rollup(df: DataFrame, category: str, score: str) -> DataFra
         F.count("*").alias("reviews_count"))
 
 
-def monthly_base_sentiment(df: DataFrame, score_01: str, text: str,
-                           keys: Sequence[str] = MONTHLY) -> DataFrame:
+def monthly_base_sentiment(df: DataFrame, score_01: str, text: str, keys: Sequence[str] = MONTHLY,
+                           scale: float = 100) -> DataFrame:
     return known_keys(df, keys).groupBy(*keys).agg(
-        S.half_even(100 * F.avg(score_01)).alias("sentiment_score"), F.count(text).alias("reviews"))
+        S.half_even(scale * F.avg(score_01)).alias("sentiment_score"), F.count(text).alias("reviews"))
 
 
 def weighted_monthly_aspect(df: DataFrame, score_01: str, aspects: Sequence[str], text: str,
-                            keys: Sequence[str] = MONTHLY) -> DataFrame:
+                            keys: Sequence[str] = MONTHLY, scale: float = 100) -> DataFrame:
     """Base sentiment plus one mention-weighted score per aspect; NULL where nobody mentions it."""
     scores = [
-        S.half_even(100 * F.sum(F.col(score_01) * F.col(f"w_{a}"))
+        S.half_even(scale * F.sum(F.col(score_01) * F.col(f"w_{a}"))
                     / F.nullif(F.sum(f"w_{a}"), F.lit(0)), 1).alias(f"{a}_sentiment_score")
         for a in aspects]
     return known_keys(df, keys).groupBy(*keys).agg(
-        S.half_even(100 * F.avg(score_01)).alias("sentiment_score"),
+        S.half_even(scale * F.avg(score_01)).alias("sentiment_score"),
         F.count(text).alias("reviews"), *scores)
 
 
-def weighted_aspect_grid(df: DataFrame, score_01: str, aspects: Sequence[str]) -> DataFrame:
+def weighted_aspect_grid(df: DataFrame, score_01: str, aspects: Sequence[str],
+                         scale: float = 100) -> DataFrame:
     """Company x product x aspect, every cell present; NULL where nobody mentions the aspect.
 
     One conditional aggregate yields the occurring cells. The grid multiplies the distinct
     companies, products and aspects, which are names of a dimension, not review rows.
     """
     sums = df.groupBy("company", "product").agg(*[
-        S.half_even(100 * F.sum(F.col(score_01) * F.col(f"w_{a}"))
+        S.half_even(scale * F.sum(F.col(score_01) * F.col(f"w_{a}"))
                     / F.nullif(F.sum(f"w_{a}"), F.lit(0)), 1).alias(a) for a in aspects])
     cells = sums.unpivot(["company", "product"], list(aspects), "aspect", "sentiment_score")
     grid = name_grid(sums, "company", "product").crossJoin(

@@ -83,17 +83,22 @@ def _final_ll(w: Column) -> Column:
     return F.when(w.endswith("ll") & w.rlike(M_GT_1), F.left(w, F.length(w) - 1)).otherwise(w)
 
 
-def stem_words(df: DataFrame, word: str, out: str = "stem") -> DataFrame:
-    """Add the stem of one lower-case word per row; words of one or two letters stay.
+def stem(word: Column) -> Column:
+    """Stem of a lower-case word; words of one or two letters stay.
 
-    Each step is its own projection, so an expression never contains the previous one twice.
+    A step mentions its input many times, so each one receives it as a lambda variable: the
+    expression grows by one step at a time instead of being copied into itself.
     """
     steps = [_plural, _past, _final_y, lambda w: _replace(w, STEP_2, M_GT_0),
              lambda w: _replace(w, STEP_3, M_GT_0), _drop, _final_e, _final_ll]
-    df = df.withColumn(out, F.col(word))
+    result = word
     for step in steps:
-        df = df.withColumn(out, F.when(F.length(word) > 2, step(F.col(out))).otherwise(F.col(out)))
-    return df
+        result = F.get(F.transform(F.array(result), step), F.lit(0))
+    return F.when(F.length(word) > 2, result).otherwise(word)
+
+
+def stem_words(df: DataFrame, word: str, out: str = "stem") -> DataFrame:
+    return df.withColumn(out, stem(F.col(word)))
 
 
 def stem_vocabulary(df: DataFrame, text: str) -> DataFrame:

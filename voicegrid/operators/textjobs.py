@@ -164,12 +164,14 @@ def language_profiles(labelled: DataFrame, text: str, lang: str, size: int = 300
 
 
 def _ngrams(text: Column, n: int) -> Column:
-    """Letter n-grams of each word padded with one blank on either side."""
+    """Letter n-grams of each word padded with one blank on either side.
+
+    A look-ahead group reads the overlapping n-grams in one pass over the text.
+    """
     padded = F.concat(F.lit(" "), F.array_join(
         F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0)), "  "), F.lit(" "))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - (n - 1), F.lit(1))),
-                        lambda i: F.substring(padded, i, F.lit(n)))
-    return F.filter(grams, lambda g: (F.length(g) == n) & ~g.contains("  "))
+    grams = F.regexp_extract_all(padded, F.lit(f"(?=(.{{{n}}}))"), F.lit(1))
+    return F.filter(grams, lambda g: ~g.contains("  "))
 
 
 def language_tag(df: DataFrame, key: str, text: str, profiles: DataFrame, n: int = 3) -> DataFrame:
