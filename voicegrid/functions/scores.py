@@ -9,8 +9,13 @@ from pyspark.sql import Column, functions as F
 from voicegrid.dims import LONG_REVIEW_WORDS, SPAM_CONFIDENCE
 
 
-def half_even(value: Column, places: int = 0) -> Column:
-    return F.bround(value, places)
+def half_even(value: Column | str, places: int = 0) -> Column:
+    """Round half to even.
+
+    Binary noise far below the last place goes first: means of distributed sums differ in it
+    from run to run, and it must not decide which way a tie falls.
+    """
+    return F.bround(F.bround(value, places + 7), places)
 
 
 def rescale_01(score: Column) -> Column:

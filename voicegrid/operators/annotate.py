@@ -73,8 +73,8 @@ def annotate(df: DataFrame, text: str = "review", date: str = "date",
 
 
 def quality_score(df: DataFrame, factors: Sequence[str], out: str = "quality_score") -> DataFrame:
-    """Mean of the factors that are present, 3 places; binary noise of the sum is removed first."""
-    return df.withColumn(out, S.half_even(S.half_even(S.row_mean([F.col(c) for c in factors]), 9), 3))
+    """Mean of the factors that are present, 3 places."""
+    return df.withColumn(out, S.half_even(S.row_mean([F.col(c) for c in factors]), 3))
 
 
 def risk_flags(df: DataFrame, green_count: str = "kw_green", switching: str = "switching") -> DataFrame:

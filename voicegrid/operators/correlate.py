@@ -8,6 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from voicegrid.operators import rank as R
+from voicegrid.session import materialize
 
 
 def _pairs(columns: Sequence[str]) -> list[tuple[str, str]]:
@@ -35,16 +36,16 @@ def average_ranks(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     unbalance that join are a bounded list known from the quantiles: they are looked up by
     broadcast, all others by a shuffled join.
     """
-    regions = R._regions(df)
-    ranks = R.distinct_positions(df, columns, regions).select(
+    cuts = R.cut_points(df, columns)
+    ranks = R.distinct_positions(df, columns, cuts).select(
         "series", "value", (F.col("before") + (F.col("n") + 1) / 2).alias("rank"))
     long = df.select(key, F.explode(F.array(*[
         F.struct(F.lit(c).alias("series"), F.col(c).cast("double").alias("value")) for c in columns
     ])).alias("_s")).select(key, "_s.series", "_s.value").dropna(subset=["value"])
     heavy = F.lit(False)
-    for c, (_, values) in zip(columns, R._splits(df, columns, regions)):
-        if values:
-            heavy = heavy | ((F.col("series") == c) & F.col("value").isin(values))
+    for c in columns:
+        if cuts[c][1]:
+            heavy = heavy | ((F.col("series") == c) & F.col("value").isin(cuts[c][1]))
     ids = ["series", "value"]
     ranked = (long.filter(~heavy).join(ranks.filter(~heavy), ids)
               .unionByName(long.filter(heavy).join(F.broadcast(ranks.filter(heavy)), ids)))
@@ -59,7 +60,8 @@ def spearman_matrix(df: DataFrame, key: str, columns: Sequence[str], places: int
 
 def column_ranks(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """``(key, series, rank)``: 1..n position of every row in each column, ties by key."""
-    parts = [R.global_rank(df.select(key, c), c, key).select(key, F.lit(c).alias("series"), "rank")
+    cuts = R.cut_points(df, [*columns, key])
+    parts = [R.global_rank(df.select(key, c), c, key, cuts=cuts).select(key, F.lit(c).alias("series"), "rank")
              for c in columns]
     out = parts[0]
     for p in parts[1:]:
@@ -85,9 +87,10 @@ def rank_reorder(df: DataFrame, key: str, columns: Sequence[str], scores: DataFr
     equi-join is one to one on unique keys.
     """
     parts = None
+    value_cuts, score_cuts = R.cut_points(df, [*columns, key]), R.cut_points(scores, [*columns, key])
     for c in columns:
-        by_score = R.global_rank(scores.select(key, c), c, key).select(key, "rank")
-        by_value = R.global_rank(df.select(key, c), c, key).select("rank", F.col(c).alias("value"))
+        by_score = R.global_rank(scores.select(key, c), c, key, cuts=score_cuts).select(key, "rank")
+        by_value = R.global_rank(df.select(key, c), c, key, cuts=value_cuts).select("rank", F.col(c).alias("value"))
         part = by_score.join(by_value, "rank").select(key, F.lit(c).alias("series"), "value")
         parts = part if parts is None else parts.unionByName(part)
     return parts.groupBy(key).agg(*[
@@ -131,7 +134,11 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], q: float) -> DataFram
 
 def co_exceedance(before: DataFrame, after: DataFrame, columns: Sequence[str], q: float = 0.9,
                   places: int = 6) -> DataFrame:
-    """How often both columns of a pair exceed the q-quantile of the *after* table, in each table."""
+    """How often both columns of a pair exceed the q-quantile of the *after* table, in each table.
+
+    The *after* table is usually the end of a long plan and is read three times, so it is stored.
+    """
+    after = materialize(after)
     cuts = exact_quantiles(after, columns, q).select(*[F.col(c).alias(f"_q_{c}") for c in columns])
     def shares(df: DataFrame, name: str) -> DataFrame:
         row = df.crossJoin(F.broadcast(cuts)).agg(*[

@@ -13,17 +13,20 @@ from voicegrid import dims
 # -- global order without a single-task window ---------------------------------------------
 
 
-def _splits(df: DataFrame, columns: Sequence[str], regions: int) -> list[tuple[list[float], list[float]]]:
+Cuts = dict[str, tuple[list[float], list[float]]]
+
+
+def cut_points(df: DataFrame, columns: Sequence[str], regions: int | None = None) -> Cuts:
     """Per column: region edges and the heavy values among them, from approximate quantiles.
 
     One pass over the data brings ``regions`` numbers per column to the driver. A value that is
     returned for two neighbouring quantiles holds about ``1/regions`` of the rows or more.
     """
+    regions = regions or _regions(df)
     probs = [i / regions for i in range(1, regions)]
-    out = []
-    for q in df.approxQuantile(list(columns), probs, 1 / (4 * regions)):
-        heavy = sorted({a for a, b in zip(q, q[1:]) if a == b})
-        out.append((sorted(set(q)), heavy))
+    out = {}
+    for c, q in zip(columns, df.approxQuantile(list(columns), probs, 1 / (4 * regions))):
+        out[c] = sorted(set(q)), sorted({a for a, b in zip(q, q[1:]) if a == b})
     return out
 
 
@@ -48,27 +51,25 @@ def _offsets(counted: DataFrame, regions: Sequence[str], n: str, out: str) -> Da
 
 
 def global_rank(df: DataFrame, column: str, key: str, out: str = "rank",
-                regions: int | None = None) -> DataFrame:
+                cuts: Cuts | None = None) -> DataFrame:
     """Exact 1..n position of every row by ``(column, key)``, without gaps. NULLs are left out.
 
     Rows are placed in value ranges cut at quantiles. A value so frequent that it fills ranges
     of its own is cut further by ``key``, so no range holds more than a small share of the rows.
     Ranges are numbered in order, ranked in parallel, and shifted by the rows before them. The
-    cut points are literals of the plan: a lost task recomputes to the same ranges.
+    cut points are literals of the plan: a lost task recomputes to the same ranges. Callers
+    that rank several columns find all ``cuts`` in one pass.
     """
     df = df.filter(F.col(column).isNotNull())
-    regions = regions or _regions(df)
-    wanted = [column] if column == key else [column, key]
-    found = _splits(df, wanted, regions)
-    edges, heavy = found[0]
+    cuts = cuts or cut_points(df, [column] if column == key else [column, key])
+    edges, heavy = cuts[column]
     placed = add_region(df, column, edges, "_region")
-    order = [F.col("_region")]
     names = ["_region"]
     if heavy and column != key:
         # Rows equal to a heavy value come first in their range, which starts at that value.
-        placed = add_region(placed, key, found[1][0], "_sub")
+        placed = add_region(placed, key, cuts[key][0], "_sub")
         is_heavy = F.col(column).cast("double").isin(heavy)
-        placed = placed.withColumn("_sub", F.when(is_heavy, F.col("_sub")).otherwise(float(regions + 1)))
+        placed = placed.withColumn("_sub", F.when(is_heavy, F.col("_sub")).otherwise(len(cuts[key][0]) + 1.0))
         names.append("_sub")
     counts = placed.groupBy(*names).agg(F.count("*").alias("_n"))
     placed = placed.join(F.broadcast(_offsets(counts, names, "_n", "_before")), names)
@@ -78,17 +79,17 @@ def global_rank(df: DataFrame, column: str, key: str, out: str = "rank",
     return ranked.drop("_before", *names)
 
 
-def distinct_positions(df: DataFrame, columns: Sequence[str], regions: int | None = None) -> DataFrame:
+def distinct_positions(df: DataFrame, columns: Sequence[str], cuts: Cuts | None = None) -> DataFrame:
     """``(series, value, n, before)``: every distinct value of each column, how many rows hold it
     and how many rows hold a smaller one. Values are counted map-side before anything is moved."""
-    regions = regions or _regions(df)
+    cuts = cuts or cut_points(df, columns)
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("series"), F.col(c).cast("double").alias("value")) for c in columns
     ])).alias("_s")).select("_s.series", "_s.value").dropna(subset=["value"])
     counts = long.groupBy("series", "value").agg(F.count("*").alias("n"))
     placed = None
-    for c, (edges, _) in zip(columns, _splits(df, columns, regions)):
-        part = add_region(counts.filter(F.col("series") == c), "value", edges, "_region")
+    for c in columns:
+        part = add_region(counts.filter(F.col("series") == c), "value", cuts[c][0], "_region")
         placed = part if placed is None else placed.unionByName(part)
     totals = placed.groupBy("series", "_region").agg(F.sum("n").alias("_n"))
     w = Window.partitionBy("series").orderBy("_region").rowsBetween(Window.unboundedPreceding, -1)

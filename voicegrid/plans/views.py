@@ -178,6 +178,11 @@ SA_CTE = ANN_CTE + r""", sa AS (
   FROM ann GROUP BY ALL)"""
 
 
+def tie_safe(value: str, places: int) -> str:
+    """SQL for half-even rounding of a mean after its binary noise is removed."""
+    return f"CAST(round_even(CAST({value} AS DECIMAL(28, 9)), {places}) AS DOUBLE)"
+
+
 def rev_sql(body: str) -> str:
     return f"WITH {REVIEWS_CTE}\n{body}"
 

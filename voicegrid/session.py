@@ -47,6 +47,17 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Store a result that several later jobs read, in the shared checkpoint folder.
+
+    The stored rows outlive a lost executor, and the plan behind them is not run again.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(work_dir(df.sparkSession, "checkpoints"))
+    return df.checkpoint()
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Hash-partition ``df`` by ``key`` when its scan yields fewer tasks than there are cores.
 

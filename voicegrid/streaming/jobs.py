@@ -23,6 +23,7 @@ def weekly_mention_stream(events: DataFrame, time: str, key: str, late: str = "1
     per key and open week.
     """
     week = F.window(time, "7 days", "7 days", "5 days")
+    events = events.withColumn(time, F.col(time).cast("timestamp"))
     return (events.withWatermark(time, late).groupBy(week, key).agg(F.count("*").alias("mentions"))
             .select(F.to_date(F.date_sub(F.to_date(F.col("window.end")), 1)).alias("week"), key, "mentions"))
 
