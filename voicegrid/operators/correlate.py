@@ -37,11 +37,9 @@ def average_ranks(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     broadcast, all others by a shuffled join.
     """
     cuts = R.cut_points(df, columns)
-    ranks = R.distinct_positions(df, columns, cuts).select(
+    long = R.long_values(df, columns, cuts, key).drop("region")
+    ranks = R.distinct_positions(R.long_values(df, columns, cuts)).select(
         "series", "value", (F.col("before") + (F.col("n") + 1) / 2).alias("rank"))
-    long = df.select(key, F.explode(F.array(*[
-        F.struct(F.lit(c).alias("series"), F.col(c).cast("double").alias("value")) for c in columns
-    ])).alias("_s")).select(key, "_s.series", "_s.value").dropna(subset=["value"])
     heavy = F.lit(False)
     for c in columns:
         if cuts[c][1]:
@@ -118,7 +116,7 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], q: float) -> DataFram
     The two order statistics around the position are read off the running counts of distinct
     values, so no value list is gathered.
     """
-    values = R.distinct_positions(df, columns)
+    values = R.distinct_positions(R.long_values(df, columns, R.cut_points(df, columns)))
     totals = values.groupBy("series").agg(F.sum("n").alias("_total"))
     at = (F.col("_total") - 1) * F.lit(q)
     placed = values.join(F.broadcast(totals), "series").withColumn("_at", at)

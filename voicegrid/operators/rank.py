@@ -79,23 +79,29 @@ def global_rank(df: DataFrame, column: str, key: str, out: str = "rank",
     return ranked.drop("_before", *names)
 
 
-def distinct_positions(df: DataFrame, columns: Sequence[str], cuts: Cuts | None = None) -> DataFrame:
-    """``(series, value, n, before)``: every distinct value of each column, how many rows hold it
-    and how many rows hold a smaller one. Values are counted map-side before anything is moved."""
-    cuts = cuts or cut_points(df, columns)
-    long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("series"), F.col(c).cast("double").alias("value")) for c in columns
-    ])).alias("_s")).select("_s.series", "_s.value").dropna(subset=["value"])
-    counts = long.groupBy("series", "value").agg(F.count("*").alias("n"))
-    placed = None
-    for c in columns:
-        part = add_region(counts.filter(F.col("series") == c), "value", cuts[c][0], "_region")
-        placed = part if placed is None else placed.unionByName(part)
-    totals = placed.groupBy("series", "_region").agg(F.sum("n").alias("_n"))
-    w = Window.partitionBy("series").orderBy("_region").rowsBetween(Window.unboundedPreceding, -1)
+def long_values(df: DataFrame, columns: Sequence[str], cuts: Cuts, *keys: str) -> DataFrame:
+    """``(keys, series, region, value)``: the columns as one long table, NULLs left out.
+
+    Ranges are looked up in the wide table, so all columns share one pass.
+    """
+    for i, c in enumerate(columns):
+        df = add_region(df, c, cuts[c][0], f"_region{i}")
+    cells = F.array(*[F.struct(F.lit(c).alias("series"), F.col(f"_region{i}").alias("region"),
+                               F.col(c).cast("double").alias("value")) for i, c in enumerate(columns)])
+    return df.select(*keys, F.explode(cells).alias("_c")).select(*keys, "_c.*").dropna(subset=["value"])
+
+
+def distinct_positions(long: DataFrame) -> DataFrame:
+    """``(series, value, n, before)``: every distinct value of each column of ``long_values``, how
+    many rows hold it and how many hold a smaller one. Values are counted map-side before they
+    are moved."""
+    counts = long.groupBy("series", "region", "value").agg(F.count("*").alias("n"))
+    totals = counts.groupBy("series", "region").agg(F.sum("n").alias("_n"))
+    earlier = (Window.unboundedPreceding, -1)
+    w = Window.partitionBy("series").orderBy("region").rowsBetween(*earlier)
     totals = totals.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
-    inner = Window.partitionBy("series", "_region").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    return (placed.join(F.broadcast(totals), ["series", "_region"])
+    inner = Window.partitionBy("series", "region").orderBy("value").rowsBetween(*earlier)
+    return (counts.join(F.broadcast(totals), ["series", "region"])
             .withColumn("before", F.col("_before") + F.coalesce(F.sum("n").over(inner), F.lit(0)))
             .select("series", "value", "n", "before"))
 
