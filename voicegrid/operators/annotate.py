@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from voicegrid import dims
 from voicegrid.functions import dates as D, labels as L, scores as S, words as W
+from voicegrid.session import broadcast_if_small
 
 
 def topic_keyword_counts(df: DataFrame, text: str, terms: Mapping[str, Sequence[str]] = dims.TOPIC_TERMS,
@@ -40,10 +41,8 @@ def aspect_mention_weight(df: DataFrame, text: str,
 def topic_coverage(df: DataFrame, counts: Sequence[str], out: str = "topic_cov_n") -> DataFrame:
     """Share of the corpus-wide largest keyword total, 3 places; all zero when nobody mentions any."""
     total = sum((F.coalesce(F.col(c), F.lit(0)) for c in counts[1:]), F.coalesce(F.col(counts[0]), F.lit(0)))
-    top = df.agg(F.max(total).alias("_top"))
-    top = top.select(F.when(F.coalesce("_top", F.lit(0)) == 0, 1).otherwise(F.col("_top")).alias("_top"))
-    return (df.crossJoin(F.broadcast(top)).withColumn(out, S.half_even(total / F.col("_top"), 3))
-            .drop("_top"))
+    top = df.agg(F.coalesce(F.nullif(F.max(total), F.lit(0)), F.lit(1)).alias("x")).scalar()
+    return df.withColumn(out, S.half_even(total / top, 3))
 
 
 def annotate(df: DataFrame, text: str = "review", date: str = "date",
@@ -89,17 +88,17 @@ def match_keys(df: DataFrame, *columns: str) -> DataFrame:
 def canonical_spelling(df: DataFrame, column: str, order: str, out: str | None = None) -> DataFrame:
     """Replace every spelling by the one first seen for its trimmed lower-case form.
 
-    The lookup has one row per distinct name and is built with map-side aggregation; a hot name
-    meets a single build row, which the adaptive join splits or broadcasts.
+    The lookup has one row per distinct name and is built with map-side aggregation over two
+    columns. It is broadcast when it proves small, so rows of a hot name stay where they are.
     """
     key = F.lower(F.trim(column))
     first = df.groupBy(key.alias("_key")).agg(F.min_by(column, order).alias("_first"))
-    return (df.withColumn("_key", key).join(first, "_key", "left")
+    return (df.withColumn("_key", key).join(broadcast_if_small(first), "_key", "left")
             .withColumn(out or column, F.col("_first")).drop("_key", "_first"))
 
 
 def label_lookup(df: DataFrame, column: str, labels: DataFrame, out: str) -> DataFrame:
     """Display label of a code; a code without label stands for itself."""
     labels = labels.select(F.col("code").alias(column), F.col("label").alias("_label"))
-    return (df.join(labels, column, "left").withColumn(out, F.coalesce("_label", F.col(column)))
+    return (df.join(broadcast_if_small(labels), column, "left").withColumn(out, F.coalesce("_label", F.col(column)))
             .drop("_label"))

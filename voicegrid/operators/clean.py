@@ -40,14 +40,12 @@ def drop_invalid_dates(df: DataFrame, column: str, out: str | None = None,
 def parse_date_majority(df: DataFrame, column: str, out: str) -> DataFrame:
     """Day-first dates, or month-first for the whole table when more than half do not parse.
 
-    The choice is one row, computed once and attached to every row.
+    The choice is a scalar subquery, computed once.
     """
     day_first = D.parse_lenient(F.col(column), ("d/M/yyyy", "d-M-yyyy"))
     month_first = D.parse_lenient(F.col(column), ("M/d/yyyy", "M-d-yyyy", "yyyy-MM-dd"))
-    failed = df.agg((F.count_if(day_first.isNull()) * 2 > F.count("*")).alias("_month_first"))
-    return (df.crossJoin(F.broadcast(failed))
-            .withColumn(out, F.when(F.col("_month_first"), month_first).otherwise(day_first))
-            .drop("_month_first"))
+    mostly_failed = df.agg((F.count_if(day_first.isNull()) * 2 > F.count("*")).alias("x")).scalar()
+    return df.withColumn(out, F.when(mostly_failed, month_first).otherwise(day_first))
 
 
 def min_length_filter(df: DataFrame, column: str, chars: int = dims.MIN_REVIEW_CHARS) -> DataFrame:
@@ -87,12 +85,13 @@ def year_filter(df: DataFrame, column: str, year: int | None) -> DataFrame:
 
 
 def date_range_filter(df: DataFrame, column: str, start: date, end: date) -> DataFrame:
-    """Rows within the requested window after clamping it to the dates that occur."""
-    span = df.agg(F.min(column).alias("_lo"), F.max(column).alias("_hi"))
-    span = span.select(F.greatest("_lo", F.lit(start)).alias("_lo"),
-                       F.least("_hi", F.lit(end)).alias("_hi"))
-    return (df.crossJoin(F.broadcast(span))
-            .filter(F.col(column).between(F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi"))
+    """Rows within the requested window after clamping it to the dates that occur.
+
+    The bounds are scalar subqueries, which the scan can use to skip files.
+    """
+    first = df.agg(F.greatest(F.min(column), F.lit(start)).alias("x")).scalar()
+    last = df.agg(F.least(F.max(column), F.lit(end)).alias("x")).scalar()
+    return df.filter((F.col(column) >= first) & (F.col(column) <= last))
 
 
 def provider_in_filter(df: DataFrame, column: str, chosen: Sequence[str]) -> DataFrame:

@@ -43,7 +43,7 @@ def average_ranks(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     heavy = F.lit(False)
     for c in columns:
         if cuts[c][1]:
-            heavy = heavy | ((F.col("series") == c) & F.col("value").isin(cuts[c][1]))
+            heavy = heavy | ((F.col("series") == c) & F.col("value").isin(list(cuts[c][1])))
     ids = ["series", "value"]
     ranked = (long.filter(~heavy).join(ranks.filter(~heavy), ids)
               .unionByName(long.filter(heavy).join(F.broadcast(ranks.filter(heavy)), ids)))
@@ -137,10 +137,10 @@ def co_exceedance(before: DataFrame, after: DataFrame, columns: Sequence[str], q
     The *after* table is usually the end of a long plan and is read three times, so it is stored.
     """
     after = materialize(after)
-    cuts = exact_quantiles(after, columns, q).select(*[F.col(c).alias(f"_q_{c}") for c in columns])
+    cuts = exact_quantiles(after, columns, q).select(F.struct(*columns).alias("x")).scalar()
     def shares(df: DataFrame, name: str) -> DataFrame:
-        row = df.crossJoin(F.broadcast(cuts)).agg(*[
-            F.avg(((F.col(a) > F.col(f"_q_{a}")) & (F.col(b) > F.col(f"_q_{b}"))).cast("double"))
+        row = df.withColumn("_q", cuts).agg(*[
+            F.avg(((F.col(a) > F.col(f"_q.{a}")) & (F.col(b) > F.col(f"_q.{b}"))).cast("double"))
             .alias(f"{name}|{a}|{b}") for a, b in _pairs(columns)])
         return _long_pairs(row, columns, [name])
     both = shares(before, "before").join(shares(after, "after"), ["col_a", "col_b"])

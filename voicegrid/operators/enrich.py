@@ -53,12 +53,10 @@ def bullet_block(dim: DataFrame, line: Column, order: str, out: str = "block") -
 
 def prompt_column(df: DataFrame, template: str, columns: Mapping[str, str],
                   blocks: DataFrame | None = None, out: str = "prompt") -> DataFrame:
-    """Add a prompt per row. ``blocks`` is a one-row table of shared texts, attached by broadcast."""
-    names = list(df.columns)
-    if blocks is not None:
-        df = df.crossJoin(F.broadcast(blocks))
-    values = {k: F.col(v) for k, v in columns.items()}
-    return df.select(*names, fill_template(template, values).alias(out))
+    """Add a prompt per row. ``blocks`` is a one-row table of shared texts, read as scalars."""
+    shared = {} if blocks is None else {c: blocks.select(c).scalar() for c in blocks.columns}
+    values = {k: shared[v] if v in shared else F.col(v) for k, v in columns.items()}
+    return df.withColumn(out, fill_template(template, values))
 
 
 def batch_prompts(batched: DataFrame, text: str = "review") -> DataFrame:

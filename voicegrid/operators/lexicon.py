@@ -11,6 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from voicegrid.functions import words as W
+from voicegrid.session import broadcast_if_small
 
 # Fixed values of the published rules.
 DISTANCE_DAMPING = (1.0, 0.95, 0.9)
@@ -47,20 +48,20 @@ def lexicon_compound(df: DataFrame, key: str | Sequence[str], text: str, lexicon
     """``(key, compound)`` in [-1, 1]; text without lexicon words scores 0.
 
     Every word is exploded together with the three words before it, so boosters and negations
-    are found by broadcast lookups within one stage. What is summed per text is fixed-width, and
+    are found by lookups within one stage, broadcast once the lexicon proves small. What is summed per text is fixed-width, and
     partial sums leave each task as one row per text; no sort and no window is involved.
     """
     keys = [key] if isinstance(key, str) else list(key)
+    lexicon = broadcast_if_small(lexicon)
     words = lexicon.filter(F.col("role") == "word").select(
         F.col("token").alias("_token"), F.col("valence").alias("_v"))
     prepared = df.select(
         *keys, _pieces(F.col(text)).alias("_w"),
         F.coalesce(_emphasis(F.col(text)), F.lit(0.0)).alias("_emph"))
-    contrast = F.broadcast(lexicon.filter(F.col("role") == "contrast").agg(
-        F.collect_set("token").alias("_contrast")))
+    contrast = lexicon.filter(F.col("role") == "contrast").agg(F.collect_set("token").alias("x")).scalar()
     lowered = F.transform("_w", F.lower)
     upper = F.size(F.filter("_w", _is_upper))
-    prepared = prepared.crossJoin(contrast).select(
+    prepared = prepared.withColumn("_contrast", contrast).select(
         *keys, "_emph", "_w",
         # Capitals only matter when some but not all words are capitalised.
         ((upper > 0) & (upper < F.size("_w"))).alias("_mixed"),
@@ -74,13 +75,13 @@ def lexicon_compound(df: DataFrame, key: str | Sequence[str], text: str, lexicon
     # only where the text is empty.
     rows = rows.select(*keys, "_emph", "_mixed", "_turn", (F.col("pos") + 1).alias("_pos"),
                        F.col("col.w").alias("_word"), *[F.col(f"col.p{d}").alias(f"_p{d}") for d in (1, 2, 3)])
-    hits = rows.withColumn("_token", F.lower("_word")).join(F.broadcast(words), "_token", "left")
+    hits = rows.withColumn("_token", F.lower("_word")).join(words, "_token", "left")
     around = lexicon.filter(F.col("role").isin("booster", "negator"))
     for d in (1, 2, 3):
         side = around.select(F.col("token").alias(f"_t{d}"), F.col("valence").alias(f"_m{d}"),
                              F.col("role").alias(f"_r{d}"))
         hits = (hits.withColumn(f"_t{d}", F.when(F.col("_v").isNotNull(), F.lower(f"_p{d}")))
-                .join(F.broadcast(side), f"_t{d}", "left"))
+                .join(side, f"_t{d}", "left"))
     value = F.col("_v")
     sign = F.when(F.col("_v") < 0, -1.0).otherwise(1.0)
     value = value + F.when(F.col("_mixed") & _is_upper(F.col("_word")), sign * CAPITALS_BOOST).otherwise(0.0)
@@ -103,9 +104,9 @@ def lexicon_compound(df: DataFrame, key: str | Sequence[str], text: str, lexicon
 def lexicon_polarity(df: DataFrame, key: str, text: str, lexicon: DataFrame,
                      out: str = "polarity") -> DataFrame:
     """``(key, polarity)``: mean valence of the lexicon words in a text, 0 when there is none."""
-    words = lexicon.filter(F.col("role") == "word").select("token", "valence")
+    words = broadcast_if_small(lexicon).filter(F.col("role") == "word").select("token", "valence")
     hits = (df.select(key, F.explode_outer(W.tokens(F.col(text))).alias("token"))
-            .join(F.broadcast(words), "token", "left"))
+            .join(words, "token", "left"))
     return hits.groupBy(key).agg(
         F.bround(F.coalesce(F.avg("valence"), F.lit(0.0)), 6).alias(out))
 

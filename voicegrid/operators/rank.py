@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -13,7 +14,8 @@ from voicegrid import dims
 # -- global order without a single-task window ---------------------------------------------
 
 
-Cuts = dict[str, tuple[list[float], list[float]]]
+# Per column: the edges of its value ranges, and how many ranges each heavy value would fill.
+Cuts = dict[str, tuple[list[float], dict[float, int]]]
 
 
 def cut_points(df: DataFrame, columns: Sequence[str], regions: int | None = None) -> Cuts:
@@ -26,7 +28,7 @@ def cut_points(df: DataFrame, columns: Sequence[str], regions: int | None = None
     probs = [i / regions for i in range(1, regions)]
     out = {}
     for c, q in zip(columns, df.approxQuantile(list(columns), probs, 1 / (4 * regions))):
-        out[c] = sorted(set(q)), sorted({a for a, b in zip(q, q[1:]) if a == b})
+        out[c] = sorted(set(q)), {v: n for v, n in Counter(q).items() if n > 1}
     return out
 
 
@@ -66,10 +68,13 @@ def global_rank(df: DataFrame, column: str, key: str, out: str = "rank",
     placed = add_region(df, column, edges, "_region")
     names = ["_region"]
     if heavy and column != key:
-        # Rows equal to a heavy value come first in their range, which starts at that value.
+        # Rows equal to a heavy value come first in their range, which starts at that value. They
+        # are cut by key into about as many parts as the value would fill ranges.
         placed = add_region(placed, key, cuts[key][0], "_sub")
-        is_heavy = F.col(column).cast("double").isin(heavy)
-        placed = placed.withColumn("_sub", F.when(is_heavy, F.col("_sub")).otherwise(len(cuts[key][0]) + 1.0))
+        parts = df.sparkSession.createDataFrame(list(heavy.items()), "_heavy double, _parts int")
+        placed = placed.join(F.broadcast(parts), F.col(column).cast("double") == F.col("_heavy"), "left")
+        part = F.floor(F.col("_sub") * F.col("_parts") / (len(cuts[key][0]) + 1)).cast("int")
+        placed = placed.withColumn("_sub", F.coalesce(part, F.lit(2**31 - 1))).drop("_heavy", "_parts")
         names.append("_sub")
     counts = placed.groupBy(*names).agg(F.count("*").alias("_n"))
     placed = placed.join(F.broadcast(_offsets(counts, names, "_n", "_before")), names)
@@ -162,11 +167,13 @@ def topn_by_relevance(df: DataFrame, aspects: Sequence[str], n: int, key: str =
 
 def proportional_month_sample(df: DataFrame, limit: int = 50, seed: int = 42, key: str = "review_id",
                               month: str = "month") -> DataFrame:
-    """A seeded sample with each month's quota cut down from its share of the limit."""
+    """A seeded sample with each month's quota cut down from its share of the limit.
+
+    Months are a calendar, so their quotas are broadcast.
+    """
     counts = df.groupBy(month).agg(F.count("*").alias("_n"))
-    total = counts.agg(F.sum("_n").alias("_total"))
-    quota = counts.crossJoin(F.broadcast(total)).select(
-        month, (F.col("_n") / F.col("_total") * limit).cast("int").alias("quota"))
+    total = counts.agg(F.sum("_n").alias("x")).scalar()
+    quota = counts.select(month, (F.col("_n") / total * limit).cast("int").alias("quota"))
     draw = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
     ranked = top_n(df.withColumn("_draw", draw), [month], [F.col("_draw"), F.col(key)], limit, "rank")
     return ranked.join(F.broadcast(quota), month).filter(F.col("rank") <= F.col("quota")).drop("_draw")

@@ -46,12 +46,12 @@ def last_k_weeks(weekly: DataFrame, k: int = 12, week: str = "week") -> DataFram
 def _windowed(df: DataFrame, date: str, recent: int, base: int) -> DataFrame:
     """Mark rows of the last ``recent`` days and of the ``base`` days before them; drop the rest.
 
-    The last date of the table is one aggregate row.
+    The first day to keep is a scalar subquery on the last date of the table, so the scan can
+    skip the files of all earlier days.
     """
-    last = df.agg(F.max(date).alias("_last"))
-    age = F.datediff(F.col("_last"), F.col(date))
-    return (df.crossJoin(F.broadcast(last)).withColumn("_recent", age < recent)
-            .filter(age < recent + base).drop("_last"))
+    first = df.agg(F.date_sub(F.max(date), recent + base - 1).alias("x")).scalar()
+    first_recent = df.agg(F.date_sub(F.max(date), recent - 1).alias("x")).scalar()
+    return df.filter(F.col(date) >= first).withColumn("_recent", F.col(date) >= first_recent)
 
 
 def _mention_weight(text: Column, keywords: Mapping[str, float]) -> Column:

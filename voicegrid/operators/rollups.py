@@ -89,14 +89,15 @@ def aspect_median_threshold(df: DataFrame, aspects: Sequence[str]) -> DataFrame:
 def threshold_aspect_rollup(df: DataFrame, aspects: Sequence[str]) -> DataFrame:
     """Per group: mean aspect sentiment and count over rows at or above the corpus median."""
     keys = ("month", "product", "company")
-    medians = F.broadcast(aspect_median_threshold(df, aspects))
+    row = aspect_median_threshold(df, aspects)
+    medians = row.select(F.struct(*row.columns).alias("x")).scalar()
     stats = []
     for a in aspects:
-        relevant = ((S.half_even(F.coalesce(F.col(f"relevance_{a}"), F.lit(0.0)), 6) >= F.col(f"median_{a}"))
+        relevant = ((S.half_even(F.coalesce(F.col(f"relevance_{a}"), F.lit(0.0)), 6) >= F.col(f"_medians.median_{a}"))
                     & F.col(f"{a}_sentiment_score").isNotNull())
         stats += [F.avg(F.when(relevant, F.col(f"{a}_sentiment_score"))).alias(f"{a}_sentiment_score"),
                   F.count_if(relevant).alias(f"count_relevant_{a}")]
-    return known_keys(df, keys).crossJoin(medians).groupBy(*keys).agg(*stats)
+    return known_keys(df, keys).withColumn("_medians", medians).groupBy(*keys).agg(*stats)
 
 
 def monthly_category_rollup(df: DataFrame, category: str, score: str) -> DataFrame:
@@ -135,8 +136,8 @@ def weighted_aspect_grid(df: DataFrame, score_01: str, aspects: Sequence[str],
         S.half_even(scale * F.sum(F.col(score_01) * F.col(f"w_{a}"))
                     / F.nullif(F.sum(f"w_{a}"), F.lit(0)), 1).alias(a) for a in aspects])
     cells = sums.unpivot(["company", "product"], list(aspects), "aspect", "sentiment_score")
-    grid = name_grid(sums, "company", "product").crossJoin(
-        F.broadcast(df.sparkSession.createDataFrame([(a,) for a in aspects], "aspect string")))
+    grid = name_grid(sums, "company", "product").withColumn(
+        "aspect", F.explode(F.array(*[F.lit(a) for a in aspects])))
     return grid.join(cells, ["company", "product", "aspect"], "left")
 
 
@@ -178,9 +179,13 @@ def aspect_trend_long(df: DataFrame, keys: Sequence[str], aspects: Sequence[str]
     return named.unpivot(list(keys), list(aspects), "aspect", "sentiment_score")
 
 
-def score_distribution(df: DataFrame, key: str, value: str) -> DataFrame:
-    """Five-number summary per group. Exact percentiles merge per-task counts of distinct values."""
-    p = F.percentile(value, F.array(*[F.lit(q) for q in (0.0, 0.25, 0.5, 0.75, 1.0)]))
+def score_distribution(df: DataFrame, key: str, value: str, places: int = 3) -> DataFrame:
+    """Five-number summary per group.
+
+    Exact percentiles merge per-task counts of distinct values. Scores lie in a fixed range, so
+    keeping ``places`` decimals bounds how many there are.
+    """
+    p = F.percentile(S.half_even(F.col(value), places), F.array(*[F.lit(q) for q in (0.0, 0.25, 0.5, 0.75, 1.0)]))
     names = ("minimum", "q1", "median", "q3", "maximum")
     return (df.filter(F.col(value).isNotNull()).groupBy(key).agg(p.alias("_p"), F.count("*").alias("n"))
             .select(key, "n", *[F.col("_p")[i].alias(n) for i, n in enumerate(names)]))
@@ -197,10 +202,9 @@ def volume(df: DataFrame, *keys: str) -> DataFrame:
 def share_of(df: DataFrame, key: str, out: str = "pct", places: int = 0) -> DataFrame:
     """Count and percentage of all rows per value; the total is summed over the small counts."""
     counts = df.groupBy(key).agg(F.count("*").alias("reviews"))
-    total = counts.agg(F.sum("reviews").alias("_total"))
-    return (known_keys(counts, [key]).crossJoin(F.broadcast(total))
-            .select(key, "reviews",
-                    S.half_even(F.col("reviews") / F.col("_total") * 100, places).alias(out)))
+    total = counts.agg(F.sum("reviews").alias("x")).scalar()
+    return known_keys(counts, [key]).select(
+        key, "reviews", S.half_even(F.col("reviews") / total * 100, places).alias(out))
 
 
 def share_of_known(df: DataFrame, key: str, out: str = "pct") -> DataFrame:
@@ -261,10 +265,10 @@ def topic_sentiment_trend(df: DataFrame, count: str, value: str) -> DataFrame:
 def score_histogram(df: DataFrame, columns: Sequence[str], bins: int) -> DataFrame:
     """Equal-width bins over the joint range of the columns; the maximum falls in the last bin."""
     long = df.select(*columns).unpivot([], list(columns), "method", "score").dropna(subset=["score"])
-    span = long.agg(F.min("score").alias("_lo"), F.max("score").alias("_hi"))
-    width = (F.col("_hi") - F.col("_lo")) / bins
-    place = F.when(width > 0, F.floor((F.col("score") - F.col("_lo")) / width)).otherwise(F.lit(0))
-    return (long.crossJoin(F.broadcast(span))
+    span = long.agg(F.struct(F.min("score").alias("lo"), F.max("score").alias("hi")).alias("x")).scalar()
+    width = (F.col("_span.hi") - F.col("_span.lo")) / bins
+    place = F.when(width > 0, F.floor((F.col("score") - F.col("_span.lo")) / width)).otherwise(F.lit(0))
+    return (long.withColumn("_span", span)
             .groupBy("method", F.least(place, F.lit(bins - 1)).cast("int").alias("bin"))
             .agg(F.count("*").alias("n")))
 
@@ -299,8 +303,11 @@ def flag_summary(df: DataFrame, flags: Sequence[str]) -> DataFrame:
 
 
 def describe(df: DataFrame, column: str, places: int = 3) -> DataFrame:
-    """Count, mean, deviation, minimum, quartiles and maximum of one score, rounded."""
-    p = F.percentile(column, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    """Count, mean, deviation, minimum, quartiles and maximum of one score, rounded.
+
+    Quartiles are those of the score to five places, which bounds the distinct values merged.
+    """
+    p = F.percentile(S.half_even(F.col(column), 5), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     row = df.agg(F.count(column).alias("count"), F.avg(column).alias("mean"),
                  F.stddev_samp(column).alias("std"), F.min(column).alias("min"),
                  p.alias("_p"), F.max(column).alias("max"))
@@ -326,12 +333,13 @@ def yearly_breakdown(df: DataFrame, month: str = "month") -> DataFrame:
 def company_top(df: DataFrame, n: int = 5) -> DataFrame:
     """The largest companies with whole percentages, and how many companies there are in all."""
     counts = df.groupBy("company").agg(F.count("*").alias("reviews"))
-    total = counts.agg(F.sum("reviews").alias("_total"), F.count("company").alias("companies"),
-                       F.array_join(F.array_sort(F.collect_list("company")), ", ").alias("names"))
+    total = counts.agg(F.struct(
+        F.sum("reviews").alias("total"), F.count("company").alias("companies"),
+        F.array_join(F.array_sort(F.collect_list("company")), ", ").alias("names")).alias("x")).scalar()
     top = known_keys(counts, ["company"]).orderBy(F.desc("reviews"), "company").limit(n)
-    return top.crossJoin(F.broadcast(total)).select(
-        "company", "reviews", S.half_even(F.col("reviews") / F.col("_total") * 100).alias("pct"),
-        "companies", "names")
+    return top.withColumn("_all", total).select(
+        "company", "reviews", S.half_even(F.col("reviews") / F.col("_all.total") * 100).alias("pct"),
+        "_all.companies", "_all.names")
 
 
 def aspect_means(df: DataFrame, columns: Sequence[str]) -> DataFrame:

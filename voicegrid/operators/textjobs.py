@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from voicegrid import dims
 from voicegrid.functions import scores as S, words as W
+from voicegrid.session import broadcast_if_small
 
 
 def token_set(df: DataFrame, text: str, out: str = "tokens") -> DataFrame:
@@ -72,8 +73,8 @@ def tfidf_topic_score(df: DataFrame, key: str, text: str, terms: Mapping[str, Se
     """
     vocabulary = sorted({t.lower() for ts in terms.values() for t in ts if W.single_words([t])})
     counts = vocabulary_counts(df, key, text, [v for v in vocabulary if len(v) > 1])
-    idf = (document_frequency(counts).crossJoin(F.broadcast(df.agg(F.count("*").alias("n"))))
-           .select("term", smooth_idf(F.col("n"), F.col("df")).alias("idf")))
+    n = df.agg(F.count("*").alias("n")).scalar()
+    idf = document_frequency(counts).select("term", smooth_idf(n, F.col("df")).alias("idf"))
     weighted = counts.join(F.broadcast(idf), "term", "left").withColumn("w", F.col("tf") * F.col("idf"))
     topic = {a: [t.lower() for t in ts] for a, ts in terms.items()}
     sums = weighted.groupBy(key).agg(
@@ -110,18 +111,18 @@ def tfidf_aspect_cosine(df: DataFrame, key: str, text: str, terms: Mapping[str,
     """Cosine of each review with each aspect's keyword string, over the full vocabulary."""
     counts = term_counts(df, key, text, stop_words=stop_words)
     dfreq = document_frequency(counts)
-    n = df.agg(F.count("*").alias("n"))
+    n = df.agg(F.count("*").alias("n")).scalar()
     queries = _keyword_vectors(df.sparkSession, terms, stop_words)
-    in_corpus = (dfreq.join(F.broadcast(queries), "term").crossJoin(F.broadcast(n))
-                 .withColumn("q", F.col("qtf") * smooth_idf(F.col("n"), F.col("df"))))
+    in_corpus = dfreq.join(F.broadcast(queries), "term").withColumn(
+        "q", F.col("qtf") * smooth_idf(n, F.col("df")))
     norms = in_corpus.groupBy("aspect").agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("qnorm"))
     vectors = in_corpus.join(F.broadcast(norms), "aspect").select(
         "term", "aspect", (F.col("q") / F.col("qnorm")).alias("q"))
     # One row per keyword, with a column for every aspect: bounded by the dictionary.
     wide = vectors.groupBy("term").agg(*[
         F.sum(F.when(F.col("aspect") == a, F.col("q"))).alias(f"q_{a}") for a in terms])
-    weighted = (with_document_frequency(counts, dfreq, key).crossJoin(F.broadcast(n))
-                .withColumn("w", F.col("tf") * smooth_idf(F.col("n"), F.col("df")))
+    weighted = (with_document_frequency(counts, dfreq, key)
+                .withColumn("w", F.col("tf") * smooth_idf(n, F.col("df")))
                 .join(F.broadcast(wide), "term", "left"))
     sums = weighted.groupBy(key).agg(
         F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"),
@@ -177,11 +178,12 @@ def _ngrams(text: Column, n: int) -> Column:
 def language_tag(df: DataFrame, key: str, text: str, profiles: DataFrame, n: int = 3) -> DataFrame:
     """``(key, detected_lang, is_english)``; the profile with the largest summed share wins.
 
-    ``profiles`` holds a fixed number of rows per language and is broadcast. Scores of a review
-    are summed map-side; text without any known n-gram is ``unknown``.
+    ``profiles`` holds a fixed number of rows per language; its size is counted before it is
+    broadcast, so pass a stored one. Scores of a review are summed map-side; text without any
+    known n-gram is ``unknown``.
     """
     hits = (df.select(key, F.explode(_ngrams(F.col(text), n)).alias("gram"))
-            .join(F.broadcast(profiles), "gram"))
+            .join(broadcast_if_small(profiles), "gram"))
     scores = hits.groupBy(key, "lang").agg(F.bround(F.sum("share"), 9).alias("s"))
     best = scores.groupBy(key).agg(F.max(F.struct("s", F.col("lang"))).getField("lang").alias("lang"))
     return df.select(key).join(best, key, "left").select(

@@ -91,11 +91,13 @@ def numbered_evidence_text(spark, sf):
 
 
 @query("ordered_turns_text", """
-SELECT conv_id, md5(string_agg('Review ' || turn || ' (' || role || '): ' || trim(text), chr(10) ORDER BY turn)) AS digest
-FROM conversations GROUP BY conv_id""")
+WITH e AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rank FROM conversations QUALIFY rank <= 80)
+SELECT conv_id, md5(string_agg('Review ' || rank || ' (' || role || '): ' || trim(text), chr(10) ORDER BY rank)) AS digest
+FROM e GROUP BY conv_id""")
 def ordered_turns_text(spark, sf):
-    turns = read_table(spark, sf, "conversations")
-    out = R.numbered_evidence_text(turns, ["conv_id"], "text", "turn", F.col("role"))
+    """Evidence of at most 80 turns per conversation, in order."""
+    turns = R.top_n(read_table(spark, sf, "conversations"), ["conv_id"], [F.col("turn")], T.reviews_per_side(), "rank")
+    out = R.numbered_evidence_text(turns, ["conv_id"], "text", "rank", F.col("role"))
     return out.select("conv_id", F.md5("evidence").alias("digest"))
 
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from voicegrid import dims
-from voicegrid.operators import annotate as A, lexicon as X, stem as P, textjobs as T
+from voicegrid.operators import annotate as A, lexicon as X, rank as R, stem as P, textjobs as T
 from voicegrid.plans import views as V
 from voicegrid.plans.registry import query
 from voicegrid.plans.rollups import ASPECTS, REL_CTE, TOPICS, each, relevant
+from voicegrid.session import materialize
 from voicegrid.sources.reviews import read_table
 
 STOP_WORDS = ["is", "it", "to"]
@@ -155,7 +156,7 @@ SELECT review_id, coalesce(lang, 'unknown') AS detected_lang, coalesce(lang, '')
 FROM reviews LEFT JOIN best USING (review_id)""")
 def language_tag(spark, sf):
     df = V.text_reviews(spark, sf)
-    return T.language_tag(df, "review_id", "review", T.language_profiles(df, "review", "product"))
+    return T.language_tag(df, "review_id", "review", materialize(T.language_profiles(df, "review", "product")))
 
 
 @query("spam_score")
@@ -169,11 +170,13 @@ def spam_score(spark, sf):
 
 
 @query("token_budget", """
-WITH t AS (SELECT conv_id, string_agg(turn || ': ' || text, chr(10) ORDER BY turn) AS body FROM conversations GROUP BY conv_id)
+WITH e AS (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 80),
+t AS (SELECT conv_id, string_agg(turn || ': ' || text, chr(10) ORDER BY turn) AS body FROM e GROUP BY conv_id)
 SELECT conv_id, CAST(ceil(length(body) / 4.0) AS BIGINT) AS estimated_tokens,
        md5(substring(body, 1, 800)) AS digest FROM t""")
 def token_budget(spark, sf):
-    turns = read_table(spark, sf, "conversations")
+    """Evidence of at most 80 turns per conversation, cut to a budget of 200 tokens."""
+    turns = R.top_n(read_table(spark, sf, "conversations"), ["conv_id"], [F.col("turn")], T.reviews_per_side())
     line = F.concat(F.col("turn").cast("string"), F.lit(": "), "text")
     lines = F.array_sort(F.collect_list(F.struct("turn", line.alias("l"))))
     body = turns.groupBy("conv_id").agg(F.array_join(F.transform(lines, lambda x: x["l"]), "\n").alias("body"))

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # Settings every job relies on. Shuffle partition counts are left to the cluster: AQE
 # coalesces small ones and splits skewed ones at run time.
@@ -47,6 +47,18 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+BROADCAST_ROWS = 1_000_000
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Mark a lookup table for broadcast after counting that it has at most ``rows`` rows.
+
+    A larger one is returned without the mark: the join then shuffles, and the adaptive planner
+    splits its skewed keys. Counting stops at the limit.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Store a result that several later jobs read, in the shared checkpoint folder.
 
