@@ -10,7 +10,7 @@ VALID = ["Gas Products", "Energy", "Unknown"]
 
 def single(spark, reply, **kw):
     df = spark.createDataFrame([(1, reply)], "id int, reply string")
-    r = E.validate_classification(E.parse_single_reply(df), VALID, **kw).first()
+    r = E.validate_classification(E.parse_single_reply(df), VALID, reply="reply", **kw).first()
     return r.score, r.category, r.reason
 
 
@@ -20,13 +20,20 @@ def single(spark, reply, **kw):
     ("Score: 120\nProduct: Energy\nReason: x", (0, "Unknown", E.INVALID + E.BAD_CONFIDENCE)),
     ("Score: 60\nProduct: Energy supply\nReason: x", (60, "Energy", "x")),
     ("Score: 60\nProduct: Cars\nReason: x", (0, "Unknown", "Invalid AI Response: Category 'Cars' is not a valid option.")),
-    ("Score: 60\nProduct: Energy", (0, "Unknown", E.INVALID + E.UNPARSED)),
-    ("", (0, "Unknown", E.INVALID + E.UNPARSED)), (None, (0, "Unknown", E.INVALID + E.UNPARSED)),
+    ("Score: 60\nProduct: Energy", (0, "Unknown", E.UNPARSED)),
+    ("Score: 99999999999\nProduct: Energy\nReason: x", (0, "Unknown", E.INVALID + E.BAD_CONFIDENCE)),
+    ("", (0, "Unknown", E.CALL_FAILED)), (None, (0, "Unknown", E.CALL_FAILED)),
 ])
 def test_single_reply(spark, reply, want):
     assert single(spark, reply) == want
 
 
+def test_product_line_may_be_optional(spark):
+    df = spark.createDataFrame([(1, "Score: 5\nReason: r")], "id int, reply string")
+    r = E.parse_single_reply(df, product_optional=True).first()
+    assert (r.raw_score, r.raw_product, r.raw_reason) == ("5", E.NO_PRODUCT, "r")
+
+
 def test_strict_mode_does_not_salvage(spark):
     assert single(spark, "Score: 60\nProduct: Energy supply\nReason: x", salvage=False)[:2] == (0, "Unknown")
 

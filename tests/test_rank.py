@@ -104,6 +104,13 @@ def test_top_n_cuts_before_the_shuffle(weighted):
     assert plan.index("WindowGroupLimit") < plan.rindex("WindowGroupLimit")
 
 
+def test_top_n_beyond_the_optimizers_limit(spark, monkeypatch):
+    df = spark.range(5000).select(F.col("id"), (F.col("id") % 2).alias("g"))
+    got = R.top_n(df, ["g"], [F.desc("id")], 1500, "rank")
+    assert got.groupBy("g").count().orderBy("g").collect() == [(0, 1500), (1, 1500)]
+    assert got.filter("rank = 1500 and g = 0").first().id == 4998 - 2 * 1499
+
+
 def test_balanced_sides(weighted):
     got = R.balanced_topn(weighted, "A", "B", 80, threshold=0.75).groupBy("company").count().collect()
     assert {r.company: r["count"] for r in got} == {"A": 7, "B": 7} or len({r["count"] for r in got}) == 1

@@ -27,16 +27,26 @@ def latest_scores(df: DataFrame, aspects: Sequence[str], order: Sequence[str] =
 
 
 def latest_gap(df: DataFrame, primary: str, aspects: Sequence[str]) -> DataFrame:
-    """Primary minus competitor per product and aspect, from each one's latest rollup row."""
-    latest = latest_scores(df, aspects)
-    ours = latest.filter(F.col("company") == primary).select(
-        "product", "aspect", F.col("score").alias("_ours"))
-    theirs = latest.filter(F.col("company") != primary)
-    return theirs.join(ours, ["product", "aspect"]).select(
+    """Primary minus competitor per product and aspect, from each one's latest rollup row.
+
+    The primary score is spread over the companies of a product by a window on the latest rows,
+    one per company, instead of joining the rollup with itself.
+    """
+    sides = _with_primary(latest_scores(df, aspects), primary, "score", ["product", "aspect"])
+    return sides.select(
         F.col("company").alias("competitor"), "product", "aspect",
         S.half_even(F.col("_ours") - F.col("score"), 2).alias("sentiment_difference"))
 
 
+def _with_primary(scores: DataFrame, primary: str, value: str, keys: Sequence[str]) -> DataFrame:
+    """Competitor rows with the primary company's value of the same keys; keys it lacks drop out."""
+    w = Window.partitionBy(*keys)
+    is_primary = F.col("company") == primary
+    marked = scores.withColumns({"_ours": F.max(F.when(is_primary, F.col(value))).over(w),
+                                 "_sold": F.max(is_primary).over(w)})
+    return marked.filter((F.col("company") != primary) & F.col("_sold")).drop("_sold")
+
+
 def annual_gap(scores: DataFrame, cells: DataFrame, primary: str) -> DataFrame:
     """Scores of both companies and their difference for every cell; NULL where one is missing.
 
@@ -99,11 +109,10 @@ def aspect_gap(df: DataFrame, primary: str, aspects: Sequence[str]) -> DataFrame
     """Mean of both sides and competitor minus primary, rounded after the subtraction."""
     means = df.groupBy("company").agg(*[F.avg(f"{a}_sentiment_score").alias(a) for a in aspects])
     long = means.unpivot(["company"], list(aspects), "aspect", "_m")
-    ours = long.filter(F.col("company") == primary).select("aspect", F.col("_m").alias("_p"))
-    return long.filter(F.col("company") != primary).join(F.broadcast(ours), "aspect").select(
-        "aspect", F.col("company").alias("competitor"), S.half_even("_p", 2).alias("primary_score"),
+    return _with_primary(long, primary, "_m", ["aspect"]).select(
+        "aspect", F.col("company").alias("competitor"), S.half_even("_ours", 2).alias("primary_score"),
         S.half_even("_m", 2).alias("competitor_score"),
-        S.half_even(F.col("_m") - F.col("_p"), 2).alias("sentiment_gap"))
+        S.half_even(F.col("_m") - F.col("_ours"), 2).alias("sentiment_gap"))
 
 
 def summary_lookup(cells: DataFrame, summary: DataFrame, keys: Sequence[str], text: str = "analysis",

@@ -16,8 +16,9 @@ NO_REVIEW = "No review provided"
 NO_REASON = "No reasoning provided by AI."
 MISSING_REPLY = "Missing AI response in batch"
 CALL_FAILED = "AI API call failed"
+NO_PRODUCT = "Not provided"
 INVALID = "Invalid AI Response: "
-UNPARSED = "Response from AI did not match expected format."
+UNPARSED = "AI response parsing error: Response from AI did not match expected format."
 BAD_CONFIDENCE = "Confidence score is outside the 0-100 range."
 BAD_SENTIMENT = "Sentiment score is outside the -100 to 100 range."
 NOT_MENTIONED = ("n/a", "na", "none")
@@ -106,12 +107,20 @@ def batch_infer(df: DataFrame, key: str, prompt: str, model: Callable[[str], str
 # -- reading replies ---------------------------------------------------------------------------
 
 
-def parse_single_reply(df: DataFrame, reply: str = "reply") -> DataFrame:
-    """Raw ``raw_score``, ``raw_product`` and ``raw_reason``; all NULL unless all three occur."""
+def parse_single_reply(df: DataFrame, reply: str = "reply", product_optional: bool = False) -> DataFrame:
+    """Raw ``raw_score``, ``raw_product`` and ``raw_reason``; all NULL unless all three occur.
+
+    With ``product_optional`` a reply without a product line reads ``Not provided``.
+    """
     parts = {"raw_score": SCORE, "raw_product": PRODUCT, "raw_reason": REASON}
     text = F.col(reply)
-    whole = text.rlike(SCORE) & text.rlike(PRODUCT) & text.rlike(REASON)
-    return df.withColumns({n: F.when(whole, _found(text, p)) for n, p in parts.items()})
+    whole = text.rlike(SCORE) & text.rlike(REASON)
+    if not product_optional:
+        whole = whole & text.rlike(PRODUCT)
+    found = {n: F.when(whole, _found(text, p)) for n, p in parts.items()}
+    if product_optional:
+        found["raw_product"] = F.when(whole, F.coalesce(_found(text, PRODUCT), F.lit(NO_PRODUCT)))
+    return df.withColumns(found)
 
 
 def parse_batch_reply(df: DataFrame, keys: Sequence[str], size: str = "size",
@@ -153,42 +162,44 @@ def _reason(raw: Column) -> Column:
     return F.when(F.length(strip(F.coalesce(raw, F.lit("")))) > 0, raw).otherwise(NO_REASON)
 
 
-def validate_classification(df: DataFrame, valid: Sequence[str], salvage: bool = True) -> DataFrame:
+def validate_classification(df: DataFrame, valid: Sequence[str], salvage: bool = True,
+                            reply: str | None = None) -> DataFrame:
     """``score``, ``category`` and ``reason`` that are safe to store.
 
     A category outside the list is replaced by the first valid name it contains; without
-    ``salvage``, or when it contains none, the row becomes (0, Unknown).
+    ``salvage``, or when it contains none, the row becomes (0, Unknown). Where the ``reply`` column
+    is named, an empty one counts as a failed call.
     """
-    number = F.col("raw_score").try_cast("int")
+    number = F.col("raw_score").try_cast("bigint")
     names = F.array(*[F.lit(v) for v in valid])
     category = F.when(F.col("raw_product").isin(list(valid)), F.col("raw_product"))
     if salvage:
         inside = F.filter(names, lambda v: F.contains(F.col("raw_product"), v))
         category = F.coalesce(category, F.get(inside, F.lit(0)))
-    problem = (F.when(number.isNull(), UNPARSED)
-               .when(~number.between(0, 100), BAD_CONFIDENCE)
-               .when(category.isNull(), F.concat(F.lit("Category '"), F.col("raw_product"),
+    failed = F.lit(False) if reply is None else is_blank(F.col(reply))
+    problem = (F.when(failed, CALL_FAILED).when(number.isNull(), UNPARSED)
+               .when(~number.between(0, 100), INVALID + BAD_CONFIDENCE)
+               .when(category.isNull(), F.concat(F.lit(INVALID + "Category '"), F.col("raw_product"),
                                                  F.lit("' is not a valid option."))))
     checked = df.withColumns({"_problem": problem, "_category": category, "_score": number})
     ok = F.col("_problem").isNull()
     return checked.withColumns({
-        "score": F.when(ok, F.col("_score")).otherwise(0),
+        "score": F.when(ok, F.col("_score").cast("int")).otherwise(0),
         "category": F.when(ok, F.col("_category")).otherwise("Unknown"),
-        "reason": F.when(ok, _reason(F.col("raw_reason")))
-        .otherwise(F.concat(F.lit(INVALID), F.col("_problem"))),
+        "reason": F.when(ok, _reason(F.col("raw_reason"))).otherwise(F.col("_problem")),
     }).drop("_problem", "_category", "_score", "raw_score", "raw_product", "raw_reason")
 
 
 def validate_sentiment(df: DataFrame, aspect: str = "aspect") -> DataFrame:
     """``score`` in -100..100 and ``reason``; an aspect that is not mentioned scores 0."""
-    number = F.col("raw_score").try_cast("int")
+    number = F.col("raw_score").try_cast("bigint")
     absent = F.lower(strip(F.col("raw_score"))).isin(*NOT_MENTIONED)
     ok = number.between(-100, 100)
     return df.withColumns({
-        "score": F.when(F.coalesce(~absent & ok, F.lit(False)), number).otherwise(0),
+        "score": F.when(F.coalesce(~absent & ok, F.lit(False)), number.cast("int")).otherwise(0),
         "reason": F.when(absent, F.concat(F.lit("Aspect '"), F.col(aspect),
                                           F.lit("' was not mentioned in the review.")))
-        .when(number.isNull(), INVALID + UNPARSED).when(~ok, INVALID + BAD_SENTIMENT)
+        .when(number.isNull(), UNPARSED).when(~ok, INVALID + BAD_SENTIMENT)
         .otherwise(_reason(F.col("raw_reason"))),
     }).drop("raw_score", "raw_reason")
 

@@ -121,11 +121,23 @@ def fixed_size_batches(df: DataFrame, key: str, size: int) -> DataFrame:
 # -- top n per group -------------------------------------------------------------------------
 
 
+TOP_N_PARTS = 256
+
+
 def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int,
           rank: str | None = None) -> DataFrame:
-    """First n rows of every group. The optimizer cuts each task's rows to n per group before the
-    shuffle, so a group holding much of the table is never gathered."""
+    """First n rows of every group.
+
+    The optimizer cuts each task's rows to n per group before the shuffle, so a group holding much
+    of the table is never gathered. It does so up to a limit; for a larger n every group is first
+    cut to the n best of each of ``TOP_N_PARTS`` parts.
+    """
     w = Window.partitionBy(*keys).orderBy(*order)
+    if n > int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")):
+        part = F.pmod(F.xxhash64(*df.columns), F.lit(TOP_N_PARTS)).alias("_part")
+        parts = Window.partitionBy(*keys, "_part").orderBy(*order)
+        df = (df.withColumn("_part", part).withColumn("_n", F.row_number().over(parts))
+              .filter(F.col("_n") <= n).drop("_part", "_n"))
     out = df.withColumn(rank or "_rank", F.row_number().over(w)).filter(F.col(rank or "_rank") <= n)
     return out if rank else out.drop("_rank")
 

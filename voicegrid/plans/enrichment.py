@@ -65,11 +65,11 @@ def validated_sql(source, keys):
     salvage = "CASE " + " ".join(f"WHEN contains(raw_product, '{v}') THEN '{v}'" for v in VALID) + " END"
     return f"""SELECT {keys}, CAST(CASE WHEN bad IS NULL THEN n ELSE 0 END AS INTEGER) AS score,
   CASE WHEN bad IS NULL THEN cat ELSE 'Unknown' END AS category,
-  CASE WHEN bad IS NOT NULL THEN 'Invalid AI Response: ' || bad WHEN length(trim(coalesce(raw_reason, ''))) > 0 THEN raw_reason
+  CASE WHEN bad IS NOT NULL THEN bad WHEN length(trim(coalesce(raw_reason, ''))) > 0 THEN raw_reason
        ELSE 'No reasoning provided by AI.' END AS reason
-  FROM (SELECT *, CASE WHEN n IS NULL THEN 'Response from AI did not match expected format.'
-        WHEN n NOT BETWEEN 0 AND 100 THEN 'Confidence score is outside the 0-100 range.'
-        WHEN cat IS NULL THEN 'Category ''' || raw_product || ''' is not a valid option.' END AS bad
+  FROM (SELECT *, CASE WHEN n IS NULL THEN 'AI response parsing error: Response from AI did not match expected format.'
+        WHEN n NOT BETWEEN 0 AND 100 THEN 'Invalid AI Response: Confidence score is outside the 0-100 range.'
+        WHEN cat IS NULL THEN 'Invalid AI Response: Category ''' || raw_product || ''' is not a valid option.' END AS bad
   FROM (SELECT *, TRY_CAST(raw_score AS INTEGER) AS n,
                CASE WHEN raw_product IN ({valid}) THEN raw_product ELSE {salvage} END AS cat FROM {source}))"""
 
