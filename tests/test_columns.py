@@ -91,6 +91,17 @@ def test_word_paths_agree(spark):
     assert by_list == by_pattern == [3, 2, 0, 0, 2]
 
 
+def test_phrase_prefilter_changes_nothing(spark):
+    """Counts and flags equal those of one plain pattern over whole documents."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text")
+    for terms in (["of the", "of", "the"], ["as", "is that", "a-b"], ["in in", "in"]):
+        pattern, low = W.word_pattern(terms), F.lower("text")
+        odd = docs.filter((W.count_words(F.col("text"), terms) != F.regexp_count(low, F.lit(pattern)))
+                          | (W.has_word(F.col("text"), terms) != low.rlike(pattern)))
+        assert odd.count() == 0
+    assert docs.filter(W.has_word(F.col("text"), ["of the"])).count() > 0
+
+
 def test_topic_counts_with_phrases(spark):
     df = spark.createDataFrame([(1, "Smart meter reading and a meter"), (2, None)], "id int, review string")
     got = {r.id: r for r in A.topic_keyword_counts(df, "review").collect()}

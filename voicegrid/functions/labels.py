@@ -27,17 +27,23 @@ def payment_method(text: Column, debit: Sequence[str] = dims.DEBIT_TERMS,
 
 
 def fuel_type(text: Column, own_brand: str | None = dims.OWN_BRAND,
-              gas: Sequence[str] = dims.GAS_TERMS, power: Sequence[str] = dims.POWER_TERMS) -> Column:
+              gas: Sequence[str] = dims.GAS_TERMS, power: Sequence[str] = dims.POWER_TERMS,
+              toks: Column | None = None) -> Column:
     """The fuel named more often once the company's own name is taken out of the text."""
-    body = F.lower(F.coalesce(text, F.lit("")))
+    g, p = W.count_each(text, gas, toks), W.count_each(text, power, toks)
     if own_brand:
-        body = F.regexp_replace(body, W.word_pattern([own_brand]), "")
-    g, p = W.count_each(body, gas), W.count_each(body, power)
+        named = W.has_substring(text, [own_brand])
+        body = F.regexp_replace(F.lower(text), W.word_pattern([own_brand.lower()]), "")
+        g = F.when(named, W.count_each(body, gas)).otherwise(g)
+        p = F.when(named, W.count_each(body, power)).otherwise(p)
     return F.when(g > p, "Gas Supply").when(p > g, "Electricity").otherwise("Unknown")
 
 
-def tariff_type(text: Column, fixed: Sequence[str] = ("fixed",),
-                variable: Sequence[str] = ("variable", "tracker"), toks: Column | None = None) -> Column:
+FIXED_TERMS, VARIABLE_TERMS = ("fixed",), ("variable", "tracker")
+
+
+def tariff_type(text: Column, fixed: Sequence[str] = FIXED_TERMS,
+                variable: Sequence[str] = VARIABLE_TERMS, toks: Column | None = None) -> Column:
     return (F.when(W.has_word(text, fixed, toks), "Fixed")
             .when(W.has_word(text, variable, toks), "Variable").otherwise("Unknown"))
 

@@ -44,6 +44,21 @@ def single_words(terms: Sequence[str]) -> bool:
     return all(re.fullmatch(r"\w+", t) for t in terms)
 
 
+def split_terms(terms: Sequence[str]) -> tuple[list[str], list[str]]:
+    """Lower-case single words, and the terms that need a pattern."""
+    lowered = [t.lower() for t in terms]
+    return [t for t in lowered if single_words([t])], [t for t in lowered if not single_words([t])]
+
+
+def known_words(text: Column, *term_lists: Sequence[str]) -> Column:
+    """The words of ``text`` that occur in any dictionary, in order.
+
+    Serves as ``toks`` for all of those dictionaries: each then looks at a few words per text.
+    """
+    wanted = sorted({w for terms in term_lists for w in split_terms(terms)[0]})
+    return F.filter(tokens(text), in_list(wanted))
+
+
 def in_list(words: Sequence[str]):
     """Predicate for ``F.filter`` / ``F.exists``; long lists become a hash set in the plan."""
     def test(item: Column) -> Column:
@@ -54,13 +69,15 @@ def in_list(words: Sequence[str]):
 def has_word(text: Column, terms: Sequence[str], toks: Column | None = None) -> Column:
     """True where a whole word or phrase occurs, in any case; False for NULL text.
 
-    Here and below, ``toks`` is the text's word list where a caller has it already.
+    Here and below, ``toks`` is the text's word list where a caller has it already. Patterns are
+    slow, so one is only run on a text that contains a phrase somewhere.
     """
-    if single_words(terms):
-        words = tokens(text) if toks is None else toks
-        found = F.exists(words, in_list([t.lower() for t in terms]))
-    else:
-        found = F.lower(text).rlike(word_pattern([t.lower() for t in terms]))
+    singles, phrases = split_terms(terms)
+    found = F.lit(False)
+    if singles:
+        found = F.exists(tokens(text) if toks is None else toks, in_list(singles))
+    if phrases:
+        found = found | (has_substring(text, phrases) & F.lower(text).rlike(word_pattern(phrases)))
     return F.coalesce(found, F.lit(False))
 
 
@@ -74,20 +91,22 @@ def has_substring(text: Column, terms: Sequence[str]) -> Column:
 
 
 def count_words(text: Column, terms: Sequence[str], toks: Column | None = None) -> Column:
-    """Non-overlapping whole-word hits of any term; a phrase counts once. NULL text gives 0."""
-    terms = [t.lower() for t in terms]
-    if single_words(terms):
-        hits = F.size(F.filter(tokens(text) if toks is None else toks, in_list(terms)))
-    else:
-        hits = F.regexp_count(F.lower(text), F.lit(word_pattern(terms)))
+    """Non-overlapping whole-word hits of any term; a phrase counts once. NULL text gives 0.
+
+    A text without any of the phrases is counted by its words alone.
+    """
+    singles, phrases = split_terms(terms)
+    hits = F.size(F.filter(tokens(text) if toks is None else toks, in_list(singles))) if singles else F.lit(0)
+    if phrases:
+        by_pattern = F.regexp_count(F.lower(text), F.lit(word_pattern([t.lower() for t in terms])))
+        hits = F.when(has_substring(text, phrases), by_pattern).otherwise(hits)
     return F.coalesce(hits, F.lit(0)).cast("int")
 
 
-def count_each(text: Column, terms: Sequence[str]) -> Column:
+def count_each(text: Column, terms: Sequence[str], toks: Column | None = None) -> Column:
     """Sum of the hits of every term on its own, so ``power cut`` also counts as ``power``."""
-    singles = [t for t in terms if single_words([t])]
-    total = count_words(text, singles) if singles else F.lit(0)
-    for phrase in terms:
-        if phrase not in singles:
-            total = total + count_words(text, [phrase])
+    singles, phrases = split_terms(terms)
+    total = count_words(text, singles, toks) if singles else F.lit(0)
+    for phrase in phrases:
+        total = total + count_words(text, [phrase])
     return total

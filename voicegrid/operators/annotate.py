@@ -15,20 +15,11 @@ def topic_keyword_counts(df: DataFrame, text: str, terms: Mapping[str, Sequence[
                          prefix: str = "kw_", toks: str | None = None) -> DataFrame:
     """One ``kw_<topic>`` hit count per topic.
 
-    Topics made of single words share one tokenisation (``toks`` where the table has one): the
-    words of any topic are kept first, and each topic then looks only at those. Topics with
-    phrases are matched by pattern.
+    All topics share one list of dictionary words, ``toks`` where the table has it already.
     """
-    words = {k: [t.lower() for t in v] for k, v in terms.items() if W.single_words(v)}
-    counts = {k: W.count_words(F.col(text), v) for k, v in terms.items() if k not in words}
-    if words:
-        wanted = sorted({w for v in words.values() for w in v})
-        source = F.col(toks) if toks else W.tokens(F.col(text))
-        df = df.withColumn("_hits", F.filter(source, W.in_list(wanted)))
-        for k, v in words.items():
-            counts[k] = F.coalesce(F.size(F.filter("_hits", W.in_list(v))), F.lit(0)).cast("int")
-    return df.select(*[c for c in df.columns if c != "_hits"],
-                     *[counts[k].alias(f"{prefix}{k}") for k in terms])
+    df = df.withColumn("_hits", F.col(toks) if toks else W.known_words(F.col(text), *terms.values()))
+    return df.select(*[c for c in df.columns if c != "_hits"], *[
+        W.count_words(F.col(text), ts, F.col("_hits")).alias(f"{prefix}{k}") for k, ts in terms.items()])
 
 
 def aspect_mention_weight(df: DataFrame, text: str,
@@ -49,19 +40,22 @@ def annotate(df: DataFrame, text: str = "review", date: str = "date",
              topics: Mapping[str, Sequence[str]] = dims.TOPIC_TERMS) -> DataFrame:
     """All row-level columns of an annotated review in one lazy projection.
 
-    The text is cut into words once for all of them. Nothing is computed for columns that a
-    later query does not read.
+    The text is cut into words once for all of them, and only words of some dictionary are kept.
+    Nothing is computed for columns that a later query does not read.
     """
     body, toks = F.col(text), F.col("_toks")
-    df = topic_keyword_counts(df.withColumn("_toks", W.tokens(body)), text, topics, toks="_toks")
+    known = W.known_words(body, *topics.values(), dims.DEBIT_TERMS, dims.PREPAY_TERMS, dims.GAS_TERMS,
+                          dims.POWER_TERMS, L.FIXED_TERMS, L.VARIABLE_TERMS, dims.REASON_TERMS_SHORT,
+                          dims.CHANNELS)
+    df = topic_keyword_counts(df.withColumn("_toks", known), text, topics, toks="_toks")
     df = df.withColumns({
         "month": D.month_start(F.col(date)),
         "word_count": F.size(W.chunks(body)),
-        "payment_method": L.payment_method(body),
-        "fuel_type": L.fuel_type(body),
+        "payment_method": L.payment_method(body, toks=toks),
+        "fuel_type": L.fuel_type(body, toks=toks),
         "tariff_type": L.tariff_type(body, toks=toks),
         "switching": L.switching_stage(body),
-        "justification": L.flag(L.justification(body, dims.REASON_TERMS_SHORT)),
+        "justification": L.flag(L.justification(body, dims.REASON_TERMS_SHORT, toks)),
         "smart_meter_flag": L.smart_meter_flag(body),
         "promo_flag": L.promo_flag(body),
         "reg_ref_flag": L.regulatory_flag(body),

@@ -11,8 +11,8 @@ from voicegrid.plans.sources import DATE_TEXT_CTE, date_texts
 
 HOLED_CTE = V.REVIEWS_CTE + r""", holed AS (
   SELECT * REPLACE (CASE WHEN review_id % 9 = 0 THEN NULL ELSE company END AS company,
-                    CASE review_id % 7 WHEN 0 THEN NULL WHEN 1 THEN '   ' WHEN 2 THEN left(review, 14)
-                                       WHEN 3 THEN left(review, 15) ELSE review END AS review)
+                    CASE review_id % 7 WHEN 0 THEN NULL WHEN 1 THEN '   ' WHEN 2 THEN 'fourteen chars'
+                                       WHEN 3 THEN 'fifteen charact' ELSE review END AS review)
   FROM reviews)"""
 
 
@@ -20,7 +20,7 @@ def holed(spark, sf):
     """Reviews with missing companies and with missing, blank and very short texts."""
     k, t = F.col("review_id"), F.col("review")
     text = (F.when(k % 7 == 0, F.lit(None).cast("string")).when(k % 7 == 1, "   ")
-            .when(k % 7 == 2, F.left(t, F.lit(14))).when(k % 7 == 3, F.left(t, F.lit(15))).otherwise(t))
+            .when(k % 7 == 2, "fourteen chars").when(k % 7 == 3, "fifteen charact").otherwise(t))
     return V.reviews(spark, sf).withColumns({
         "company": F.when(k % 9 != 0, F.col("company")), "review": text})
 

@@ -129,14 +129,70 @@ def sentence_scoped_sentiment(spark, sf):
                                        dims.lexicon_dim(spark, V.LEXICON))
 
 
-@query("stem_vocabulary")
+def _cut(n):
+    return f"left(s, length(s) - {n})"
+
+
+def _is(stem, pattern):
+    return f"regexp_matches({stem}, '{pattern}')"
+
+
+def _suffix_rules(table, measure):
+    cases = " ".join(f"WHEN ends_with(s, '{x}') THEN CASE WHEN {_is(_cut(len(x)), measure)} THEN {_cut(len(x))} || '{new}' "
+                     "ELSE s END" for x, new in table)
+    return f"CASE {cases} ELSE s END"
+
+
+def _tidy(stem):
+    double = f"(length({stem}) > 1 AND right({stem}, 1) = left(right({stem}, 2), 1) AND NOT {_is(f'right({stem}, 1)', '[aeiouylsz]')})"
+    return (f"CASE WHEN {_is(stem, '(at|bl|iz)$')} THEN {stem} || 'e' WHEN {double} THEN left({stem}, length({stem}) - 1) "
+            f"WHEN {_is(stem, P.CVC)} THEN {stem} || 'e' ELSE {stem} END")
+
+
+STEM_STEPS = [
+    f"CASE WHEN ends_with(s, 'sses') OR ends_with(s, 'ies') THEN {_cut(2)} WHEN ends_with(s, 'ss') THEN s "
+    f"WHEN ends_with(s, 's') THEN {_cut(1)} ELSE s END",
+    f"CASE WHEN ends_with(s, 'eed') THEN CASE WHEN {_is(_cut(3), P.M_GT_0)} THEN {_cut(1)} ELSE s END "
+    f"WHEN ends_with(s, 'ed') AND {_is(_cut(2), P.HAS_VOWEL)} THEN {_tidy(_cut(2))} "
+    f"WHEN ends_with(s, 'ing') AND {_is(_cut(3), P.HAS_VOWEL)} THEN {_tidy(_cut(3))} ELSE s END",
+    f"CASE WHEN ends_with(s, 'y') AND {_is(_cut(1), P.HAS_VOWEL)} THEN {_cut(1)} || 'i' ELSE s END",
+    _suffix_rules(P.STEP_2, P.M_GT_0), _suffix_rules(P.STEP_3, P.M_GT_0),
+    "CASE " + " ".join(
+        f"WHEN ends_with(s, '{x}') THEN CASE WHEN {_is(_cut(len(x)), P.M_GT_1)}"
+        + (f" AND {_is(_cut(3), '[st]$')}" if x == "ion" else "") + f" THEN {_cut(len(x))} ELSE s END"
+        for x in P.STEP_4) + " ELSE s END",
+    f"CASE WHEN ends_with(s, 'e') AND ({_is(_cut(1), P.M_GT_1)} OR ({_is(_cut(1), P.M_EQ_1)} AND NOT {_is(_cut(1), P.CVC)})) "
+    f"THEN {_cut(1)} ELSE s END",
+    f"CASE WHEN ends_with(s, 'll') AND {_is('s', P.M_GT_1)} THEN {_cut(1)} ELSE s END",
+]
+
+
+def stem_ctes(source: str, out: str) -> str:
+    """The suffix steps as SQL, one query per step, over the ``word`` column of ``source``."""
+    ctes, prev = [], f"(SELECT word, word AS s FROM {source})"
+    for i, step in enumerate(STEM_STEPS):
+        ctes.append(f"{out}{i} AS (SELECT word, CASE WHEN length(word) > 2 THEN {step} ELSE s END AS s FROM {prev})")
+        prev = f"{out}{i}"
+    return ", ".join(ctes) + f", {out} AS (SELECT word, s AS stem FROM {prev})"
+
+
+VOCAB_CTE = V.ANN_CTE + r""", used AS (SELECT DISTINCT review_id, unnest(toks) AS word FROM ann),
+vocab AS (SELECT DISTINCT word FROM used WHERE regexp_matches(word, '^\p{L}+$')), """ + stem_ctes("vocab", "stems")
+STEM_KEYWORDS = {"motion": ["ation", "ationed", "tions"], "doing": ["ing", "inging"], "here": ["thered", "ores", "andly"]}
+
+
+@query("stem_vocabulary", f"WITH {VOCAB_CTE} SELECT word, stem FROM stems")
 def stem_vocabulary(spark, sf):
     return P.stem_vocabulary(V.text_reviews(spark, sf), "review")
 
 
-@query("stemmed_relevance")
+@query("stemmed_relevance", f"""WITH {VOCAB_CTE}, k(aspect, word) AS (VALUES {", ".join(
+    f"('{a}', '{w}')" for a, ws in STEM_KEYWORDS.items() for w in ws)}), {stem_ctes("k", "keys")},
+ks AS (SELECT DISTINCT aspect, stem FROM k JOIN keys USING (word))
+SELECT review_id, aspect, CAST(count(DISTINCT stem) AS INTEGER) AS relevance
+FROM used JOIN stems USING (word) JOIN ks USING (stem) GROUP BY ALL""")
 def stemmed_relevance(spark, sf):
-    keywords = dims.keyword_dim(spark, {"motion": ["ation", "ationed", "tions"], "doing": ["ing", "inging"]})
+    keywords = dims.keyword_dim(spark, STEM_KEYWORDS)
     return P.stemmed_relevance(V.text_reviews(spark, sf), "review_id", "review", keywords)
 
 

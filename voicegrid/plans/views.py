@@ -67,14 +67,16 @@ def scored(df: DataFrame) -> DataFrame:
 
 
 def annotated(spark: SparkSession, sf: str) -> DataFrame:
-    df = scored(text_reviews(spark, sf)).withColumn("_toks", W.tokens(F.col("review")))
+    known = W.known_words(F.col("review"), *TOPICS.values(), *ASPECTS.values(), DEBIT, PREPAY, GAS, POWER,
+                          FIXED, VARIABLE, REASONS, CHANNELS)
+    df = scored(text_reviews(spark, sf)).withColumn("_toks", known)
     body, toks = F.col("review"), F.col("_toks")
     df = A.topic_keyword_counts(df, "review", TOPICS, toks="_toks")
     df = A.aspect_mention_weight(df, "review", ASPECTS, toks="_toks")
     df = df.withColumns({
         "word_count": F.size(W.chunks(body)),
         "payment_method": L.payment_method(body, DEBIT, PREPAY, toks),
-        "fuel_type": L.fuel_type(body, BRAND, GAS, POWER),
+        "fuel_type": L.fuel_type(body, BRAND, GAS, POWER, toks),
         "tariff_type": L.tariff_type(body, FIXED, VARIABLE, toks),
         "switching": L.switching_stage(body, INTENT, OUTCOME),
         "justification": L.flag(L.justification(body, REASONS, toks)),
