@@ -47,6 +47,23 @@ def test_dedup_of_a_hot_text_moves_one_row_per_task(spark):
     assert C.dedup_exact_keep_first(hot, "review", "id").count() == 6667
 
 
+def test_canonical_spelling_is_the_first_seen(spark):
+    from voicegrid.operators.annotate import canonical_spelling, label_lookup
+    from voicegrid import dims
+    df = spark.createDataFrame([(3, "ACME "), (1, "Acme"), (2, "acme"), (4, None), (5, "Other")], "id int, company string")
+    got = {r.id: r.company for r in canonical_spelling(df, "company", "id").collect()}
+    assert got == {1: "Acme", 2: "Acme", 3: "Acme", 4: None, 5: "Other"}
+    shown = label_lookup(df, "company", dims.label_dim(spark, {"Other": "* Other"}), "label")
+    assert {r.id: r.label for r in shown.collect()} == {1: "Acme", 2: "acme", 3: "ACME ", 4: None, 5: "* Other"}
+
+
+def test_large_lookups_are_not_broadcast(spark):
+    from voicegrid.session import broadcast_if_small
+    dim = spark.range(50).toDF("k")
+    plan = lambda rows: spark.range(9).toDF("k").join(broadcast_if_small(dim, rows), "k")._jdf.queryExecution().analyzed().toString()
+    assert "broadcast" in plan(50).lower() and "broadcast" not in plan(49).lower()
+
+
 def test_quality_report_adds_up(rows):
     r = C.data_quality_report(rows, "date_text", "review").first()
     assert (r.loaded, r.invalid_date, r.too_short, r.kept) == (7, 2, 3, 2)

@@ -42,6 +42,16 @@ def test_rank_does_not_depend_on_partitioning(spark):
     assert one.exceptAll(many).count() == 0
 
 
+def test_empty_and_null_columns(spark):
+    empty = spark.createDataFrame([], "id bigint, a double, b double")
+    assert R.global_rank(empty, "a", "id").count() == 0
+    assert R.fixed_size_batches(empty.select("id"), "id", 10).count() == 0
+    nulls = spark.createDataFrame([(1, None, 2.0), (2, 5.0, 2.0)], "id bigint, a double, b double")
+    assert [(r.id, r["rank"]) for r in R.global_rank(nulls, "a", "id").collect()] == [(2, 1)]
+    got = {r.id: (r.a, r.b) for r in Q.average_ranks(nulls, "id", ["a", "b"]).collect()}
+    assert got == {1: (None, 1.5), 2: (1.0, 1.5)}
+
+
 def test_batches(spark):
     df = spark.createDataFrame([(i * 3,) for i in range(25)], "id bigint")
     got = [(r.batch, r.index_in_batch) for r in R.fixed_size_batches(df, "id", 10).orderBy("id").collect()]

@@ -82,11 +82,13 @@ def match_keys(df: DataFrame, *columns: str) -> DataFrame:
 def canonical_spelling(df: DataFrame, column: str, order: str, out: str | None = None) -> DataFrame:
     """Replace every spelling by the one first seen for its trimmed lower-case form.
 
-    The lookup has one row per distinct name and is built with map-side aggregation over two
-    columns. It is broadcast when it proves small, so rows of a hot name stay where they are.
+    Rows are first reduced to one per spelling, with fixed-width buffers that aggregate map-side;
+    the lookup then has one row per name. It is broadcast when it proves small, so rows of a hot
+    name stay where they are.
     """
     key = F.lower(F.trim(column))
-    first = df.groupBy(key.alias("_key")).agg(F.min_by(column, order).alias("_first"))
+    spellings = df.groupBy(key.alias("_key"), column).agg(F.min(order).alias("_at"))
+    first = spellings.groupBy("_key").agg(F.min_by(column, "_at").alias("_first"))
     return (df.withColumn("_key", key).join(broadcast_if_small(first), "_key", "left")
             .withColumn(out or column, F.col("_first")).drop("_key", "_first"))
 
