@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from voicegrid import dims
 from voicegrid.functions import scores as S, words as W
-from voicegrid.session import broadcast_if_small
 
 
 def token_set(df: DataFrame, text: str, out: str = "tokens") -> DataFrame:
@@ -178,12 +177,12 @@ def _ngrams(text: Column, n: int) -> Column:
 def language_tag(df: DataFrame, key: str, text: str, profiles: DataFrame, n: int = 3) -> DataFrame:
     """``(key, detected_lang, is_english)``; the profile with the largest summed share wins.
 
-    ``profiles`` holds a fixed number of rows per language; its size is counted before it is
-    broadcast, so pass a stored one. Scores of a review are summed map-side; text without any
+    ``profiles`` holds at most ``size`` rows for each language (see ``language_profiles``), some
+    thousands in all, and is broadcast. Scores of a review are summed map-side; text without any
     known n-gram is ``unknown``.
     """
     hits = (df.select(key, F.explode(_ngrams(F.col(text), n)).alias("gram"))
-            .join(broadcast_if_small(profiles), "gram"))
+            .join(F.broadcast(profiles), "gram"))
     scores = hits.groupBy(key, "lang").agg(F.bround(F.sum("share"), 9).alias("s"))
     best = scores.groupBy(key).agg(F.max(F.struct("s", F.col("lang"))).getField("lang").alias("lang"))
     return df.select(key).join(best, key, "left").select(

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from voicegrid.operators import correlate as Q
 from voicegrid.plans.registry import query
+from voicegrid.session import materialize
 from voicegrid.sources.reviews import read_table
 
 COLUMNS = ["l_quantity", "l_extendedprice", "l_discount"]
@@ -17,6 +18,11 @@ def items(spark, sf):
         *[F.max(c).alias(c) for c in COLUMNS])
 
 
+def stored_items(spark, sf):
+    """The same table stored once, for operators that rank every column and read it many times."""
+    return materialize(items(spark, sf))
+
+
 ITEMS_CTE = f"""items AS (SELECT l_orderkey * 1000 + l_linenumber AS item_id, {", ".join(f"max({c}) AS {c}" for c in COLUMNS)}
   FROM lineitem GROUP BY item_id)"""
 
@@ -42,13 +48,13 @@ def pearson_matrix(spark, sf):
 
 @query("spearman_matrix", f"WITH {RANKS_CTE} {SPEARMAN_SQL}")
 def spearman_matrix(spark, sf):
-    return Q.spearman_matrix(items(spark, sf), "item_id", COLUMNS)
+    return Q.spearman_matrix(stored_items(spark, sf), "item_id", COLUMNS)
 
 
 @query("column_ranks", f"WITH {ITEMS_CTE} " + each(
     "SELECT item_id, '@' AS series, row_number() OVER (ORDER BY @, item_id) AS rank FROM items", " UNION ALL "))
 def column_ranks(spark, sf):
-    return Q.column_ranks(items(spark, sf), "item_id", COLUMNS)
+    return Q.column_ranks(stored_items(spark, sf), "item_id", COLUMNS)
 
 
 MIX_CTE = ITEMS_CTE + ", mix AS (SELECT item_id, " + ", ".join(
@@ -67,8 +73,8 @@ SCORES_CTE = ITEMS_CTE + f""", scores AS (SELECT item_id, {", ".join(
     f"(item_id * {p}) % 1000003 AS {c}" for c, p in zip(COLUMNS, (7919, 104729, 15485863)))} FROM items)"""
 
 
-def scores(spark, sf):
-    return items(spark, sf).select("item_id", *[
+def scores(df):
+    return df.select("item_id", *[
         ((F.col("item_id") * p) % 1000003).alias(c) for c, p in zip(COLUMNS, (7919, 104729, 15485863))])
 
 
@@ -80,27 +86,27 @@ after AS (SELECT item_id, """ + each("@") + " FROM y_" + " JOIN y_".join(
     c if i == 0 else f"{c} USING (item_id)" for i, c in enumerate(COLUMNS)) + ")"
 
 
-def reordered(spark, sf):
-    return Q.rank_reorder(items(spark, sf), "item_id", COLUMNS, scores(spark, sf))
+def reordered(df):
+    return Q.rank_reorder(df, "item_id", COLUMNS, scores(df))
 
 
 @query("rank_reorder", f"WITH {REORDER_CTE} SELECT * FROM after")
 def rank_reorder(spark, sf):
-    return reordered(spark, sf)
+    return reordered(stored_items(spark, sf))
 
 
 @query("correlation_band", f"""WITH {RANKS_CTE}, m AS ({SPEARMAN_SQL})
 SELECT *, CASE WHEN corr > 0.5 THEN 'strong' WHEN corr > 0 THEN 'mild' WHEN corr < -0.5 THEN 'strong opposite'
                WHEN corr < 0 THEN 'mild opposite' ELSE 'independent' END AS band FROM m""")
 def correlation_band(spark, sf):
-    return Q.correlation_band(Q.spearman_matrix(items(spark, sf), "item_id", COLUMNS))
+    return Q.correlation_band(Q.spearman_matrix(stored_items(spark, sf), "item_id", COLUMNS))
 
 
 @query("matrix_gap", f"""WITH {RANKS_CTE}, s AS ({SPEARMAN_SQL}), p AS ({pairs(
     "SELECT '@a' AS col_a, '@b' AS col_b, round_even(corr(@a, @b), 6) AS corr FROM items")})
 SELECT round_even(max(abs(s.corr - p.corr)), 6) AS max_abs_gap FROM s JOIN p USING (col_a, col_b)""")
 def matrix_gap(spark, sf):
-    df = items(spark, sf)
+    df = stored_items(spark, sf)
     out = Q.matrix_gap(Q.spearman_matrix(df, "item_id", COLUMNS), Q.pearson_matrix(df, COLUMNS))
     return out.select(F.bround("max_abs_gap", 6).alias("max_abs_gap"))
 
@@ -114,7 +120,8 @@ CO_SQL = pairs(f"""SELECT '@a' AS col_a, '@b' AS col_b, round_even(b, 6) AS befo
 @query("co_exceedance", f"""WITH {REORDER_CTE},
 cuts AS (SELECT {each("quantile_cont(@, 0.9) AS q_@")} FROM after) {CO_SQL}""")
 def co_exceedance(spark, sf):
-    return Q.co_exceedance(items(spark, sf), reordered(spark, sf), COLUMNS)
+    df = stored_items(spark, sf)
+    return Q.co_exceedance(df, reordered(df), COLUMNS)
 
 
 @query("marginal_summary", f"WITH {ITEMS_CTE} " + each("""
