@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from voicegrid.llm.common import fresh, stored, with_columns_from_text
-from voicegrid.llm.text_features import Features, feature_arrays
+from voicegrid.llm.common import fresh, steps, stored, with_columns_from_text
+from voicegrid.llm.text_features import Features, distinct_terms, feature_arrays
 
 FEATURES = T.ArrayType(T.DoubleType(), False)
 SAMPLE = 20_000
@@ -16,20 +20,21 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def with_features(docs: DataFrame, text_col: str) -> tuple[DataFrame, str]:
-    """``docs`` with a column of features, and its name."""
+def with_features(docs: DataFrame, text_col: str, learned: np.ndarray | None = None) -> tuple[DataFrame, str]:
+    """``docs`` with a column of features, and its name. ``learned`` has hashes of terms found by ``telling_terms``."""
     name = fresh(docs, "features")
+    known = np.zeros(0, np.uint64) if learned is None else np.sort(learned)
 
     def make():
-        features = Features()
+        features = Features(learned=known)
         return lambda column: feature_arrays(features, column)
 
     return with_columns_from_text(docs, text_col, [T.StructField(name, FEATURES, False)], make), name
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, sample: int = SAMPLE,
-                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, y, features`` of at most ``sample`` labelled documents that aren't held out, stored.
+def training_texts(docs: DataFrame, labels: DataFrame, label: str, sample: int = SAMPLE,
+                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, y, text`` of at most ``sample`` labels' documents that aren't held out, stored.
 
     The sample is the labels with the smallest hashes. Null labels don't count; of a document with several
     labels the largest does.
@@ -38,5 +43,28 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, sample: int =
              .groupBy("doc_id").agg(F.max(label).cast("double").alias("y")))
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(some), "doc_id")
-    out, name = with_features(rows, "text")
-    return stored(out.select("doc_id", "y", F.col(name).alias("features")), "training")
+    return stored(rows.select("doc_id", "y", "text"), "training")
+
+
+def telling_terms(rows: DataFrame, least: int = 5, odds: float = 20.0, most: int = 20_000) -> np.ndarray:
+    """Hashes of words and word beginnings that tell rows with ``y`` = 1 from the others.
+
+    A term counts once per different text. It tells if at least ``least`` texts of label 1 have it, relatively
+    ``odds`` times as many as those of label 0. Of more than ``most``, those with the largest product of count
+    and logarithmic odds are taken.
+    """
+    texts = rows.filter("y IS NOT NULL").groupBy("text").agg(F.max("y").alias("y"))
+    of = {r["y"]: r["count"] for r in texts.groupBy("y").count().collect()}
+    ones, zeros = of.get(1.0, 0), sum(of.values()) - of.get(1.0, 0)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in steps(batch, "text"):
+                terms, docs = distinct_terms(part.column("text"))
+                yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), part.column("y").take(pa.array(docs))], ["term", "y"])
+
+    counts = texts.mapInArrow(work, "term bigint, y double").groupBy("term").agg(
+        F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b")).filter(F.col("a") >= least)
+    ratio = ((F.col("a") + 0.5) / (ones + 1)) / ((F.col("b") + 0.5) / (zeros + 1))
+    best = counts.filter(ratio >= odds).orderBy(F.desc(F.col("a") * F.log(ratio)), "term").limit(most)
+    return np.array([r["term"] for r in best.select("term").collect()], np.int64).view(np.uint64)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -62,14 +64,41 @@ def _near(hits: np.ndarray, others: np.ndarray, doc: np.ndarray, within: int) ->
     return out
 
 
+BEGINNINGS = (4, 5, 6)  # bytes of a word that are taken for its stem
+
+
+def term_hashes(words: B.Words, h: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hashes of the words themselves and of their beginnings, each with the words' positions."""
+    yield h, np.arange(len(h))
+    for size in BEGINNINGS:
+        at = np.flatnonzero(words.end - words.start > size)
+        start = words.start[at]
+        part = B.Words(words.data, start, start + size, words.doc[at], words.first)
+        yield B.mix(B.hashes(part) + np.uint64(size)), at
+
+
+def distinct_terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The different terms of each text, and the number of their text."""
+    raw, begins = text_buffers(column)
+    words = B.cut(B.LOWER[raw], begins, B.LETTER_OR_DIGIT)
+    found = [(h, words.doc[at]) for h, at in term_hashes(words, B.hashes(words))]
+    terms, docs = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+    order = np.lexsort((terms, docs))
+    terms, docs = terms[order], docs[order]
+    new = np.r_[True, (terms[1:] != terms[:-1]) | (docs[1:] != docs[:-1])] if len(terms) else np.zeros(0, bool)
+    return terms[new], docs[new]
+
+
 class Features:
     """``names`` and, called with a text array, a row of values for each text. Null and empty texts have zeros."""
 
     names = ["log_words", "word_length", "insults", "insult_kinds", "severe", "hidden_insults", "second_person", "insults_near_you",
              "capitals", "capital_words", "exclamations", "punctuation", "same_signs", "symbols", "digits", "mixed_words",
-             "same_words", "distinct_words", "function_words", "line_words", "distinct_lines", "lone_signs"]
+             "same_words", "distinct_words", "function_words", "line_words", "distinct_lines", "lone_signs",
+             "learned", "learned_kinds", "learned_near_you"]
 
-    def __init__(self, insults: list[str] = INSULTS, near: int = 5):
+    def __init__(self, insults: list[str] = INSULTS, near: int = 5, learned: np.ndarray | None = None):
+        self.learned = np.zeros(0, np.uint64) if learned is None else learned
         self.insults, self.severe = word_hashes(insults), word_hashes(SEVERE)
         self.you, self.function = word_hashes(SECOND_PERSON), word_hashes(FUNCTION_WORDS)
         self.near = near
@@ -105,6 +134,11 @@ class Features:
         plain = B.cut(_READ[raw[stay]], kept[begins], B.LETTER_OR_DIGIT)
         seen = per_doc(plain.doc[_among(B.hashes(plain), self.insults)])
         hits = per_doc(letters.doc[hit])
+        told = np.zeros(len(h), bool)
+        if len(self.learned):
+            for term, at in term_hashes(letters, h):
+                told[at[_among(term, self.learned)]] = True
+        told = np.flatnonzero(told)
         capital = (upper[letters.end] - upper[letters.start] >= 2) & (lower[letters.end] == lower[letters.start])
         mixed = (digit[letters.end] > digit[letters.start]) & (lower[letters.end] + upper[letters.end] > lower[letters.start] + upper[letters.start])
         sign = _PUNCT[raw]
@@ -125,6 +159,8 @@ class Features:
             per_text(digit) / size, per_doc(letters.doc[mixed]) / count, per_doc(letters.doc[again]) / count,
             kinds(h, letters.doc) / count, per_doc(letters.doc[_among(h, self.function)]) / count,
             np.log1p(letters.counts / some), kinds(B.hashes(lines), lines.doc) / some, per_doc(chunks.doc[lone]) / np.maximum(chunks.counts, 1),
+            per_doc(letters.doc[told]) / count, np.log1p(kinds(h[told], letters.doc[told])),
+            per_doc(letters.doc[told[_near(told, you, letters.doc, self.near)]]) / count,
         ], 1).astype(np.float64)
 
 

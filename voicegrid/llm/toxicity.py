@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame, functions as F
 
-from voicegrid.llm.common import fresh
-from voicegrid.llm.labelled import SAMPLE, held_out, training_rows, with_features
+from voicegrid.llm.common import fresh, stored
+from voicegrid.llm.labelled import SAMPLE, held_out, telling_terms, training_texts, with_features
 
 THRESHOLD = 0.3
 
@@ -21,25 +22,33 @@ class ToxicityModel:
 
     trees: GBTClassificationModel | None
     calibration: IsotonicRegressionModel | None
+    terms: np.ndarray | None
     constant: float = 0.0
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, rounds: int = 12,
                  depth: int = 3, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
-    """Fit on at most ``sample`` labelled documents outside the held-out quarter; a third of them calibrates."""
-    rows = training_rows(docs, labels, label, sample, id_col, text_col)
+    """Fit on at most ``sample`` labelled documents outside the held-out quarter.
+
+    They are dealt to three parts by a hash of the id: from the first, terms that toxic texts use are added
+    to the lexicon; on the second the trees are grown; the third calibrates them. So neither step is fitted
+    to rows that an earlier one has learned from.
+    """
+    rows = training_texts(docs, labels, label, sample, id_col, text_col)
     share = rows.agg(F.avg("y"), F.count(F.lit(1))).first()
     if not share[1] or share[0] in (0.0, 1.0):
-        return ToxicityModel(None, None, share[0] or 0.0)
-    rows = rows.select("doc_id", "y", array_to_vector("features").alias("features"))
-    apart = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(3)) == 0
-    grow, check = rows.filter(~apart), rows.filter(apart)
+        return ToxicityModel(None, None, None, share[0] or 0.0)
+    part = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(3))
+    terms = telling_terms(rows.filter(part == 0))
+    out, features = with_features(rows, "text", terms)
+    rows = stored(out.select("doc_id", "y", F.col(features).alias("values")), "features").withColumn("features", array_to_vector("values"))
+    grow, check = rows.filter(part == 1), rows.filter(part == 2)
     if grow.select("y").distinct().count() < 2 or check.select("y").distinct().count() < 2:
         grow = check = rows
     trees = GBTClassifier(featuresCol="features", labelCol="y", maxIter=rounds, maxDepth=depth, stepSize=0.3, seed=1).fit(grow)
     raw = trees.transform(check).select("y", vector_to_array("probability")[1].alias("raw"))
     calibration = IsotonicRegression(featuresCol="raw", labelCol="y", predictionCol="score").fit(raw)
-    return ToxicityModel(trees, calibration)
+    return ToxicityModel(trees, calibration, terms)
 
 
 def toxicity_scores(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> tuple[DataFrame, str]:
@@ -48,7 +57,7 @@ def toxicity_scores(docs: DataFrame, model: ToxicityModel, text_col: str = "text
     name = fresh(docs, "score")
     if model.trees is None:
         return docs.withColumn(name, F.lit(float(model.constant))), name
-    out, features = with_features(docs, text_col)
+    out, features = with_features(docs, text_col, model.terms)
     vector, raw, p, guess, one = (fresh(out, x) for x in ("vector", "raw", "p", "guess", "one"))
     trees = model.trees.copy().setFeaturesCol(vector).setRawPredictionCol(raw).setProbabilityCol(p).setPredictionCol(guess)
     scored = trees.transform(out.withColumn(vector, array_to_vector(features)))
