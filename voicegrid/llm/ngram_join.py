@@ -21,17 +21,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from voicegrid.llm import bytewords as B
-from voicegrid.llm.common import binaries, lookup, steps, stored, text_buffers
+from voicegrid.llm.common import BROADCAST_ROWS, binaries, lookup, steps, stored, text_buffers
 
 PERCENT = 80
 NGRAM = 5
 FLUSH = 1_000_000  # n-grams that a task holds before it passes them on
 HOT_SHARE = 200  # an n-gram in over 1/HOT_SHARE of all rows is counted apart
-PARTS = 16  # parts of the n-gram hashes for the suffix filter
-ROUNDS = 4  # rounds with representatives before the pairs that are left are compared
+WORDS = 8  # 64-bit words of the suffix filter: as many bits as parts of the n-gram hashes
+ROUNDS = 3  # rounds with representatives before the pairs that are left are compared
 
 _U = np.uint64
-_DIGEST = np.dtype("S16")
 
 
 def ngram_sets(column: pa.Array, n: int = NGRAM) -> tuple[np.ndarray, np.ndarray]:
@@ -213,9 +212,9 @@ def _least_overlap(n: Column, m: Column, percent: int) -> Column:
 
 
 def _candidates_of_class(shared: DataFrame, percent: int) -> DataFrame:
-    """``class, n, alone, grams, parts``: classes with shared n-grams in their prefix; all their shared
-    n-grams, rarest first, and how many of them lie in each part of the hashes."""
-    schema = "class binary, n bigint, alone bigint, grams binary, parts binary"
+    """``class, n, alone, grams, parity``: classes with shared n-grams in their prefix; all their shared
+    n-grams, rarest first, and for each part of the hashes whether it holds an odd number of them."""
+    schema = "class binary, n bigint, alone bigint, grams binary, parity array<bigint>"
 
     def finish(name: bytes, n: int, grams: list[bytes], counts: list[bytes]) -> tuple | None:
         g, c = np.frombuffer(b"".join(grams), _U), np.frombuffer(b"".join(counts), np.uint32)
@@ -227,16 +226,16 @@ def _candidates_of_class(shared: DataFrame, percent: int) -> DataFrame:
         prefix = n - -(-percent * n // 100) + 1
         if alone >= prefix:
             return None
-        parts = np.bincount((g >> _U(60)).astype(np.int64), minlength=PARTS).astype(np.uint32)
-        return name, n, alone, g.tobytes(), parts.tobytes()
+        odd = np.bincount((g >> _U(40)).astype(np.int64) % (64 * WORDS), minlength=64 * WORDS).astype(np.uint8) & 1
+        return name, n, alone, g.tobytes(), np.packbits(odd).view(np.int64).tolist()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, n, grams, counts, out, size = None, 0, [], [], [], 0
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)],
-                                              ["class", "n", "alone", "grams", "parts"])
+                                              ["class", "n", "alone", "grams", "parity"])
 
         for batch in batches:
             for c, m, g, s in zip(*(batch.column(x).to_pylist() for x in ("class", "n", "grams", "counts")), strict=True):
@@ -259,7 +258,7 @@ def _candidates_of_class(shared: DataFrame, percent: int) -> DataFrame:
 
 
 def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """``gram, class, n, alone, at``: the shared n-grams of each prefix and their position in the whole order."""
+    """``gram, k, n, alone, at``: the shared n-grams of each prefix, and how many shared ones stand before."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, alone = batch.column("n").to_numpy(), batch.column("alone").to_numpy()
@@ -267,54 +266,60 @@ def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
             found = [np.frombuffer(g, _U)[:k] for g, k in zip(batch.column("grams").to_pylist(), size, strict=True)]
             took = np.array([len(f) for f in found], np.int64)
             of = pa.array(np.repeat(np.arange(len(found)), took))
-            first = np.repeat(np.cumsum(took) - took, took)
-            at = np.arange(int(took.sum())) - first + np.repeat(alone, took)
+            at = np.arange(int(took.sum())) - np.repeat(np.cumsum(took) - took, took)
             grams = np.concatenate(found) if found else np.zeros(0, _U)
-            yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), batch.column("class").take(of), batch.column("n").take(of),
-                                              batch.column("alone").take(of), pa.array(at, pa.int64())],
-                                             ["gram", "class", "n", "alone", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), *(batch.column(c).take(of) for c in ("k", "n", "alone")),
+                                              pa.array(at, pa.int64())], ["gram", "k", "n", "alone", "at"])
 
-    return sets.mapInArrow(work, "gram bigint, class binary, n bigint, alone bigint, at bigint")
+    return sets.select("k", "n", "alone", "grams").mapInArrow(work, "gram bigint, k bigint, n bigint, alone bigint, at bigint")
 
 
 def _may_link(percent: int) -> Column:
-    """Length and positional filter for the pair (x, y): what the sets could still share from here on."""
-    x_n, x_at, y_n, y_at = (F.col(c) for c in ("n", "at", "y_n", "y_at"))
-    rest = F.least(x_n - x_at, y_n - y_at) + F.least(x_at, y_at)
+    """Length and positional filter for the pair (x, y) with a common n-gram. N-grams that a class has alone
+    come first in its order and are never shared, so only those after them count."""
+    x_n, y_n, x_at, y_at = (F.col(c) for c in ("n", "y_n", "at", "y_at"))
+    x_shared, y_shared = F.col("n") - F.col("alone"), F.col("y_n") - F.col("y_alone")
+    overlap = F.least(x_at, y_at) + F.least(x_shared - x_at, y_shared - y_at)
     return ((F.least(x_n, y_n) * 100 >= F.greatest(x_n, y_n) * percent)
-            & (rest >= _least_overlap(x_n, y_n, percent)))
+            & (overlap >= _least_overlap(x_n, y_n, percent)))
+
+
+def _suffix_filter(percent: int) -> Column:
+    """What can still be common when each part of the hashes with an odd number on one side alone holds a difference."""
+    apart = sum((F.bit_count(F.col("parity")[w].bitwiseXOR(F.col("y_parity")[w])) for w in range(WORDS)), F.lit(0))
+    shared = F.col("n") - F.col("alone") + F.col("y_n") - F.col("y_alone")
+    return shared - apart >= 2 * _least_overlap(F.col("n"), F.col("y_n"), percent)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (``class``, ``other``) that link. The suffix filter compares how many n-grams lie in each
-    part of the hashes, then the n-grams themselves are intersected."""
-    one = sets.select("class", "n", "grams", "parts")
-    two = sets.select(F.col("class").alias("other"), F.col("n").alias("m"), F.col("grams").alias("other_grams"), F.col("parts").alias("other_parts"))
-    both = pairs.join(one, "class").join(two, "other")
+    """The pairs (``k``, ``y``) that link, by intersecting their n-grams. Only sets that pairs name are moved."""
+    few = pairs.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    one = sets.select("k", "n", "grams")
+    two = sets.select(F.col("k").alias("y"), F.col("n").alias("m"), F.col("grams").alias("other"))
+    if few:
+        two = two.join(F.broadcast(pairs.select("y").distinct()), "y", "left_semi")
+    both = one.join(F.broadcast(pairs) if few else pairs, "k").join(two, "y")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, m = batch.column("n").to_numpy(), batch.column("m").to_numpy()
             least = -(-percent * (n + m) // (100 + percent))
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, PARTS) for c in ("parts", "other_parts"))
-            ok = np.minimum(a, b).sum(1) >= least
-            x, y = batch.column("grams"), batch.column("other_grams")
-            for k in np.flatnonzero(ok):
-                s, t = (np.frombuffer(c[int(k)].as_buffer(), _U) for c in (x, y))
-                ok[k] = len(np.intersect1d(s, t, assume_unique=True)) >= least[k]
-            keep = pa.array(ok)
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("class", "other")], ["class", "other"])
+            x, y = batch.column("grams"), batch.column("other")
+            ok = [len(np.intersect1d(np.frombuffer(x[k].as_buffer(), _U), np.frombuffer(y[k].as_buffer(), _U), assume_unique=True)) >= least[k]
+                  for k in range(len(n))]
+            keep = pa.array(ok, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("k", "y")], ["k", "y"])
 
-    return both.mapInArrow(work, "class binary, other binary")
+    return both.mapInArrow(work, "k bigint, y bigint")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """``node, root``: the smallest node of each node's component, for all nodes of the links (``class``, ``other``).
+    """``node, root``: the smallest node of each node's component, for all nodes of the links (``k``, ``y``).
 
     Every node is merged into the smallest of its neighbours and itself until no link is left; a round
     at least halves the nodes that have links. Rounds are stored, and only counts reach the driver.
     """
-    edges = stored(links.select(F.col("class").alias("a"), F.col("other").alias("b")).filter("a != b").distinct(), "links")
+    edges = stored(links.select(F.col("k").alias("a"), F.col("y").alias("b")).filter("a != b").distinct(), "links")
     roots = None
     while True:
         ends = edges.select("a", "b").union(edges.select("b", "a"))
@@ -330,40 +335,44 @@ def components(links: DataFrame) -> DataFrame:
             return roots
 
 
-def _links(sets: DataFrame, percent: int) -> DataFrame | None:
-    """``node, root`` of all classes that link with another one."""
+def _links(sets: DataFrame, percent: int) -> DataFrame:
+    """``node, root`` of all sets (numbered ``k``) that link with another one."""
     index = stored(_prefixes(sets, percent), "prefixes")
-    spark = sets.sparkSession
-    links = spark.createDataFrame([], "class binary, other binary")
-    roots = spark.createDataFrame([], "node binary, root binary")
+    spark, size = sets.sparkSession, index.count()
+    parity = sets.select("k", "parity")
+    links = spark.createDataFrame([], "k bigint, y bigint")
+    roots = spark.createDataFrame([], "node bigint, root bigint")
+    other = {"y": "k", "y_n": "n", "y_alone": "alone", "y_at": "at", "y_root": "root"}
+    found = tried = 1
     for number in range(ROUNDS + 1):
-        # From each n-gram's classes, those in more than one component so far; classes not linked stand for themselves.
-        named = index.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-        order = F.col("alone") / F.col("n") if number == 0 else F.xxhash64("class", F.lit(number))
-        one = F.struct(order.alias("rank"), F.col("class").alias("y"), F.col("n").alias("y_n"), F.col("at").alias("y_at"), F.col("root").alias("y_root"))
+        # Of each n-gram's sets, those in more than one component so far; a set without links stands for itself.
+        named = index.join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k")) if number else index.withColumn("root", F.col("k"))
+        order = F.col("alone") / F.col("n") if number == 0 else F.xxhash64("k", F.lit(number))
+        one = F.struct(order.alias("rank"), *(F.col(c).alias(name) for name, c in other.items()))
         by_root = named.groupBy("gram", "root").agg(F.min(one).alias("y"), F.count(F.lit(1)).alias("c"))
         best = (by_root.groupBy("gram").agg(F.min("y").alias("y"), F.count(F.lit(1)).alias("roots"), F.sum("c").alias("copies"),
                                             F.max(F.struct("c", "root")).alias("most"))
-                .filter("roots > 1").select("gram", "copies", "y.y", "y.y_n", "y.y_at", "y.y_root",
+                .filter("roots > 1").select("gram", "copies", *(f"y.{c}" for c in other),
                                             F.col("most.root").alias("main"), F.col("most.c").alias("main_size")))
         best = stored(best, "representatives")
         left = best.agg(F.sum(F.col("copies") * (F.col("copies") - F.col("main_size")))).first()[0]
         if not left:
             break
-        named = stored(named, "named")
-        last = number == ROUNDS or left <= 8 * index.count()
+        last = number == ROUNDS or left <= 8 * size or found * 20 < tried
         if last:
-            # All pairs of an n-gram's classes that aren't connected: one of the two is outside its largest component.
+            # All pairs of an n-gram's sets that aren't connected: one of the two is outside its largest component.
             live = lookup(named, best.select("gram", "copies", "main"), ["gram"], "copies").filter("copies IS NOT NULL")
-            live = stored(live, "live")
-            other = live.select("gram", F.col("class").alias("y"), F.col("n").alias("y_n"), F.col("at").alias("y_at"), F.col("root").alias("y_root"))
-            met = live.filter("root != main").join(other, "gram")
+            live = stored(live.join(parity, "k"), "live")
+            met = live.filter("root != main").join(live.select("gram", *(F.col(c).alias(name) for name, c in (other | {"y_parity": "parity"}).items())), "gram")
         else:
             met = lookup(named, best, ["gram"], "copies").filter("y IS NOT NULL")
-        pairs = (met.filter("root != y_root").filter(_may_link(percent))
-                 .select(F.least("class", "y").alias("class"), F.greatest("class", "y").alias("other")).distinct())
-        fresh_links = stored(_verified(pairs, sets, percent), "verified")
-        links = stored(links.union(fresh_links), "links")
+        pairs = met.filter(_may_link(percent) & (F.col("root") != F.col("y_root")))
+        if last:
+            pairs = pairs.filter(_suffix_filter(percent))
+        pairs = stored(pairs.select(F.least("k", "y").alias("k"), F.greatest("k", "y").alias("y")).distinct(), "pairs")
+        new = stored(_verified(pairs, sets, percent), "verified")
+        found, tried = new.count(), pairs.count()
+        links = stored(links.union(new), "links")
         roots = components(links)
         if last:
             break
@@ -389,13 +398,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     spark = docs.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(totals[1] or 0) // (4 * FLUSH)))
     grams = _gram_rows(rows, "text", np.array(sorted(hot), np.int64).view(_U), parts)
-    sets = stored(_candidates_of_class(_shared_grams(grams, hot), percent), "sets")
-    roots = _links(sets, percent)
+    sets = stored(_candidates_of_class(_shared_grams(grams, hot), percent).withColumn("k", F.monotonically_increasing_id()), "sets")
+    roots = _links(sets, percent).join(sets.select(F.col("k").alias("node"), "class"), "node").select("class", "root")
     classes = known.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies"))
-    named = classes.join(roots.withColumnRenamed("node", "class"), "class", "left").filter("copies > 1 OR root IS NOT NULL")
-    named = stored(named.withColumn("root", F.coalesce("root", "class")), "classes")
-    lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    table = stored(named.join(lows, "root").select("class", "copies", "component_id"), "named")
+    named = stored(classes.join(roots, "class", "left").filter("copies > 1 OR root IS NOT NULL"), "classes")
+    lows = named.filter("root IS NOT NULL").groupBy("root").agg(F.min("low").alias("component_id"))
+    table = named.join(lows, "root", "left").select("class", "copies", F.coalesce("component_id", "low").alias("component_id"))
+    table = stored(table, "named")
     return lookup(known, table, ["class"], "copies").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
