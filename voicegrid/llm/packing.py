@@ -110,24 +110,22 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 2,
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
     dealt = T.StructType([field("group", T.LongType()), rows.schema["doc_id"], field("start", T.LongType()),
                           field("doc_tokens", T.LongType()), field("ids", T.BinaryType())])
-    end = np.array([end_id], "<u4").tobytes()
-
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, seen = WordTokenizer(tokenizer).encode, Counter()
+        words, seen = WordTokenizer(tokenizer), Counter()
+        tokens, end = words.encode, np.array([end_id], words.type).tobytes()
         for batch in batches:
             for part in steps(batch, "text"):
                 out: tuple[list, ...] = ([], [], [], [])
                 at = []
                 for row, text in enumerate(part.column("text").cast(pa.binary()).to_pylist()):
                     ids = tokens(text) + end
-                    n, crc = len(ids) // 4, zlib.crc32(ids)
-                    narrow = np.frombuffer(ids, "<u4")
-                    narrow = narrow.astype("<u2") if narrow.max() < 1 << 16 else narrow
+                    width = words.type.itemsize
+                    n, crc = len(ids) // width, zlib.crc32(ids)
                     seen[crc] += 1
                     for start in range(0, n, capacity):
                         key = crc * 0x9E3779B97F4A7C15 + (seen[crc] << 20) + start // capacity
                         key = (key ^ (key >> 29)) * 0xBF58476D1CE4E5B9 & (1 << 64) - 1
-                        for x, v in zip(out, ((key >> 17) % groups, start, n, narrow[start:start + capacity].tobytes()), strict=True):
+                        for x, v in zip(out, ((key >> 17) % groups, start, n, ids[width * start:width * (start + capacity)]), strict=True):
                             x.append(v)
                         at.append(row)
                 yield pa.RecordBatch.from_arrays(

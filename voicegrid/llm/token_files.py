@@ -39,17 +39,16 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     schema = T.StructType([ordered.schema["doc_id"], T.StructField("part", T.IntegerType()),
                            T.StructField("begin", T.LongType()), T.StructField("n_tokens", T.LongType()),
                            T.StructField("ids", ids_type)])
-    end = np.array([end_id], "<u4").tobytes()
-
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, before = WordTokenizer(tokenizer).encode, 0
+        words, before = WordTokenizer(tokenizer), 0
+        encode, end = words.encode, np.array([end_id], words.type).tobytes()
         for batch in batches:
             for part in steps(batch, "text"):
                 found = [encode(t) + end for t in part.column("text").cast(pa.binary()).to_pylist()]
-                sizes = np.array([len(x) // 4 for x in found], np.int64)
+                sizes = np.array([len(x) // words.type.itemsize for x in found], np.int64)
                 ends = np.cumsum(sizes)
                 ids = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)),
-                                               pa.array(np.frombuffer(b"".join(found), np.int32)))
+                                               pa.array(np.frombuffer(b"".join(found), words.type).astype(np.int32)))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("part"), pa.array(before + ends - sizes), pa.array(sizes), ids],
                     schema.names)

@@ -1,20 +1,26 @@
-"""Exact token ids of a public word-level BPE tokenizer, with the ids of each distinct chunk kept.
+"""Exact token ids of a public word-level BPE tokenizer, with the ids of each distinct word kept.
 
-The tokenizer cuts at white space and encodes what stands between by itself. So the ids of each chunk
-between ASCII white space are computed once per task and looked up afterwards.
+The tokenizer cuts at white space and into words, and encodes each word by itself. So chunks between ASCII
+white space are looked up, chunks that are new are put together from their words, and only new words are
+encoded. Memory is bounded: the tables are emptied when they are full.
 """
 
 from __future__ import annotations
 
+import re
 from array import array
 
-import regex
+import numpy as np
 
-# The word pattern that the tokenizer file names, for chunks after lower-casing.
-WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-# Characters that no normaliser changes but for simple case: such chunks skip the library's normaliser.
-PLAIN = regex.compile("[\x21-\x7e\xa1-\xac\xae-ıĴ-ķĹ-ſ]*")
-KEPT_CHUNKS = 800_000
+# Characters beyond ASCII that the tokenizer's normaliser changes in simple case only. All but two are letters.
+_LATIN = "\xc0-\u012f\u0131\u0134-\u017f"
+PLAIN = re.compile(f"[\x21-\x7e\xa1-\xac\xae-\xbf{_LATIN}]*")
+# The word pattern that the tokenizer file names, for such characters after lower-casing.
+_LETTER = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u012f\u0131\u0134-\u017f"
+_NUMBER = "0-9\xb2\xb3\xb9\xbc-\xbe"
+WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^\\s{_LETTER}{_NUMBER}]+")
+KEPT_CHUNKS = 900_000
+LONG_CHUNK = 10  # bytes; longer chunks that aren't plain words are put together again each time
 
 
 def _byte_characters() -> str:
@@ -28,24 +34,32 @@ BYTE_CHARACTERS = dict(enumerate(_byte_characters()))
 
 
 class _Kept(dict):
-    """Chunk to its ids as little-endian unsigned 32-bit bytes."""
+    """Chunk to its ids, packed."""
 
     def __init__(self, library):
         super().__init__()
         self.library, self.pieces = library, library.model.tokenize
+        self.code = "H" if library.get_vocab_size() <= 1 << 16 else "I"
+
+    def word(self, word: str) -> bytes:
+        shown = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_CHARACTERS)
+        return array(self.code, [p.id for p in self.pieces(shown)]).tobytes()
 
     def __missing__(self, chunk: bytes) -> bytes:
         if len(self) >= KEPT_CHUNKS:
             self.clear()
-        text = chunk.decode()
-        if b"<|" in chunk or not PLAIN.fullmatch(text):
-            ids = self.library.encode(text, add_special_tokens=False).ids
+        text, keep = chunk.decode(), True
+        if b"<|" in chunk or not (text.isascii() and text.isprintable() or PLAIN.fullmatch(text)):
+            packed = array(self.code, self.library.encode(text, add_special_tokens=False).ids).tobytes()
         else:
-            ids = []
-            for word in WORD.findall(text.lower()):
-                shown = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_CHARACTERS)
-                ids.extend([p.id for p in self.pieces(shown)])
-        self[chunk] = packed = array("I", ids).tobytes()
+            words = WORD.findall(text.lower())
+            if len(words) == 1 and words[0] == text:
+                packed = self.word(text)
+            else:
+                packed = b"".join([self[w.encode()] if w != text else self.word(w) for w in words])
+                keep = len(chunk) <= LONG_CHUNK
+        if keep:
+            self[chunk] = packed
         return packed
 
 
@@ -56,9 +70,10 @@ class WordTokenizer:
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_file(path)
         self.kept = _Kept(self.library)
+        self.type = np.dtype("<u2" if self.kept.code == "H" else "<u4")
 
     def encode(self, text: bytes | None) -> bytes:
-        """The ids of a UTF-8 text, as little-endian unsigned 32-bit bytes; null counts as empty."""
+        """The ids of a UTF-8 text, packed as ``type``; null counts as empty."""
         return b"".join(map(self.kept.__getitem__, text.split())) if text else b""
 
 
