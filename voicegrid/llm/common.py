@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from voicegrid.session import work_dir
 
 # Bytes of text that one vectorised step holds at once (a longer single text is one step of its own).
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
 # A key is heavy when it holds at least 1/HEAVY_SHARE of the rows, so there are at most HEAVY_SHARE heavy keys.
 HEAVY_SHARE = 1000
 # Rows of fixed width that may be broadcast after they have been counted.

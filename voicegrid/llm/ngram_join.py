@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from voicegrid.llm import bytewords as B
@@ -163,25 +164,36 @@ def _gram_rows(docs: DataFrame, text: str, hot: np.ndarray, parts: int) -> DataF
     return docs.select(text).mapInArrow(work, schema)
 
 
-def _shared_grams(rows: DataFrame, hot: dict[int, int]) -> DataFrame:
-    """``class, n, grams, counts``: of each class and part, the n-grams that more than one class has."""
+def _numbered(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For entries that name classes: a number for each different class, and an entry of each number's class."""
+    halves = np.ascontiguousarray(names).view(_U).reshape(-1, 2)
+    order = np.lexsort((halves[:, 1], halves[:, 0]))
+    new = np.r_[True, (halves[order][1:] != halves[order][:-1]).any(1)] if len(order) else np.zeros(0, bool)
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return number, order[new]
+
+
+def _columns(table: pa.Table, kinds: dict[str, type]) -> list[np.ndarray]:
+    return [np.frombuffer(b"".join(table.column(c).to_pylist()), k) for c, k in kinds.items()]
+
+
+_NAME = np.dtype("V16")
+
+
+def _shared_grams(rows: DataFrame, hot: dict[int, int], parts: int) -> DataFrame:
+    """``part, classes, sizes, counts, grams, seen``: the n-grams that more than one class has, dealt to
+    ``parts`` by class; one row for each pair of parts."""
     known = rows.sparkSession.sparkContext.broadcast(hot)
 
     def work(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
         out: list[tuple] = []
         for is_hot in (False, True):
-            rows = table.filter(pa.compute.equal(table.column("hot"), is_hot))
-            if not rows.num_rows:
+            mine = table.filter(pc.equal(table.column("hot"), is_hot))
+            if not mine.num_rows:
                 continue
-            names, sizes, counts, grams = (np.frombuffer(b"".join(rows.column(c).to_pylist()), k) for c, k in (
-                ("classes", np.dtype("V16")), ("sizes", np.uint32), ("counts", np.uint32), ("grams", _U)))
-            halves = np.ascontiguousarray(names).view(_U).reshape(-1, 2)
-            order = np.lexsort((halves[:, 1], halves[:, 0]))
-            new = np.r_[True, (halves[order][1:] != halves[order][:-1]).any(1)]
-            number = np.empty(len(names), np.int64)
-            number[order] = np.cumsum(new) - 1
-            some = order[new]  # an entry of each class
+            names, sizes, counts, grams = _columns(mine, {"classes": _NAME, "sizes": np.uint32, "counts": np.uint32, "grams": _U})
+            number, entry = _numbered(names)
             of = np.repeat(number, counts)
             order = np.lexsort((of, grams))
             grams, of = grams[order], of[order]
@@ -193,17 +205,23 @@ def _shared_grams(rows: DataFrame, hot: dict[int, int]) -> DataFrame:
                 edges = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]])
                 seen = np.repeat(times := np.diff(np.r_[edges, len(grams)]), times)
                 grams, of, seen = grams[seen > 1], of[seen > 1], seen[seen > 1]
-            order = np.argsort(of, kind="stable")
-            grams, of, seen = grams[order], of[order], seen[order]
-            edges = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else []
-            for a, b in zip(edges, np.r_[edges[1:], len(of)].astype(int) if len(of) else [], strict=True):
-                k = some[of[a]]
-                out.append((names[k].tobytes(), int(sizes[k]), grams[a:b].tobytes(), seen[a:b].astype(np.uint32).tobytes()))
-        columns = list(zip(*out, strict=True)) or [()] * 4
-        return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.binary(), pa.int64(), pa.binary(), pa.binary()), strict=True)],
-                        ["class", "n", "grams", "counts"])
-
-    return rows.groupBy("part").applyInArrow(work, "class binary, n bigint, grams binary, counts binary")
+            part = names[entry].view(_U).reshape(-1, 2)[:, 1] % _U(parts)
+            order = np.lexsort((of, part[of]))
+            grams, of, seen = grams[order], of[order], np.minimum(seen[order], (1 << 32) - 1).astype(np.uint32)
+            new = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.zeros(0, np.int64)
+            each, ends = of[new], np.r_[new, len(of)]
+            for p in np.unique(part[each]):
+                k = np.flatnonzero(part[each] == p)
+                low, high = ends[k[0]], ends[k[-1] + 1]
+                at = entry[each[k]]
+                out.append((int(p), names[at].tobytes(), sizes[at].tobytes(), np.diff(ends)[k].astype(np.uint32).tobytes(),
+                            grams[low:high].tobytes(), seen[low:high].tobytes()))
+        columns = list(zip(*out, strict=True)) or [()] * 6
+        return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.int32(), *[pa.binary()] * 5), strict=True)],
+                        ["part", "classes", "sizes", "counts", "grams", "seen"])
+
+    schema = "part int, classes binary, sizes binary, counts binary, grams binary, seen binary"
+    return rows.groupBy("part").applyInArrow(work, schema)
 
 
 def _least_overlap(n: Column, m: Column, percent: int) -> Column:
@@ -216,45 +234,31 @@ def _candidates_of_class(shared: DataFrame, percent: int) -> DataFrame:
     n-grams, rarest first, and for each part of the hashes whether it holds an odd number of them."""
     schema = "class binary, n bigint, alone bigint, grams binary, parity array<bigint>"
 
-    def finish(name: bytes, n: int, grams: list[bytes], counts: list[bytes]) -> tuple | None:
-        g, c = np.frombuffer(b"".join(grams), _U), np.frombuffer(b"".join(counts), np.uint32)
-        order = np.lexsort((g, c))
-        g = g[order]
-        if len(g) > 1:
-            g = g[np.r_[True, g[1:] != g[:-1]]]  # a hot one may come from several tasks
-        alone = n - len(g)
-        prefix = n - -(-percent * n // 100) + 1
-        if alone >= prefix:
-            return None
-        odd = np.bincount((g >> _U(40)).astype(np.int64) % (64 * WORDS), minlength=64 * WORDS).astype(np.uint8) & 1
-        return name, n, alone, g.tobytes(), np.packbits(odd).view(np.int64).tolist()
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, n, grams, counts, out, size = None, 0, [], [], [], 0
-
-        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)],
-                                              ["class", "n", "alone", "grams", "parity"])
-
-        for batch in batches:
-            for c, m, g, s in zip(*(batch.column(x).to_pylist() for x in ("class", "n", "grams", "counts")), strict=True):
-                if c != name:
-                    if name is not None and (row := finish(name, n, grams, counts)):
-                        out.append(row)
-                        size += len(row[3])
-                    name, n, grams, counts = c, m, [], []
-                grams.append(g)
-                counts.append(s)
-            if size > 4 << 20:
-                yield batch_of(out)
-                out, size = [], 0
-        if name is not None and (row := finish(name, n, grams, counts)):
-            out.append(row)
-        if out:
-            yield batch_of(out)
-
-    return shared.repartition("class").sortWithinPartitions("class").mapInArrow(work, schema)
+    def work(table: pa.Table) -> pa.Table:
+        names, sizes, counts, grams, seen = _columns(
+            table, {"classes": _NAME, "sizes": np.uint32, "counts": np.uint32, "grams": _U, "seen": np.uint32})
+        number, entry = _numbered(names)
+        of = np.repeat(number, counts)
+        order = np.lexsort((grams, seen, of))
+        grams, of = grams[order], of[order]
+        keep = np.r_[True, (grams[1:] != grams[:-1]) | (of[1:] != of[:-1])]  # a hot one may come from several tasks
+        grams, of = grams[keep], of[keep]
+        n, shared = sizes[entry].astype(np.int64), np.bincount(of, minlength=len(entry))
+        stay = n - shared < n - -(-percent * n // 100) + 1
+        grams, of = grams[stay[of]], of[stay[of]]
+        entry, n, shared = entry[stay], n[stay], shared[stay]
+        first = np.cumsum(shared) - shared
+        bit = (grams >> _U(40)) % _U(64 * WORDS)
+        parity = np.zeros((len(n), WORDS), _U)
+        for w in range(WORDS if len(n) else 0):
+            mine = np.where(bit // _U(64) == w, _U(1) << bit % _U(64), _U(0))
+            parity[:, w] = np.bitwise_xor.reduceat(mine, first)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * WORDS), pa.array(parity.view(np.int64).reshape(-1)))
+        halves = names[entry].view(np.uint8)
+        return pa.table([binaries(halves, np.full(len(n), 16)), pa.array(n), pa.array(n - shared), binaries(grams, shared), lists],
+                        ["class", "n", "alone", "grams", "parity"])
+
+    return shared.groupBy("part").applyInArrow(work, schema)
 
 
 def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
@@ -396,9 +400,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     # At most HOT_SHARE n-grams for each n-gram of an average document: their counts add up to no more than all n-grams.
     hot = {r["gram"]: r["seen"] for r in often.collect()}
     spark = docs.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(totals[1] or 0) // (4 * FLUSH)))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(totals[1] or 0) // (2 * FLUSH)))
     grams = _gram_rows(rows, "text", np.array(sorted(hot), np.int64).view(_U), parts)
-    sets = stored(_candidates_of_class(_shared_grams(grams, hot), percent).withColumn("k", F.monotonically_increasing_id()), "sets")
+    sets = stored(_candidates_of_class(_shared_grams(grams, hot, parts), percent).withColumn("k", F.monotonically_increasing_id()), "sets")
     roots = _links(sets, percent).join(sets.select(F.col("k").alias("node"), "class"), "node").select("class", "root")
     classes = known.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies"))
     named = stored(classes.join(roots, "class", "left").filter("copies > 1 OR root IS NOT NULL"), "classes")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from voicegrid.llm.common import with_columns_from_text
 
-KEPT_WORDS = 800_000
+KEPT_WORDS = 500_000
 
 
 class PieceCounter:

@@ -19,7 +19,7 @@ PLAIN = re.compile(f"[\x21-\x7e\xa1-\xac\xae-\xbf{_LATIN}]*")
 _LETTER = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u012f\u0131\u0134-\u017f"
 _NUMBER = "0-9\xb2\xb3\xb9\xbc-\xbe"
 WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^\\s{_LETTER}{_NUMBER}]+")
-KEPT_CHUNKS = 900_000
+KEPT_CHUNKS = 500_000
 LONG_CHUNK = 10  # bytes; longer chunks that aren't plain words are put together again each time
 
 
