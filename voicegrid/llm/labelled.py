@@ -46,10 +46,10 @@ def training_texts(docs: DataFrame, labels: DataFrame, label: str, sample: int =
     return stored(rows.select("doc_id", "y", "text"), "training")
 
 
-def telling_terms(rows: DataFrame, least: int = 5, odds: float = 20.0, most: int = 20_000) -> np.ndarray:
+def telling_terms(rows: DataFrame, least: int = 8, odds: float = 20.0, most: int = 20_000) -> np.ndarray:
     """Hashes of words and word beginnings that tell rows with ``y`` = 1 from the others.
 
-    A term counts once per different text. It tells if at least ``least`` texts of label 1 have it, relatively
+    A term counts once per different text; below ``least`` of them, chance alone makes some terms tell. A term tells if at least ``least`` texts of label 1 have it, relatively
     ``odds`` times as many as those of label 0. Of more than ``most``, those with the largest product of count
     and logarithmic odds are taken.
     """

@@ -32,7 +32,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", sampl
 
     They are dealt to three parts by a hash of the id: from the first, terms that toxic texts use are added
     to the lexicon; on the second the trees are grown; the third calibrates them. So neither step is fitted
-    to rows that an earlier one has learned from.
+    to rows that an earlier one has learned from. Few labels give no terms; then the trees get both parts.
     """
     rows = training_texts(docs, labels, label, sample, id_col, text_col)
     share = rows.agg(F.avg("y"), F.count(F.lit(1))).first()
@@ -42,10 +42,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", sampl
     terms = telling_terms(rows.filter(part == 0))
     out, features = with_features(rows, "text", terms)
     rows = stored(out.select("doc_id", "y", F.col(features).alias("values")), "features").withColumn("features", array_to_vector("values"))
-    grow, check = rows.filter(part == 1), rows.filter(part == 2)
+    grow, check = rows.filter(part == 1 if len(terms) else part < 2), rows.filter(part == 2)
     if grow.select("y").distinct().count() < 2 or check.select("y").distinct().count() < 2:
         grow = check = rows
-    trees = GBTClassifier(featuresCol="features", labelCol="y", maxIter=rounds, maxDepth=depth, stepSize=0.3, seed=1).fit(grow)
+    trees = GBTClassifier(featuresCol="features", labelCol="y", maxIter=rounds, maxDepth=depth, stepSize=0.3, minInstancesPerNode=5, seed=1).fit(grow)
     raw = trees.transform(check).select("y", vector_to_array("probability")[1].alias("raw"))
     calibration = IsotonicRegression(featuresCol="raw", labelCol="y", predictionCol="score").fit(raw)
     return ToxicityModel(trees, calibration, terms)
