@@ -4,9 +4,9 @@ import pytest
 
 import __spark_entry__ as entry
 from tests.oracle_check import compare, connect
+from voicegrid.plans import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
-ORACLES = entry.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -14,9 +14,9 @@ def con():
     return connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, con, name):
-    rows, verdict = compare(spark, con, FOLDER, entry.queries()[name], ORACLES.get(name))
+    rows, verdict = compare(spark, con, FOLDER, QUERIES[name], ORACLES.get(name))
     assert verdict in ("ok", "rows only"), verdict
     assert rows > 0
 
@@ -28,4 +28,5 @@ def test_entry(spark):
 
 
 def test_only_the_trained_model_lacks_sql():
-    assert set(entry.queries()) - set(ORACLES) == {"spam_score"}
+    assert set(QUERIES) - set(ORACLES) == {"spam_score"}
+    assert set(QUERIES) <= set(entry.queries())

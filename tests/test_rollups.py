@@ -138,3 +138,9 @@ def test_summary_lookup(spark):
     summary = spark.createDataFrame([("A", "second", 2), ("A", "first", 1)], "company string, analysis string, row_id int")
     got = dict(tuple(r) for r in M.summary_lookup(cells, summary, ["company"], default="none").collect())
     assert got == {"A": "first", "B": "none"}
+
+
+def test_quartiles_of_close_values_are_exact(spark):
+    df = spark.createDataFrame([("k", 0.12345), ("k", 0.12356), ("k", 0.12389)], "k string, v double")
+    r = U.score_distribution(df, "k", "v").first()
+    assert (r.minimum, r.median, r.maximum) == (0.12345, 0.12356, 0.12389)

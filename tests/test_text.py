@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voicegrid import dims
+from voicegrid.functions import words as W
 from voicegrid.operators import lexicon as X, stem as P, textjobs as T
 
 
@@ -170,3 +171,16 @@ def test_token_budget(spark):
     out = T.token_budget(df, "review", 20).orderBy("id").collect()
     assert [(len(r.context), r.estimated_tokens) for r in out] == [(80, 25), (9, 3)]
     assert T.reviews_per_side() == 80
+
+
+def test_sentences_keep_digits_and_drop_blanks(spark):
+    df = spark.createDataFrame([("00 bill was 100. 1 engineer came 11",), (" one.\n\t two!  ",), ("   ",), (None,)], "t string")
+    got = [r[0] for r in df.select(W.sentences(F.col("t"))).collect()]
+    assert got[0] == ["00 bill was 100.", "1 engineer came 11"]
+    assert got[1] == ["one.", "two!"] and not got[2] and not got[3]
+
+
+def test_row_values_are_rounded_as_they_are(spark):
+    from voicegrid.functions import scores as S
+    df = spark.createDataFrame([(0.545,), (0.575,)], "c double")
+    assert [r[0] for r in df.select(S.rescale_100_int(F.col("c"))).collect()] == [55, 57]

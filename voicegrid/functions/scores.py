@@ -10,7 +10,7 @@ from voicegrid.dims import LONG_REVIEW_WORDS, SPAM_CONFIDENCE
 
 
 def half_even(value: Column | str, places: int = 0) -> Column:
-    """Round half to even.
+    """Round an aggregate half to even. Values of a single row are rounded as they are, by ``bround``.
 
     Binary noise far below the last place goes first: means of distributed sums differ in it
     from run to run, and it must not decide which way a tie falls.
@@ -20,16 +20,16 @@ def half_even(value: Column | str, places: int = 0) -> Column:
 
 def rescale_01(score: Column) -> Column:
     """[-1, 1] to [0, 1], three places."""
-    return half_even((score + 1) / 2, 3)
+    return F.bround((score + 1) / 2, 3)
 
 
 def rescale_100(score: Column) -> Column:
     """[-1, 1] to [-100, 100], one place."""
-    return half_even(score * 100, 1)
+    return F.bround(score * 100, 1)
 
 
 def rescale_100_int(score: Column) -> Column:
-    return half_even(score * 100).cast("int")
+    return F.bround(score * 100, 0).cast("int")
 
 
 def row_mean(columns: Sequence[Column]) -> Column:
@@ -47,12 +47,12 @@ def length_bucket(words: Column) -> Column:
 
 def length_score(words: Column) -> Column:
     ratio = words / F.lit(LONG_REVIEW_WORDS)
-    return half_even(F.least(F.greatest(ratio, F.lit(0.0)), F.lit(1.0)), 3)
+    return F.bround(F.least(F.greatest(ratio, F.lit(0.0)), F.lit(1.0)), 3)
 
 
 def spam_decision(label: Column, confidence: Column, places: int | None = None) -> Column:
     """True for a confident spam label; ``places`` rounds the confidence before the test."""
-    value = confidence if places is None else half_even(confidence, places)
+    value = confidence if places is None else F.bround(confidence, places)
     return F.coalesce((label == "spam") & (value > SPAM_CONFIDENCE), F.lit(False))
 
 

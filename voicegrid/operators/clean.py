@@ -52,16 +52,17 @@ def min_length_filter(df: DataFrame, column: str, chars: int = dims.MIN_REVIEW_C
     return df.filter(F.length(F.coalesce(F.col(column), F.lit(""))) >= chars)
 
 
-def dedup_exact_keep_first(df: DataFrame, text: str, order: str) -> DataFrame:
-    """Keep the first row of every distinct text (NULL counts as one text).
+def dedup_exact_keep_first(df: DataFrame, text: str, *order: str) -> DataFrame:
+    """Keep the first row of every distinct text (NULL counts as one text), in the order of all ``order`` columns.
 
     Only a digest and the key are shuffled to find the first rows, pre-aggregated per task, so
     a text with very many copies costs one partial row per task; the full rows are then kept
-    by a semi join on their unique key.
+    by a semi join on order and digest. Rows equal in both stay together.
     """
-    digest = F.sha2(F.col(text), 256)
-    first = df.select(digest.alias("_digest"), order).groupBy("_digest").agg(F.min(order).alias(order))
-    return df.join(first.select(order), order, "left_semi")
+    marked = df.withColumn("_digest", F.sha2(F.col(text), 256))
+    first = marked.groupBy(F.col("_digest").alias("_of")).agg(F.min(F.struct(*order)).alias("_first"))
+    same = [marked[c].eqNullSafe(first["_first"][c]) for c in order]
+    return marked.join(first, [marked["_digest"].eqNullSafe(first["_of"]), *same], "left_semi").drop("_digest")
 
 
 def data_quality_report(df: DataFrame, date_text: str, review: str,
@@ -102,9 +103,9 @@ def company_product_filter(df: DataFrame, company: str, product: str) -> DataFra
     return df.filter((F.col("company") == company) & (F.col("product") == product))
 
 
-def regex_contains_filter(df: DataFrame, column: str, pattern: str, literal: bool = False) -> DataFrame:
-    """Case-sensitive search; a pattern containing "all" in any case keeps every row."""
-    if "all" in pattern.lower():
+def regex_contains_filter(df: DataFrame, column: str, pattern: str | None, literal: bool = False) -> DataFrame:
+    """Case-sensitive search; without a pattern every row stays."""
+    if pattern is None:
         return df
     found = F.contains(F.col(column), F.lit(pattern)) if literal else F.col(column).rlike(pattern)
     return df.filter(found)

@@ -80,10 +80,9 @@ def monthly_product_company_stats(df: DataFrame, text: str, score: str) -> DataF
 def aspect_median_threshold(df: DataFrame, aspects: Sequence[str]) -> DataFrame:
     """One row with the corpus median relevance of every aspect.
 
-    ``percentile`` merges per-task value counts. Relevance is a continuous score, so it is
-    rounded to six places first; that bounds the distinct values held by the merged counts.
+    The medians are those of the values as they are: tasks pass on counts of distinct values.
     """
-    return df.agg(*[F.median(S.half_even(F.col(f"relevance_{a}"), 6)).alias(f"median_{a}") for a in aspects])
+    return df.agg(*[F.median(F.col(f"relevance_{a}")).alias(f"median_{a}") for a in aspects])
 
 
 def threshold_aspect_rollup(df: DataFrame, aspects: Sequence[str]) -> DataFrame:
@@ -93,7 +92,7 @@ def threshold_aspect_rollup(df: DataFrame, aspects: Sequence[str]) -> DataFrame:
     medians = row.select(F.struct(*row.columns).alias("x")).scalar()
     stats = []
     for a in aspects:
-        relevant = ((S.half_even(F.coalesce(F.col(f"relevance_{a}"), F.lit(0.0)), 6) >= F.col(f"_medians.median_{a}"))
+        relevant = ((F.coalesce(F.col(f"relevance_{a}"), F.lit(0.0)) >= F.col(f"_medians.median_{a}"))
                     & F.col(f"{a}_sentiment_score").isNotNull())
         stats += [F.avg(F.when(relevant, F.col(f"{a}_sentiment_score"))).alias(f"{a}_sentiment_score"),
                   F.count_if(relevant).alias(f"count_relevant_{a}")]
@@ -179,13 +178,12 @@ def aspect_trend_long(df: DataFrame, keys: Sequence[str], aspects: Sequence[str]
     return named.unpivot(list(keys), list(aspects), "aspect", "sentiment_score")
 
 
-def score_distribution(df: DataFrame, key: str, value: str, places: int = 3) -> DataFrame:
+def score_distribution(df: DataFrame, key: str, value: str) -> DataFrame:
     """Five-number summary per group.
 
-    Exact percentiles merge per-task counts of distinct values. Scores lie in a fixed range, so
-    keeping ``places`` decimals bounds how many there are.
+    Exact percentiles of the values as they are: tasks pass on counts of distinct values.
     """
-    p = F.percentile(S.half_even(F.col(value), places), F.array(*[F.lit(q) for q in (0.0, 0.25, 0.5, 0.75, 1.0)]))
+    p = F.percentile(F.col(value), F.array(*[F.lit(q) for q in (0.0, 0.25, 0.5, 0.75, 1.0)]))
     names = ("minimum", "q1", "median", "q3", "maximum")
     return (df.filter(F.col(value).isNotNull()).groupBy(key).agg(p.alias("_p"), F.count("*").alias("n"))
             .select(key, "n", *[F.col("_p")[i].alias(n) for i, n in enumerate(names)]))
@@ -303,11 +301,8 @@ def flag_summary(df: DataFrame, flags: Sequence[str]) -> DataFrame:
 
 
 def describe(df: DataFrame, column: str, places: int = 3) -> DataFrame:
-    """Count, mean, deviation, minimum, quartiles and maximum of one score, rounded.
-
-    Quartiles are those of the score to five places, which bounds the distinct values merged.
-    """
-    p = F.percentile(S.half_even(F.col(column), 5), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    """Count, mean, deviation, minimum, exact quartiles and maximum of one score, rounded at the end."""
+    p = F.percentile(F.col(column), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     row = df.agg(F.count(column).alias("count"), F.avg(column).alias("mean"),
                  F.stddev_samp(column).alias("std"), F.min(column).alias("min"),
                  p.alias("_p"), F.max(column).alias("max"))

@@ -9,7 +9,7 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import NaiveBayes
 from pyspark.ml.feature import HashingTF, SQLTransformer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from voicegrid import dims
 from voicegrid.functions import scores as S, words as W
@@ -147,19 +147,16 @@ def relevance_share_sentiment(df: DataFrame, overall: str, aspects: Sequence[str
         .otherwise(F.lit(0.0)) for a, r in rel.items()})
 
 
-def language_profiles(labelled: DataFrame, text: str, lang: str, size: int = 300,
-                      n: int = 3) -> DataFrame:
-    """The ``size`` most frequent character n-grams of each language with their shares.
+def language_profiles(labelled: DataFrame, text: str, lang: str, n: int = 3) -> DataFrame:
+    """All character n-grams of each language with their shares.
 
-    N-grams are counted per language with map-side aggregation, so what is ranked afterwards
-    is the set of distinct n-grams, not the text.
+    N-grams are counted per language with map-side aggregation, so what moves is the set of
+    distinct n-grams, which the alphabets bound, not the text.
     """
     grams = labelled.select(lang, F.explode(_ngrams(F.col(text), n)).alias("gram"))
     counts = grams.groupBy(lang, "gram").agg(F.count("*").alias("c"))
-    w = Window.partitionBy(lang).orderBy(F.desc("c"), "gram")
-    top = counts.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= size)
-    total = top.groupBy(lang).agg(F.sum("c").alias("total"))
-    return top.join(total, lang).select(F.col(lang).alias("lang"), "gram",
+    total = counts.groupBy(lang).agg(F.sum("c").alias("total"))
+    return counts.join(total, lang).select(F.col(lang).alias("lang"), "gram",
                                         (F.col("c") / F.col("total")).alias("share"))
 
 
@@ -177,12 +174,12 @@ def _ngrams(text: Column, n: int) -> Column:
 def language_tag(df: DataFrame, key: str, text: str, profiles: DataFrame, n: int = 3) -> DataFrame:
     """``(key, detected_lang, is_english)``; the profile with the largest summed share wins.
 
-    ``profiles`` holds at most ``size`` rows for each language (see ``language_profiles``), some
-    thousands in all, and is broadcast. Scores of a review are summed map-side; text without any
+    ``profiles`` has a row for each language and n-gram (see ``language_profiles``); the planner broadcasts
+    it when its measured size allows. Scores of a review are summed map-side; text without any
     known n-gram is ``unknown``.
     """
     hits = (df.select(key, F.explode(_ngrams(F.col(text), n)).alias("gram"))
-            .join(F.broadcast(profiles), "gram"))
+            .join(profiles, "gram"))
     scores = hits.groupBy(key, "lang").agg(F.bround(F.sum("share"), 9).alias("s"))
     best = scores.groupBy(key).agg(F.max(F.struct("s", F.col("lang"))).getField("lang").alias("lang"))
     return df.select(key).join(best, key, "left").select(

@@ -86,7 +86,7 @@ _annotated_columns("quality_score", "quality_score")
 SELECT review_id, list_has_any(toks, {V._list(dims.REASON_TERMS[:3])}) OR {V._phrase(dims.REASON_TERMS[3:])}
        AS justified, list_has_any(toks, ['as', 'that']) AS justified_short FROM ann"""))
 def justification_flag(spark, sf):
-    df = V.text_reviews(spark, sf)
+    df = V.reviews(spark, sf)
     return df.select("review_id", L.justification(F.col("review")).alias("justified"),
                      L.justification(F.col("review"), ["as", "that"]).alias("justified_short"))
 

@@ -8,14 +8,15 @@ from voicegrid.session import materialize
 from voicegrid.sources.reviews import read_table
 
 COLUMNS = ["l_quantity", "l_extendedprice", "l_discount"]
+# Order and line alone repeat; part, supplier and quantity tell such lines apart.
+KEY = "(((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey) * 100 + CAST(l_quantity AS BIGINT)"
 LOWER = [[1.0, 0.0, 0.0], [0.6, 0.8, 0.0], [0.5, 0.1, 0.86]]
 
 
 def items(spark, sf):
-    """The numeric columns of ``lineitem`` under one unique key."""
-    key = F.col("l_orderkey") * 1000 + F.col("l_linenumber")
-    return read_table(spark, sf, "lineitem").groupBy(key.alias("item_id")).agg(
-        *[F.max(c).alias(c) for c in COLUMNS])
+    """Every row of ``lineitem`` with its numeric columns, under a number made of the key columns."""
+    key = F.expr(KEY).alias("item_id")
+    return read_table(spark, sf, "lineitem").select(key, *COLUMNS)
 
 
 def stored_items(spark, sf):
@@ -23,8 +24,7 @@ def stored_items(spark, sf):
     return materialize(items(spark, sf))
 
 
-ITEMS_CTE = f"""items AS (SELECT l_orderkey * 1000 + l_linenumber AS item_id, {", ".join(f"max({c}) AS {c}" for c in COLUMNS)}
-  FROM lineitem GROUP BY item_id)"""
+ITEMS_CTE = f"items AS (SELECT {KEY} AS item_id, {', '.join(COLUMNS)} FROM lineitem)"
 
 
 def each(template, sep=", "):
@@ -70,12 +70,12 @@ def linear_mix(spark, sf):
 
 # Scores for the reordering: whole numbers, so that both engines order them alike.
 SCORES_CTE = ITEMS_CTE + f""", scores AS (SELECT item_id, {", ".join(
-    f"(item_id * {p}) % 1000003 AS {c}" for c, p in zip(COLUMNS, (7919, 104729, 15485863)))} FROM items)"""
+    f"(item_id % 1000003 * {p}) % 1000003 AS {c}" for c, p in zip(COLUMNS, (7919, 104729, 15485863)))} FROM items)"""
 
 
 def scores(df):
     return df.select("item_id", *[
-        ((F.col("item_id") * p) % 1000003).alias(c) for c, p in zip(COLUMNS, (7919, 104729, 15485863))])
+        ((F.col("item_id") % 1000003 * p) % 1000003).alias(c) for c, p in zip(COLUMNS, (7919, 104729, 15485863))])
 
 
 REORDER_CTE = SCORES_CTE + "".join(f""",

@@ -100,7 +100,7 @@ def _stand_in(prompt: str) -> str:
 SELECT review_id, CASE WHEN length(review) % 13 = 0 THEN 'Error: ValueError - busy' ELSE 'Score: ' || length(review) % 131
        || chr(10) || 'Product: Energy' || chr(10) || 'Reason: length' END AS reply FROM reviews"""))
 def batch_infer(spark, sf):
-    return E.batch_infer(V.text_reviews(spark, sf), "review_id", "review", _stand_in)
+    return E.batch_infer(V.reviews(spark, sf), "review_id", "review", _stand_in)
 
 
 @query("parse_single_reply", f"WITH {SINGLE_CTE} SELECT * FROM single")

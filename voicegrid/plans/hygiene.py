@@ -99,7 +99,7 @@ def company_product_filter(spark, sf):
 @query("regex_contains_filter", V.rev_sql("""
 SELECT review_id, company FROM reviews WHERE regexp_matches(company, 'o[1-3]')"""))
 def regex_contains_filter(spark, sf):
-    df = C.regex_contains_filter(V.reviews(spark, sf), "product", "All products")
+    df = C.regex_contains_filter(V.reviews(spark, sf), "product", None)
     return C.regex_contains_filter(df, "company", "o[1-3]").select("review_id", "company")
 
 
@@ -117,7 +117,7 @@ def weight_threshold_filter(spark, sf):
 @query("mention_filter", V.rev_sql("""
 SELECT review_id FROM reviews WHERE contains(lower(review), 'tion th') OR contains(lower(review), 'ingin')"""))
 def mention_filter(spark, sf):
-    return C.mention_filter(V.text_reviews(spark, sf), "review", ["Tion th", "ingin"]).select("review_id")
+    return C.mention_filter(V.reviews(spark, sf), "review", ["Tion th", "ingin"]).select("review_id")
 
 
 @query("head_sample", V.rev_sql("SELECT review_id, company FROM reviews ORDER BY review_id LIMIT 10"))

@@ -1,6 +1,6 @@
 """Queries over ranking, sampling and evidence assembly."""
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from voicegrid.functions.dates import week_ending_monday
 from voicegrid.operators import rank as R, textjobs as T
@@ -91,12 +91,13 @@ def numbered_evidence_text(spark, sf):
 
 
 @query("ordered_turns_text", """
-WITH e AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rank FROM conversations QUALIFY rank <= 80)
+WITH e AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rank FROM conversations)
 SELECT conv_id, md5(string_agg('Review ' || rank || ' (' || role || '): ' || trim(text), chr(10) ORDER BY rank)) AS digest
 FROM e GROUP BY conv_id""")
 def ordered_turns_text(spark, sf):
-    """Evidence of at most 80 turns per conversation, in order."""
-    turns = R.top_n(read_table(spark, sf, "conversations"), ["conv_id"], [F.col("turn")], T.reviews_per_side(), "rank")
+    """All turns of each conversation, in order."""
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    turns = read_table(spark, sf, "conversations").withColumn("rank", F.row_number().over(order))
     out = R.numbered_evidence_text(turns, ["conv_id"], "text", "rank", F.col("role"))
     return out.select("conv_id", F.md5("evidence").alias("digest"))
 

@@ -33,7 +33,7 @@ def weekly_sentiment_mean(spark, sf):
         WHERE contains(lower(review), 'tionth') OR contains(lower(review), 'ingin') GROUP BY ALL){SPINE}
 SELECT week, coalesce(mentions, 0) AS mentions FROM spine LEFT JOIN w USING (week)"""))
 def weekly_mentions(spark, sf):
-    return K.weekly_mentions(V.text_reviews(spark, sf), "review", ["tionth", "INGIN"])
+    return K.weekly_mentions(V.reviews(spark, sf), "review", ["tionth", "INGIN"])
 
 
 @query("weekly_event_mentions", f"""
@@ -62,7 +62,7 @@ SELECT recent_count, base_count, {V.tie_safe('scaled', 1)} AS base_avg, round_ev
        CASE WHEN (recent_count / nullif(scaled, 0) - 1) * 100 <= -10 THEN 'good' ELSE 'bad' END AS verdict,
        round_even(recent_sentiment, 9) AS recent_sentiment, round_even(base_sentiment, 9) AS base_sentiment FROM x"""))
 def recent_vs_baseline(spark, sf):
-    out = K.recent_vs_baseline(V.scored(V.text_reviews(spark, sf)), "review", V.RISK)
+    out = K.recent_vs_baseline(V.scored(V.reviews(spark, sf)), "review", V.RISK)
     return out.withColumns({c: F.bround(c, p) for c, p in (
         ("rate_ratio", 9), ("change_pct", 6), ("recent_sentiment", 9), ("base_sentiment", 9))})
 
@@ -76,7 +76,7 @@ SELECT keyword, recent_count, round_even(ratio, 9) AS ratio, round_even(sent_dif
        CASE WHEN ratio * 100 > 150 THEN 'spike' ELSE 'normal' END AS level
 FROM r ORDER BY ratio DESC NULLS LAST, keyword LIMIT 3"""))
 def risk_drivers(spark, sf):
-    out = K.risk_drivers(V.scored(V.text_reviews(spark, sf)), "review", list(V.RISK))
+    out = K.risk_drivers(V.scored(V.reviews(spark, sf)), "review", list(V.RISK))
     return out.withColumns({c: F.bround(c, 9) for c in ("ratio", "sent_diff")})
 
 

@@ -20,7 +20,7 @@ def tidy(df: DataFrame, *columns: str) -> DataFrame:
 
 def relevant(spark, sf) -> DataFrame:
     """Scored reviews with the token-set relevance of every aspect."""
-    df = T.token_set(V.scored(V.text_reviews(spark, sf)), "review")
+    df = T.token_set(V.scored(V.reviews(spark, sf)), "review")
     return T.aspect_relevance(df, "tokens", V.ASPECTS).drop("tokens", "review")
 
 
@@ -318,7 +318,7 @@ def company_scorecard(spark, sf):
 def with_tfidf(spark, sf) -> DataFrame:
     """Annotated reviews with topic TF-IDF; both sides are keyed by the unique review id."""
     ann = V.annotated(spark, sf)
-    return ann.join(T.tfidf_topic_score(V.text_reviews(spark, sf), "review_id", "review", V.TOPICS), "review_id")
+    return ann.join(T.tfidf_topic_score(V.reviews(spark, sf), "review_id", "review", V.TOPICS), "review_id")
 
 
 TFIDF_CTE = V.ANN_CTE + f""", vocab(topic, term) AS (VALUES {", ".join(
@@ -335,7 +335,7 @@ tfidf AS (SELECT review_id, {each("round_even(coalesce(s_@ / norm, 0), 3) AS tfi
 
 @query("tfidf_topic_score", f"WITH {TFIDF_CTE} SELECT * FROM tfidf")
 def tfidf_topic_score(spark, sf):
-    return T.tfidf_topic_score(V.text_reviews(spark, sf), "review_id", "review", V.TOPICS)
+    return T.tfidf_topic_score(V.reviews(spark, sf), "review_id", "review", V.TOPICS)
 
 
 @query("topic_averages", f"""WITH {TFIDF_CTE}, a AS (SELECT * FROM ann JOIN tfidf USING (review_id))

@@ -18,7 +18,7 @@ STOP_WORDS = ["is", "it", "to"]
 , t AS (SELECT review_id, list_distinct(list_filter(toks, lambda t: regexp_matches(t, '^\p{L}+$'))) AS s FROM ann)
 SELECT review_id, CAST(len(s) AS INTEGER) AS n_tokens, md5(array_to_string(list_sort(s), ' ')) AS digest FROM t"""))
 def token_set(spark, sf):
-    df = T.token_set(V.text_reviews(spark, sf), "review")
+    df = T.token_set(V.reviews(spark, sf), "review")
     return df.select("review_id", F.size("tokens").alias("n_tokens"),
                      F.md5(F.array_join(F.array_sort("tokens"), " ")).alias("digest"))
 
@@ -30,13 +30,13 @@ def aspect_relevance(spark, sf):
 
 @query("topic_keyword_counts", V.ann_sql(f"SELECT review_id, {each('kw_@', TOPICS)} FROM ann"))
 def topic_keyword_counts(spark, sf):
-    return A.topic_keyword_counts(V.text_reviews(spark, sf), "review", V.TOPICS).select(
+    return A.topic_keyword_counts(V.reviews(spark, sf), "review", V.TOPICS).select(
         "review_id", *[f"kw_{t}" for t in TOPICS])
 
 
 @query("aspect_mention_weight", V.ann_sql(f"SELECT review_id, {each('w_@')} FROM ann"))
 def aspect_mention_weight(spark, sf):
-    return A.aspect_mention_weight(V.text_reviews(spark, sf), "review", V.ASPECTS).select(
+    return A.aspect_mention_weight(V.reviews(spark, sf), "review", V.ASPECTS).select(
         "review_id", *[f"w_{a}" for a in ASPECTS])
 
 
@@ -101,7 +101,7 @@ compound AS (SELECT {part}, round_even(s / sqrt(s * s + 15), 4) AS compound FROM
 
 @query("lexicon_compound", V.rev_sql(f", {compound_ctes('reviews', 'review_id', 'review')} SELECT * FROM compound"))
 def lexicon_compound(spark, sf):
-    return X.lexicon_compound(V.text_reviews(spark, sf), "review_id", "review", dims.lexicon_dim(spark, V.LEXICON))
+    return X.lexicon_compound(V.reviews(spark, sf), "review_id", "review", dims.lexicon_dim(spark, V.LEXICON))
 
 
 @query("lexicon_polarity", V.ann_sql(f"""
@@ -109,7 +109,7 @@ def lexicon_compound(spark, sf):
 a AS (SELECT review_id, avg(v) AS p FROM t JOIN lex USING (term) GROUP BY review_id)
 SELECT review_id, round_even(coalesce(p, 0), 6) AS polarity FROM ann LEFT JOIN a USING (review_id)"""))
 def lexicon_polarity(spark, sf):
-    return X.lexicon_polarity(V.text_reviews(spark, sf), "review_id", "review", dims.lexicon_dim(spark, V.LEXICON))
+    return X.lexicon_polarity(V.reviews(spark, sf), "review_id", "review", dims.lexicon_dim(spark, V.LEXICON))
 
 
 SCOPED_CTE = V.REVIEWS_CTE + r""", cut AS (
@@ -124,7 +124,7 @@ for _a, _w in V.ASPECTS.items():
 SELECT review_id, aspect, CASE WHEN scoped IS NOT NULL THEN compound END AS sentiment
 FROM scoped JOIN compound USING (review_id, aspect)""")
 def sentence_scoped_sentiment(spark, sf):
-    return X.sentence_scoped_sentiment(V.text_reviews(spark, sf), "review_id", "review", V.ASPECTS,
+    return X.sentence_scoped_sentiment(V.reviews(spark, sf), "review_id", "review", V.ASPECTS,
                                        dims.lexicon_dim(spark, V.LEXICON))
 
 
@@ -182,7 +182,7 @@ STEM_KEYWORDS = {"motion": ["ation", "ationed", "tions"], "doing": ["ing", "ingi
 
 @query("stem_vocabulary", f"WITH {VOCAB_CTE} SELECT word, stem FROM stems")
 def stem_vocabulary(spark, sf):
-    return P.stem_vocabulary(V.text_reviews(spark, sf), "review")
+    return P.stem_vocabulary(V.reviews(spark, sf), "review")
 
 
 @query("stemmed_relevance", f"""WITH {VOCAB_CTE}, k(aspect, word) AS (VALUES {", ".join(
@@ -192,7 +192,7 @@ SELECT review_id, aspect, CAST(count(DISTINCT stem) AS INTEGER) AS relevance
 FROM used JOIN stems USING (word) JOIN ks USING (stem) GROUP BY ALL""")
 def stemmed_relevance(spark, sf):
     keywords = dims.keyword_dim(spark, STEM_KEYWORDS)
-    return P.stemmed_relevance(V.text_reviews(spark, sf), "review_id", "review", keywords)
+    return P.stemmed_relevance(V.reviews(spark, sf), "review_id", "review", keywords)
 
 
 LANG_CTE = V.REVIEWS_CTE + r""", word AS (
@@ -200,8 +200,7 @@ LANG_CTE = V.REVIEWS_CTE + r""", word AS (
 g AS (SELECT review_id, product, unnest(list_transform(range(1, greatest(length(p) - 1, 2)),
                                                        lambda i: substring(p, i, 3))) AS gram FROM word),
 c AS (SELECT product AS lang, gram, count(*) AS c FROM g GROUP BY ALL),
-top AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY lang ORDER BY c DESC, gram) <= 300),
-prof AS (SELECT lang, gram, c / CAST(sum(c) OVER (PARTITION BY lang) AS DOUBLE) AS share FROM top),
+prof AS (SELECT lang, gram, c / CAST(sum(c) OVER (PARTITION BY lang) AS DOUBLE) AS share FROM c),
 sc AS (SELECT review_id, lang, round_even(sum(share), 9) AS s FROM g JOIN prof USING (gram) GROUP BY ALL),
 best AS (SELECT review_id, lang FROM sc QUALIFY row_number() OVER (PARTITION BY review_id ORDER BY s DESC, lang DESC) = 1)"""
 
@@ -210,16 +209,16 @@ best AS (SELECT review_id, lang FROM sc QUALIFY row_number() OVER (PARTITION BY
 SELECT review_id, coalesce(lang, 'unknown') AS detected_lang, coalesce(lang, '') = 'en' AS is_english
 FROM reviews LEFT JOIN best USING (review_id)""")
 def language_tag(spark, sf):
-    df = V.text_reviews(spark, sf)
+    df = V.reviews(spark, sf)
     return T.language_tag(df, "review_id", "review", T.language_profiles(df, "review", "product"))
 
 
 @query("spam_score")
 def spam_score(spark, sf):
-    """Train on the labelled half of the documents picked by digest, score every document."""
-    docs = V.text_reviews(spark, sf)
+    """Train on all labelled documents, score every document; ``toxic`` stands in for a spam label."""
+    docs = V.reviews(spark, sf)
     labels = read_table(spark, sf, "labels").select(F.col("doc_id").alias("review_id"), "toxic")
-    train = docs.join(labels, "review_id").filter(F.md5(F.col("review_id").cast("string")) < "8")
+    train = docs.join(labels, "review_id")
     model = T.fit_spam_model(train, "review", "toxic")
     return T.spam_score_with_model(docs, "review_id", "review", model)
 

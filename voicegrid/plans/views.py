@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from voicegrid import dims
 from voicegrid.functions import dates as D, labels as L, scores as S, words as W
 from voicegrid.operators import annotate as A, rollups as U
-from voicegrid.session import spread
 from voicegrid.sources.reviews import read_table
 
 PRIMARY = "co0"
@@ -47,11 +46,6 @@ def reviews(spark: SparkSession, sf: str) -> DataFrame:
         (((k * 31) % 201).cast("int") - 100).alias("score"))
 
 
-def text_reviews(spark: SparkSession, sf: str) -> DataFrame:
-    """Reviews for text-heavy jobs, spread over all cores when the scan itself is not."""
-    return spread(reviews(spark, sf), "review_id")
-
-
 def scored(df: DataFrame) -> DataFrame:
     """Columns that need no text: month, year, both sentiments, spam verdict and weight."""
     k = F.col("review_id")
@@ -69,7 +63,7 @@ def scored(df: DataFrame) -> DataFrame:
 def annotated(spark: SparkSession, sf: str) -> DataFrame:
     known = W.known_words(F.col("review"), *TOPICS.values(), *ASPECTS.values(), DEBIT, PREPAY, GAS, POWER,
                           FIXED, VARIABLE, REASONS, CHANNELS)
-    df = scored(text_reviews(spark, sf)).withColumn("_toks", known)
+    df = scored(reviews(spark, sf)).withColumn("_toks", known)
     body, toks = F.col("review"), F.col("_toks")
     df = A.topic_keyword_counts(df, "review", TOPICS, toks="_toks")
     df = A.aspect_mention_weight(df, "review", ASPECTS, toks="_toks")

@@ -69,12 +69,3 @@ def materialize(df: DataFrame) -> DataFrame:
         context.setCheckpointDir(work_dir(df.sparkSession, "checkpoints"))
     return df.checkpoint()
 
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-partition ``df`` by ``key`` when its scan yields fewer tasks than there are cores.
-
-    Text work is CPU bound, so a table that arrives as one or two row groups would keep a
-    single core busy. A table with many splits is returned as it is, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
