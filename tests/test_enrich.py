@@ -76,8 +76,28 @@ def test_model_hook_retries_and_never_fails_the_job(spark):
             raise RuntimeError("down")
         return prompt.upper()
     df = spark.createDataFrame([(1, "ok"), (2, "bad")], "id int, prompt string")
-    got = {r.id: r.reply for r in E.batch_infer(df, "id", "prompt", model, retries=2).collect()}
-    assert got == {1: "OK", 2: "Error: RuntimeError - down"}
+    for retries in (0, 2):
+        got = {r.id: (r.reply, r.error) for r in E.batch_infer(df, "id", "prompt", model, retries=retries).collect()}
+        assert got == {1: ("OK", None), 2: (None, "RuntimeError - down")}
+    single = E.validate_classification(E.parse_single_reply(E.batch_infer(df, "id", "prompt", model)), VALID, reply="reply")
+    assert {r.id: r.reason for r in single.collect()} == {1: E.UNPARSED, 2: E.CALL_FAILED}
+
+
+def test_failed_batches_say_so(spark):
+    grid = spark.createDataFrame([(1, 1, None), (1, 2, None), (2, 1, "busy")], "batch int, i int, error string")
+    have = spark.createDataFrame([(1, 1, 9, "r")], "batch int, i int, score int, reason string")
+    out = E.fill_missing_replies(grid, have, ["batch", "i"], {"score": 0, "reason": E.MISSING_REPLY}, error="error")
+    assert [(r.score, r.reason) for r in out.orderBy("batch", "i").collect()] == [
+        (9, "r"), (0, E.MISSING_REPLY), (0, E.CALL_FAILED)]
+
+
+def test_batch_aspect_reply(spark):
+    reply = ("[Review 1]\nAspect: A\nScore: 5\nReason: one\nAspect: B\nScore: N/A\nReason: no\n"
+             "[Review 2]\nAspect: A\nScore: -7\nReason: two\n[Review 3]\nAspect: A\nScore: 1\nReason: far\n"
+             "[Review 1]\nAspect: A\nScore: 6\nReason: later")
+    df = spark.createDataFrame([(4, 2, reply), (5, 2, None), (6, 2, "")], "batch int, size int, reply string")
+    got = {tuple(r) for r in E.parse_batch_aspect_reply(df, ["batch"], ["A", "B"]).collect()}
+    assert got == {(4, 1, "A", "6", "later"), (4, 2, "A", "-7", "two")}
 
 
 def test_prompts(spark):

@@ -62,7 +62,7 @@ def prompt_column(df: DataFrame, template: str, columns: Mapping[str, str],
 
 def batch_prompts(batched: DataFrame, text: str = "review") -> DataFrame:
     """One prompt body per batch: ``[Review i]: "text"`` lines in batch order."""
-    line = F.format_string('[Review %d]: "%s"', F.col("index_in_batch"), F.col(text))
+    line = F.format_string('[Review %d]: "%s"', F.col("index_in_batch"), F.coalesce(F.col(text), F.lit("")))
     lines = F.array_sort(F.collect_list(F.struct(F.col("index_in_batch").alias("i"), line.alias("l"))))
     return batched.groupBy("batch").agg(
         F.array_join(F.transform(lines, lambda x: x["l"]), "\n").alias("prompt"),
@@ -74,22 +74,25 @@ def batch_prompts(batched: DataFrame, text: str = "review") -> DataFrame:
 
 def batch_infer(df: DataFrame, key: str, prompt: str, model: Callable[[str], str], retries: int = 3,
                 delay: float = 0.0, calls_per_second: float | None = None) -> DataFrame:
-    """``(key, reply)`` from a text model, called within each task.
+    """``(key, reply, error)`` from a text model, called within each task at least once per row.
 
-    A failed call is tried again after a doubling delay; when all tries fail the row carries an
-    ``Error:`` reply, so a bad row never fails the job. The rate cap holds per task.
+    A failed call is tried again after a doubling delay; when all tries fail the row has no reply and
+    names the error, so a bad row never fails the job. The rate cap holds per task. Store the result
+    before reading it more than once, or the model is asked again.
     """
     gap = 1 / calls_per_second if calls_per_second else 0.0
+    tries = max(1, retries)
 
-    def ask(text: str) -> str:
-        for attempt in range(retries):
+    def ask(text: str) -> tuple[str | None, str | None]:
+        last = ""
+        for attempt in range(tries):
             try:
-                return model(text)
+                return model(text), None
             except Exception as error:  # the model is foreign code: any failure becomes a row
-                last = error
-                if attempt + 1 < retries:
+                last = f"{type(error).__name__} - {error}"
+                if attempt + 1 < tries:
                     time.sleep(delay * 2 ** attempt)
-        return f"Error: {type(last).__name__} - {last}"
+        return None, last
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
@@ -98,10 +101,11 @@ def batch_infer(df: DataFrame, key: str, prompt: str, model: Callable[[str], str
                 replies.append(ask(text))
                 if gap:
                     time.sleep(gap)
-            yield pd.DataFrame({key: pdf[key].to_numpy(), "reply": replies})
+            yield pd.DataFrame({key: pdf[key].to_numpy(), "reply": pd.Series([r for r, _ in replies], dtype=object),
+                                "error": pd.Series([e for _, e in replies], dtype=object)})
 
     dtype = df.schema[key].dataType.simpleString()
-    return df.select(key, prompt).mapInPandas(run, f"{key} {dtype}, reply string")
+    return df.select(key, prompt).mapInPandas(run, f"{key} {dtype}, reply string, error string")
 
 
 # -- reading replies ---------------------------------------------------------------------------
@@ -123,20 +127,24 @@ def parse_single_reply(df: DataFrame, reply: str = "reply", product_optional: bo
     return df.withColumns(found)
 
 
-def parse_batch_reply(df: DataFrame, keys: Sequence[str], size: str = "size",
-                      reply: str = "reply") -> DataFrame:
-    """``[Review n]`` blocks to one row each; numbers outside the batch are ignored.
-
-    Of two complete blocks with the same number the later one counts.
-    """
+def _review_blocks(df: DataFrame, keys: Sequence[str], size: str, reply: str) -> DataFrame:
+    """``keys, pos, index_in_batch, body`` of every ``[Review n]`` block whose number is in the batch."""
     numbers = F.regexp_extract_all(reply, F.lit(REVIEW_TAG), F.lit(1))
     bodies = F.split(reply, r"\[Review \d+\]")
     bodies = F.slice(bodies, F.lit(2), F.size(bodies) - 1)
     blocks = df.select(*keys, size, F.posexplode(F.arrays_zip(numbers.alias("i"), bodies.alias("body"))))
     blocks = blocks.select(*keys, size, "pos", F.col("col.i").try_cast("int").alias("index_in_batch"),
                            F.col("col.body").alias("body"))
-    parsed = parse_single_reply(blocks.filter(
-        F.col("index_in_batch").between(F.lit(1), F.col(size))), "body")
+    return blocks.filter(F.col("index_in_batch").between(F.lit(1), F.col(size))).drop(size)
+
+
+def parse_batch_reply(df: DataFrame, keys: Sequence[str], size: str = "size",
+                      reply: str = "reply") -> DataFrame:
+    """``[Review n]`` blocks to one row each; numbers outside the batch are ignored.
+
+    Of two complete blocks with the same number the later one counts.
+    """
+    parsed = parse_single_reply(_review_blocks(df, keys, size, reply), "body")
     last = parsed.filter(F.col("raw_score").isNotNull()).groupBy(*keys, "index_in_batch").agg(
         F.max_by(F.struct("raw_score", "raw_product", "raw_reason"), "pos").alias("_r"))
     return last.select(*keys, "index_in_batch", "_r.*")
@@ -158,6 +166,17 @@ def parse_aspect_blocks(df: DataFrame, keys: Sequence[str], aspects: Sequence[st
     return last.select(*keys, "aspect", "_r.*")
 
 
+def parse_batch_aspect_reply(df: DataFrame, keys: Sequence[str], aspects: Sequence[str], size: str = "size",
+                             reply: str = "reply") -> DataFrame:
+    """``[Review n]`` blocks, each with aspect blocks, to ``(keys, index_in_batch, aspect, raw_score, raw_reason)``.
+
+    Of two blocks with the same number only the later one counts, complete or not.
+    """
+    blocks = _review_blocks(df, keys, size, reply)
+    last = blocks.groupBy(*keys, "index_in_batch").agg(F.max_by("body", "pos").alias("body"))
+    return parse_aspect_blocks(last, [*keys, "index_in_batch"], aspects, "body")
+
+
 def _reason(raw: Column) -> Column:
     return F.when(F.length(strip(F.coalesce(raw, F.lit("")))) > 0, raw).otherwise(NO_REASON)
 
@@ -205,12 +224,19 @@ def validate_sentiment(df: DataFrame, aspect: str = "aspect") -> DataFrame:
 
 
 def fill_missing_replies(grid: DataFrame, results: DataFrame, keys: Sequence[str],
-                         defaults: Mapping[str, object]) -> DataFrame:
-    """Every cell of the batch grid, with defaults where the model gave nothing usable."""
+                         defaults: Mapping[str, object], error: str | None = None,
+                         reason: str = "reason") -> DataFrame:
+    """Every cell of the batch grid, with defaults where the model gave nothing usable.
+
+    ``error`` names a column of the grid that is set where the call for the cell's batch failed; there
+    the default of ``reason`` says so.
+    """
     marked = results.withColumn("_given", F.lit(True))
     out = grid.join(marked, list(keys), "left")
-    return out.withColumns({c: F.when(F.col("_given"), F.col(c)).otherwise(F.lit(v))
-                            for c, v in defaults.items()}).drop("_given")
+    filled = {c: F.when(F.col("_given"), F.col(c)).otherwise(F.lit(v)) for c, v in defaults.items()}
+    if error is not None:
+        filled[reason] = F.when(F.col(error).isNotNull(), CALL_FAILED).otherwise(filled[reason])
+    return out.withColumns(filled).drop("_given")
 
 
 def is_blank(text: Column) -> Column:

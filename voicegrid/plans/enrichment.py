@@ -3,12 +3,16 @@ parsers and validators occur; the model itself is a deterministic stand-in."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from voicegrid.operators import compare as M, enrich as E, rank as R, rollups as U
 from voicegrid.plans import comparisons as CP, views as V
 from voicegrid.plans.registry import query
 from voicegrid.plans.rollups import ASPECTS
+from voicegrid.session import work_dir
+from voicegrid.sources.sinks import append_results
 
 VALID = ["Energy", "Gas Products", "Unknown"]
 BATCH = 10
@@ -97,8 +101,9 @@ def _stand_in(prompt: str) -> str:
 
 
 @query("batch_infer", V.rev_sql("""
-SELECT review_id, CASE WHEN length(review) % 13 = 0 THEN 'Error: ValueError - busy' ELSE 'Score: ' || length(review) % 131
-       || chr(10) || 'Product: Energy' || chr(10) || 'Reason: length' END AS reply FROM reviews"""))
+SELECT review_id, CASE WHEN length(review) % 13 <> 0 THEN 'Score: ' || length(review) % 131
+       || chr(10) || 'Product: Energy' || chr(10) || 'Reason: length' END AS reply,
+       CASE WHEN length(review) % 13 = 0 THEN 'ValueError - busy' END AS error FROM reviews"""))
 def batch_infer(spark, sf):
     return E.batch_infer(V.reviews(spark, sf), "review_id", "review", _stand_in)
 
@@ -150,6 +155,68 @@ def fill_missing_replies(spark, sf):
     return out.select("review_id", "score", "category", "reason")
 
 
+def _aspect_model(prompt: str) -> str:
+    """A deterministic model that rates each review of a batch by its length, and is busy for some batches."""
+    if len(prompt) % 13 == 0:
+        raise ValueError("busy")
+    parts = re.split(r'(?:^|\n)\[Review (\d+)\]: "', prompt)
+    blocks = []
+    for number, quoted in zip(parts[1::2], parts[2::2], strict=True):
+        n = len(quoted) - 1
+        scores = {"speed": n % 301 - 150, "value": "N/A" if n % 2 else n % 100, "support": n % 51 - 25}
+        if n % 3 == 0:
+            del scores["support"]
+        if n % 7:
+            blocks.append(f"[Review {number}]\n" + "\n".join(
+                f"Aspect: {a}\nScore: {s}\nReason: {n} characters" for a, s in scores.items()))
+    return "\n".join(blocks)
+
+
+MODEL_CTE = f"""grid AS (SELECT doc_id AS review_id, coalesce(text, '') AS t, (row_number() OVER (ORDER BY doc_id) - 1) // {BATCH} AS batch,
+   (row_number() OVER (ORDER BY doc_id) - 1) % {BATCH} + 1 AS index_in_batch FROM documents),
+sized AS (SELECT *, length(t) AS n,
+   (sum(length('[Review ' || index_in_batch || ']: "' || t || '"') + 1) OVER (PARTITION BY batch) - 1) % 13 = 0 AS failed FROM grid),
+cells AS (SELECT *, unnest(['speed', 'value', 'support']) AS aspect FROM sized),
+rated AS (SELECT *, CASE WHEN failed OR n % 7 = 0 OR (aspect = 'support' AND n % 3 = 0) THEN NULL
+   WHEN aspect = 'speed' THEN CAST(n % 301 - 150 AS VARCHAR) WHEN aspect = 'support' THEN CAST(n % 51 - 25 AS VARCHAR)
+   WHEN n % 2 = 1 THEN 'N/A' ELSE CAST(n % 100 AS VARCHAR) END AS raw_score, n || ' characters' AS raw_reason FROM cells)"""
+
+
+def aspect_replies(spark, sf):
+    """The review batches, and the model's reply for each of them, stored before anything reads it."""
+    batches = R.fixed_size_batches(V.reviews(spark, sf).select("review_id", "review"), "review_id", BATCH)
+    prompts = E.batch_prompts(batches)
+    path = work_dir(spark, "replies")
+    append_results(E.batch_infer(prompts, "batch", "prompt", _aspect_model), path)
+    return batches.drop("review"), prompts.select("batch", "size").join(spark.read.parquet(path), "batch")
+
+
+@query("parse_batch_aspect_reply", f"""WITH {MODEL_CTE}
+SELECT batch, index_in_batch, aspect, raw_score, raw_reason FROM rated WHERE raw_score IS NOT NULL""")
+def parse_batch_aspect_reply(spark, sf):
+    out = E.parse_batch_aspect_reply(aspect_replies(spark, sf)[1], ["batch"], ASPECTS)
+    return out.withColumn("index_in_batch", F.col("index_in_batch").cast("bigint"))
+
+
+@query("enrichment_flow", f"""WITH {MODEL_CTE}
+SELECT review_id, aspect, CASE WHEN TRY_CAST(raw_score AS INTEGER) BETWEEN -100 AND 100 THEN TRY_CAST(raw_score AS INTEGER) ELSE 0 END AS score,
+  CASE WHEN failed THEN 'AI API call failed' WHEN raw_score IS NULL THEN 'Missing AI response in batch'
+       WHEN raw_score = 'N/A' THEN 'Aspect ''' || aspect || ''' was not mentioned in the review.'
+       WHEN CAST(raw_score AS INTEGER) BETWEEN -100 AND 100 THEN raw_reason
+       ELSE 'Invalid AI Response: Sentiment score is outside the -100 to 100 range.' END AS reason FROM rated""")
+def enrichment_flow(spark, sf):
+    """Batches, prompts, model, parsing, checks and defaults; the results are appended and read again."""
+    batches, replies = aspect_replies(spark, sf)
+    results = E.validate_sentiment(E.parse_batch_aspect_reply(replies, ["batch"], ASPECTS))
+    grid = (batches.join(replies.select("batch", "error"), "batch")
+            .withColumn("aspect", F.explode(F.array(*map(F.lit, ASPECTS)))))
+    out = E.fill_missing_replies(grid, results, ["batch", "index_in_batch", "aspect"],
+                                 {"score": 0, "reason": E.MISSING_REPLY}, error="error")
+    path = work_dir(spark, "results")
+    append_results(out.select("review_id", "aspect", "score", "reason"), path)
+    return spark.read.parquet(path)
+
+
 ASPECT_CTE = V.REVIEWS_CTE + rf""", r AS (SELECT review_id, {reply_sql(ASPECT_REPLIES)} AS reply FROM reviews),
 blk AS (SELECT review_id, string_split({strip('b')}, chr(10)) AS l, pos FROM
   (SELECT review_id, unnest(string_split(reply, 'Aspect: ')) AS b, unnest(range(len(string_split(reply, 'Aspect: ')))) AS pos FROM r)),
