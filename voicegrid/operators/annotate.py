@@ -83,13 +83,13 @@ def canonical_spelling(df: DataFrame, column: str, order: str, out: str | None =
     """Replace every spelling by the one first seen for its trimmed lower-case form.
 
     Rows are first reduced to one per spelling, with fixed-width buffers that aggregate map-side;
-    the lookup then has one row per name. It is broadcast when it proves small, so rows of a hot
-    name stay where they are.
+    the lookup then has one row per name. Its measured size decides at run time whether it is
+    broadcast, so rows of a hot name stay where they are unless names are very many.
     """
     key = F.lower(F.trim(column))
     spellings = df.groupBy(key.alias("_key"), column).agg(F.min(order).alias("_at"))
     first = spellings.groupBy("_key").agg(F.min_by(column, "_at").alias("_first"))
-    return (df.withColumn("_key", key).join(broadcast_if_small(first), "_key", "left")
+    return (df.withColumn("_key", key).join(first, "_key", "left")
             .withColumn(out or column, F.col("_first")).drop("_key", "_first"))
 
 

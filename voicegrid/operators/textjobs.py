@@ -3,16 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import NaiveBayes
-from pyspark.ml.feature import HashingTF, SQLTransformer
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from voicegrid import dims
 from voicegrid.functions import scores as S, words as W
+from voicegrid.session import materialize
 
 
 def token_set(df: DataFrame, text: str, out: str = "tokens") -> DataFrame:
@@ -33,15 +31,24 @@ def term_counts(df: DataFrame, key: str, text: str, pattern: str = r"[\p{L}\p{N}
                 stop_words: Sequence[str] = ()) -> DataFrame:
     """``(key, term, tf)`` over the full vocabulary; terms have two or more word characters.
 
-    The text is hash-partitioned by its key first, so that counting needs no further shuffle
-    and raw text crosses the network instead of one row per word. A text without any term
-    keeps one row with a NULL term and a count of 0.
+    Counting happens inside the row: words are sorted and the lengths of equal runs are read off,
+    so nothing is shuffled. A text without any term keeps one row with a NULL term and a count of 0.
     """
     words = F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0))
     if stop_words:
         words = F.filter(words, lambda t: ~t.isin(list(stop_words)))
-    rows = df.repartition(key).select(key, F.explode_outer(words).alias("term"))
-    return rows.groupBy(key, "term").agg(F.count("term").alias("tf"))
+    # A lambda's variable is computed once per row, however often its body reads it.
+    runs = F.transform(F.array(F.array_sort(words)), _run_lengths)[0]
+    rows = df.select(key, F.explode_outer(runs).alias("_r"))
+    return rows.select(key, F.col("_r.term").alias("term"), F.coalesce("_r.tf", F.lit(0)).cast("bigint").alias("tf"))
+
+
+def _run_lengths(words: Column) -> Column:
+    """``[(term, tf)]`` of a sorted list."""
+    marked = F.transform(words, lambda w, i: F.when((i == 0) | (w != F.get(words, i - 1)), i))
+    starts = F.filter(marked, lambda i: i.isNotNull())
+    ends = F.transform(F.array(starts), lambda s: F.concat(F.slice(s, F.lit(2), F.size(s)), F.array(F.size(words))))[0]
+    return F.zip_with(starts, ends, lambda a, b: F.struct(F.get(words, a).alias("term"), (b - a).alias("tf")))
 
 
 def vocabulary_counts(df: DataFrame, key: str, text: str, vocabulary: Sequence[str]) -> DataFrame:
@@ -89,20 +96,26 @@ HOT_TERMS = 1024
 
 def with_document_frequency(counts: DataFrame, dfreq: DataFrame, key: str,
                             hot: int = HOT_TERMS) -> DataFrame:
-    """Attach ``df`` to every ``(key, term)`` row of an unbounded vocabulary without skew.
+    """Attach ``df`` to every ``(key, term)`` row of an unbounded vocabulary without skew."""
+    return with_term_value(counts, dfreq, key, "df", "df", hot)
+
 
-    The ``hot`` most frequent terms are broadcast: that table has a fixed number of rows. Rows
-    they resolve take a unique filler as join key for the second, shuffled join, so a word
-    found in a third of all reviews never gathers in one task.
+def with_term_value(counts: DataFrame, terms: DataFrame, key: str, size: str, value: str,
+                    hot: int = HOT_TERMS) -> DataFrame:
+    """Attach the ``value`` column of ``terms`` to every ``(key, term)`` row without skew.
+
+    The ``hot`` terms with the largest ``size`` are broadcast: that table has a fixed number of
+    rows. Rows they resolve take a unique filler as join key for the second, shuffled join, so a
+    word found in a third of all reviews never gathers in one task.
     """
-    top = (dfreq.orderBy(F.desc("df"), "term").limit(hot)
-           .select("term", F.col("df").alias("_hot")))
-    rest = dfreq.select(F.col("term").alias("_term"), F.col("df").alias("_df"))
+    top = (terms.orderBy(F.desc(size), "term").limit(hot)
+           .select("term", F.col(value).alias("_hot")))
+    rest = terms.select(F.col("term").alias("_term"), F.col(value).alias("_cold"))
     rows = counts.join(F.broadcast(top), "term", "left").withColumn(
         "_key", F.when(F.col("_hot").isNull() & F.col("term").isNotNull(), F.col("term"))
         .otherwise(F.concat(F.lit("\u0000"), F.col(key).cast("string"))))
     joined = rows.join(rest, F.col("_key") == F.col("_term"), "left")
-    return joined.select(*counts.columns, F.coalesce("_hot", "_df").alias("df"))
+    return joined.select(*counts.columns, F.coalesce("_hot", "_cold").alias(value))
 
 
 def tfidf_aspect_cosine(df: DataFrame, key: str, text: str, terms: Mapping[str, Sequence[str]],
@@ -176,13 +189,14 @@ def language_tag(df: DataFrame, key: str, text: str, profiles: DataFrame, n: int
 
     ``profiles`` has a row for each language and n-gram (see ``language_profiles``); the planner broadcasts
     it when its measured size allows. Scores of a review are summed map-side; text without any
-    known n-gram is ``unknown``.
+    known n-gram is ``unknown``, kept by the outer join rather than joined back.
     """
-    hits = (df.select(key, F.explode(_ngrams(F.col(text), n)).alias("gram"))
-            .join(profiles, "gram"))
+    hits = (df.select(key, F.explode_outer(_ngrams(F.col(text), n)).alias("gram"))
+            .join(profiles, "gram", "left"))
     scores = hits.groupBy(key, "lang").agg(F.bround(F.sum("share"), 9).alias("s"))
-    best = scores.groupBy(key).agg(F.max(F.struct("s", F.col("lang"))).getField("lang").alias("lang"))
-    return df.select(key).join(best, key, "left").select(
+    known = F.when(F.col("lang").isNotNull(), F.struct("s", "lang"))
+    best = scores.groupBy(key).agg(F.max(known).getField("lang").alias("lang"))
+    return best.select(
         key, F.coalesce("lang", F.lit("unknown")).alias("detected_lang"),
         F.coalesce(F.col("lang") == "en", F.lit(False)).alias("is_english"))
 
@@ -204,25 +218,45 @@ def spam_score(df: DataFrame, key: str, text: str, scorer: Scorer, batch: int =
         run, f"{key} {dtype}, spam_label string, spam_confidence double")
 
 
-def fit_spam_model(labelled: DataFrame, text: str, label: str, features: int = 1 << 16):
-    """Naive Bayes over hashed words; the model size is fixed by ``features``."""
-    words = SQLTransformer(statement=(
-        f"SELECT *, regexp_extract_all(lower({text}), '[\\\\p{{L}}\\\\p{{N}}_]+', 0) AS _words "
-        "FROM __THIS__"))
-    return Pipeline(stages=[
-        words, HashingTF(inputCol="_words", outputCol="_features", numFeatures=features),
-        NaiveBayes(featuresCol="_features", labelCol=label, probabilityCol="_probability",
-                   rawPredictionCol="_raw", predictionCol="_prediction"),
-    ]).fit(labelled.select(text, F.col(label).cast("double").alias(label)))
-
-
-def spam_score_with_model(df: DataFrame, key: str, text: str, model) -> DataFrame:
-    """Score reviews with a fitted pipeline, entirely inside the JVM."""
-    scored = model.transform(df.select(key, text))
-    spam = vector_to_array("_probability")[1]
-    return scored.select(
-        key, F.when(spam > 0.5, "spam").otherwise("ham").alias("spam_label"),
-        S.half_even(F.when(spam > 0.5, spam).otherwise(1 - spam), 3).alias("spam_confidence"))
+SPAM_WORDS = r"[\p{L}\p{N}_]+"
+
+
+@dataclass(frozen=True)
+class SpamModel:
+    """Naive Bayes over words: ``terms`` has ``(term, n, weight)``, ``prior`` the log odds of spam."""
+
+    terms: DataFrame
+    prior: Column
+
+
+def fit_spam_model(labelled: DataFrame, text: str, label: str) -> SpamModel:
+    """Multinomial Naive Bayes of two classes with add-one smoothing, on every row with a label.
+
+    Words are counted per class with map-side sums. A term's weight is the logarithm of its share
+    in spam over its share in the rest. The counts are stored, because scoring reads them twice.
+    """
+    rows = labelled.filter(F.col(label).isNotNull()).select((F.col(label) > 0).alias("_spam"), F.col(text).alias("_text"))
+    words = rows.select("_spam", F.explode(F.regexp_extract_all(F.lower("_text"), F.lit(SPAM_WORDS), F.lit(0))).alias("term"))
+    counts = materialize(words.groupBy("term").agg(F.count_if("_spam").alias("spam"), F.count_if(~F.col("_spam")).alias("ham")))
+    total = counts.agg(F.struct(F.sum("spam").alias("spam"), F.sum("ham").alias("ham"), F.count("*").alias("terms")).alias("x")).scalar()
+
+    def share(c: str) -> Column:
+        return (F.col(c) + 1) / (total[c] + total["terms"])
+
+    terms = counts.select("term", (F.col("spam") + F.col("ham")).alias("n"), (F.log(share("spam")) - F.log(share("ham"))).alias("weight"))
+    odds = F.log((F.count_if("_spam") + 1) / (F.count_if(~F.col("_spam")) + 1))
+    return SpamModel(terms, rows.agg(odds.alias("x")).scalar())
+
+
+def spam_score_with_model(df: DataFrame, key: str, text: str, model: SpamModel) -> DataFrame:
+    """``(key, spam_label, spam_confidence)``; words that no labelled row has say nothing."""
+    counts = term_counts(df, key, text, SPAM_WORDS)
+    found = with_term_value(counts, model.terms, key, "n", "weight")
+    sums = found.groupBy(key).agg(F.coalesce(F.sum(F.col("tf") * F.col("weight")), F.lit(0.0)).alias("_s"))
+    odds = sums.select(key, (F.col("_s") + model.prior).alias("_odds"))
+    return odds.select(
+        key, F.when(F.col("_odds") > 0, "spam").otherwise("ham").alias("spam_label"),
+        S.half_even(1 / (1 + F.exp(-F.abs("_odds"))), 3).alias("spam_confidence"))
 
 
 def token_budget(df: DataFrame, text: str, budget: int = dims.EVIDENCE_TOKEN_BUDGET,

@@ -213,7 +213,19 @@ def language_tag(spark, sf):
     return T.language_tag(df, "review_id", "review", T.language_profiles(df, "review", "product"))
 
 
-@query("spam_score")
+@query("spam_score", V.rev_sql(r"""
+, tf AS (SELECT review_id, term, count(*) AS tf FROM (
+    SELECT review_id, unnest(regexp_extract_all(lower(review), '[\p{L}\p{N}_]+')) AS term FROM reviews) GROUP BY ALL),
+lab AS (SELECT review_id, toxic FROM reviews JOIN labels ON doc_id = review_id WHERE toxic IS NOT NULL),
+odds AS (SELECT ln((count(*) FILTER (WHERE toxic > 0) + 1) / (count(*) FILTER (WHERE toxic <= 0) + 1)) AS prior FROM lab),
+c AS (SELECT term, coalesce(sum(tf) FILTER (WHERE toxic > 0), 0) AS spam, coalesce(sum(tf) FILTER (WHERE toxic <= 0), 0) AS ham
+      FROM tf JOIN lab USING (review_id) GROUP BY term),
+t AS (SELECT sum(spam) + count(*) AS spam, sum(ham) + count(*) AS ham FROM c),
+w AS (SELECT term, ln((c.spam + 1) / t.spam) - ln((c.ham + 1) / t.ham) AS weight FROM c, t),
+s AS (SELECT review_id, sum(tf * weight) AS s FROM tf JOIN w USING (term) GROUP BY review_id),
+o AS (SELECT review_id, prior + coalesce(s, 0) AS o FROM odds, reviews LEFT JOIN s USING (review_id))
+SELECT review_id, CASE WHEN o > 0 THEN 'spam' ELSE 'ham' END AS spam_label,
+       round_even(1 / (1 + exp(-abs(o))), 3) AS spam_confidence FROM o"""))
 def spam_score(spark, sf):
     """Train on all labelled documents, score every document; ``toxic`` stands in for a spam label."""
     docs = V.reviews(spark, sf)
