@@ -66,6 +66,24 @@ def line_dedup(docs, least=40):
     return out
 
 
+def line_runs(docs, least=40):
+    """Texts without any run of lines of at least ``least`` words that has occurred at an earlier place."""
+    seen, out = set(), {}
+    for d, text in docs:
+        lines = (text or "").split("\n")
+        some = [i for i, x in enumerate(lines) if x]
+        cut = set()
+        for a in range(len(some)):
+            for b in range(a + 1, len(some) + 1):
+                key = tuple(lines[i] for i in some[a:b])
+                if sum(len(x.encode().split()) for x in key) >= least:
+                    if key in seen:
+                        cut |= set(some[a:b])
+                    seen.add(key)
+        out[d] = None if text is None else "\n".join(x for i, x in enumerate(lines) if i not in cut)
+    return out
+
+
 def greedy(word, first, inner):
     at, count = 0, 0
     while at < len(word):

@@ -98,6 +98,18 @@ def test_lines(docs, texts, odd, empty):
     assert line_dedup.without_repeated_lines(odd)[0].count() == 8
 
 
+def test_lines_of_whole_runs(spark):
+    rng = random.Random(12)
+    lines = [" ".join(words(rng, n)) for n in (7, 25, 25, 3, 4)]
+    texts = ["\n".join(["before", *lines, "after"]), "\n".join(["other", *lines, "end"]), "\n".join([*lines[1:], " ", "\r"]), "\n".join([*lines[1:], " ", "\r"])]
+    pool = [" ".join(words(rng, n)) for n in (1, 2, 5, 8, 13, 21, 40, 45)] + [" "]
+    texts += ["\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 14))) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    got = {r.doc_id: r.text for r in line_dedup.without_repeated_lines(docs)[0].collect()}
+    assert got == brute.line_runs(list(enumerate(texts)))
+    assert got[1] == "other\nend" and got[3] == ""
+
+
 def test_benchmark(spark, docs, texts, odd, empty):
     rng = random.Random(9)
     items = [(k, " ".join(x.split()[:k])) for k, x in enumerate(t for t in texts if t and len(t.split()) > 40)][5:30]

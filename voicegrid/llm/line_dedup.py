@@ -1,10 +1,12 @@
 """Repeated runs of lines, found by winnowing over line hashes and cut from all but the first document.
 
-A window is a run of lines, begun at any line and ended as soon as it has ``least_words`` words. Its
-fingerprint is its line with the smallest hash. Equal windows have equal fingerprints, so two texts that
-share a window share one. Only windows whose fingerprint occurs at two places are looked at further: their
-whole content is hashed, and every one that has occurred earlier is cut. Neighbouring windows that repeat
-join to the longest repeated run, as if the match had been extended line by line both ways.
+A window is a run of lines, begun at any line and ended as soon as it has ``least_words`` words, or ended at
+any line and begun as late as it can be to have them. Its fingerprint is its line with the smallest hash.
+Equal windows have equal fingerprints, so two texts that share a window share one. Only windows whose
+fingerprint occurs at two places are looked at further: their whole content is hashed, and every one that has
+occurred earlier is cut. Windows of both kinds together cover each repeated run to its first and last line,
+so those that repeat join to what extending a match line by line both ways would find: in a run, the lines up
+to the end of the window begun at its first line are in that one, and each later line ends a window inside the run.
 """
 
 from __future__ import annotations
@@ -35,6 +37,11 @@ def line_windows(raw: np.ndarray, begins: np.ndarray, least_words: int) -> dict[
     stop = lines.first[1:][lines.doc] if n else np.zeros(0, np.int64)
     ok = last < stop
     i, j = np.flatnonzero(ok), last[ok]
+    # Windows ended at a line where none of those above ends (if one does, the shortest of them is the same window).
+    tails = np.setdiff1d(np.arange(n), j)
+    heads = np.searchsorted(total, total[tails + 1] - least_words, side="right") - 1  # last line it can begin at
+    ok = heads >= lines.first[lines.doc[tails]]
+    i, j = np.r_[i, heads[ok]], np.r_[j, tails[ok]]
     mark, at = h[i].copy(), i.copy()
     content = np.zeros(len(i), np.uint64)
     span, live, k = j - i, np.arange(len(i)), 0
