@@ -171,6 +171,21 @@ def test_packing(docs, texts, odd, empty, capacity):
     assert sum(r.start == 0 for r in pieces) == 8 and sum(r.length for r in pieces) == sum(r.doc_tokens for r in pieces if r.start == 0)
 
 
+def test_packing_deals_only_rests(spark):
+    capacity, group = 64, 20
+    rows = [(i, f"t{i} " * (64 * 30 + 10 + i)) for i in range(30)] + [(99, "one " * (64 * 50 - 1)), (99, "one " * (64 * 50 - 1)), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    pieces = packing.pack(docs, tokens.default_tokenizer(), capacity=capacity, group_pieces=group).collect()
+    dealt, sequences = {}, {}
+    for r in pieces:
+        sequences.setdefault(r.sequence_id, []).append(r)
+        if r.sequence_id < 1 << 62:
+            dealt[r.sequence_id >> 32] = dealt.get(r.sequence_id >> 32, 0) + r.length
+    assert sum(dealt.values()) == sum(r.doc_tokens % capacity for r in pieces if r.start == 0) and max(dealt.values()) <= 2 * group * capacity
+    assert all(len(s) == 1 and s[0].length == capacity and s[0].start % capacity == 0 for n, s in sequences.items() if n >= 1 << 62)
+    assert sum(r.length for r in pieces) == sum(r.doc_tokens for r in pieces if r.start == 0)
+
+
 def test_first_fit_decreasing():
     rng = random.Random(3)
     for _ in range(50):

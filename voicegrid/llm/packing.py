@@ -8,12 +8,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from voicegrid.llm.common import steps
+from voicegrid.llm.common import steps, stored
 from voicegrid.llm.tokens import WordTokenizer
 
 GROUP_PIECES = 4096
+FULL = 1 << 62  # sequence ids from here on are those of full pieces
 
 
 class CapacityTree:
@@ -95,27 +97,33 @@ def pack_group(sizes: list[int], capacity: int) -> list[list[tuple[int, int, int
     return done
 
 
+def _wide(ids: bytes, n: int) -> np.ndarray:
+    """``n`` stored ids, of two or four bytes each, as four-byte ids."""
+    return np.frombuffer(ids, "<u4" if len(ids) == 4 * n else "<u2").astype("<u4")
+
+
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 2, group_pieces: int = GROUP_PIECES,
          id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids``.
 
     A document's ids are those of its text (null and empty: none) and ``end_id``. Each full ``capacity`` of
-    them is a sequence by itself; only the rest, shorter than one sequence, is packed. Rests are dealt to
-    random groups of about ``group_pieces`` by a hash of their content and of how many equal ones a task has
-    seen, so that repeated rows spread as well and a repeated task deals alike. A group is at most some
+    them is a sequence by itself, numbered by the task that encodes it; only the rest, shorter than one
+    sequence, is moved and packed. The encoded pieces are stored, and the rests are counted: they are dealt
+    to random groups of about ``group_pieces`` by a hash of their content and of how many equal ones a task
+    has seen, so that repeated rows spread as well and a repeated task deals alike. A group is at most some
     ``group_pieces * capacity`` ids, whatever the length of the documents. Repeated rows are packed each.
     """
-    groups = max(1, -(-docs.count() // group_pieces))
     field = T.StructField
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    dealt = T.StructType([field("group", T.LongType()), rows.schema["doc_id"], field("start", T.LongType()),
+    dealt = T.StructType([field("full", T.BooleanType()), field("number", T.LongType()), rows.schema["doc_id"], field("start", T.LongType()),
                           field("doc_tokens", T.LongType()), field("ids", T.BinaryType())])
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, seen = WordTokenizer(tokenizer), Counter()
         tokens, end = words.encode, np.array([end_id], words.type).tobytes()
+        number = FULL + (TaskContext.get().partitionId() << 36)
         for batch in batches:
             for part in steps(batch, "text"):
-                out: tuple[list, ...] = ([], [], [], [])
+                out: tuple[list, ...] = ([], [], [], [], [])
                 at = []
                 for row, text in enumerate(part.column("text").cast(pa.binary()).to_pylist()):
                     ids = tokens(text) + end
@@ -123,24 +131,37 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 2,
                     n, crc = len(ids) // width, zlib.crc32(ids)
                     seen[crc] += 1
                     for start in range(0, n, capacity):
-                        key = crc * 0x9E3779B97F4A7C15 + (seen[crc] << 20) + start // capacity
-                        key = (key ^ (key >> 29)) * 0xBF58476D1CE4E5B9 & (1 << 64) - 1
-                        for x, v in zip(out, ((key >> 17) % groups, start, n, ids[width * start:width * (start + capacity)]), strict=True):
+                        full = n - start >= capacity
+                        if full:
+                            key = number
+                            number += 1
+                        else:
+                            key = crc * 0x9E3779B97F4A7C15 + (seen[crc] << 20) + start // capacity
+                            key = ((key ^ (key >> 29)) * 0xBF58476D1CE4E5B9 & (1 << 64) - 1) >> 17
+                        for x, v in zip(out, (full, key, start, n, ids[width * start:width * (start + capacity)]), strict=True):
                             x.append(v)
                         at.append(row)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(out[0], pa.int64()), part.column("doc_id").take(pa.array(at, pa.int32())),
-                     pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary())], dealt.names)
+                    [pa.array(out[0], pa.bool_()), pa.array(out[1], pa.int64()), part.column("doc_id").take(pa.array(at, pa.int32())),
+                     pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.binary())], dealt.names)
 
     packed = T.StructType([rows.schema["doc_id"], *(field(c, T.LongType()) for c in (
         "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")), field("ids", T.BinaryType())])
 
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = [_wide(b, capacity).tobytes() for b in batch.column("ids").to_pylist()]
+            same = [pa.array([v] * len(ids), pa.int64()) for v in (capacity, 0)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("start"), same[0], pa.array([zlib.crc32(b) for b in ids], pa.int64()),
+                 batch.column("doc_tokens"), batch.column("number"), same[1], pa.array(ids, pa.binary())], packed.names)
+
     def place(table: pa.Table) -> pa.Table:
         group = table.column("group")[0].as_py()
         starts, totals = (table.column(c).to_numpy() for c in ("start", "doc_tokens"))
         blobs = table.column("ids").to_pylist()
         sizes = [int(min(capacity, n - s)) for s, n in zip(starts, totals, strict=True)]
-        wide = [np.frombuffer(b, "<u4" if len(b) == 4 * n else "<u2").astype("<u4") for b, n in zip(blobs, sizes, strict=True)]
+        wide = [_wide(b, n) for b, n in zip(blobs, sizes, strict=True)]
         pieces = []
         for number, sequence in enumerate(pack_group(sizes, capacity)):
             offset = 0
@@ -152,7 +173,11 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 2,
         doc_id = table.column("doc_id").combine_chunks().take(pa.array(columns[0], pa.int32()))
         return pa.table([doc_id, *(pa.array(c, pa.int64()) for c in columns[1:7]), pa.array(columns[7], pa.binary())], packed.names)
 
-    return rows.mapInArrow(encode, dealt).groupBy("group").applyInArrow(place, packed)
+    pieces = stored(rows.mapInArrow(encode, dealt), "pieces")
+    rests = pieces.filter("NOT full")
+    groups = max(1, -(-rests.count() // group_pieces))
+    rests = rests.select((F.col("number") % groups).alias("group"), "doc_id", "start", "doc_tokens", "ids")
+    return pieces.filter("full").mapInArrow(alone, packed).unionByName(rests.groupBy("group").applyInArrow(place, packed))
 
 
 def packed_documents(docs: DataFrame, tokenizer: str, **options) -> DataFrame:
