@@ -89,6 +89,21 @@ def test_near(docs, texts, odd, empty, monkeypatch):
     assert ngram_join.without_near_duplicates(docs).columns == docs.columns
 
 
+def test_one_row_of_each_near_group(spark):
+    rng = random.Random(21)
+    base = words(rng, 100, 10 ** 6)
+    a, b = " ".join(base), " ".join([*base[:-1], "new"])
+    other, lone, far = (" ".join(words(rng, 30, 10 ** 6)) for _ in range(3))
+    rows = [(5, a, "x"), (5, a, "y"), (5, b, "x"), (7, b, "x"), (None, a, "x"), (None, lone, "x"), (3, far, "x"), (3, other, "x"), (4, other, "x"),
+            (None, b, "x"), (None, "one two", "p"), (None, "one two", "q"), (None, None, "x"), (None, None, "x"), (9, " ", "x"), (9, " ", "x")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, h1 string").repartition(4)
+    got = [tuple(r) for r in ngram_join.without_near_duplicates(docs).collect()]
+    texts = sorted((r[1] or "").strip() for r in got)
+    assert [t for t in texts if t not in (a, b)] == sorted(["", "", "", "", other, lone, far, "one two"])
+    assert len([r for r in got if r[1] in (a, b)]) == 1 and {r[0] for r in got if r[1] in (a, b)} == {5}
+    assert {r[0] for r in got if r[1] in (far, other)} == {3} and set(got) <= set(rows)
+
+
 def test_lines(docs, texts, odd, empty):
     want = brute.line_dedup(list(enumerate(texts)))
     out, lines, _ = line_dedup.without_repeated_lines(docs)

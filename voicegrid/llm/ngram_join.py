@@ -19,10 +19,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from voicegrid.llm import bytewords as B
-from voicegrid.llm.common import BROADCAST_ROWS, binaries, lookup, steps, stored, text_buffers
+from voicegrid.llm.common import BROADCAST_ROWS, binaries, fresh, lookup, steps, stored, text_buffers
 
 PERCENT = 80
 NGRAM = 5
@@ -75,8 +75,9 @@ def _digest_array(digests: np.ndarray) -> pa.Array:
 
 
 def _documents(docs: DataFrame, text: str) -> DataFrame:
-    """``row, doc_id, n, class`` of every document, and (``gram, seen``) of n-grams frequent in some task."""
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("n", T.LongType()), T.StructField("class", T.BinaryType()),
+    """All columns but the text, and ``n, class``, of every document, and (``gram, seen``) of n-grams frequent in some task."""
+    carried = [f for f in docs.schema.fields if f.name != text]
+    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in carried), T.StructField("n", T.LongType()), T.StructField("class", T.BinaryType()),
                            T.StructField("gram", T.LongType()), T.StructField("seen", T.LongType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,17 +88,17 @@ def _documents(docs: DataFrame, text: str) -> DataFrame:
             often = seen >= max(8, classes // HOT_SHARE)
             k = int(often.sum())
             return pa.RecordBatch.from_arrays(
-                [pa.nulls(k, doc_type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()),
+                [*(pa.nulls(k, t) for t in types), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()),
                  pa.array(grams[often].view(np.int64)), pa.array(seen[often].astype(np.int64))], schema.names)
 
         for batch in batches:
-            doc_type = batch.column("doc_id").type
+            types = [batch.column(f.name).type for f in carried]
             for part in steps(batch, text):
                 grams, first = ngram_sets(part.column(text))
                 digests = set_digests(grams, first)
                 n = np.diff(first)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(n), _digest_array(digests),
+                    [*(part.column(f.name) for f in carried), pa.array(n), _digest_array(digests),
                      pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.int64())], schema.names)
                 for d, name in enumerate(digests):
                     if n[d] and (key := name.tobytes()) not in met:
@@ -383,6 +384,27 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
     return roots
 
 
+def _first_of_components(rows: DataFrame, place: Column, percent: int) -> tuple[DataFrame, DataFrame]:
+    """``rows`` (``doc_id``, ``text`` and others) without texts but with ``n, class``; and ``class, copies, first`` of
+    all classes that have several rows or links, where ``first`` is the smallest ``place`` of the component."""
+    seen = stored(_documents(rows, "text"), "documents")
+    known = seen.filter("n IS NOT NULL").drop("gram", "seen")
+    totals = known.agg(F.count(F.lit(1)), F.sum("n")).first()
+    often = seen.filter("n IS NULL").groupBy("gram").agg(F.sum("seen").alias("seen")).filter(F.col("seen") * HOT_SHARE >= totals[0])
+    # At most HOT_SHARE n-grams for each n-gram of an average document: their counts add up to no more than all n-grams.
+    hot = {r["gram"]: r["seen"] for r in often.collect()}
+    spark = rows.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(totals[1] or 0) // (2 * FLUSH)))
+    grams = _gram_rows(rows.select("doc_id", "text"), "text", np.array(sorted(hot), np.int64).view(_U), parts)
+    sets = stored(_candidates_of_class(_shared_grams(grams, hot, parts), percent).withColumn("k", F.monotonically_increasing_id()), "sets")
+    roots = _links(sets, percent).join(sets.select(F.col("k").alias("node"), "class"), "node").select("class", "root")
+    classes = known.filter("n > 0").groupBy("class").agg(F.min(place).alias("low"), F.count(F.lit(1)).alias("copies"))
+    named = stored(classes.join(roots, "class", "left").filter("copies > 1 OR root IS NOT NULL"), "classes")
+    lows = named.filter("root IS NOT NULL").groupBy("root").agg(F.min("low").alias("first"))
+    table = named.join(lows, "root", "left").select("class", "copies", F.coalesce("first", "low").alias("first"))
+    return known, stored(table, "named")
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id`` per row: the size of the document's set of word 5-grams, and the
     smallest id that links reach from it.
@@ -393,29 +415,27 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     ignored. Sets are compared by 64-bit hashes of their n-grams.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    seen = stored(_documents(rows, "text"), "documents")
-    known = seen.filter("n IS NOT NULL").select("doc_id", "n", "class")
-    totals = known.agg(F.count(F.lit(1)), F.sum("n")).first()
-    often = seen.filter("n IS NULL").groupBy("gram").agg(F.sum("seen").alias("seen")).filter(F.col("seen") * HOT_SHARE >= totals[0])
-    # At most HOT_SHARE n-grams for each n-gram of an average document: their counts add up to no more than all n-grams.
-    hot = {r["gram"]: r["seen"] for r in often.collect()}
-    spark = docs.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(totals[1] or 0) // (2 * FLUSH)))
-    grams = _gram_rows(rows, "text", np.array(sorted(hot), np.int64).view(_U), parts)
-    sets = stored(_candidates_of_class(_shared_grams(grams, hot, parts), percent).withColumn("k", F.monotonically_increasing_id()), "sets")
-    roots = _links(sets, percent).join(sets.select(F.col("k").alias("node"), "class"), "node").select("class", "root")
-    classes = known.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies"))
-    named = stored(classes.join(roots, "class", "left").filter("copies > 1 OR root IS NOT NULL"), "classes")
-    lows = named.filter("root IS NOT NULL").groupBy("root").agg(F.min("low").alias("component_id"))
-    table = named.join(lows, "root", "left").select("class", "copies", F.coalesce("component_id", "low").alias("component_id"))
-    table = stored(table, "named")
+    known, table = _first_of_components(rows, F.col("doc_id"), percent)
     return lookup(known, table, ["class"], "copies").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("first", "doc_id").alias("component_id"))
 
 
 def without_near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that have the smallest id of their component. Rows without an id stay if nothing
-    with an id links to them."""
-    kept = near_duplicates(docs, percent, id_col, text_col).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    ids = kept.select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(ids, docs[id_col].eqNullSafe(ids["_kept"]), "left_semi")
+    """One row of each component: the one with the smallest id, null ids last, then the smallest hash of the text.
+
+    Rows are told apart by two hashes of id and text, so they need no number that a second reading of ``docs``
+    might give differently. Of rows equal in both one stays, chosen by the other columns. Rows without words
+    are components of their own and all stay. Texts are moved once; repeated rows are cut in their task first.
+    """
+    spoken = F.coalesce(F.col(text_col).rlike("[^ \\t\\n\\x0B\\f\\r]"), F.lit(False))
+    same = [F.xxhash64(F.lit(k), F.col(id_col).isNull(), F.col(id_col), F.col(text_col)) for k in (1, 2)]
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), same[0].alias("h1"), same[1].alias("h2"))
+    place = F.struct(F.col("doc_id").isNull().alias("unnumbered"), "doc_id", "h1", "h2")
+    known, table = _first_of_components(rows, place, percent)
+    later = lookup(known, table, ["class"], "copies").filter("first.h1 != h1 OR first.h2 != h2")
+    h1, h2, turn = (fresh(docs, x) for x in ("h1", "h2", "turn"))
+    gone = stored(later.select(F.col("h1").alias(h1), F.col("h2").alias(h2)).distinct(), "later")
+    marked = docs.withColumns({h1: F.when(spoken, same[0]).otherwise(F.monotonically_increasing_id()), h2: F.when(spoken, same[1])})
+    others = [F.col(c) for c in docs.columns if c not in (id_col, text_col)]
+    once = marked.withColumn(turn, F.row_number().over(Window.partitionBy(h1, h2).orderBy(F.xxhash64(F.lit(0), *others)))).filter(F.col(turn) == 1)
+    return once.join(gone, [h1, h2], "left_anti").select(docs.columns)
