@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from voicegrid.llm.common import steps, stored
-from voicegrid.llm.tokens import WordTokenizer
+from voicegrid.llm.tokens import word_tokenizer
 
 GROUP_PIECES = 4096
 FULL = 1 << 62  # sequence ids from here on are those of full pieces
@@ -103,8 +103,9 @@ def _wide(ids: bytes, n: int) -> np.ndarray:
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 2, group_pieces: int = GROUP_PIECES,
-         id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids``.
+         id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+    """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids``; without the
+    last one, and without storing the ids of full pieces, where ``with_ids`` is false.
 
     A document's ids are those of its text (null and empty: none) and ``end_id``. Each full ``capacity`` of
     them is a sequence by itself, numbered by the task that encodes it; only the rest, shorter than one
@@ -116,14 +117,15 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 2,
     field = T.StructField
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
     dealt = T.StructType([field("full", T.BooleanType()), field("number", T.LongType()), rows.schema["doc_id"], field("start", T.LongType()),
-                          field("doc_tokens", T.LongType()), field("ids", T.BinaryType())])
+                          field("doc_tokens", T.LongType()), field("ids_crc32", T.LongType()), field("ids", T.BinaryType())])
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, seen = WordTokenizer(tokenizer), Counter()
+        words, seen = word_tokenizer(tokenizer), Counter()
         tokens, end = words.encode, np.array([end_id], words.type).tobytes()
         number = FULL + (TaskContext.get().partitionId() << 36)
         for batch in batches:
             for part in steps(batch, "text"):
-                out: tuple[list, ...] = ([], [], [], [], [])
+                out: tuple[list, ...] = ([], [], [], [], [], [])
                 at = []
                 for row, text in enumerate(part.column("text").cast(pa.binary()).to_pylist()):
                     ids = tokens(text) + end
@@ -131,30 +133,28 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 2,
                     n, crc = len(ids) // width, zlib.crc32(ids)
                     seen[crc] += 1
                     for start in range(0, n, capacity):
-                        full = n - start >= capacity
+                        full, piece, sum32 = n - start >= capacity, ids[width * start:width * (start + capacity)], None
                         if full:
-                            key = number
+                            key, sum32 = number, zlib.crc32(_wide(piece, capacity))
+                            piece = piece if with_ids else None
                             number += 1
                         else:
                             key = crc * 0x9E3779B97F4A7C15 + (seen[crc] << 20) + start // capacity
                             key = ((key ^ (key >> 29)) * 0xBF58476D1CE4E5B9 & (1 << 64) - 1) >> 17
-                        for x, v in zip(out, (full, key, start, n, ids[width * start:width * (start + capacity)]), strict=True):
+                        for x, v in zip(out, (full, key, start, n, sum32, piece), strict=True):
                             x.append(v)
                         at.append(row)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(out[0], pa.bool_()), pa.array(out[1], pa.int64()), part.column("doc_id").take(pa.array(at, pa.int32())),
-                     pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.binary())], dealt.names)
+                     *(pa.array(x, pa.int64()) for x in out[2:5]), pa.array(out[5], pa.binary())], dealt.names)
 
-    packed = T.StructType([rows.schema["doc_id"], *(field(c, T.LongType()) for c in (
-        "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")), field("ids", T.BinaryType())])
+    numbers = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    packed = T.StructType([rows.schema["doc_id"], *(field(c, T.LongType()) for c in numbers), *([field("ids", T.BinaryType())] if with_ids else [])])
 
-    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def widened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = [_wide(b, capacity).tobytes() for b in batch.column("ids").to_pylist()]
-            same = [pa.array([v] * len(ids), pa.int64()) for v in (capacity, 0)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("start"), same[0], pa.array([zlib.crc32(b) for b in ids], pa.int64()),
-                 batch.column("doc_tokens"), batch.column("number"), same[1], pa.array(ids, pa.binary())], packed.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(ids, pa.binary())], packed.names)
 
     def place(table: pa.Table) -> pa.Table:
         group = table.column("group")[0].as_py()
@@ -166,20 +166,24 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 2,
         for number, sequence in enumerate(pack_group(sizes, capacity)):
             offset = 0
             for i, start, length in sequence:
-                ids = wide[i][start:start + length].tobytes()
-                pieces.append((i, int(starts[i]) + start, length, zlib.crc32(ids), int(totals[i]), (group << 32) + number, offset, ids))
+                ids = wide[i][start:start + length]
+                pieces.append((i, int(starts[i]) + start, length, zlib.crc32(ids), int(totals[i]), (group << 32) + number, offset,
+                               *([ids.tobytes()] if with_ids else [])))
                 offset += length
         columns = list(zip(*pieces, strict=True))
         doc_id = table.column("doc_id").combine_chunks().take(pa.array(columns[0], pa.int32()))
-        return pa.table([doc_id, *(pa.array(c, pa.int64()) for c in columns[1:7]), pa.array(columns[7], pa.binary())], packed.names)
+        return pa.table([doc_id, *(pa.array(c, pa.int64()) for c in columns[1:7]), *(pa.array(c, pa.binary()) for c in columns[7:])], packed.names)
 
     pieces = stored(rows.mapInArrow(encode, dealt), "pieces")
     rests = pieces.filter("NOT full")
     groups = max(1, -(-rests.count() // group_pieces))
     rests = rests.select((F.col("number") % groups).alias("group"), "doc_id", "start", "doc_tokens", "ids")
-    return pieces.filter("full").mapInArrow(alone, packed).unionByName(rests.groupBy("group").applyInArrow(place, packed))
+    alone = pieces.filter("full").select("doc_id", "start", F.lit(capacity).cast("bigint").alias("length"), "ids_crc32", "doc_tokens",
+                                         F.col("number").alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"), *(["ids"] if with_ids else []))
+    alone = alone.mapInArrow(widened, packed) if with_ids else alone
+    return alone.unionByName(rests.groupBy("group").applyInArrow(place, packed))
 
 
 def packed_documents(docs: DataFrame, tokenizer: str, **options) -> DataFrame:
     """``docs`` cut into pieces, as ``pack`` returns them, without the ids themselves."""
-    return pack(docs, tokenizer, **options).drop("ids")
+    return pack(docs, tokenizer, **options, with_ids=False)

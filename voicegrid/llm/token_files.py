@@ -8,6 +8,7 @@ stripes and row groups by this metadata.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,10 +16,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from voicegrid.llm.common import BROADCAST_ROWS, steps
-from voicegrid.llm.tokens import WordTokenizer
+from voicegrid.llm.tokens import word_tokenizer
 
 STRIPE_BYTES = 16 << 20
 ROWS_PER_INDEX = 1000
+SAMPLED_PER_PART = 100
+
+
+def _range_bounds(docs: DataFrame, id_col: str, parts: int) -> tuple[list, int]:
+    """At most ``parts - 1`` ids that cut the ids into ranges of about equal rows, ascending, and how many
+    ranges rows without an id take. They come from a sample of some ``SAMPLED_PER_PART`` ids per range."""
+    ids = docs.select(id_col)
+    share = min(1.0, parts * SAMPLED_PER_PART / max(1, ids.count()))
+    found = [r[0] for r in (ids.sample(share, seed=1) if share < 1 else ids).collect()]
+    some = sorted(x for x in found if x is not None)
+    empty = round(parts * (1 - len(some) / len(found))) if found else 0
+    empty = min(parts - 1, max(empty, int(len(some) < len(found))))
+    return [some[len(some) * k // (parts - empty)] for k in range(1, parts - empty)] if some else [], empty
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1,
@@ -27,34 +41,46 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 
     Files follow each other in ascending ``doc_id`` (null first; repeated ids in the order of a text hash),
     as do rows within a file. ``begin`` counts the ids before a document within its part; ``read_documents``
-    adds those of earlier parts. Null and empty texts get the end id alone. Only the range partitioning
-    shuffles, and ties are cut by the text hash, so that one repeated id can be spread over many parts.
+    adds those of earlier parts. Null and empty texts get the end id alone. Texts are encoded where they are
+    read, and only their ids are moved, to ranges of ``doc_id`` known beforehand. An id that fills ranges of
+    its own, or rows without one, are dealt to those ranges by the text hash.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bounds, empty = _range_bounds(docs, id_col, parts)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    keys = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
-    ordered = rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("part", F.spark_partition_id())
+    rows = rows.withColumn("digest", F.xxhash64("text"))
+    field = T.StructField
+    moved = T.StructType([rows.schema["doc_id"], field("digest", T.LongType()), field("part", T.IntegerType()), field("ids", T.BinaryType())])
     ids_type = T.ArrayType(T.IntegerType(), False)
-    schema = T.StructType([ordered.schema["doc_id"], T.StructField("part", T.IntegerType()),
-                           T.StructField("begin", T.LongType()), T.StructField("n_tokens", T.LongType()),
-                           T.StructField("ids", ids_type)])
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, before = WordTokenizer(tokenizer), 0
-        encode, end = words.encode, np.array([end_id], words.type).tobytes()
+    schema = T.StructType([rows.schema["doc_id"], field("part", T.IntegerType()), field("begin", T.LongType()),
+                           field("n_tokens", T.LongType()), field("ids", ids_type)])
+
+    def place(doc_id, digest: int) -> int:
+        low, high = (0, max(0, empty - 1)) if doc_id is None else (empty + bisect_left(bounds, doc_id), empty + bisect_right(bounds, doc_id))
+        return low + (high - low + 1) * (digest + (1 << 63)) // (1 << 64) if high > low else low
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = word_tokenizer(tokenizer)
+        tokens, end = words.encode, np.array([end_id], words.type).tobytes()
         for batch in batches:
             for part in steps(batch, "text"):
-                found = [encode(t) + end for t in part.column("text").cast(pa.binary()).to_pylist()]
-                sizes = np.array([len(x) // words.type.itemsize for x in found], np.int64)
-                ends = np.cumsum(sizes)
-                ids = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)),
-                                               pa.array(np.frombuffer(b"".join(found), words.type).astype(np.int32)))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("part"), pa.array(before + ends - sizes), pa.array(sizes), ids],
-                    schema.names)
-                before += int(ends[-1])
-
-    (ordered.mapInArrow(work, schema).write
+                at = [place(i, d) for i, d in zip(part.column("doc_id").to_pylist(), part.column("digest").to_pylist(), strict=True)]
+                ids = [tokens(t) + end for t in part.column("text").cast(pa.binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("digest"), pa.array(at, pa.int32()), pa.array(ids, pa.binary())], moved.names)
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind, before = word_tokenizer(tokenizer).type, 0
+        for batch in batches:
+            found = batch.column("ids").to_pylist()
+            sizes = np.array([len(x) // kind.itemsize for x in found], np.int64)
+            ends = np.cumsum(sizes)
+            ids = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(np.frombuffer(b"".join(found), kind).astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("part"), pa.array(before + ends - sizes), pa.array(sizes), ids], schema.names)
+            before += int(ends[-1]) if len(ends) else 0
+
+    ordered = rows.mapInArrow(encode, moved).repartitionById(parts, "part").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "digest")
+    (ordered.mapInArrow(number, schema).write
      .option("compression", "zstd").option("orc.stripe.size", STRIPE_BYTES).option("orc.row.index.stride", ROWS_PER_INDEX)
      .option("orc.create.index", "true").option("orc.bloom.filter.columns", "doc_id").orc(path))
 

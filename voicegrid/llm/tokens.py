@@ -2,11 +2,13 @@
 
 The tokenizer cuts at white space and into words, and encodes each word by itself. So chunks between ASCII
 white space are looked up, chunks that are new are put together from their words, and only new words are
-encoded. Memory is bounded: the tables are emptied when they are full.
+encoded. A worker process keeps its table from task to task. Memory is bounded: a full table becomes the old
+one, of which chunks that come again are taken over, and the old one before it goes.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 from array import array
 
@@ -19,8 +21,9 @@ PLAIN = re.compile(f"[\x21-\x7e\xa1-\xac\xae-\xbf{_LATIN}]*")
 _LETTER = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u012f\u0131\u0134-\u017f"
 _NUMBER = "0-9\xb2\xb3\xb9\xbc-\xbe"
 WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^\\s{_LETTER}{_NUMBER}]+")
+SIGNS = b".,;:!?\"()"
 KEPT_CHUNKS = 500_000
-LONG_CHUNK = 10  # bytes; longer chunks that aren't plain words are put together again each time
+LONGEST_KEPT = 64  # bytes; longer chunks are encoded each time
 
 
 def _byte_characters() -> str:
@@ -34,31 +37,41 @@ BYTE_CHARACTERS = dict(enumerate(_byte_characters()))
 
 
 class _Kept(dict):
-    """Chunk to its ids, packed."""
+    """Chunk to its ids, packed; at most two tables of ``KEPT_CHUNKS``, the newer one being this."""
 
     def __init__(self, library):
         super().__init__()
         self.library, self.pieces = library, library.model.tokenize
+        self.old: dict[bytes, bytes] = {}
         self.code = "H" if library.get_vocab_size() <= 1 << 16 else "I"
 
     def word(self, word: str) -> bytes:
         shown = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_CHARACTERS)
         return array(self.code, [p.id for p in self.pieces(shown)]).tobytes()
 
-    def __missing__(self, chunk: bytes) -> bytes:
-        if len(self) >= KEPT_CHUNKS:
-            self.clear()
-        text, keep = chunk.decode(), True
+    def new(self, chunk: bytes) -> bytes:
+        word = chunk.rstrip(SIGNS)
+        if word.isalpha():  # ASCII letters, and signs behind them, are words of their own
+            low = word.lower()
+            if low != chunk:
+                return self[low] if len(word) == len(chunk) else self[low] + self[chunk[len(word):]]
+            return array(self.code, [p.id for p in self.pieces(low.decode())]).tobytes()
+        text = chunk.decode()
         if b"<|" in chunk or not (text.isascii() and text.isprintable() or PLAIN.fullmatch(text)):
-            packed = array(self.code, self.library.encode(text, add_special_tokens=False).ids).tobytes()
-        else:
-            words = WORD.findall(text.lower())
-            if len(words) == 1 and words[0] == text:
-                packed = self.word(text)
-            else:
-                packed = b"".join([self[w.encode()] if w != text else self.word(w) for w in words])
-                keep = len(chunk) <= LONG_CHUNK
-        if keep:
+            return array(self.code, self.library.encode(text, add_special_tokens=False).ids).tobytes()
+        words = WORD.findall(text.lower())
+        if len(words) == 1 and words[0] == text:
+            return self.word(text)
+        return b"".join([self[w.encode()] if w != text else self.word(w) for w in words])
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        packed = self.old.get(chunk)
+        if packed is None:
+            packed = self.new(chunk)
+        if len(chunk) <= LONGEST_KEPT:
+            if len(self) >= KEPT_CHUNKS:
+                self.old = dict(self)
+                self.clear()
             self[chunk] = packed
         return packed
 
@@ -77,6 +90,12 @@ class WordTokenizer:
         return b"".join(map(self.kept.__getitem__, text.split())) if text else b""
 
 
+@functools.lru_cache(maxsize=2)
+def word_tokenizer(path: str) -> WordTokenizer:
+    """The tokenizer of this worker process for a file, with the words it has met so far."""
+    return WordTokenizer(path)
+
+
 def default_tokenizer() -> str:
     """The path of the public tokenizer file that the registered queries use."""
     import public_tokenizers
