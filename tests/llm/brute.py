@@ -44,28 +44,6 @@ def hits(text, items, window=10):
     return len(w), len(hit), sorted(found)
 
 
-def line_dedup(docs, least=40):
-    """Texts after cutting; docs are (id, text) in order of their ids."""
-    seen, out = set(), {}
-    for d, text in docs:
-        lines = (text or "").split("\n")
-        some = [i for i, x in enumerate(lines) if x]
-        sizes = [len(lines[i].encode().split()) for i in some]
-        cut = set()
-        for a in range(len(some)):
-            total, b = 0, a
-            while b < len(some) and total < least:
-                total += sizes[b]
-                b += 1
-            if total >= least:
-                key = tuple(lines[i] for i in some[a:b])
-                if key in seen:
-                    cut |= set(some[a:b])
-                seen.add(key)
-        out[d] = None if text is None else "\n".join(x for i, x in enumerate(lines) if i not in cut)
-    return out
-
-
 def line_runs(docs, least=40):
     """Texts without any run of lines of at least ``least`` words that has occurred at an earlier place."""
     seen, out = set(), {}

@@ -3,19 +3,43 @@
 import pytest
 from pyspark.sql import functions as F
 
-from voicegrid.llm import quality, toxicity
+from voicegrid.llm import labelled, quality, toxicity
 
 FOLDER = "/root/testdata/sf0.01"
 
 
-@pytest.mark.parametrize("score, label, least", [(toxicity.score_documents, "toxic", 0.9), (quality.score_quality, "quality", 0.95)])
-def test_held_out(spark, score, label, least):
-    docs, labels = spark.read.parquet(f"{FOLDER}/documents.parquet"), spark.read.parquet(f"{FOLDER}/labels.parquet")
+def held_out_rows(spark, score, label, folder):
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
     out = score(docs, labels)
     assert out.count() == docs.count()
-    rows = out.join(labels, "doc_id").filter("held_out").collect()
-    assert sum(r.predicted == r[label] for r in rows) >= least * len(rows)
+    rows = out.join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
     assert all(0 <= r.score <= 1 for r in rows)
+    return rows
+
+
+def test_held_out_quality(spark):
+    rows = held_out_rows(spark, quality.score_quality, "quality", FOLDER)
+    assert sum(r.predicted == r.quality for r in rows) >= 0.95 * len(rows)
+
+
+@pytest.mark.parametrize("folder, least", [("/root/testdata/sf0.01", {"en": 1.0}), ("/root/testdata/sf0.1", {"en": 0.9, "de": 0.9, "fr": 0.9, "es": 0.8})])
+def test_held_out_toxicity(spark, folder, least):
+    """Recall of label 1 in each language that has enough labels, and the share of clean rows kept."""
+    rows = held_out_rows(spark, toxicity.score_documents, "toxic", folder)
+    caught = {}
+    for lang in {r.lang for r in rows}:
+        toxic, clean = ([r.predicted for r in rows if r.lang == lang and r.toxic == y] for y in (1, 0))
+        caught[lang] = (sum(toxic), len(toxic), sum(clean), len(clean))
+    assert all(caught[lang][0] >= share * caught[lang][1] for lang, share in least.items()), caught
+    assert sum(c[2] for c in caught.values()) <= 0.02 * sum(c[3] for c in caught.values()), caught
+
+
+def test_evidence_needs_no_switch():
+    import numpy as np
+    a, b = np.array([1.0, 8.0, 8.0, 0.0, 4.0]), np.array([0.0, 0.0, 40.0, 3.0, 0.0])
+    weak, strong, none, other, few = labelled.evidence(a, b, 30, 300)
+    assert 0 < weak < few < labelled.LEAST_EVIDENCE < strong and other == 0 and none < 3
+    assert (labelled.evidence(np.zeros(2), np.ones(2), 0, 9) == 0).all()
 
 
 @pytest.mark.parametrize("score", [toxicity.score_documents, quality.score_quality])

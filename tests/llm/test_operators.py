@@ -105,7 +105,7 @@ def test_one_row_of_each_near_group(spark):
 
 
 def test_lines(docs, texts, odd, empty):
-    want = brute.line_dedup(list(enumerate(texts)))
+    want = brute.line_runs(list(enumerate(texts)))
     out, lines, _ = line_dedup.without_repeated_lines(docs)
     rows = out.collect()
     assert {r.doc_id: r.text for r in rows} == want and any(r[lines] for r in rows)

@@ -38,7 +38,7 @@ def test_pipeline_stages(spark):
         if name == "toxicity":
             assert after.items() <= before.items() and len(after) > 0.8 * len(before)
         if name == "line_dedup":
-            want = brute.line_dedup(ordered)
+            want = brute.line_runs(ordered)
             assert after == {d: t for d, t in want.items() if t == before[d] or (t or "").strip(" ")}
         if name == "ngram_join":
             assert set(after) == {d for d, (_, low) in brute.near(ordered).items() if d == low}

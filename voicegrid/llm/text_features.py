@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -89,16 +90,24 @@ def distinct_terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return terms[new], docs[new]
 
 
+@dataclass
+class Terms:
+    """Ascending hashes of terms (see ``term_hashes``), and their weights."""
+
+    hashes: np.ndarray
+    weights: np.ndarray
+
+
 class Features:
     """``names`` and, called with a text array, a row of values for each text. Null and empty texts have zeros."""
 
     names = ["log_words", "word_length", "insults", "insult_kinds", "severe", "hidden_insults", "second_person", "insults_near_you",
              "capitals", "capital_words", "exclamations", "punctuation", "same_signs", "symbols", "digits", "mixed_words",
              "same_words", "distinct_words", "function_words", "line_words", "distinct_lines", "lone_signs",
-             "learned", "learned_kinds", "learned_near_you"]
+             "learned", "learned_kinds", "learned_near_you", "learned_most"]
 
-    def __init__(self, insults: list[str] = INSULTS, near: int = 5, learned: np.ndarray | None = None):
-        self.learned = np.zeros(0, np.uint64) if learned is None else learned
+    def __init__(self, insults: list[str] = INSULTS, near: int = 5, learned: Terms | None = None):
+        self.learned = learned or Terms(np.zeros(0, np.uint64), np.zeros(0))
         self.insults, self.severe = word_hashes(insults), word_hashes(SEVERE)
         self.you, self.function = word_hashes(SECOND_PERSON), word_hashes(FUNCTION_WORDS)
         self.near = near
@@ -134,11 +143,15 @@ class Features:
         plain = B.cut(_READ[raw[stay]], kept[begins], B.LETTER_OR_DIGIT)
         seen = per_doc(plain.doc[_among(B.hashes(plain), self.insults)])
         hits = per_doc(letters.doc[hit])
-        told = np.zeros(len(h), bool)
-        if len(self.learned):
+        weight = np.zeros(len(h))
+        if len(self.learned.hashes):
             for term, at in term_hashes(letters, h):
-                told[at[_among(term, self.learned)]] = True
-        told = np.flatnonzero(told)
+                hits_at = _among(term, self.learned.hashes)
+                place = np.searchsorted(self.learned.hashes, term[hits_at])
+                weight[at[hits_at]] = np.maximum(weight[at[hits_at]], self.learned.weights[place])
+        told = np.flatnonzero(weight)
+        strongest = np.zeros(n)
+        np.maximum.at(strongest, letters.doc[told], weight[told])
         capital = (upper[letters.end] - upper[letters.start] >= 2) & (lower[letters.end] == lower[letters.start])
         mixed = (digit[letters.end] > digit[letters.start]) & (lower[letters.end] + upper[letters.end] > lower[letters.start] + upper[letters.start])
         sign = _PUNCT[raw]
@@ -160,7 +173,7 @@ class Features:
             kinds(h, letters.doc) / count, per_doc(letters.doc[_among(h, self.function)]) / count,
             np.log1p(letters.counts / some), kinds(B.hashes(lines), lines.doc) / some, per_doc(chunks.doc[lone]) / np.maximum(chunks.counts, 1),
             per_doc(letters.doc[told]) / count, np.log1p(kinds(h[told], letters.doc[told])),
-            per_doc(letters.doc[told[_near(told, you, letters.doc, self.near)]]) / count,
+            per_doc(letters.doc[told[_near(told, you, letters.doc, self.near)]]) / count, strongest,
         ], 1).astype(np.float64)
 
 

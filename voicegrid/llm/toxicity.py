@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
-import numpy as np
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame, functions as F
 
 from voicegrid.llm.common import fresh, stored
-from voicegrid.llm.labelled import SAMPLE, held_out, telling_terms, training_texts, with_features
+from voicegrid.llm.labelled import SAMPLE, fold_of, held_out, telling_terms, training_texts, with_features
+from voicegrid.llm.text_features import Terms
 
 THRESHOLD = 0.3
 
@@ -22,7 +23,7 @@ class ToxicityModel:
 
     trees: GBTClassificationModel | None
     calibration: IsotonicRegressionModel | None
-    terms: np.ndarray | None
+    terms: Terms | None
     constant: float = 0.0
 
 
@@ -30,25 +31,35 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", sampl
                  depth: int = 3, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
     """Fit on at most ``sample`` labelled documents outside the held-out quarter.
 
-    They are dealt to three parts by a hash of the id: from the first, terms that toxic texts use are added
-    to the lexicon; on the second the trees are grown; the third calibrates them. So neither step is fitted
-    to rows that an earlier one has learned from. Few labels give no terms; then the trees get both parts.
+    Half of them may be of either label. Terms that toxic texts use are added to the lexicon; each text gets
+    its features with terms learned without it and its fold. Trees grown on each half of the rows score the
+    other half, and these scores calibrate; the trees that are kept grow on all rows. So neither step is fitted
+    to what an earlier one has learned by heart, and every label is used, at every size alike.
     """
-    rows = training_texts(docs, labels, label, sample, id_col, text_col)
+    rows = training_texts(docs, labels, label, sample, id_col, text_col, of_each=True)
     share = rows.agg(F.avg("y"), F.count(F.lit(1))).first()
     if not share[1] or share[0] in (0.0, 1.0):
         return ToxicityModel(None, None, None, share[0] or 0.0)
-    part = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(3))
-    terms = telling_terms(rows.filter(part == 0))
-    out, features = with_features(rows, "text", terms)
-    rows = stored(out.select("doc_id", "y", F.col(features).alias("values")), "features").withColumn("features", array_to_vector("values"))
-    grow, check = rows.filter(part == 1 if len(terms) else part < 2), rows.filter(part == 2)
-    if grow.select("y").distinct().count() < 2 or check.select("y").distinct().count() < 2:
-        grow = check = rows
-    trees = GBTClassifier(featuresCol="features", labelCol="y", maxIter=rounds, maxDepth=depth, stepSize=0.3, minInstancesPerNode=5, seed=1).fit(grow)
-    raw = trees.transform(check).select("y", vector_to_array("probability")[1].alias("raw"))
-    calibration = IsotonicRegression(featuresCol="raw", labelCol="y", predictionCol="score").fit(raw)
-    return ToxicityModel(trees, calibration, terms)
+    terms = telling_terms(rows)
+    folds = []
+    for k, without in enumerate(terms[:-1]):
+        out, features = with_features(rows.filter(fold_of() == k), "text", without)
+        folds.append(out.select("y", "weight", F.lit(k).alias("fold"), F.col(features).alias("values")))
+    rows = stored(functools.reduce(DataFrame.unionByName, folds), "features").withColumn("features", array_to_vector("values"))
+
+    def grow(some: DataFrame) -> GBTClassificationModel:
+        return GBTClassifier(featuresCol="features", labelCol="y", weightCol="weight", maxIter=rounds, maxDepth=depth, stepSize=0.3,
+                             minInstancesPerNode=5, seed=1).fit(some)
+
+    halves = [rows.filter(F.col("fold") % 2 == k) for k in range(2)]
+    trees = grow(rows)
+    both = all(h.select("y").distinct().count() == 2 for h in halves)
+    scored = [grow(halves[1 - k]).transform(halves[k]) for k in range(2)] if both else [trees.transform(rows)]
+    raw = functools.reduce(DataFrame.unionByName, [s.select("y", "weight", vector_to_array("probability")[1].alias("raw")) for s in scored])
+    # Most rows share few scores: one row per score and label is all that the calibration needs.
+    raw = raw.groupBy("raw", "y").agg(F.sum("weight").alias("weight"))
+    calibration = IsotonicRegression(featuresCol="raw", labelCol="y", weightCol="weight", predictionCol="score").fit(raw)
+    return ToxicityModel(trees, calibration, terms[-1])
 
 
 def toxicity_scores(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> tuple[DataFrame, str]:
