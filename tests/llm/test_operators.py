@@ -125,6 +125,29 @@ def test_lines_of_whole_runs(spark):
     assert got[1] == "other\nend" and got[3] == ""
 
 
+def test_lines_of_very_long_texts(spark):
+    rng = random.Random(13)
+    passage = " ".join(words(rng, 60))
+    blank = " \n" * 2_000_000
+    short = "\n".join(f"w{rng.randrange(10 ** 9)}" for _ in range(200_000))
+    texts = [blank, passage + "\n" + blank + "end", short, "x\n" + passage, short + "\nmore", "\n" * 300_000 + passage]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    out, lines, cut = line_dedup.without_repeated_lines(docs)
+    got = {r.doc_id: (r.text, r[lines]) for r in out.collect()}
+    assert got[0] == (blank, 0) and got[1] == (texts[1], 0) and got[2] == (short, 0)
+    assert got[3] == ("x", 1) and got[4] == ("more", 200_000) and got[5] == ("\n" * 299_999, 1)
+
+
+def test_last_smallest():
+    rng = np.random.default_rng(3)
+    values = rng.integers(0, 9, 300).astype(np.uint64)
+    first = rng.integers(0, 300, 2000)
+    last = np.minimum(299, first + rng.integers(0, 300, 2000) // rng.integers(1, 40, 2000))
+    want = [max(k for k in range(a, b + 1) if values[k] == values[a:b + 1].min()) for a, b in zip(first, last)]
+    assert line_dedup.last_smallest(values, first, last).tolist() == want
+    assert len(line_dedup.last_smallest(values[:0], first[:0], last[:0])) == 0
+
+
 def test_benchmark(spark, docs, texts, odd, empty):
     rng = random.Random(9)
     items = [(k, " ".join(x.split()[:k])) for k, x in enumerate(t for t in texts if t and len(t.split()) > 40)][5:30]

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from voicegrid.llm import bytewords as B
 from voicegrid.llm.common import fresh, lookup, steps, stored, text_buffers
@@ -42,22 +42,41 @@ def line_windows(raw: np.ndarray, begins: np.ndarray, least_words: int) -> dict[
     heads = np.searchsorted(total, total[tails + 1] - least_words, side="right") - 1  # last line it can begin at
     ok = heads >= lines.first[lines.doc[tails]]
     i, j = np.r_[i, heads[ok]], np.r_[j, tails[ok]]
-    mark, at = h[i].copy(), i.copy()
-    content = np.zeros(len(i), np.uint64)
-    span, live, k = j - i, np.arange(len(i)), 0
-    while len(live):
-        here = i[live] + k
-        content[live] = content[live] * np.uint64(0xA0761D6478BD642F) + h[here]
-        smaller = h[here] <= mark[live]
-        mark[live[smaller]], at[live[smaller]] = h[here[smaller]], here[smaller]
-        k += 1
-        live = live[span[live] >= k]
+    at = last_smallest(h, i, j)
+    span = j - i
+    # The content's hash is a difference of sums over all lines, whatever their number.
+    power = B._powers(B._BASE, n + 1)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(h * power[:n], out=sums[1:])
+    content = (sums[j + 1] - sums[i]) * B._powers(B._INVERSE, n + 1)[i]
     doc = lines.doc[i]
     base = lines.first[doc]
-    return {"doc": doc, "first": i - base, "last": j - base, "mark": mark, "at": at - base,
+    return {"doc": doc, "first": i - base, "last": j - base, "mark": h[at], "at": at - base,
             "content": B.mix(content + span.astype(np.uint64)), "lines": np.diff(lines.first), "spans": lines}
 
 
+def last_smallest(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The place of the smallest value, the last of equal ones, in each range ``first`` to ``last``.
+
+    Two overlapping stretches of 2**k values cover a range; the stretches of one k are made from those of the one before.
+    """
+    size = last - first + 1
+    level = np.zeros(len(size), np.int64)
+    while len(size) and (more := (2 << level) <= size).any():
+        level[more] += 1
+    out = first.copy()
+    best, k = np.arange(len(values)), 0
+    while len(best):
+        mine = np.flatnonzero(level == k)
+        x, y = best[first[mine]], best[last[mine] - (1 << k) + 1]
+        out[mine] = np.where(values[y] <= values[x], y, x)
+        if k >= level.max(initial=0):
+            break
+        x, y = best[:-(1 << k)], best[1 << k:]
+        best, k = np.where(values[y] <= values[x], y, x), k + 1
+    return out
+
+
 def repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, digest, runs``: the runs of lines to be cut, by document and 64-bit hash of its text.
 
@@ -90,18 +109,13 @@ def repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: str
     firsts = (near.groupBy("content").agg(F.min(start).alias("earliest"), F.max(start).alias("latest"), F.count(F.lit(1)).alias("copies"))
               .filter("earliest != latest").drop("latest"))
     found = lookup(near, stored(firsts, "repeats"), ["content"], "copies").filter(start > F.col("earliest"))
-    lines = found.groupBy("doc_id", "digest").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("spans"))
-    return lines.select("doc_id", "digest", joined(F.col("spans")).alias("runs"))
-
-
-def joined(spans: Column) -> Column:
-    """Sorted spans with those that overlap or touch made one."""
-    kind = "array<struct<first:bigint,last:bigint>>"
-    return F.aggregate(spans, F.lit([]).cast(kind), lambda done, s: F.when(
-        (F.size(done) > 0) & (s["first"] <= F.element_at(done, -1)["last"] + 1),
-        F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.struct(
-            F.element_at(done, -1)["first"].alias("first"), F.greatest(F.element_at(done, -1)["last"], s["last"]).alias("last")))))
-        .otherwise(F.concat(done, F.array(F.struct(s["first"].alias("first"), s["last"].alias("last"))))))
+    spans = found.select("doc_id", "digest", "first", "last").distinct()
+    order = Window.partitionBy("doc_id", "digest").orderBy("first", "last")
+    before = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    # Spans that overlap or touch make one run.
+    numbered = spans.withColumn("begins", F.coalesce(F.col("first") > before + 1, F.lit(True)).cast("int")).withColumn("run", F.sum("begins").over(order))
+    runs = numbered.groupBy("doc_id", "digest", "run").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    return runs.groupBy("doc_id", "digest").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("runs"))
 
 
 def without_repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: str = "doc_id",
@@ -135,11 +149,14 @@ def without_repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS, id_c
 
 
 def cut_lines(text: str, runs: list[tuple[int, int]]) -> tuple[str, int, int]:
-    """A text without the given runs of its lines that aren't empty; how many lines and words went."""
-    kept, number, lines, words = [], -1, 0, 0
+    """A text without the given runs, in order, of its lines that aren't empty; how many lines and words went.
+    An empty line behind a line that went, and before the next one that isn't empty, goes with it."""
+    kept, number, lines, words, at = [], -1, 0, 0, 0
     for line in text.split("\n"):
         number += bool(line)
-        if any(a <= number <= b for a, b in runs):
+        while at < len(runs) and runs[at][1] < number:
+            at += 1
+        if at < len(runs) and runs[at][0] <= number:
             lines += bool(line)
             words += len(line.encode().split())
         else:
