@@ -161,6 +161,18 @@ def test_benchmark(spark, docs, texts, odd, empty):
     assert decontaminate.without_benchmark(odd, bench.limit(0)).count() == 8
 
 
+def test_benchmark_structure_is_bounded(spark, monkeypatch):
+    rng = random.Random(17)
+    items = [(str(k), " ".join(words(rng, 2000, 10 ** 5))) for k in range(60)]
+    machines = decontaminate.machines_of(items)
+    size = sum(len(t) for _, t in items)
+    assert [m.size for m in machines] == [10] and machines[0].nbytes < 14 * size and len(machines[0].places) == 60 * 1991
+    monkeypatch.setattr(decontaminate, "PIECE_WORDS", 300)  # items longer than a search holds
+    docs = spark.createDataFrame([(1, items[7][1]), (2, " ".join(items[9][1].split()[295:309])), (3, "x " + " ".join(items[9][1].split()[:9]))], "doc_id bigint, text string")
+    got = {r.doc_id: (r.n_hit, r["items"]) for r in decontaminate.contamination(docs, spark.createDataFrame(items, "item_id string, text string"), limit=size // 7).collect()}
+    assert got == {1: (2000, ["7"]), 2: (14, ["9"]), 3: (0, [])}
+
+
 def test_token_files(spark, docs, texts, odd, empty, tmp_path):
     path, file = str(tmp_path / "ids"), tokens.default_tokenizer()
     token_files.write_token_files(docs, path, file)

@@ -10,31 +10,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from voicegrid.llm import bytewords as B
-from voicegrid.llm.common import fresh, text_buffers, with_columns_from_text
+from voicegrid.llm.common import fresh, stored, text_buffers, with_columns_from_text
 
 WINDOW = 10
 BLOCK = 2  # words per block of the shift table
 LANE = 256  # starts of windows that one lane of the search covers
-BLOCK_BYTES = 32 << 20  # text of benchmark items that one search holds
+BLOCK_BYTES = 8 << 20  # text of benchmark items that one search holds
+PIECE_WORDS = 100_000  # windows of one item that one search holds at most
+_SLICE = 1 << 18
 
 STATE = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("past", T.LongType()),
                                   T.StructField("items", T.ArrayType(T.StringType()))]))
 
 
-def item_windows(items: list[tuple[str, bytes]], window: int = WINDOW) -> dict[int, dict[tuple[bytes, ...], list[str]]]:
-    """By length in words: the windows of all items, each with the ids of the items that hold it."""
-    found: dict[int, dict[tuple[bytes, ...], list[str]]] = defaultdict(dict)
-    for item_id, text in items:
-        words = B.cut(*_lowered(pa.array([text], pa.binary())), B.LETTER_OR_DIGIT)
-        parts = [words.data[a:b].tobytes() for a, b in zip(words.start, words.end, strict=True)]
-        size = min(window, len(parts))
-        for k in range(len(parts) - size + 1 if size else 0):
-            owners = found[size].setdefault(tuple(parts[k:k + size]), [])
-            if item_id not in owners:
-                owners.append(item_id)
-    return found
-
-
 def _lowered(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     raw, begins = text_buffers(column.cast(pa.string()) if pa.types.is_binary(column.type) else column)
     return B.LOWER[raw], begins
@@ -43,27 +31,49 @@ def _lowered(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class WuManber:
     """Occurrences of windows of ``size`` words each.
 
-    A block is two consecutive words, or one where windows have one word. ``shift`` tells by how many words
+    A block is two consecutive words, or one where windows have one word. ``shifts`` tells by how many words
     the search may move on when a window would end with that block: 0 only for blocks that end a window.
-    Those are looked up in buckets by the hash of the whole suffix, and then compared word by word.
+    Those are looked up in buckets by the hash of the whole suffix, and then compared word by word. All of
+    it lies in flat arrays: the words of the items one behind the other, for each different window its hash
+    and the place of one of its occurrences, and the items that own it. Windows of items are told apart by
+    their 64-bit hashes; a document's words are compared with a window's as bytes.
     """
 
-    def __init__(self, size: int, windows: dict[tuple[bytes, ...], list[str]]):
+    def __init__(self, size: int, words: B.Words, h: np.ndarray, number: np.ndarray, names: list[str]):
+        """``words`` are those of the items of this size, with hashes ``h``; ``number`` is the item of each text."""
         self.size, self.block = size, min(BLOCK, size)
-        self.windows = windows
-        flat = [w for window in windows for w in window]
-        data = np.frombuffer(b"".join(flat), np.uint8)
-        ends = np.cumsum([len(w) for w in flat])
-        starts = ends - [len(w) for w in flat]
-        hashes = B.hashes(B.Words(data, starts, ends, np.zeros(len(flat), int), np.array([0, len(flat)]))).reshape(-1, size)
+        self.names = names
+        self.data, self.begins, self.ends = words.data.copy(), words.start, words.end
+        at = np.concatenate([np.arange(a, b - size + 1) for a, b in zip(words.first[:-1], words.first[1:], strict=True)])
+        whole = self._whole(h[at[:, None] + np.arange(size)]) if len(at) < _SLICE else np.concatenate(
+            [self._whole(h[at[k:k + _SLICE, None] + np.arange(size)]) for k in range(0, len(at), _SLICE)])
+        owner = number[words.doc[at]]
+        order = np.lexsort((owner, whole))
+        whole, owner, at = whole[order], owner[order], at[order]
+        first = np.r_[True, whole[1:] != whole[:-1]]
+        once = first | np.r_[True, owner[1:] != owner[:-1]]
+        self.buckets, self.places = whole[first], at[first]
+        self.owners = owner[once]
+        self.owned = np.r_[np.flatnonzero(first[once]), len(self.owners)]
         self.farthest = size - self.block + 1
-        shift: dict[int, int] = {}
-        for end in range(self.block, size + 1):
-            for h in self._blocks(hashes[:, end - self.block:end]).tolist():
-                shift[h] = min(shift.get(h, self.farthest), size - end)
-        self.keys = np.array(sorted(shift), np.uint64)
-        self.shifts = np.array([shift[int(h)] for h in self.keys], np.int64)
-        self.buckets = np.unique(self._whole(hashes))
+        keys, shifts = [], []
+        inner = at if self.block == 1 else np.unique(np.concatenate([at + k for k in range(size - 1)]))
+        if self.block == 1:
+            keys, shifts = h[inner], np.zeros(len(inner), np.int64)
+        else:
+            # The shift of a block is that of its last place in any window: 0 at a window's end, and one more for each word before.
+            keys = self._blocks(np.stack([h[inner], h[inner + 1]], 1))
+            last = words.first[1:][words.doc[inner]] - 2  # the last block of the text
+            ends = np.minimum(inner, last)
+            shifts = np.maximum(0, words.first[:-1][words.doc[inner]] + size - 2 - ends)
+        order = np.lexsort((shifts, keys))
+        keys, shifts = keys[order], shifts[order]
+        first = np.r_[True, keys[1:] != keys[:-1]]
+        self.keys, self.shifts = keys[first], shifts[first]
+
+    @property
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in (self.data, self.begins, self.ends, self.buckets, self.places, self.owners, self.owned, self.keys, self.shifts))
 
     def _blocks(self, h: np.ndarray) -> np.ndarray:
         """A hash of the block in each row."""
@@ -101,19 +111,46 @@ class WuManber:
 
     def search(self, words: B.Words, h: np.ndarray) -> Iterator[tuple[int, list[str]]]:
         """First word and items of every true occurrence, in order."""
-        for at in self.candidates(h, words.first).tolist():
-            span = zip(words.start[at:at + self.size].tolist(), words.end[at:at + self.size].tolist(), strict=True)
-            owners = self.windows.get(tuple(words.data[a:b].tobytes() for a, b in span))
-            if owners:
-                yield at, owners
-
-
-def _blocks_of_items(benchmark: DataFrame, id_col: str, text_col: str, limit: int) -> list[DataFrame]:
-    """The items in parts of at most about ``limit`` bytes of text, by a hash of the id."""
-    items = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("binary").alias("text")).filter("text IS NOT NULL")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-size // limit))
-    return [items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == k) for k in range(parts)] if parts > 1 else [items]
+        candidates = self.candidates(h, words.first)
+        for k in range(0, len(candidates), _SLICE):
+            found = candidates[k:k + _SLICE]
+            buckets = np.searchsorted(self.buckets, self._whole(h[found[:, None] + np.arange(self.size)]))
+            for at, bucket in zip(found.tolist(), buckets.tolist(), strict=True):
+                place = int(self.places[bucket])
+                if all(words.data[words.start[at + i]:words.end[at + i]].tobytes() == self.data[self.begins[place + i]:self.ends[place + i]].tobytes()
+                       for i in range(self.size)):
+                    yield at, [self.names[i] for i in self.owners[self.owned[bucket]:self.owned[bucket + 1]]]
+
+
+def machines_of(items: list[tuple[str, str]], window: int = WINDOW) -> list[WuManber]:
+    """One search for each length of windows in the items ``(id, text)``."""
+    names = sorted({i for i, _ in items})
+    number = {n: k for k, n in enumerate(names)}
+    words = B.cut(*_lowered(pa.array([t for _, t in items], pa.string())), B.LETTER_OR_DIGIT)
+    sizes = np.minimum(words.counts, window)
+    out = []
+    for size in np.unique(sizes[sizes > 0]).tolist():
+        mine = np.flatnonzero(sizes == size)
+        some = B.cut(*_lowered(pa.array([items[k][1] for k in mine], pa.string())), B.LETTER_OR_DIGIT)
+        out.append(WuManber(size, some, B.hashes(some), np.array([number[items[k][0]] for k in mine]), names))
+    return out
+
+
+def _item_pieces(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
+    """``item, number, text``: items cut into pieces of at most ``PIECE_WORDS`` windows, each with all words of its
+    windows in lower case. So no window is lost, and no item is too long for one search."""
+    items = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item"), F.col(text_col).cast("string").alias("text")).filter("text IS NOT NULL")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column("item").to_pylist(), batch.column("text"), strict=True):
+                words = B.cut(*_lowered(pa.array([text.as_py()], pa.string())), B.LETTER_OR_DIGIT)
+                n = len(words.start)
+                for number, k in enumerate(range(0, max(1, n - window + 1) if n else 0, PIECE_WORDS)):
+                    body = b" ".join(words.data[a:b].tobytes() for a, b in zip(words.start[k:k + PIECE_WORDS + window - 1], words.end[k:k + PIECE_WORDS + window - 1], strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array([item]), pa.array([number]), pa.array([body.decode()])], ["item", "number", "text"])
+
+    return items.mapInArrow(work, "item string, number bigint, text string")
 
 
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id",
@@ -121,20 +158,25 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
     """``docs`` with two columns: the number of words, and the runs of hit words with their items.
 
     Returns the frame and the two columns' names. Texts are read as words of letters, digits and all
-    characters beyond ASCII, A-Z in lower case. Items that need more than ``limit`` bytes are searched in
-    several passes; each holds one part of the items, and nothing is shuffled. An item with fewer words than
+    characters beyond ASCII, A-Z in lower case. Items of more than ``limit`` bytes together, long ones cut, are
+    searched in several passes; each holds one part of them, its result is stored, and nothing is shuffled. An item with fewer words than
     ``window`` is one window; null and empty texts have no words; an item without words matches nothing.
     """
     words_col, hits_col = fresh(docs, "n_words"), fresh(docs, "hits")
     sc = docs.sparkSession.sparkContext
     out = docs.withColumns({words_col: F.lit(0).cast("bigint"), hits_col: F.lit([]).cast(STATE)})
-    for items in _blocks_of_items(benchmark, item_id, item_text, limit):
-        held = [(r["item"] or "", bytes(r["text"])) for r in items.toLocalIterator()]  # at most about ``limit`` bytes
-        shared = sc.broadcast(held)
+    pieces = stored(_item_pieces(benchmark, item_id, item_text, window), "benchmark-pieces")
+    parts = max(1, -(-(pieces.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // limit))
+    for k in range(parts):
+        mine = pieces.filter(F.pmod(F.xxhash64("item", "number"), F.lit(parts)) == k)
+        # About ``limit`` bytes of text; the arrays made of it are some ten times that.
+        shared = sc.broadcast(machines_of([(r["item"], r["text"]) for r in mine.toLocalIterator()], window))
+        if k:
+            out = stored(out, "searched")
         inner_words, inner_hits = fresh(out, "found_words"), fresh(out, "found_hits")
 
         def make(shared=shared):
-            machines = [WuManber(size, windows) for size, windows in item_windows(shared.value, window).items()]
+            machines = shared.value
 
             def work(column: pa.Array) -> list[pa.Array]:
                 words = B.cut(*_lowered(column), B.LETTER_OR_DIGIT)
