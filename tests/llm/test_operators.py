@@ -302,6 +302,22 @@ def test_archives(spark, tmp_path):
     assert warc.read_archives(none, path + "e").count() == 0
 
 
+def test_index_of_many_ranges(spark, tmp_path, monkeypatch):
+    """One URL with most captures, more captures than a range may hold, and runs that are read only as far as needed."""
+    rng = random.Random(31)
+    monkeypatch.setattr(warc, "CAPTURES_PER_RANGE", 50)
+    rows = [("org,a)/" if i % 3 else f"org,{rng.choice('bcd')})/", rng.choice(["2024", "2025", None]), rng.choice([i, None]), f"f{i % 7}", i, 10, f"f{i % 7}") for i in range(2000)]
+    runs = spark.createDataFrame(rows, warc.RUN_SCHEMA).repartition(5)
+    warc.merge_index(runs, str(tmp_path / "i"))
+    files = [spark.read.parquet(f).collect() for f in sorted(glob.glob(str(tmp_path / "i" / "part-*")))]
+    assert len(files) >= 30 and max(len(f) for f in files) <= 200
+    got = [warc.capture_order(r.asDict()) for f in files for r in f]
+    assert got == sorted(got) and len(set(got)) == 2000
+    taken = []
+    tree = warc.LoserTree([(taken.append(x) or x for x in range(k, 100, 3)) for k in range(3)], lambda x: x)
+    assert [x for x, _ in zip(tree, range(5))] == [0, 1, 2, 3, 4] and len(taken) <= 9
+
+
 def test_loser_tree():
     rng = random.Random(2)
     for k in range(1, 9):

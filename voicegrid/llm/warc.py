@@ -11,7 +11,7 @@ import hashlib
 import re
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -22,6 +22,8 @@ from voicegrid.llm.common import lookup, steps, stored
 LEAST_PAYLOAD = 100
 ARCHIVE_BYTES = 256 << 20
 READ_BYTES = 4 << 20
+CAPTURES_PER_RANGE = 250_000
+ROWS_AT_ONCE = 64
 _KNOWN, _UNNUMBERED = 0x766F6963_65677269, 0x766F6963_65677200  # upper halves of record ids
 
 INDEX = "urlkey string, timestamp string, page_id bigint, file string, offset bigint, length bigint"
@@ -79,12 +81,13 @@ def parse_record(raw: bytes) -> tuple[dict[str, str], bytes, int]:
 
 
 class LoserTree:
-    """K-way merge of sorted lists: each inner node keeps the loser of its match, the winner goes on."""
+    """K-way merge of sorted runs, read as iterators: each inner node keeps the loser of its match, the winner goes on."""
 
-    def __init__(self, runs: list[list], key: Callable):
-        self.runs, self.key, self.k = runs, key, len(runs)
-        self.at = [0] * self.k
-        self.heads = [key(r[0]) if r else None for r in runs]
+    def __init__(self, runs: Iterable[Iterable], key: Callable):
+        self.runs, self.key = [iter(r) for r in runs], key
+        self.k = len(self.runs)
+        self.rows = [next(r, None) for r in self.runs]
+        self.heads = [None if row is None else key(row) for row in self.rows]
         self.losers = [-1] * self.k
         for leaf in range(self.k):
             self._replay(leaf, building=True)
@@ -109,14 +112,15 @@ class LoserTree:
 
     def __iter__(self) -> Iterator:
         while self.k and self.heads[w := self.losers[0]] is not None:
-            yield self.runs[w][self.at[w]]
-            self.at[w] += 1
-            self.heads[w] = self.key(self.runs[w][self.at[w]]) if self.at[w] < len(self.runs[w]) else None
+            yield self.rows[w]
+            row = self.rows[w] = next(self.runs[w], None)
+            self.heads[w] = None if row is None else self.key(row)
             self._replay(w)
 
 
 def capture_order(row: dict) -> tuple:
-    return row["urlkey"], row["timestamp"], row["page_id"] is None, row["page_id"] or 0
+    """By URL key, time and page (null last); the place in the archives makes the order total."""
+    return row["urlkey"], row["timestamp"] or "", row["page_id"] is None, row["page_id"] or 0, row["file"], row["offset"]
 
 
 def write_archives(pages: DataFrame, path: str, date: Column, id_col: str = "page_id", url_col: str = "url",
@@ -175,22 +179,42 @@ def write_archives(pages: DataFrame, path: str, date: Column, id_col: str = "pag
     return stored(marked.mapInArrow(work, RUN_SCHEMA), "runs")
 
 
+def _run_slices(batches: Iterable[pa.RecordBatch]) -> list[list[pa.RecordBatch]]:
+    """The rows of each run, as slices of the batches; batches are sorted by run."""
+    kept: dict[str, list[pa.RecordBatch]] = {}
+    for batch in batches:
+        names = batch.column("run").to_pylist()
+        begin = 0
+        for k in range(1, len(names) + 1):
+            if k == len(names) or names[k] != names[begin]:
+                kept.setdefault(names[begin], []).append(batch.slice(begin, k - begin))
+                begin = k
+    return list(kept.values())
+
+
+def _captures(slices: list[pa.RecordBatch]) -> Iterator[dict]:
+    """The rows of one run, some at a time."""
+    for batch in slices:
+        for k in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield from batch.slice(k, ROWS_AT_ONCE).to_pylist()
+
+
 def merge_index(runs: DataFrame, path: str) -> DataFrame:
     """Merge sorted runs into one index at ``path``: Parquet files that follow each other in the order of
-    ``capture_order``. Ranges are cut by URL key, time and page, so a URL with very many captures is spread
-    over several of them; a task holds the index rows of one range."""
-    parts = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ``capture_order``.
+
+    The number of ranges follows from the number of captures, some ``CAPTURES_PER_RANGE`` each. They are cut by
+    the whole order, so a URL with very many captures is spread over several of them. Spark brings each range's
+    part of every run in order (its sort spills to disk); a task keeps these parts in columns, and the loser tree
+    reads them as iterators, so that of each run only some rows are taken apart at a time.
+    """
+    spark = runs.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-runs.count() // CAPTURES_PER_RANGE))
     schema = pa.schema([(c.split()[0], pa.string() if c.split()[1] == "string" else pa.int64()) for c in INDEX.split(", ")])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[str, list[dict]] = {}
-        for batch in batches:
-            for row in batch.to_pylist():
-                kept.setdefault(row.pop("run"), []).append(row)
-        for run in kept.values():
-            run.sort(key=capture_order)  # a run arrives in order; this restores it after a shuffle that split it
         merged = []
-        for row in LoserTree(list(kept.values()), capture_order):
+        for row in LoserTree([_captures(s) for s in _run_slices(batches)], capture_order):
             merged.append(row)
             if len(merged) == 10_000:
                 yield pa.RecordBatch.from_pylist(merged, schema)
@@ -198,9 +222,10 @@ def merge_index(runs: DataFrame, path: str) -> DataFrame:
         if merged:
             yield pa.RecordBatch.from_pylist(merged, schema)
 
-    ranges = runs.repartitionByRange(parts, "urlkey", "timestamp", F.col("page_id").asc_nulls_last())
+    order = ["urlkey", F.coalesce("timestamp", F.lit("")), F.col("page_id").asc_nulls_last(), "file", "offset"]
+    ranges = runs.repartitionByRange(parts, *order).sortWithinPartitions("run", *order)
     ranges.mapInArrow(work, INDEX).write.parquet(path)
-    return runs.sparkSession.read.schema(INDEX).parquet(path)
+    return spark.read.schema(INDEX).parquet(path)
 
 
 def read_archives(index: DataFrame, path: str) -> DataFrame:
