@@ -2,6 +2,7 @@
 
 import random
 from datetime import date
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
@@ -19,39 +20,80 @@ def skewed(spark, n=3000, seed=7):
     return spark.createDataFrame(rows, "id bigint, a double, b double, c double"), pd.DataFrame(rows, columns=list(["id", "a", "b", "c"]))
 
 
-@pytest.mark.parametrize("column", ["a", "b", "c"])
-def test_global_rank_with_hot_values(spark, column):
+def test_column_ranks_with_hot_values(spark):
     df, pdf = skewed(spark)
-    got = {r.id: r["rank"] for r in R.global_rank(df, column, "id").collect()}
-    order = pdf.sort_values([column, "id"]).id.tolist()
-    assert got == {k: i + 1 for i, k in enumerate(order)}
+    got = {(r.series, r.id): r["rank"] for r in Q.column_ranks(df, "id", ["a", "b", "c"]).collect()}
+    for column in "abc":
+        order = pdf.sort_values([column, "id"]).id.tolist()
+        assert [got[column, k] for k in order] == list(range(1, len(order) + 1))
 
 
-def test_hot_value_is_cut_into_several_ranges(spark):
+def test_a_hot_value_spreads_over_ranges(spark):
     df, _ = skewed(spark)
-    cuts = R.cut_points(df, ["a", "id"])
-    assert list(cuts["a"][1]) == [5.0] and cuts["a"][1][5.0] >= 2
-    plan = R.global_rank(df, "a", "id", cuts=cuts)._jdf.queryExecution().executedPlan().toString()
-    assert "_sub" in plan
+    ranged = df.repartitionByRange(8, "a", "id").groupBy(F.spark_partition_id()).count().collect()
+    assert len(ranged) == 8 and max(r["count"] for r in ranged) < 3000 / 3
+    placed = R.positions(df, ["a", "id"])
+    assert sorted(r.position for r in placed.select("position").collect()) == list(range(3000))
 
 
-def test_rank_does_not_depend_on_partitioning(spark):
+def test_ranks_do_not_depend_on_partitioning(spark):
     df, _ = skewed(spark)
-    one = R.global_rank(df.repartition(1), "a", "id").select("id", "rank")
-    many = R.global_rank(df.repartition(13), "a", "id").select("id", "rank")
+    one = Q.column_ranks(df.repartition(1), "id", ["a", "b"])
+    many = Q.column_ranks(df.repartition(13), "id", ["a", "b"])
     assert one.exceptAll(many).count() == 0
 
 
+def test_ranks_of_every_type_and_composite_keys(spark):
+    rng = random.Random(4)
+    rows = [(rng.randrange(3), f"k{rng.randrange(40)}", i, rng.choice(["b", "a", "é", None]), date(2024, 1, 1 + rng.randrange(20)),
+             Decimal(rng.randrange(100)) / 4, (rng.randrange(5), rng.choice("xy"))) for i in range(400)]
+    df = spark.createDataFrame(rows, "k1 int, k2 string, k3 bigint, s string, d date, m decimal(10,2), t struct<a:int,b:string>").repartition(5)
+    got = {}
+    for r in Q.column_ranks(df, ["k1", "k2", "k3"], ["s", "d", "m", "t"]).collect():
+        got.setdefault(r.series, {})[(r.k1, r.k2, r.k3)] = r["rank"]
+    for at, name in ((3, "s"), (4, "d"), (5, "m"), (6, "t")):
+        order = sorted((r for r in rows if r[at] is not None), key=lambda r: (r[at].encode() if name == "s" else r[at], r[:3]))
+        assert [got[name][r[:3]] for r in order] == list(range(1, len(order) + 1))
+    for key in ("k2", "d"):
+        out = R.fixed_size_batches(df, [key, "k3"], 7).orderBy(key, "k3").collect()
+        assert [(r.batch, r.index_in_batch) for r in out] == [(i // 7, i % 7 + 1) for i in range(400)]
+    out = R.fixed_size_batches(df.select(F.struct("k2", "k3").alias("key")), "key", 7).orderBy("key").collect()
+    assert [r.index_in_batch for r in out] == [i % 7 + 1 for i in range(400)]
+
+
+def test_ranking_needs_no_more_exchanges_for_more_columns(spark):
+    df, _ = skewed(spark)
+    def exchanges(columns):
+        return Q.rank_reorder(df, "id", columns, df)._jdf.queryExecution().executedPlan().toString().count("Exchange")
+    assert exchanges(["a", "b", "c"]) == exchanges(["a"])
+
+
 def test_empty_and_null_columns(spark):
     empty = spark.createDataFrame([], "id bigint, a double, b double")
-    assert R.global_rank(empty, "a", "id").count() == 0
+    assert Q.column_ranks(empty, "id", ["a", "b"]).count() == 0
     assert R.fixed_size_batches(empty.select("id"), "id", 10).count() == 0
     nulls = spark.createDataFrame([(1, None, 2.0), (2, 5.0, 2.0)], "id bigint, a double, b double")
-    assert [(r.id, r["rank"]) for r in R.global_rank(nulls, "a", "id").collect()] == [(2, 1)]
+    assert [(r.id, r["rank"]) for r in Q.column_ranks(nulls, "id", ["a"]).collect()] == [(2, 1)]
     got = {r.id: (r.a, r.b) for r in Q.average_ranks(nulls, "id", ["a", "b"]).collect()}
     assert got == {1: (None, 1.5), 2: (1.0, 1.5)}
 
 
+def test_group_quantiles(spark):
+    df, pdf = skewed(spark)
+    df = df.withColumn("g", F.when(F.col("id") % 5 > 0, (F.col("id") % 3).cast("string"))).withColumn("b", F.when(F.col("id") % 7 > 0, F.col("b")))
+    pdf = df.toPandas()
+    probs = [0.0, 0.1, 0.5, 0.75, 1.0]
+    got = {(r.g, r.series): r for r in R.group_quantiles(df, ["g"], ["a", "b"], probs).collect()}
+    assert set(got) == {(g, c) for g in "012" for c in "ab"}
+    for (g, c), r in got.items():
+        values = pdf[pdf.g == g][c].dropna()
+        assert r.n == len(values) and list(r.q) == pytest.approx([values.quantile(p) for p in probs], abs=1e-12)
+    one = R.group_quantiles(df, [], ["b"], [0.5]).first()
+    assert one.q[0] == pytest.approx(pdf.b.median()) and R.group_quantiles(df.limit(0), ["g"], ["a"], [0.5]).count() == 0
+    plan = R.group_quantiles(df, ["g"], ["a"], [0.5])._jdf.queryExecution().executedPlan().toString()
+    assert "percentile" not in plan.lower() and "collect" not in plan.lower()
+
+
 def test_batches(spark):
     df = spark.createDataFrame([(i * 3,) for i in range(25)], "id bigint")
     got = [(r.batch, r.index_in_batch) for r in R.fixed_size_batches(df, "id", 10).orderBy("id").collect()]

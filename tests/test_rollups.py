@@ -130,7 +130,13 @@ def test_common_products_and_skipped(spark):
     grid = M.comparison_grid(df, "P", ["x"])
     kept = spark.createDataFrame([("C", "a", "x")], "competitor string, product string, aspect string")
     left = M.skipped_combinations(grid, kept, ["competitor", "product", "aspect"])
-    assert sorted(r["product"] for r in left.collect()) == ["b", "c"]
+    assert sorted((r["product"], r.reason) for r in left.collect()) == [("b", "no score"), ("c", "no score")]
+    reviews = spark.createDataFrame([("P", "a", 0.5), ("C", "a", 1.0), ("P", "b", 1.0), ("C", "b", 1.0), (None, "a", 1.0)],
+                                    "company string, product string, review_weight double")
+    reviewed = M.sides_with_reviews(reviews, "P")
+    assert [tuple(r) for r in reviewed.collect()] == [("C", "b")]
+    left = M.skipped_combinations(grid, kept, ["competitor", "product", "aspect"], reviewed)
+    assert sorted((r["product"], r.reason) for r in left.collect()) == [("a", "no reviews"), ("b", "no score"), ("c", "no score")]
 
 
 def test_summary_lookup(spark):

@@ -1,5 +1,6 @@
 """Corpus jobs against hand calculation and plain-Python brute force."""
 
+import hashlib
 import math
 import re
 from collections import Counter
@@ -105,6 +106,28 @@ def test_scoped_sentiment_reads_only_the_aspects_sentences(spark):
     assert got == {(0, "staff"): norm(3.1), (0, "money"): norm(-2.0 - 0.292), (1, "staff"): None, (1, "money"): None}
 
 
+def test_a_stem_begins_like_its_word(spark):
+    words = """happy ponies hoping hopped agreed relational conditional rational valency hesitancy digitizer conformably radically
+        differently vilely analogously vietnamization predication operator feudalism decisiveness hopefulness callousness formality
+        sensitivity sensibility triplicate formative formalize electricity electrical hopeful goodness revival allowance inference
+        airliner gyroscopic adjustable defensible irritant replacement adjustment dependent adoption homologous communism activate
+        angularity homologous effective bowdlerize probate rate cease controlling rolling skies dying cabbability y by""".split()
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text")
+    table = P.stem_vocabulary(docs.unionByName(spark.createDataFrame([(" ".join(words),)], "text string")), "text")
+    assert table.filter("NOT startswith(word, left(stem, greatest(length(stem) - 1, 1)))").count() == 0
+    assert table.count() > 5000
+
+
+def test_scoped_sentiment_matches_by_stem(spark):
+    df = reviews(spark, ["Billing was awful. The engineers were great!", "They billed us. Good.", None, "no-show"])
+    terms = {"staff": ["engineer"], "money": ["bills"], "late": ["no-show", "late arrival"]}
+    got = {(r.id, r.aspect): (r.sentiment, r.digest) for r in X.sentence_scoped_sentiment(
+        df, "id", "review", terms, dims.lexicon_dim(spark)).collect()}
+    assert len(got) == 12 and got[1, "money"][0] == 0.0 and got[1, "money"][1] == hashlib.md5(b"They billed us.").hexdigest()
+    assert got[0, "money"][0] == norm(-2.0) and got[0, "staff"][0] == norm(3.1 + 0.292)
+    assert {k for k, v in got.items() if v == (None, None)} == set(got) - {(0, "money"), (0, "staff"), (1, "money")}
+
+
 def test_lexicon_job_shuffles_once_and_sorts_nothing(spark):
     df = reviews(spark, ["good"] * 3)
     plan = X.lexicon_compound(df, "id", "review", dims.lexicon_dim(spark))._jdf.queryExecution().executedPlan().toString()

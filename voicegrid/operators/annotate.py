@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from voicegrid import dims
 from voicegrid.functions import dates as D, labels as L, scores as S, words as W
@@ -36,33 +37,76 @@ def topic_coverage(df: DataFrame, counts: Sequence[str], out: str = "topic_cov_n
     return df.withColumn(out, S.half_even(total / top, 3))
 
 
-def annotate(df: DataFrame, text: str = "review", date: str = "date",
-             topics: Mapping[str, Sequence[str]] = dims.TOPIC_TERMS) -> DataFrame:
-    """All row-level columns of an annotated review in one lazy projection.
-
-    The text is cut into words once for all of them, and only words of some dictionary are kept.
-    Nothing is computed for columns that a later query does not read.
+@dataclass(frozen=True)
+class Dictionaries:
+    """The word lists that annotation reads. Where a mapping gives one label, its first match counts."""
+
+    topics: Mapping[str, Sequence[str]] = field(default_factory=lambda: dims.TOPIC_TERMS)
+    aspects: Mapping[str, Sequence[str]] = field(default_factory=lambda: dims.MENTION_TERMS)
+    categories: Mapping[str, Sequence[str]] = field(default_factory=lambda: dims.CATEGORY_TERMS)
+    debit: Sequence[str] = tuple(dims.DEBIT_TERMS)
+    prepay: Sequence[str] = tuple(dims.PREPAY_TERMS)
+    own_brand: str | None = dims.OWN_BRAND
+    gas: Sequence[str] = tuple(dims.GAS_TERMS)
+    power: Sequence[str] = tuple(dims.POWER_TERMS)
+    fixed: Sequence[str] = L.FIXED_TERMS
+    variable: Sequence[str] = L.VARIABLE_TERMS
+    intent: Sequence[str] = tuple(dims.INTENT_TERMS)
+    outcome: Sequence[str] = tuple(dims.OUTCOME_TERMS)
+    reasons: Sequence[str] = tuple(dims.REASON_TERMS_SHORT)
+    meter: Sequence[str] = ("smart meter", "smart meters")
+    promo: Sequence[str] = tuple(dims.PROMO_TERMS)
+    regulatory: Sequence[str] = tuple(dims.REGULATORY_TERMS)
+    channels: Sequence[str] = tuple(dims.CHANNELS)
+
+    def word_lists(self) -> list[Sequence[str]]:
+        """The lists whose terms are whole words: they share one list of a text's known words."""
+        return [*self.topics.values(), *self.aspects.values(), self.debit, self.prepay, self.gas, self.power,
+                self.fixed, self.variable, self.reasons, self.channels]
+
+
+QUALITY_FACTORS = ("topic_cov_n", "length_score", "justification", "promo_flag", "reg_ref_flag")
+
+
+def annotate(df: DataFrame, text: str = "review", date: str = "date", words: Dictionaries = Dictionaries(),
+             sentiments: Sequence[str] = (), spam: str | None = None, english: Column | None = None) -> DataFrame:
+    """All columns of an annotated review in one lazy projection.
+
+    Month and year; topic counts ``kw_*``, mention weights ``w_*`` and topic coverage; length, its bucket and
+    score; payment, fuel, tariff, switching stage, category, flags and channels; ``<s>_n`` for each column of
+    ``sentiments`` in [-1, 1]; the review weight from the boolean column ``spam`` (none: no spam) and
+    ``english`` (none: language does not count); the quality score, the mean of the normalised sentiments,
+    topic coverage, length score and three flags.
+
+    The text is cut into words once for all dictionaries. Topic coverage compares with the largest keyword
+    total of the table; that scalar, as everything else, is only computed for queries that read it.
     """
     body, toks = F.col(text), F.col("_toks")
-    known = W.known_words(body, *topics.values(), dims.DEBIT_TERMS, dims.PREPAY_TERMS, dims.GAS_TERMS,
-                          dims.POWER_TERMS, L.FIXED_TERMS, L.VARIABLE_TERMS, dims.REASON_TERMS_SHORT,
-                          dims.CHANNELS)
-    df = topic_keyword_counts(df.withColumn("_toks", known), text, topics, toks="_toks")
+    df = df.withColumn("_toks", W.known_words(body, *words.word_lists()))
+    df = topic_keyword_counts(df, text, words.topics, toks="_toks")
+    df = aspect_mention_weight(df, text, words.aspects, toks="_toks")
     df = df.withColumns({
         "month": D.month_start(F.col(date)),
+        "year": F.year(date),
         "word_count": F.size(W.chunks(body)),
-        "payment_method": L.payment_method(body, toks=toks),
-        "fuel_type": L.fuel_type(body, toks=toks),
-        "tariff_type": L.tariff_type(body, toks=toks),
-        "switching": L.switching_stage(body),
-        "justification": L.flag(L.justification(body, dims.REASON_TERMS_SHORT, toks)),
-        "smart_meter_flag": L.smart_meter_flag(body),
-        "promo_flag": L.promo_flag(body),
-        "reg_ref_flag": L.regulatory_flag(body),
-        **L.channel_flags(body, toks=toks),
+        "payment_method": L.payment_method(body, words.debit, words.prepay, toks),
+        "fuel_type": L.fuel_type(body, words.own_brand, words.gas, words.power, toks),
+        "tariff_type": L.tariff_type(body, words.fixed, words.variable, toks),
+        "switching": L.switching_stage(body, words.intent, words.outcome),
+        "category": L.first_category(body, words.categories),
+        "justification": L.flag(L.justification(body, words.reasons, toks)),
+        "smart_meter_flag": L.smart_meter_flag(body, words.meter),
+        "promo_flag": L.promo_flag(body, words.promo),
+        "reg_ref_flag": L.regulatory_flag(body, words.regulatory),
+        **L.channel_flags(body, words.channels, toks),
+        **{f"{s}_n": S.rescale_01(F.col(s)) for s in sentiments},
     }).drop("_toks")
-    return df.withColumns({"length_cat": S.length_bucket(F.col("word_count")),
-                           "length_score": S.length_score(F.col("word_count"))})
+    df = topic_coverage(df, [f"kw_{t}" for t in words.topics])
+    is_spam = F.coalesce(F.col(spam), F.lit(False)) if spam else F.lit(False)
+    df = df.withColumns({"length_cat": S.length_bucket(F.col("word_count")),
+                         "length_score": S.length_score(F.col("word_count")),
+                         "review_weight": S.review_weight(is_spam, F.col("justification") == 1, english)})
+    return quality_score(df, [*[f"{s}_n" for s in sentiments], *QUALITY_FACTORS])
 
 
 def quality_score(df: DataFrame, factors: Sequence[str], out: str = "quality_score") -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from voicegrid import dims
 from voicegrid.functions import scores as S
 from voicegrid.operators.rollups import known_keys, name_grid
 
@@ -127,6 +128,26 @@ def available_aspects(aspects: DataFrame, df: DataFrame, column: str = "aspect")
     return aspects.join(df.select(column).distinct(), column, "left_semi").orderBy("ord")
 
 
-def skipped_combinations(grid: DataFrame, kept: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Cells of the grid that the comparison could not fill."""
-    return grid.join(kept.select(*keys).distinct(), list(keys), "left_anti")
+def sides_with_reviews(reviews: DataFrame, primary: str, threshold: float = dims.EVIDENCE_WEIGHT,
+                       weight: str = "review_weight") -> DataFrame:
+    """``(competitor, product)`` pairs for which both companies have reviews of at least some weight."""
+    sides = reviews.filter(F.col(weight) >= threshold).select("company", "product").distinct()
+    ours = sides.filter(F.col("company") == primary).select("product")
+    return sides.filter(F.col("company") != primary).join(ours, "product").select(F.col("company").alias("competitor"), "product")
+
+
+def skipped_combinations(grid: DataFrame, kept: DataFrame, keys: Sequence[str], reviewed: DataFrame | None = None) -> DataFrame:
+    """Cells of the grid that the comparison could not fill, and the ``reason``.
+
+    A cell without a score on either side (it is not in ``kept``) is reported as that; of the others, a cell
+    whose competitor and product are not in ``reviewed`` has no reviews to show as evidence.
+    """
+    scored = kept.select(*keys).distinct().withColumn("_scored", F.lit(True))
+    cells = grid.join(scored, list(keys), "left")
+    if reviewed is None:
+        cells = cells.withColumn("_reviewed", F.lit(True))
+    else:
+        shared = [k for k in keys if k in reviewed.columns]
+        cells = cells.join(reviewed.select(*shared).distinct().withColumn("_reviewed", F.lit(True)), shared, "left")
+    reason = F.when(F.col("_scored").isNull(), "no score").when(F.col("_reviewed").isNull(), "no reviews")
+    return cells.withColumn("reason", reason).filter(F.col("reason").isNotNull()).drop("_scored", "_reviewed")

@@ -29,7 +29,11 @@ def pearson_matrix(df: DataFrame, columns: Sequence[str], places: int = 6) -> Da
     return _long_pairs(row, columns, ["corr"])
 
 
-def average_ranks(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+def _keys(key: str | Sequence[str]) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
+def average_ranks(df: DataFrame, key: str | Sequence[str], columns: Sequence[str]) -> DataFrame:
     """``(key, <columns>)`` with every value replaced by its rank; equal values share their mean rank.
 
     Ranks are found per distinct value and joined back in long form. Values frequent enough to
@@ -37,7 +41,8 @@ def average_ranks(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     broadcast, all others by a shuffled join.
     """
     cuts = R.cut_points(df, columns)
-    long = R.long_values(df, columns, cuts, key).drop("region")
+    keys = _keys(key)
+    long = R.long_values(df, columns, cuts, *keys).drop("region")
     ranks = R.distinct_positions(R.long_values(df, columns, cuts)).select(
         "series", "value", (F.col("before") + (F.col("n") + 1) / 2).alias("rank"))
     heavy = F.lit(False)
@@ -47,27 +52,24 @@ def average_ranks(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     ids = ["series", "value"]
     ranked = (long.filter(~heavy).join(ranks.filter(~heavy), ids)
               .unionByName(long.filter(heavy).join(F.broadcast(ranks.filter(heavy)), ids)))
-    return ranked.groupBy(key).agg(*[
+    return ranked.groupBy(*keys).agg(*[
         F.max(F.when(F.col("series") == c, F.col("rank"))).alias(c) for c in columns])
 
 
-def spearman_matrix(df: DataFrame, key: str, columns: Sequence[str], places: int = 6) -> DataFrame:
+def spearman_matrix(df: DataFrame, key: str | Sequence[str], columns: Sequence[str], places: int = 6) -> DataFrame:
     """``(col_a, col_b, corr)``: correlation of average ranks."""
     return pearson_matrix(average_ranks(df, key, columns), columns, places)
 
 
-def column_ranks(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
-    """``(key, series, rank)``: 1..n position of every row in each column, ties by key."""
-    cuts = R.cut_points(df, [*columns, key])
-    parts = [R.global_rank(df.select(key, c), c, key, cuts=cuts).select(key, F.lit(c).alias("series"), "rank")
-             for c in columns]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def column_ranks(df: DataFrame, key: str | Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """``(key, series, rank)``: 1..n position of every row in each column, ties by key.
+
+    Columns and keys may be of any type that has an order, and the key several columns.
+    """
+    return R.series_ranks(df, _keys(key), columns)
 
 
-def linear_mix(df: DataFrame, key: str, columns: Sequence[str],
+def linear_mix(df: DataFrame, key: str | Sequence[str], columns: Sequence[str],
                lower: Sequence[Sequence[float]]) -> DataFrame:
     """Multiply the row vector of scores by the transpose of a given lower-triangular factor."""
     def mixed(i: int) -> Column:
@@ -75,24 +77,21 @@ def linear_mix(df: DataFrame, key: str, columns: Sequence[str],
         for j in range(i + 1):
             total = total + F.col(columns[j]) * float(lower[i][j])
         return total
-    return df.select(key, *[mixed(i).alias(c) for i, c in enumerate(columns)])
+    return df.select(*_keys(key), *[mixed(i).alias(c) for i, c in enumerate(columns)])
 
 
-def rank_reorder(df: DataFrame, key: str, columns: Sequence[str], scores: DataFrame) -> DataFrame:
+def rank_reorder(df: DataFrame, key: str | Sequence[str], columns: Sequence[str], scores: DataFrame) -> DataFrame:
     """``(key, <columns>)`` with each column's own values placed in the order of its scores.
 
-    The row ranked k by score receives the k-th smallest value. Both ranks are gapless, so every
-    equi-join is one to one on unique keys.
+    The row ranked k by score receives the k-th smallest value. All columns are ranked together, once by
+    value and once by score, and meet in one join: both ranks are gapless, so it is one to one.
     """
-    parts = None
-    value_cuts, score_cuts = R.cut_points(df, [*columns, key]), R.cut_points(scores, [*columns, key])
-    for c in columns:
-        by_score = R.global_rank(scores.select(key, c), c, key, cuts=score_cuts).select(key, "rank")
-        by_value = R.global_rank(df.select(key, c), c, key, cuts=value_cuts).select("rank", F.col(c).alias("value"))
-        part = by_score.join(by_value, "rank").select(key, F.lit(c).alias("series"), "value")
-        parts = part if parts is None else parts.unionByName(part)
-    return parts.groupBy(key).agg(*[
-        F.max(F.when(F.col("series") == c, F.col("value"))).alias(c) for c in columns])
+    keys = _keys(key)
+    by_score = R.series_ranks(scores, keys, columns)
+    by_value = R.series_ranks(df, keys, columns, "_placed").drop(*keys)
+    placed = by_score.join(by_value, ["series", "rank"])
+    return placed.groupBy(*keys).agg(*[
+        F.max(F.when(F.col("series") == c, F.col("_placed"))).alias(c) for c in columns])
 
 
 def correlation_band(matrix: DataFrame) -> DataFrame:
@@ -111,23 +110,9 @@ def matrix_gap(achieved: DataFrame, target: DataFrame) -> DataFrame:
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], q: float) -> DataFrame:
-    """One row with the linearly interpolated quantile of each column.
-
-    The two order statistics around the position are read off the running counts of distinct
-    values, so no value list is gathered.
-    """
-    values = R.distinct_positions(R.long_values(df, columns, R.cut_points(df, columns)))
-    totals = values.groupBy("series").agg(F.sum("n").alias("_total"))
-    at = (F.col("_total") - 1) * F.lit(q)
-    placed = values.join(F.broadcast(totals), "series").withColumn("_at", at)
-    def holds(position: Column) -> Column:
-        return (F.col("before") <= position) & (position < F.col("before") + F.col("n"))
-    low, high = F.floor("_at"), F.ceil("_at")
-    found = placed.filter(holds(low) | holds(high)).groupBy("series").agg(
-        F.max(F.when(holds(low), F.col("value"))).alias("_lo"),
-        F.max(F.when(holds(high), F.col("value"))).alias("_hi"), F.max("_at").alias("_at"))
-    exact = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_at") - F.floor("_at"))
-    return found.agg(*[F.max(F.when(F.col("series") == c, exact)).alias(c) for c in columns])
+    """One row with the linearly interpolated quantile of each column (see ``rank.group_quantiles``)."""
+    found = R.group_quantiles(df, [], columns, [q])
+    return found.agg(*[F.max(F.when(F.col("series") == c, F.col("q")[0])).alias(c) for c in columns])
 
 
 def co_exceedance(before: DataFrame, after: DataFrame, columns: Sequence[str], q: float = 0.9,

@@ -10,7 +10,9 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from voicegrid import dims
 from voicegrid.functions import words as W
+from voicegrid.operators import stem as P
 from voicegrid.session import broadcast_if_small
 
 # Fixed values of the published rules.
@@ -111,22 +113,37 @@ def lexicon_polarity(df: DataFrame, key: str, text: str, lexicon: DataFrame,
         F.bround(F.coalesce(F.avg("valence"), F.lit(0.0)), 6).alias(out))
 
 
-def aspect_sentences(df: DataFrame, key: str, text: str,
+def aspect_sentences(df: DataFrame, key: str | Sequence[str], text: str,
                      terms: Mapping[str, Sequence[str]]) -> DataFrame:
-    """``(key, aspect, scoped)``: the sentences that name the aspect, joined by ``". "``; NULL if none."""
-    cut = df.select(key, W.sentences(F.col(text)).alias("_s"))
-    def scoped(words: Sequence[str]) -> Column:
-        kept = F.filter("_s", lambda s: F.exists(W.tokens(s), W.in_list([w.lower() for w in words])))
-        return F.when(F.size(kept) > 0, F.array_join(kept, ". "))
-    rows = F.array(*[F.struct(F.lit(a).alias("aspect"), scoped(ws).alias("scoped"))
-                     for a, ws in terms.items()])
-    return cut.select(key, F.explode(rows).alias("_r")).select(key, "_r.aspect", "_r.scoped")
+    """``(key, aspect, scoped)``: the sentences that name the aspect, joined by ``". "``; NULL if none.
 
+    A sentence names an aspect when the stem of one of its words is the stem of a keyword. The corpus'
+    vocabulary is stemmed once; what each row sees is the list of forms of every aspect's keywords, a scalar
+    as large as the dictionary times the suffixes. Keywords of several words name nothing.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    forms = P.keyword_forms(df, text, dims.keyword_dim(df.sparkSession, terms))
+    lists = forms.groupBy("aspect").agg(F.collect_set("word").alias("words"))
+    known = lists.agg(F.map_from_entries(F.collect_list(F.struct("aspect", "words"))).alias("x")).scalar()
+    cut = df.select(*keys, F.transform(W.sentences(F.col(text)), lambda s: F.struct(s.alias("s"), W.tokens(s).alias("t"))).alias("_s"), known.alias("_f"))
+
+    def scoped(aspect: str) -> Column:
+        words = F.coalesce(F.get(F.array(F.try_element_at("_f", F.lit(aspect))), F.lit(0)), F.array().cast("array<string>"))
+        kept = F.filter("_s", lambda s: F.arrays_overlap(s["t"], words))
+        return F.when(F.size(kept) > 0, F.array_join(F.transform(kept, lambda s: s["s"]), ". "))
+
+    rows = F.array(*[F.struct(F.lit(a).alias("aspect"), scoped(a).alias("scoped")) for a in terms])
+    return cut.select(*keys, F.explode(rows).alias("_r")).select(*keys, "_r.aspect", "_r.scoped")
 
-def sentence_scoped_sentiment(df: DataFrame, key: str, text: str, terms: Mapping[str, Sequence[str]],
+
+def sentence_scoped_sentiment(df: DataFrame, key: str | Sequence[str], text: str, terms: Mapping[str, Sequence[str]],
                               lexicon: DataFrame) -> DataFrame:
-    """``(key, aspect, sentiment)`` of the sentences that name each aspect; NULL if none does."""
-    scoped = aspect_sentences(df, key, text, terms)
-    named = scoped.withColumn("_named", F.col("scoped").isNotNull())
-    scores = lexicon_compound(named, [key, "aspect", "_named"], "scoped", lexicon, "_c")
-    return scores.select(key, "aspect", F.when(F.col("_named"), F.col("_c")).alias("sentiment"))
+    """``(key, aspect, digest, sentiment)`` of the sentences that name each aspect; NULL if none does.
+
+    ``digest`` is the MD5 of the scoped text. Further columns of a review can be part of ``key``: they then
+    go with the scores, and a rollup needs no join.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    scoped = aspect_sentences(df, keys, text, terms).withColumn("digest", F.md5("scoped"))
+    scores = lexicon_compound(scoped, [*keys, "aspect", "digest"], "scoped", lexicon, "_c")
+    return scores.select(*keys, "aspect", "digest", F.when(F.col("digest").isNotNull(), F.col("_c")).alias("sentiment"))

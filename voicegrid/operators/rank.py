@@ -9,6 +9,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from voicegrid import dims
+from voicegrid.session import materialize
 
 
 # -- global order without a single-task window ---------------------------------------------
@@ -52,36 +53,46 @@ def _offsets(counted: DataFrame, regions: Sequence[str], n: str, out: str) -> Da
     return counted.withColumn(out, F.coalesce(F.sum(n).over(w), F.lit(0))).drop(n)
 
 
-def global_rank(df: DataFrame, column: str, key: str, out: str = "rank",
-                cuts: Cuts | None = None) -> DataFrame:
-    """Exact 1..n position of every row by ``(column, key)``, without gaps. NULLs are left out.
+def positions(df: DataFrame, order: Sequence[str], out: str = "position") -> DataFrame:
+    """Exact 0-based position of every row in the order of some columns, of whatever types.
 
-    Rows are placed in value ranges cut at quantiles. A value so frequent that it fills ranges
-    of its own is cut further by ``key``, so no range holds more than a small share of the rows.
-    Ranges are numbered in order, ranked in parallel, and shifted by the rows before them. The
-    cut points are literals of the plan: a lost task recomputes to the same ranges. Callers
-    that rank several columns find all ``cuts`` in one pass.
+    Rows are range partitioned in that order, so cut points come from a sample in the columns' own
+    order, and numbered within their range. The result is stored once, because the numbers of rows
+    before each range are added afterwards: those are one row per range. ``order`` should tell rows
+    apart (end it with the key): equal rows cannot be spread over ranges.
     """
-    df = df.filter(F.col(column).isNotNull())
-    cuts = cuts or cut_points(df, [column] if column == key else [column, key])
-    edges, heavy = cuts[column]
-    placed = add_region(df, column, edges, "_region")
-    names = ["_region"]
-    if heavy and column != key:
-        # Rows equal to a heavy value come first in their range, which starts at that value. They
-        # are cut by key into about as many parts as the value would fill ranges.
-        placed = add_region(placed, key, cuts[key][0], "_sub")
-        parts = df.sparkSession.createDataFrame(list(heavy.items()), "_heavy double, _parts int")
-        placed = placed.join(F.broadcast(parts), F.col(column).cast("double") == F.col("_heavy"), "left")
-        part = F.floor(F.col("_sub") * F.col("_parts") / (len(cuts[key][0]) + 1)).cast("int")
-        placed = placed.withColumn("_sub", F.coalesce(part, F.lit(2**31 - 1))).drop("_heavy", "_parts")
-        names.append("_sub")
-    counts = placed.groupBy(*names).agg(F.count("*").alias("_n"))
-    placed = placed.join(F.broadcast(_offsets(counts, names, "_n", "_before")), names)
-    w = Window.partitionBy(*names).orderBy(column, key) if column != key else \
-        Window.partitionBy(*names).orderBy(column)
-    ranked = placed.withColumn(out, F.col("_before") + F.row_number().over(w))
-    return ranked.drop("_before", *names)
+    ranged = (df.repartitionByRange(_regions(df), *order).sortWithinPartitions(*order)
+              .withColumn("_at", F.monotonically_increasing_id()))
+    kept = materialize(ranged)  # the range is in the upper bits of the number, the place in it below
+    placed = kept.withColumn("_range", F.shiftright("_at", 33))
+    counts = placed.groupBy("_range").agg(F.count("*").alias("_n"))
+    placed = placed.join(F.broadcast(_offsets(counts, ["_range"], "_n", "_before")), "_range")
+    return placed.withColumn(out, F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_range", "_before", "_at")
+
+
+def series_ranks(df: DataFrame, keys: Sequence[str], columns: Sequence[str], value: str | None = None) -> DataFrame:
+    """``(keys, series, rank)``: 1..n rank of every row in each column by value and keys, NULLs left out.
+
+    All columns of one type are one long table in one global order, whatever their number; a column's
+    ranks begin after the rows of the columns before it. ``value`` names a further output column with
+    the value itself, for columns of one type.
+    """
+    kinds: dict[str, list[str]] = {}
+    for c in columns:
+        kinds.setdefault(df.schema[c].dataType.simpleString(), []).append(c)
+    if value and len(kinds) > 1:
+        raise ValueError("values of several types cannot share a column")
+    out = None
+    for some in kinds.values():
+        cells = F.array(*[F.struct(F.lit(c).alias("series"), F.col(c).alias("_value")) for c in some])
+        long = df.select(*keys, F.explode(cells).alias("_c")).select(*keys, "_c.*").filter(F.col("_value").isNotNull())
+        placed = positions(long, ["series", "_value", *keys], "_position")
+        sizes = _offsets(long.groupBy("series").agg(F.count("*").alias("_n")), ["series"], "_n", "_first")
+        ranked = placed.join(F.broadcast(sizes), "series").select(
+            *keys, "series", (F.col("_position") - F.col("_first") + 1).alias("rank"),
+            *([F.col("_value").alias(value)] if value else []))
+        out = ranked if out is None else out.unionByName(ranked)
+    return out
 
 
 def long_values(df: DataFrame, columns: Sequence[str], cuts: Cuts, *keys: str) -> DataFrame:
@@ -96,26 +107,60 @@ def long_values(df: DataFrame, columns: Sequence[str], cuts: Cuts, *keys: str) -
     return df.select(*keys, F.explode(cells).alias("_c")).select(*keys, "_c.*").dropna(subset=["value"])
 
 
-def distinct_positions(long: DataFrame) -> DataFrame:
-    """``(series, value, n, before)``: every distinct value of each column of ``long_values``, how
-    many rows hold it and how many hold a smaller one. Values are counted map-side before they
-    are moved."""
-    counts = long.groupBy("series", "region", "value").agg(F.count("*").alias("n"))
-    totals = counts.groupBy("series", "region").agg(F.sum("n").alias("_n"))
+def distinct_positions(long: DataFrame, *groups: str) -> DataFrame:
+    """``(groups, series, value, n, before)``: every distinct value of each column of ``long_values``, per
+    group how many rows hold it and how many hold a smaller one. Values are counted map-side before
+    they are moved, and no group's values gather in one task."""
+    keys = [*groups, "series"]
+    counts = long.groupBy(*keys, "region", "value").agg(F.count("*").alias("n"))
+    totals = counts.groupBy(*keys, "region").agg(F.sum("n").alias("_n"))
     earlier = (Window.unboundedPreceding, -1)
-    w = Window.partitionBy("series").orderBy("region").rowsBetween(*earlier)
+    w = Window.partitionBy(*keys).orderBy("region").rowsBetween(*earlier)
     totals = totals.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
-    inner = Window.partitionBy("series", "region").orderBy("value").rowsBetween(*earlier)
-    return (counts.join(F.broadcast(totals), ["series", "region"])
+    inner = Window.partitionBy(*keys, "region").orderBy("value").rowsBetween(*earlier)
+    # Without groups a row per range and column; with groups the planner decides by the measured size.
+    totals = totals if groups else F.broadcast(totals)
+    return (counts.join(totals, [*keys, "region"])
             .withColumn("before", F.col("_before") + F.coalesce(F.sum("n").over(inner), F.lit(0)))
-            .select("series", "value", "n", "before"))
+            .select(*keys, "value", "n", "before"))
+
 
+def group_quantiles(df: DataFrame, groups: Sequence[str], columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """``(groups, series, n, q)``: the linearly interpolated quantiles of each column in each group, exactly.
 
-def fixed_size_batches(df: DataFrame, key: str, size: int) -> DataFrame:
-    """``batch`` from 0 and 1-based ``index_in_batch`` in key order."""
-    ranked = global_rank(df, key, key, "_rank")
-    return (ranked.withColumn("batch", F.floor((F.col("_rank") - 1) / size))
-            .withColumn("index_in_batch", (F.pmod(F.col("_rank") - 1, F.lit(size)) + 1)).drop("_rank"))
+    The order statistics around each position are read off the running counts of distinct values within
+    value ranges, so no group's values stand in one list or buffer, however many different ones it has.
+    NULLs are left out; a group without values of a column has no row for it. Group keys must not be NULL.
+    """
+    df = materialize(df.select(*groups, *[F.col(c).cast("double").alias(c) for c in columns]).dropna(subset=list(groups)) if groups
+                     else df.select(*[F.col(c).cast("double").alias(c) for c in columns]))
+    keys = [*groups, "series"]
+    values = distinct_positions(long_values(df, columns, cut_points(df, columns), *groups), *groups)
+    totals = values.groupBy(*keys).agg(F.sum("n").alias("_total"))
+    placed = values.join(totals if groups else F.broadcast(totals), keys)
+
+    def at(prob: float) -> Column:
+        return (F.col("_total") - 1) * F.lit(float(prob))
+
+    def holds(position: Column) -> Column:
+        return (F.col("before") <= position) & (position < F.col("before") + F.col("n"))
+
+    sides = [side(at(p)) for p in probs for side in (F.floor, F.ceil)]
+    wanted = F.lit(False)
+    for position in sides:
+        wanted = wanted | holds(position)
+    found = placed.filter(wanted).groupBy(*keys).agg(
+        F.max("_total").alias("_total"), *[F.max(F.when(holds(position), F.col("value"))).alias(f"_v{i}") for i, position in enumerate(sides)])
+    cells = [F.col(f"_v{2 * i}") + (F.col(f"_v{2 * i + 1}") - F.col(f"_v{2 * i}")) * (at(p) - F.floor(at(p))) for i, p in enumerate(probs)]
+    return found.select(*keys, F.col("_total").alias("n"), F.array(*cells).alias("q"))
+
+
+def fixed_size_batches(df: DataFrame, key: str | Sequence[str], size: int) -> DataFrame:
+    """``batch`` from 0 and 1-based ``index_in_batch`` in the order of one or more key columns of any type."""
+    keys = [key] if isinstance(key, str) else list(key)
+    ranked = positions(df.dropna(subset=keys), keys, "_position")
+    return (ranked.withColumn("batch", F.floor(F.col("_position") / size))
+            .withColumn("index_in_batch", (F.pmod(F.col("_position"), F.lit(size)) + 1)).drop("_position"))
 
 
 # -- top n per group -------------------------------------------------------------------------

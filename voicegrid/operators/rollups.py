@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from voicegrid import dims
 from voicegrid.functions import scores as S
+from voicegrid.operators import rank as R
 
 MONTHLY = ("month", "company", "product")
 
@@ -52,14 +53,19 @@ def monthly_aspect_rollup(df: DataFrame, score: str, aspects: Sequence[str], min
         F.stddev_samp(score).alias("sentiment_volatility"), *per_aspect)
 
 
-def monthly_precise_rollup(df: DataFrame, aspects: Sequence[str],
-                           keys: Sequence[str] = MONTHLY) -> DataFrame:
-    """Mean and deviation of sentence-scoped scores with the group's volume."""
+def monthly_precise_rollup(df: DataFrame, aspects: Sequence[str], keys: Sequence[str] = MONTHLY,
+                           score: str = "sentiment") -> DataFrame:
+    """Mean and deviation of sentence-scoped scores with the group's volume.
+
+    Takes one row per review and aspect, as ``sentence_scoped_sentiment`` gives them with the group's keys,
+    and pivots them within the aggregate. Scores in [-1, 1] are first scaled to 100, one place.
+    """
     stats = []
     for a in aspects:
-        stats += [F.avg(f"sentiment_{a}").alias(f"{a}_sentiment_score"),
-                  F.stddev_samp(f"sentiment_{a}").alias(f"{a}_volatility")]
-    return known_keys(df, keys).groupBy(*keys).agg(*stats, F.count("*").alias("reviews"))
+        value = F.when(F.col("aspect") == a, S.rescale_100(F.col(score)))
+        stats += [F.avg(value).alias(f"{a}_sentiment_score"), F.stddev_samp(value).alias(f"{a}_volatility")]
+    volume = F.count_if(F.col("aspect") == aspects[0]).alias("reviews")
+    return known_keys(df, keys).groupBy(*keys).agg(*stats, volume)
 
 
 def rollup_numeric_contract(df: DataFrame, truncated: Sequence[str], rounded: Sequence[str],
@@ -78,11 +84,9 @@ def monthly_product_company_stats(df: DataFrame, text: str, score: str) -> DataF
 
 
 def aspect_median_threshold(df: DataFrame, aspects: Sequence[str]) -> DataFrame:
-    """One row with the corpus median relevance of every aspect.
-
-    The medians are those of the values as they are: tasks pass on counts of distinct values.
-    """
-    return df.agg(*[F.median(F.col(f"relevance_{a}")).alias(f"median_{a}") for a in aspects])
+    """One row with the corpus median relevance of every aspect, exact for counts and for continuous values."""
+    found = R.group_quantiles(df, [], [f"relevance_{a}" for a in aspects], [0.5])
+    return found.agg(*[F.max(F.when(F.col("series") == f"relevance_{a}", F.col("q")[0])).alias(f"median_{a}") for a in aspects])
 
 
 def threshold_aspect_rollup(df: DataFrame, aspects: Sequence[str]) -> DataFrame:
@@ -179,14 +183,10 @@ def aspect_trend_long(df: DataFrame, keys: Sequence[str], aspects: Sequence[str]
 
 
 def score_distribution(df: DataFrame, key: str, value: str) -> DataFrame:
-    """Five-number summary per group.
-
-    Exact percentiles of the values as they are: tasks pass on counts of distinct values.
-    """
-    p = F.percentile(F.col(value), F.array(*[F.lit(q) for q in (0.0, 0.25, 0.5, 0.75, 1.0)]))
+    """Five-number summary per group, exact; groups without a value have no row."""
+    found = R.group_quantiles(df, [key], [value], [0.0, 0.25, 0.5, 0.75, 1.0])
     names = ("minimum", "q1", "median", "q3", "maximum")
-    return (df.filter(F.col(value).isNotNull()).groupBy(key).agg(p.alias("_p"), F.count("*").alias("n"))
-            .select(key, "n", *[F.col("_p")[i].alias(n) for i, n in enumerate(names)]))
+    return found.select(key, "n", *[F.col("q")[i].alias(n) for i, n in enumerate(names)])
 
 
 def aspect_mean_truncated(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -302,11 +302,10 @@ def flag_summary(df: DataFrame, flags: Sequence[str]) -> DataFrame:
 
 def describe(df: DataFrame, column: str, places: int = 3) -> DataFrame:
     """Count, mean, deviation, minimum, exact quartiles and maximum of one score, rounded at the end."""
-    p = F.percentile(F.col(column), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    cuts = R.group_quantiles(df, [], [column], [0.25, 0.5, 0.75]).agg(F.max("q").alias("x")).scalar()
     row = df.agg(F.count(column).alias("count"), F.avg(column).alias("mean"),
-                 F.stddev_samp(column).alias("std"), F.min(column).alias("min"),
-                 p.alias("_p"), F.max(column).alias("max"))
-    row = row.withColumns({"p25": F.col("_p")[0], "p50": F.col("_p")[1], "p75": F.col("_p")[2]})
+                 F.stddev_samp(column).alias("std"), F.min(column).alias("min"), F.max(column).alias("max"))
+    row = row.withColumn("_p", cuts).withColumns({"p25": F.col("_p")[0], "p50": F.col("_p")[1], "p75": F.col("_p")[2]})
     return row.select("count", *[S.half_even(F.col(c), places).alias(c)
                                  for c in ("mean", "std", "min", "p25", "p50", "p75", "max")])
 

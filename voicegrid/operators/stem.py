@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from voicegrid.functions import words as W
+from voicegrid.session import broadcast_if_small, materialize
 
 # The published suffix tables, longest suffix first within a step.
 STEP_2 = [("ational", "ate"), ("ization", "ize"), ("iveness", "ive"), ("fulness", "ful"),
@@ -108,16 +109,32 @@ def stem_vocabulary(df: DataFrame, text: str) -> DataFrame:
     return stem_words(vocabulary, "word")
 
 
-def stemmed_relevance(df: DataFrame, key: str, text: str, keywords: DataFrame) -> DataFrame:
-    """``(key, aspect, relevance)``: distinct stems of a review among an aspect's keyword stems.
+def keyword_forms(df: DataFrame, text: str, keywords: DataFrame) -> DataFrame:
+    """``(word, aspect, stem)``: the corpus' words that share a stem with a keyword of an aspect.
 
-    Only vocabulary words whose stem is a keyword stem are joined to the corpus. Every step strips
-    one suffix of a finite table, so a keyword has finitely many such forms and they are broadcast;
-    the corpus is never shuffled by word. Pairs without a hit are left out.
+    A stem differs from its word behind their common beginning by at most its last letter (``y`` to ``i``,
+    an ``e`` put back), so only words that begin like a keyword's stem are stemmed, each once. Every step
+    strips one suffix of a finite table, so a keyword has finitely many forms. Keywords of several words
+    have no form.
     """
     stems = stem_words(keywords.select(F.col("key").alias("aspect"), F.lower("keyword").alias("_k")),
                        "_k", "stem").select("aspect", "stem").distinct()
-    forms = stem_vocabulary(df, text).join(F.broadcast(stems), "stem").select("word", "aspect", "stem")
+    begin = F.left(F.col("stem"), F.greatest(F.length("stem") - 1, F.lit(1)))
+    begins = stems.agg(F.collect_set(begin).alias("x")).scalar()
+    words = F.filter(F.array_distinct(W.tokens(F.col(text))), lambda t: t.rlike(r"^\p{L}+$"))
+    near = F.filter("_w", lambda w: F.exists("_b", lambda b: F.startswith(w, b)))
+    vocabulary = (df.select(words.alias("_w"), begins.alias("_b")).select(F.explode(near).alias("word")).distinct())
+    return stem_words(vocabulary, "word").join(F.broadcast(stems), "stem").select("word", "aspect", "stem")
+
+
+def stemmed_relevance(df: DataFrame, key: str, text: str, keywords: DataFrame) -> DataFrame:
+    """``(key, aspect, relevance)``: distinct stems of a review among an aspect's keyword stems.
+
+    Only vocabulary words whose stem is a keyword stem are joined to the corpus. They are broadcast once
+    their number proves small; else the adaptive planner decides by the measured size. Pairs without a hit
+    are left out.
+    """
+    forms = broadcast_if_small(materialize(keyword_forms(df, text, keywords)))
     words = F.array_distinct(W.tokens(F.col(text)))
-    hits = df.select(key, F.explode(words).alias("word")).join(F.broadcast(forms), "word")
+    hits = df.select(key, F.explode(words).alias("word")).join(forms, "word")
     return hits.groupBy(key, "aspect").agg(F.size(F.collect_set("stem")).alias("relevance"))

@@ -119,10 +119,15 @@ def available_aspects(spark, sf):
     return M.available_aspects(dim, named)
 
 
-@query("skipped_combinations", _grid("""
-SELECT competitor, product, aspect FROM grid ANTI JOIN (SELECT * FROM gaps WHERE sentiment_difference IS NOT NULL)
-USING (competitor, product, aspect)"""))
+@query("skipped_combinations", _grid(f"""
+, sides AS (SELECT DISTINCT company, product FROM ann WHERE review_weight >= 0.96 AND month >= DATE '2024-07-01'),
+reviewed AS (SELECT t.company AS competitor, t.product FROM sides t JOIN sides o ON o.company = '{P}' AND t.company <> '{P}' AND o.product = t.product)
+SELECT competitor, product, aspect, CASE WHEN g.sentiment_difference IS NULL THEN 'no score' ELSE 'no reviews' END AS reason
+FROM grid LEFT JOIN (SELECT * FROM gaps WHERE sentiment_difference IS NOT NULL) g USING (competitor, product, aspect)
+LEFT JOIN (SELECT *, true AS some FROM reviewed) r USING (competitor, product) WHERE g.sentiment_difference IS NULL OR r.some IS NULL"""))
 def skipped_combinations(spark, sf):
+    """Evidence is looked for in the second half of the year, so that some cells have none."""
     sa, keys = V.sa_monthly(spark, sf), ["competitor", "product", "aspect"]
     kept = M.latest_gap(sa, P, ASPECTS).filter(F.col("sentiment_difference").isNotNull())
-    return M.skipped_combinations(M.comparison_grid(sa, P, ASPECTS), kept, keys)
+    reviewed = M.sides_with_reviews(V.annotated(spark, sf).filter("month >= '2024-07-01'"), P)
+    return M.skipped_combinations(M.comparison_grid(sa, P, ASPECTS), kept, keys, reviewed)

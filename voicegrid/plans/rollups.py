@@ -78,18 +78,6 @@ def rollup_numeric_contract(spark, sf):
         [f"{a}_{s}" for a in ASPECTS for s in ("sentiment_score", "volatility")], F.lit(98.76))
 
 
-@query("monthly_precise_rollup", V.ann_sql(f"""
-, p AS (SELECT month, company, product, {each("CASE WHEN w_@ > 0 THEN score END AS s_@")} FROM ann)
-SELECT month, company, product, count(*) AS reviews,
-       {each("round_even(avg(s_@), 12) AS @_sentiment_score, round_even(stddev_samp(s_@), 6) AS @_volatility")}
-FROM p GROUP BY ALL"""))
-def monthly_precise_rollup(spark, sf):
-    df = V.annotated(spark, sf).withColumns({
-        f"sentiment_{a}": F.when(F.col(f"w_{a}") > 0, F.col("score")) for a in ASPECTS})
-    return tidy(U.monthly_precise_rollup(df, ASPECTS),
-                *[f"{a}_{s}" for a in ASPECTS for s in ("sentiment_score", "volatility")])
-
-
 @query("monthly_product_company_stats", V.rev_sql("""
 SELECT CAST(date_trunc('month', date) AS DATE) AS month, product, company, count(review) AS total_reviews,
        round_even(avg(score), 12) AS sentiment_score FROM reviews GROUP BY ALL"""))

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from voicegrid import dims
-from voicegrid.operators import annotate as A, lexicon as X, rank as R, stem as P, textjobs as T
+from voicegrid.functions import scores as S
+from voicegrid.operators import annotate as A, lexicon as X, rank as R, rollups as U, stem as P, textjobs as T
 from voicegrid.plans import views as V
 from voicegrid.plans.registry import query
 from voicegrid.plans.rollups import ASPECTS, REL_CTE, TOPICS, each, relevant
+from voicegrid.session import materialize
 from voicegrid.sources.reviews import read_table
 
 STOP_WORDS = ["is", "it", "to"]
@@ -43,8 +45,7 @@ def aspect_mention_weight(spark, sf):
 QUERY_TERMS = ", ".join(f"('{a}', '{w}')" for a, ws in V.ASPECTS.items() for w in ws if w not in STOP_WORDS)
 
 
-@query("tfidf_aspect_cosine", V.rev_sql(rf"""
-, t AS (SELECT review_id, unnest(regexp_extract_all(lower(review), '[\p{{L}}\p{{N}}_]{{2,}}')) AS term FROM reviews),
+COSINE_SQL = rf"""WITH t AS (SELECT review_id, unnest(regexp_extract_all(lower(review), '[\p{{L}}\p{{N}}_]{{2,}}')) AS term FROM reviews),
 tf AS (SELECT review_id, term, count(*) AS tf FROM t WHERE term NOT IN ('is', 'it', 'to') GROUP BY ALL),
 idf AS (SELECT term, ln((1 + (SELECT count(*) FROM reviews)) / (1 + CAST(count(*) AS DOUBLE))) + 1 AS idf
         FROM tf GROUP BY term),
@@ -56,12 +57,42 @@ qn AS (SELECT aspect, sqrt(sum(q * q)) AS n FROM q GROUP BY aspect),
 dots AS (SELECT review_id, aspect, sum(w * q) AS d FROM w JOIN q USING (term) GROUP BY ALL),
 c AS (SELECT review_id, aspect, d / norm.n / qn.n AS c FROM dots JOIN norm USING (review_id) JOIN qn USING (aspect))
 SELECT review_id, {each("round_even(coalesce(max(c) FILTER (WHERE aspect = '@'), 0), 9) AS relevance_@")}
-FROM reviews LEFT JOIN c USING (review_id) GROUP BY review_id"""))
+FROM reviews LEFT JOIN c USING (review_id) GROUP BY review_id"""
+
+
+@query("tfidf_aspect_cosine", f"WITH {V.REVIEWS_CTE}, cosine AS ({COSINE_SQL}) SELECT * FROM cosine")
 def tfidf_aspect_cosine(spark, sf):
     out = T.tfidf_aspect_cosine(V.reviews(spark, sf), "review_id", "review", V.ASPECTS, STOP_WORDS)
     return out.withColumns({f"relevance_{a}": F.bround(f"relevance_{a}", 9) for a in ASPECTS})
 
 
+# The cosine relevance of every aspect, on which medians, thresholds and distributions are tried with continuous values.
+COSINE_CTE = V.SCORED_CTE + ", cosine AS (" + COSINE_SQL + ")"
+
+
+def cosine_relevance(spark, sf):
+    """Scored reviews with their cosine relevance, stored once: thresholds read it several times."""
+    rel = tfidf_aspect_cosine(spark, sf)
+    return materialize(V.scored(V.reviews(spark, sf)).drop("review").join(rel, "review_id"))
+
+
+@query("cosine_median_threshold", f"WITH {COSINE_CTE} SELECT {each('round_even(median(relevance_@), 12) AS median_@')} FROM cosine")
+def cosine_median_threshold(spark, sf):
+    out = U.aspect_median_threshold(cosine_relevance(spark, sf), ASPECTS)
+    return out.withColumns({c: F.bround(c, 12) for c in out.columns})
+
+
+@query("cosine_threshold_rollup", f"""WITH {COSINE_CTE}, m AS (SELECT {each('median(relevance_@) AS m_@')} FROM cosine),
+r AS (SELECT scored.*, cosine.*, greatest({each('relevance_@')}) AS top FROM scored JOIN cosine USING (review_id)),
+share AS (SELECT month, product, company, {each('relevance_@')}, {each('CASE WHEN top > 0 THEN sentiment * (relevance_@ / top) ELSE 0.0 END AS s_@')} FROM r)
+SELECT month, product, company,
+       {each('round_even(avg(s_@) FILTER (WHERE relevance_@ >= m_@), 9) AS @_sentiment_score, count(*) FILTER (WHERE relevance_@ >= m_@) AS count_relevant_@')}
+FROM share, m GROUP BY month, product, company""")
+def cosine_threshold_rollup(spark, sf):
+    out = U.threshold_aspect_rollup(T.relevance_share_sentiment(cosine_relevance(spark, sf), "sentiment", ASPECTS), ASPECTS)
+    return out.withColumns({f"{a}_sentiment_score": S.half_even(F.col(f"{a}_sentiment_score"), 9) for a in ASPECTS})
+
+
 WORDS = ", ".join(f"('{t}', {v}::DOUBLE)" for t, v, r in V.LEXICON if r == "word")
 AROUND = ", ".join(f"('{t}', {v}::DOUBLE, '{r}')" for t, v, r in V.LEXICON if r in ("booster", "negator"))
 PUNCT = r"[!-/:-@\[-`{-~]"
@@ -104,6 +135,18 @@ def lexicon_compound(spark, sf):
     return X.lexicon_compound(V.reviews(spark, sf), "review_id", "review", dims.lexicon_dim(spark, V.LEXICON))
 
 
+@query("compound_distribution", V.rev_sql(f""", {compound_ctes('reviews', 'review_id', 'review')}
+SELECT company, count(*) AS n, min(compound) AS minimum, round_even(quantile_cont(compound, 0.25), 9) AS q1, round_even(quantile_cont(compound, 0.5), 9) AS median,
+       round_even(quantile_cont(compound, 0.75), 9) AS q3, max(compound) AS maximum
+FROM compound JOIN reviews USING (review_id) GROUP BY company"""))
+def compound_distribution(spark, sf):
+    """The lexicon scores of each company's reviews as a five-number summary; the company is part of the key, so nothing is joined."""
+    df = V.reviews(spark, sf).select("review_id", "company", "review")
+    scores = X.lexicon_compound(df, ["review_id", "company"], "review", dims.lexicon_dim(spark, V.LEXICON))
+    out = U.score_distribution(scores, "company", "compound")
+    return out.withColumns({c: F.bround(c, 9) for c in ("q1", "median", "q3")})
+
+
 @query("lexicon_polarity", V.ann_sql(f"""
 , lex(term, v) AS (VALUES {WORDS}), t AS (SELECT review_id, unnest(toks) AS term FROM ann),
 a AS (SELECT review_id, avg(v) AS p FROM t JOIN lex USING (term) GROUP BY review_id)
@@ -112,22 +155,6 @@ def lexicon_polarity(spark, sf):
     return X.lexicon_polarity(V.reviews(spark, sf), "review_id", "review", dims.lexicon_dim(spark, V.LEXICON))
 
 
-SCOPED_CTE = V.REVIEWS_CTE + r""", cut AS (
-  SELECT review_id, list_filter(list_transform(regexp_extract_all(review, '[^.!?]+[.!?]*'), lambda s: trim(s)), lambda s: s <> '') AS ss FROM reviews),
-scoped AS (""" + each(r"""SELECT review_id, '@' AS aspect, nullif(array_to_string(list_filter(ss, lambda s:
-    list_has_any(regexp_extract_all(lower(s), '[\p{L}\p{N}_]+'), #@#)), '. '), '') AS scoped FROM cut""", sep=" UNION ALL ") + ")"
-for _a, _w in V.ASPECTS.items():
-    SCOPED_CTE = SCOPED_CTE.replace(f"#{_a}#", V._list(_w))
-
-
-@query("sentence_scoped_sentiment", f"""WITH {SCOPED_CTE}, {compound_ctes('scoped', 'review_id, aspect', 'scoped')}
-SELECT review_id, aspect, CASE WHEN scoped IS NOT NULL THEN compound END AS sentiment
-FROM scoped JOIN compound USING (review_id, aspect)""")
-def sentence_scoped_sentiment(spark, sf):
-    return X.sentence_scoped_sentiment(V.reviews(spark, sf), "review_id", "review", V.ASPECTS,
-                                       dims.lexicon_dim(spark, V.LEXICON))
-
-
 def _cut(n):
     return f"left(s, length(s) - {n})"
 
@@ -195,6 +222,45 @@ def stemmed_relevance(spark, sf):
     return P.stemmed_relevance(V.reviews(spark, sf), "review_id", "review", keywords)
 
 
+# Keywords whose other forms occur in the texts too.
+STEMMED_ASPECTS = {"speed": ["the", "tions"], "value": ["with", "ationed"], "support": ["it", "was", "inging"]}
+
+
+def scoped_cte() -> str:
+    """The sentences of each aspect by stems, over the vocabulary of all texts."""
+    keys = ", ".join(f"('{a}', '{w}')" for a, ws in STEMMED_ASPECTS.items() for w in ws)
+    per_aspect = " UNION ALL ".join(rf"""SELECT review_id, '{a}' AS aspect, nullif(array_to_string(list_filter(ss, lambda s:
+    list_has_any(regexp_extract_all(lower(s), '[\p{{L}}\p{{N}}_]+'), known)), '. '), '') AS scoped
+    FROM cut, (SELECT coalesce(list(word), []) AS known FROM forms WHERE aspect = '{a}')""" for a in STEMMED_ASPECTS)
+    return VOCAB_CTE + rf""", kw(aspect, word) AS (VALUES {keys}), {stem_ctes("kw", "kws")},
+forms AS (SELECT DISTINCT aspect, stems.word FROM kw JOIN kws ON kw.word = kws.word JOIN stems ON stems.stem = kws.stem),
+cut AS (SELECT review_id, list_filter(list_transform(regexp_extract_all(review, '[^.!?]+[.!?]*'), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> '') AS ss FROM reviews),
+scoped AS ({per_aspect}), {compound_ctes('scoped', 'review_id, aspect', 'scoped')},
+precise AS (SELECT review_id, aspect, md5(scoped) AS digest, CASE WHEN scoped IS NOT NULL THEN compound END AS sentiment
+  FROM scoped JOIN compound USING (review_id, aspect))"""
+
+
+@query("sentence_scoped_sentiment", f"WITH {scoped_cte()} SELECT * FROM precise")
+def sentence_scoped_sentiment(spark, sf):
+    return X.sentence_scoped_sentiment(V.reviews(spark, sf), "review_id", "review", STEMMED_ASPECTS,
+                                       dims.lexicon_dim(spark, V.LEXICON))
+
+
+@query("monthly_precise_rollup", f"""WITH {scoped_cte()},
+p AS (SELECT month, company, product, aspect, review_id, round_even(precise.sentiment * 100, 1) AS s FROM precise JOIN scored USING (review_id))
+SELECT month, company, product, count(DISTINCT review_id) AS reviews,
+       {each("round_even(avg(s) FILTER (WHERE aspect = '@'), 9) AS @_sentiment_score, round_even(stddev_samp(s) FILTER (WHERE aspect = '@'), 6) AS @_volatility",
+             list(STEMMED_ASPECTS))}
+FROM p GROUP BY month, company, product""")
+def monthly_precise_rollup(spark, sf):
+    reviews = V.scored(V.reviews(spark, sf)).select("review_id", "month", "company", "product", "review")
+    scores = X.sentence_scoped_sentiment(reviews, ["review_id", "month", "company", "product"], "review", STEMMED_ASPECTS,
+                                         dims.lexicon_dim(spark, V.LEXICON))
+    out = U.monthly_precise_rollup(scores, list(STEMMED_ASPECTS))
+    return out.withColumns({f"{a}_{s}": S.half_even(F.col(f"{a}_{s}"), 9 if s == "sentiment_score" else 6)
+                            for a in STEMMED_ASPECTS for s in ("sentiment_score", "volatility")})
+
+
 LANG_CTE = V.REVIEWS_CTE + r""", word AS (
   SELECT review_id, product, ' ' || unnest(regexp_extract_all(lower(review), '\p{L}+')) || ' ' AS p FROM reviews),
 g AS (SELECT review_id, product, unnest(list_transform(range(1, greatest(length(p) - 1, 2)),

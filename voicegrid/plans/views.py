@@ -13,7 +13,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from voicegrid import dims
-from voicegrid.functions import dates as D, labels as L, scores as S, words as W
+from voicegrid.functions import dates as D, scores as S
 from voicegrid.operators import annotate as A, rollups as U
 from voicegrid.sources.reviews import read_table
 
@@ -51,7 +51,7 @@ def scored(df: DataFrame) -> DataFrame:
     k = F.col("review_id")
     df = df.withColumns({
         "month": D.month_start(F.col("date")), "year": F.year("date"),
-        "sentiment": F.col("score") / 100, "sent_n": S.rescale_01(F.col("score") / 100),
+        "sentiment": F.col("score") / 100, "sent": F.col("score") / 100, "sent_n": S.rescale_01(F.col("score") / 100),
         "tone": (((k * 53) % 201).cast("int") - 100) / 100,
         "spam_label": F.when(k % 11 == 0, "spam").otherwise("ham"),
         "spam_confidence": ((k * 17) % 1001) / 1000,
@@ -60,34 +60,15 @@ def scored(df: DataFrame) -> DataFrame:
     return df.withColumn("is_spam", S.spam_decision(F.col("spam_label"), F.col("spam_confidence")))
 
 
+# The dictionaries above, as annotation takes them.
+WORDS = A.Dictionaries(topics=TOPICS, aspects=ASPECTS, categories=CATEGORIES, debit=DEBIT, prepay=PREPAY, own_brand=BRAND,
+                       gas=GAS, power=POWER, fixed=FIXED, variable=VARIABLE, intent=INTENT, outcome=OUTCOME, reasons=REASONS,
+                       meter=PHRASES, promo=PROMO, regulatory=REGULATORY, channels=CHANNELS)
+
+
 def annotated(spark: SparkSession, sf: str) -> DataFrame:
-    known = W.known_words(F.col("review"), *TOPICS.values(), *ASPECTS.values(), DEBIT, PREPAY, GAS, POWER,
-                          FIXED, VARIABLE, REASONS, CHANNELS)
-    df = scored(reviews(spark, sf)).withColumn("_toks", known)
-    body, toks = F.col("review"), F.col("_toks")
-    df = A.topic_keyword_counts(df, "review", TOPICS, toks="_toks")
-    df = A.aspect_mention_weight(df, "review", ASPECTS, toks="_toks")
-    df = df.withColumns({
-        "word_count": F.size(W.chunks(body)),
-        "payment_method": L.payment_method(body, DEBIT, PREPAY, toks),
-        "fuel_type": L.fuel_type(body, BRAND, GAS, POWER, toks),
-        "tariff_type": L.tariff_type(body, FIXED, VARIABLE, toks),
-        "switching": L.switching_stage(body, INTENT, OUTCOME),
-        "justification": L.flag(L.justification(body, REASONS, toks)),
-        "smart_meter_flag": L.smart_meter_flag(body, PHRASES),
-        "promo_flag": L.promo_flag(body, PROMO),
-        "reg_ref_flag": L.regulatory_flag(body, REGULATORY),
-        "category": L.first_category(body, CATEGORIES),
-        **L.channel_flags(body, CHANNELS, toks),
-    }).drop("_toks")
-    df = df.withColumns({
-        "length_cat": S.length_bucket(F.col("word_count")),
-        "length_score": S.length_score(F.col("word_count")),
-        "review_weight": S.review_weight(F.col("is_spam"), F.col("justification") == 1,
-                                         F.col("product") == "en"),
-    })
-    return A.quality_score(df, ["sent_n", "tone_n", "length_score", "justification", "promo_flag",
-                                "reg_ref_flag"])
+    return A.annotate(scored(reviews(spark, sf)), "review", "date", WORDS, ["sent", "tone"], "is_spam",
+                      F.col("product") == "en")
 
 
 def sa_monthly(spark: SparkSession, sf: str) -> DataFrame:
@@ -163,9 +144,10 @@ ANN_CTE = SCORED_CTE + r""", tok AS (
          CASE WHEN is_spam THEN 0.0::DOUBLE
               ELSE (CASE WHEN product = 'en' THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END)
                    * (CASE WHEN justification = 1 THEN 1.0::DOUBLE ELSE 0.9::DOUBLE END) END AS review_weight
-  FROM ann1), ann AS (
-  SELECT *, CAST(round_even(CAST((sent_n + tone_n + length_score + justification + promo_flag + reg_ref_flag) / 6
-         AS DECIMAL(20, 9)), 3) AS DOUBLE) AS quality_score FROM ann2)"""
+  FROM ann1), cover AS (SELECT coalesce(nullif(max(""" + " + ".join(f"kw_{k}" for k in TOPICS) + r"""), 0), 1) AS top FROM ann2), ann3 AS (
+  SELECT ann2.*, round_even((""" + " + ".join(f"kw_{k}" for k in TOPICS) + r""") / CAST(top AS DOUBLE), 3) AS topic_cov_n FROM ann2, cover), ann AS (
+  SELECT *, CAST(round_even(CAST((sent_n + tone_n + topic_cov_n + length_score + justification + promo_flag + reg_ref_flag) / 7
+         AS DECIMAL(20, 9)), 3) AS DOUBLE) AS quality_score FROM ann3)"""
 
 SA_CTE = ANN_CTE + r""", sa AS (
   SELECT month, company, product, round_even(avg(score), 1) AS sentiment_score, count(*) AS reviews, """ + ", ".join(
