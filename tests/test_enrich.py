@@ -1,5 +1,7 @@
 """Prompts, the model hook, reply parsers and validators."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,6 +85,42 @@ def test_model_hook_retries_and_never_fails_the_job(spark):
     assert {r.id: r.reason for r in single.collect()} == {1: E.UNPARSED, 2: E.CALL_FAILED}
 
 
+@pytest.mark.parametrize("callers", [1, 4, 8])
+def test_the_rate_is_that_of_the_job(spark, callers):
+    df = spark.range(24).select("id", F.col("id").cast("string").alias("prompt"))
+    calls = E.batch_infer(df, "id", "prompt", lambda p: str(time.time()), calls_per_second=12, callers=callers)
+    times = sorted(float(r.reply) for r in calls.collect())
+    assert len(times) == 24 and calls.rdd.getNumPartitions() == callers
+    # In any second there are at most the allowed calls, and one first call of each task.
+    assert max(sum(t <= x < t + 1 for x in times) for t in times) <= 12 + callers
+
+
+def test_replies_are_asked_for_once(spark, tmp_path):
+    path, log = str(tmp_path / "replies"), tmp_path / "log"
+    log.mkdir()
+
+    def model(prompt, folder=str(log)):
+        with open(f"{folder}/{prompt}", "a") as f:
+            f.write("x")
+        if prompt == "3" and len(open(f"{folder}/{prompt}").read()) < 3:
+            raise RuntimeError("down")
+        return f"reply {prompt}"
+
+    def asked():
+        return {f.name: len(f.read_text()) for f in log.iterdir()}
+
+    df = spark.range(20).select("id", F.col("id").cast("string").alias("prompt"))
+    first = E.stored_replies(df.filter("id < 12"), "id", "prompt", model, path, retries=1)
+    assert first.count() == 12 and asked() == {str(i): 1 for i in range(12)}
+    both = E.stored_replies(df, "id", "prompt", model, path, rounds=3, retries=1)
+    got = {r.id: (r.reply, r.error) for r in both.collect()}
+    assert got == {i: (f"reply {i}", None) if i != 3 else (None, "RuntimeError - down") for i in range(20)}
+    assert asked() == {str(i): 1 for i in range(20)}
+    again = E.stored_replies(df, "id", "prompt", model, path, again=True, retries=2)
+    assert {r.id: r.reply for r in again.collect()} == {i: f"reply {i}" for i in range(20)}
+    assert asked() == {str(i): 3 if i == 3 else 1 for i in range(20)}
+
+
 def test_failed_batches_say_so(spark):
     grid = spark.createDataFrame([(1, 1, None), (1, 2, None), (2, 1, "busy")], "batch int, i int, error string")
     have = spark.createDataFrame([(1, 1, 9, "r")], "batch int, i int, score int, reason string")

@@ -43,6 +43,20 @@ def test_drivers(mentions):
     assert got[0].sent_diff == pytest.approx(-0.7) and got[0].level == "spike" and got[2].ratio is None
 
 
+def test_several_risk_maps_in_one_scan(mentions):
+    maps = {"reg": {"ofgem": 1, "contract": 1, "terms": 0.5}, "other": {"OFGEM": 2, "absent": 1}, "none": {"absent": 1}}
+    out = K.risk_overview(mentions, "review", maps)
+    got = {r.risk: r for r in out.collect()}
+    assert set(got) == set(maps)
+    for name, words in maps.items():
+        want = K.recent_vs_baseline(mentions, "review", words).first().asDict()
+        assert {k: v for k, v in got[name].asDict().items() if k in want} == want
+        drivers = K.risk_drivers(mentions, "review", list(words)).collect()
+        assert [tuple(d) for d in got[name].drivers or []] == [tuple(d[c] for c in ("keyword", "recent_count", "ratio", "sent_diff", "level")) for d in drivers]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("explode(") == 1
+
+
 def event(i, day, kind="a", hour=0):
     return (i, datetime(2024, 1, 1) + timedelta(days=day, hours=hour), kind)
 

@@ -98,6 +98,14 @@ def test_polarity(spark):
     assert got == [-0.3, 0.0, 0.0]
 
 
+@pytest.mark.parametrize("text,total", [
+    ("never so good", 1.9 * 1.25), ("never was so good", 1.9 * 1.25), ("never good", 1.9 * -0.74), ("least good", 1.9 * -0.74),
+    ("at least good", 1.9), ("very least good", 1.9 + 0.293 * 0.95), ("kind of good", 1.9 - 0.293), ("sort of a good", 1.9 - 0.293),
+    ("a great deal of love here", 3.1 + 3.2 + 0.293), ("love to hate", -2.0), ("very great pains", -1.5)])
+def test_phrases(spark, text, total):
+    assert compound(spark, text) == pytest.approx(norm(total), abs=1e-4)
+
+
 def test_scoped_sentiment_reads_only_the_aspects_sentences(spark):
     df = reviews(spark, ["The engineer was great. The bill was awful! Bad day.", "All good."])
     terms = {"staff": ["engineer"], "money": ["bill"]}

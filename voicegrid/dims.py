@@ -123,33 +123,9 @@ PRODUCT_LABELS = {
     "Pest Control": "🐀 Pest Control", "Unknown": "🃏 Unknown",
 }
 
-COMPANY_PRODUCTS = {
-    "British Gas Services": ["Gas Products", "Energy", "Plumbing and Drains", "Appliance Cover",
-                             "Home Electrical", "Unknown"],
-    "British Gas Energy": ["Energy", "Unknown"],
-    "HomeServe": ["Gas Products", "Plumbing and Drains", "Appliance Cover", "Home Electrical",
-                  "Unknown"],
-    "CheckATrade": ["Gas Products", "Plumbing and Drains", "Home Electrical", "Building", "Unknown"],
-    "Corgi HomePlan": ["Gas Products", "Plumbing and Drains", "Home Electrical", "Building",
-                       "Unknown"],
-    "Domestic & General": ["Gas Products", "Plumbing and Drains", "Appliance Cover",
-                           "Home Electrical", "Unknown"],
-    "247 Home Rescue": ["Gas Products", "Plumbing and Drains", "Appliance Cover", "Home Electrical",
-                        "Pest Control", "Unknown"],
-    "Octopus": ["Energy", "Unknown"],
-}
-
-ASPECT_SETS = {
-    "services": ["Overall Sentiment", "Appointment Scheduling", "Customer Service", "Response Speed",
-                 "Engineer Experience", "Solution Quality", "Value for Money"],
-    "energy": ["Overall Sentiment", "Appointment Scheduling", "Customer Service", "Energy Readings",
-               "Meter Readings", "Value for Money"],
-}
-
 MIN_REVIEW_CHARS = 15
 SPAM_CONFIDENCE = 0.9
 EVIDENCE_WEIGHT = 0.96
-EVIDENCE_WEIGHT_LOOSE = 0.89
 EVIDENCE_TOKEN_BUDGET = 16000
 TOKENS_PER_REVIEW = 100
 CHARS_PER_TOKEN = 4
@@ -166,6 +142,8 @@ SAMPLE_LEXICON = [
     ("slightly", -0.293, "booster"), ("barely", -0.293, "booster"),
     ("not", -0.74, "negator"), ("never", -0.74, "negator"), ("isn't", -0.74, "negator"),
     ("but", None, "contrast"),
+    ("kind of", -0.293, "booster"), ("sort of", -0.293, "booster"), ("great deal of", 0.293, "booster"),
+    ("great pains", -1.5, "idiom"), ("love to hate", -2.0, "idiom"),
 ]
 
 # ---------------------------------------------------------------------------
@@ -183,7 +161,8 @@ def keyword_dim(spark: SparkSession, terms: Mapping[str, Sequence[str] | Mapping
 
 
 def lexicon_dim(spark: SparkSession, rows: Sequence[tuple] = SAMPLE_LEXICON) -> DataFrame:
-    """``(token, valence, role)``; role is word, booster, negator or contrast, one per token."""
+    """``(token, valence, role)``; role is word, booster, negator, contrast or idiom, one per token;
+    boosters and idioms may be phrases of two or three words."""
     return spark.createDataFrame(list(rows), "token string, valence double, role string")
 
 

@@ -137,8 +137,9 @@ def canonical_spelling(df: DataFrame, column: str, order: str, out: str | None =
             .withColumn(out or column, F.col("_first")).drop("_key", "_first"))
 
 
-def label_lookup(df: DataFrame, column: str, labels: DataFrame, out: str) -> DataFrame:
-    """Display label of a code; a code without label stands for itself."""
+def label_lookup(df: DataFrame, column: str, labels: DataFrame | None = None, out: str = "label") -> DataFrame:
+    """Display label of a code (of a product unless ``labels`` says otherwise); a code without label stands for itself."""
+    labels = labels or dims.label_dim(df.sparkSession, dims.PRODUCT_LABELS)
     labels = labels.select(F.col("code").alias(column), F.col("label").alias("_label"))
     return (df.join(broadcast_if_small(labels), column, "left").withColumn(out, F.coalesce("_label", F.col(column)))
             .drop("_label"))

@@ -73,39 +73,77 @@ def batch_prompts(batched: DataFrame, text: str = "review") -> DataFrame:
 
 
 def batch_infer(df: DataFrame, key: str, prompt: str, model: Callable[[str], str], retries: int = 3,
-                delay: float = 0.0, calls_per_second: float | None = None) -> DataFrame:
+                delay: float = 0.0, calls_per_second: float | None = None, callers: int | None = None) -> DataFrame:
     """``(key, reply, error)`` from a text model, called within each task at least once per row.
 
     A failed call is tried again after a doubling delay; when all tries fail the row has no reply and
-    names the error, so a bad row never fails the job. The rate cap holds per task. Store the result
-    before reading it more than once, or the model is asked again.
+    names the error, so a bad row never fails the job. ``calls_per_second`` caps the whole job, tries
+    included: prompts are dealt to ``callers`` tasks (at most one per second of the cap, 8 unless named) by a
+    hash of their key, and each keeps to its share, so more executors do not mean more calls. Store the
+    result before reading it more than once, or the model is asked again; ``stored_replies`` does that.
     """
-    gap = 1 / calls_per_second if calls_per_second else 0.0
     tries = max(1, retries)
-
-    def ask(text: str) -> tuple[str | None, str | None]:
-        last = ""
-        for attempt in range(tries):
-            try:
-                return model(text), None
-            except Exception as error:  # the model is foreign code: any failure becomes a row
-                last = f"{type(error).__name__} - {error}"
-                if attempt + 1 < tries:
-                    time.sleep(delay * 2 ** attempt)
-        return None, last
+    rows = df.select(key, prompt)
+    gap = 0.0
+    if calls_per_second:
+        callers = callers or min(8, max(1, int(calls_per_second)))
+        gap = callers / calls_per_second
+    if callers:
+        rows = rows.repartition(callers, F.col(key))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            replies = []
-            for text in pdf[prompt]:
-                replies.append(ask(text))
+        free = 0.0  # when the next call may begin
+
+        def ask(text: str) -> tuple[str | None, str | None]:
+            nonlocal free
+            last = ""
+            for attempt in range(tries):
                 if gap:
-                    time.sleep(gap)
+                    time.sleep(max(0.0, free - time.monotonic()))
+                    free = time.monotonic() + gap
+                try:
+                    return model(text), None
+                except Exception as error:  # the model is foreign code: any failure becomes a row
+                    last = f"{type(error).__name__} - {error}"
+                    if attempt + 1 < tries:
+                        time.sleep(delay * 2 ** attempt)
+            return None, last
+
+        for pdf in parts:
+            replies = [ask(text) for text in pdf[prompt]]
             yield pd.DataFrame({key: pdf[key].to_numpy(), "reply": pd.Series([r for r, _ in replies], dtype=object),
                                 "error": pd.Series([e for _, e in replies], dtype=object)})
 
     dtype = df.schema[key].dataType.simpleString()
-    return df.select(key, prompt).mapInPandas(run, f"{key} {dtype}, reply string, error string")
+    return rows.mapInPandas(run, f"{key} {dtype}, reply string, error string")
+
+
+def stored_replies(df: DataFrame, key: str, prompt: str, model: Callable[[str], str], path: str, rounds: int = 1,
+                   again: bool = False, **options) -> DataFrame:
+    """The replies to all prompts of ``df``, kept as Parquet at ``path`` under their unique keys.
+
+    Only keys that have no reply there are asked for, so a run that broke off goes on where it stopped, and
+    a second run asks for nothing. The prompts are dealt to ``rounds``, each stored before the next begins: at
+    most one round is asked twice. With ``again`` prompts whose call failed are asked once more, and their
+    latest answer counts. ``options`` are those of ``batch_infer``.
+    """
+    spark = df.sparkSession
+    dtype = df.schema[key].dataType.simpleString()
+    kind = f"{key} {dtype}, reply string, error string, asked timestamp"
+
+    def known() -> DataFrame:
+        # An empty table first, so that there is always one to read.
+        spark.createDataFrame([], kind).write.mode("append").parquet(path)
+        return spark.read.schema(kind).parquet(path)
+
+    for k in range(rounds):
+        have = known()
+        have = have.filter(F.col("error").isNull()) if again else have
+        mine = df.filter(F.pmod(F.xxhash64(key), F.lit(rounds)) == k) if rounds > 1 else df
+        pending = mine.join(have.select(key).distinct(), key, "left_anti")
+        batch_infer(pending, key, prompt, model, **options).withColumn("asked", F.current_timestamp()).write.mode("append").parquet(path)
+    latest = known().groupBy(key).agg(F.max_by(F.struct("reply", "error"), F.struct(F.col("error").isNull(), "asked")).alias("_r"))
+    return df.select(key).join(latest, key).select(key, "_r.reply", "_r.error")
 
 
 # -- reading replies ---------------------------------------------------------------------------

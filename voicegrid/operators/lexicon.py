@@ -1,12 +1,15 @@
 """Rule-based sentiment from a valence lexicon.
 
 The rules and constants are those published for rule-based social-media sentiment (Hutto and
-Gilbert, ICWSM 2014). The lexicon is an input table, ``(token, valence, role)``.
+Gilbert, ICWSM 2014). The lexicon is an input table, ``(token, valence, role)``; role is word, booster,
+negator, contrast or idiom.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -22,10 +25,22 @@ NEGATION_FACTOR = -0.74
 EXCLAMATION, MAX_EXCLAMATIONS = 0.292, 4
 QUESTION, MANY_QUESTIONS, MAX_QUESTIONS = 0.18, 0.96, 3
 BEFORE_CONTRAST, AFTER_CONTRAST = 0.5, 1.5
+NEVER_SO = 1.25
 ALPHA = 15.0
 PUNCTUATION = r"[!-/:-@\[-`{-~]"
 
 
+@dataclass(frozen=True)
+class Words:
+    """The words of the rules that no lexicon row states: ``least`` negates what follows unless one of
+    ``not_least`` stands before it; ``never`` before one of ``so`` strengthens instead of negating."""
+
+    least: str = "least"
+    not_least: Sequence[str] = ("at", "very")
+    never: str = "never"
+    so: Sequence[str] = ("so", "this")
+
+
 def _pieces(text: Column) -> Column:
     """White-space pieces without surrounding punctuation; emoticon-sized remains stay whole."""
     def bare(piece: Column) -> Column:
@@ -46,9 +61,13 @@ def _emphasis(text: Column) -> Column:
 
 
 def lexicon_compound(df: DataFrame, key: str | Sequence[str], text: str, lexicon: DataFrame,
-                     out: str = "compound") -> DataFrame:
+                     out: str = "compound", special: Words = Words()) -> DataFrame:
     """``(key, compound)`` in [-1, 1]; text without lexicon words scores 0.
 
+    Tokens of two or three words are phrases. An idiom gives its own valence to a lexicon word that it begins
+    or ends with, whatever stands around (of several the first: ending here, two words before three, then
+    beginning here); a phrase that is a booster adds its value to a lexicon word right behind it or one word on.
+
     Every word is exploded together with the three words before it, so boosters and negations
     are found by lookups within one stage, broadcast once the lexicon proves small. What is summed per text is fixed-width, and
     partial sums leave each task as one row per text; no sort and no window is involved.
@@ -71,12 +90,19 @@ def lexicon_compound(df: DataFrame, key: str | Sequence[str], text: str, lexicon
                              lambda p: p > 0)).alias("_turn"))
     blank = F.lit(None).cast("string")
     shifted = [F.concat(F.array(*[blank] * d), "_w") for d in (1, 2, 3)]
+    ahead = [F.slice("_w", F.lit(d + 1), F.greatest(F.size("_w") - d, F.lit(0))) for d in (1, 2)]
     rows = prepared.select(*keys, "_emph", "_mixed", "_turn", F.posexplode_outer(
-        F.arrays_zip(F.col("_w").alias("w"), *[s.alias(f"p{i + 1}") for i, s in enumerate(shifted)])))
+        F.arrays_zip(F.col("_w").alias("w"), *[s.alias(f"p{i + 1}") for i, s in enumerate(shifted)],
+                     *[s.alias(f"n{i + 1}") for i, s in enumerate(ahead)])))
     # The shifted lists are longer than the text: rows past its end carry no word and are kept
     # only where the text is empty.
     rows = rows.select(*keys, "_emph", "_mixed", "_turn", (F.col("pos") + 1).alias("_pos"),
-                       F.col("col.w").alias("_word"), *[F.col(f"col.p{d}").alias(f"_p{d}") for d in (1, 2, 3)])
+                       F.col("col.w").alias("_word"), *[F.col(f"col.p{d}").alias(f"_p{d}") for d in (1, 2, 3)],
+                       *[F.col(f"col.n{d}").alias(f"_n{d}") for d in (1, 2)])
+    phrases = lexicon.filter(F.col("token").contains(" "))
+    idioms, phrase_boosters = (phrases.filter(F.col("role") == role).agg(
+        F.map_from_entries(F.collect_list(F.struct("token", "valence"))).alias("x")).scalar() for role in ("idiom", "booster"))
+    rows = rows.withColumns({"_idioms": idioms, "_phrases": phrase_boosters})
     hits = rows.withColumn("_token", F.lower("_word")).join(words, "_token", "left")
     around = lexicon.filter(F.col("role").isin("booster", "negator"))
     for d in (1, 2, 3):
@@ -93,7 +119,23 @@ def lexicon_compound(df: DataFrame, key: str | Sequence[str], text: str, lexicon
                       F.when(F.col("_v") > 0, CAPITALS_BOOST).otherwise(-CAPITALS_BOOST)).otherwise(0.0)
         value = value + F.when(F.col(f"_r{d}") == "booster",
                                (boost + loud) * DISTANCE_DAMPING[d - 1]).otherwise(0.0)
-        value = value * F.when(F.col(f"_r{d}") == "negator", NEGATION_FACTOR).otherwise(1.0)
+        never = F.lit(False)
+        if d > 1:
+            close = [F.lower(f"_p{k}").isin(list(special.so)) for k in range(1, d)]
+            never = F.coalesce((F.lower(f"_p{d}") == special.never) & functools.reduce(lambda x, y: F.coalesce(x, F.lit(False)) | F.coalesce(y, F.lit(False)), close), F.lit(False))
+        value = value * F.when(never, NEVER_SO).when(F.col(f"_r{d}") == "negator", NEGATION_FACTOR).otherwise(1.0)
+
+    def phrase(table: str, *places: str) -> Column:
+        """The value of the phrase made of the words at some places; NULL where the text is not that long."""
+        there = functools.reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in ("_v", *places)])
+        return F.when(there, F.try_element_at(table, F.lower(F.concat_ws(" ", *places))))
+
+    value = F.coalesce(phrase("_idioms", "_p1", "_word"), phrase("_idioms", "_p2", "_p1", "_word"),
+                       phrase("_idioms", "_word", "_n1"), phrase("_idioms", "_word", "_n1", "_n2"), value)
+    for places in (("_p3", "_p2", "_p1"), ("_p3", "_p2"), ("_p2", "_p1")):
+        value = value + F.coalesce(phrase("_phrases", *places), F.lit(0.0))
+    spared = F.coalesce(F.lower("_p2").isin(list(special.not_least)), F.lit(False))
+    value = value * F.when((F.lower("_p1") == special.least) & ~spared, NEGATION_FACTOR).otherwise(1.0)
     value = value * (F.when(F.col("_pos") < F.col("_turn"), BEFORE_CONTRAST)
                      .when(F.col("_pos") > F.col("_turn"), AFTER_CONTRAST).otherwise(1.0))
     total = F.coalesce(F.sum(value), F.lit(0.0))
@@ -114,7 +156,7 @@ def lexicon_polarity(df: DataFrame, key: str, text: str, lexicon: DataFrame,
 
 
 def aspect_sentences(df: DataFrame, key: str | Sequence[str], text: str,
-                     terms: Mapping[str, Sequence[str]]) -> DataFrame:
+                     terms: Mapping[str, Sequence[str]] = dims.STEM_TERMS) -> DataFrame:
     """``(key, aspect, scoped)``: the sentences that name the aspect, joined by ``". "``; NULL if none.
 
     A sentence names an aspect when the stem of one of its words is the stem of a keyword. The corpus'
@@ -137,7 +179,7 @@ def aspect_sentences(df: DataFrame, key: str | Sequence[str], text: str,
 
 
 def sentence_scoped_sentiment(df: DataFrame, key: str | Sequence[str], text: str, terms: Mapping[str, Sequence[str]],
-                              lexicon: DataFrame) -> DataFrame:
+                              lexicon: DataFrame, special: Words = Words()) -> DataFrame:
     """``(key, aspect, digest, sentiment)`` of the sentences that name each aspect; NULL if none does.
 
     ``digest`` is the MD5 of the scoped text. Further columns of a review can be part of ``key``: they then
@@ -145,5 +187,5 @@ def sentence_scoped_sentiment(df: DataFrame, key: str | Sequence[str], text: str
     """
     keys = [key] if isinstance(key, str) else list(key)
     scoped = aspect_sentences(df, keys, text, terms).withColumn("digest", F.md5("scoped"))
-    scores = lexicon_compound(scoped, [*keys, "aspect", "digest"], "scoped", lexicon, "_c")
+    scores = lexicon_compound(scoped, [*keys, "aspect", "digest"], "scoped", lexicon, "_c", special)
     return scores.select(*keys, "aspect", "digest", F.when(F.col("digest").isNotNull(), F.col("_c")).alias("sentiment"))

@@ -196,11 +196,11 @@ def balanced_topn(df: DataFrame, primary: str, competitor: str, cap: int, weight
                   key: str = "review_id", threshold: float = dims.EVIDENCE_WEIGHT) -> DataFrame:
     """Per product equally many heaviest reviews of both companies: the smaller side, at most cap."""
     both = df.filter(F.col("company").isin(primary, competitor) & (F.col(weight) >= threshold))
-    sides = both.groupBy("product").agg(
-        F.least(F.count_if(F.col("company") == primary), F.count_if(F.col("company") == competitor),
-                F.lit(cap)).alias("take"))
+    # The ranks are cut at the cap, so what is left of each side tells how many it can give.
     ranked = topn_by_weight(both, cap, weight, key)
-    return ranked.join(sides, "product").filter(F.col("rank") <= F.col("take"))
+    sides = Window.partitionBy("product")
+    take = F.least(*[F.count_if(F.col("company") == c).over(sides) for c in (primary, competitor)])
+    return ranked.withColumn("take", take).filter(F.col("rank") <= F.col("take"))
 
 
 def recent_n(df: DataFrame, primary: str, limit: int = 50, key: str = "review_id",

@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from voicegrid import dims
 from voicegrid.functions import dates as D, scores as S, words as W
 
 RECENT_DAYS, BASE_DAYS = 7, 90
@@ -105,6 +106,55 @@ def risk_drivers(df: DataFrame, text: str, keywords: Sequence[str], date: str =
             .orderBy(F.desc_nulls_last("ratio"), "keyword").limit(top))
 
 
+def risk_overview(df: DataFrame, text: str, maps: Mapping[str, Mapping[str, float]] = dims.RISK_TERMS, date: str = "date",
+                  sentiment: str = "sentiment", recent: int = RECENT_DAYS, base: int = BASE_DAYS, top: int = 3) -> DataFrame:
+    """``recent_vs_baseline`` and the ``top`` drivers of several weighted keyword maps, from one scan and one shuffle.
+
+    One row per map, in any case: ``risk``, the columns of ``recent_vs_baseline``, and ``drivers``, an array of
+    ``(keyword, recent_count, ratio, sent_diff, level)`` with the highest ratio first. Each text is searched once
+    for every different keyword of all maps; a hit is passed on as a row for the map and one for the keyword.
+    """
+    words = sorted({k.lower() for m in maps.values() for k in m})
+    lowered = F.lower(text)
+    found = F.filter(F.array(*[F.lit(k) for k in words]), lambda k: F.contains(lowered, k))
+    rows = _windowed(df, date, recent, base).select("_recent", sentiment, found.alias("_found")).filter(F.size("_found") > 0)
+
+    def weight(m: Mapping[str, float]) -> Column:
+        total = F.lit(0.0)
+        for k, w in m.items():
+            total = total + F.when(F.array_contains("_found", k.lower()), float(w)).otherwise(0.0)
+        return total
+
+    def cell(risk: str, value: Column):
+        return lambda keyword: F.struct(F.lit(risk).alias("risk"), keyword.alias("keyword"), value.alias("w"))
+
+    none = F.lit(None).cast("string")
+    cells = [F.array(cell(r, weight(m))(none)) for r, m in maps.items()]
+    cells += [F.transform(F.filter("_found", W.in_list([k.lower() for k in m])), cell(r, F.lit(1.0))) for r, m in maps.items()]
+    hits = rows.select("_recent", sentiment, F.explode(F.flatten(F.array(*cells))).alias("_c")).select("_recent", sentiment, "_c.*").filter("w > 0")
+    stats = hits.groupBy("risk", "keyword").agg(
+        *_per_window("count", lambda c: F.coalesce(F.sum(F.when(c, F.col("w"))), F.lit(0.0))),
+        *_per_window("sentiment", lambda c: F.avg(F.when(c, F.col(sentiment)))))
+    scaled = F.col("base_count") * recent / base
+    ratio = F.col("recent_count") / F.nullif(scaled, F.lit(0.0))
+    rated = stats.withColumn("ratio", ratio)
+    # What follows has a row per map and keyword. Sorted by falling ratio, unknown ratios last.
+    driver = F.struct(F.coalesce(-F.col("ratio"), F.lit(float("inf"))).alias("order"), "keyword", F.col("recent_count").cast("bigint").alias("recent_count"), "ratio",
+                      (F.col("recent_sentiment") - F.col("base_sentiment")).alias("sent_diff"), S.driver_verdict(F.col("ratio") * 100).alias("level"))
+    whole = F.when(F.col("keyword").isNull(), F.struct("recent_count", "base_count", scaled.alias("scaled"), "ratio", "recent_sentiment", "base_sentiment"))
+    per_map = rated.groupBy("risk").agg(
+        F.max(whole).alias("_all"), F.array_sort(F.collect_list(F.when(F.col("keyword").isNotNull(), driver))).alias("_drivers"))
+    names = df.sparkSession.createDataFrame([(r, i) for i, r in enumerate(maps)], "risk string, ord int")
+    out = names.join(per_map, "risk", "left")
+    change = (F.col("_all.ratio") - 1) * 100
+    kept = F.transform(F.slice("_drivers", 1, top), lambda d: F.struct(*[d[c].alias(c) for c in ("keyword", "recent_count", "ratio", "sent_diff", "level")]))
+    return out.select(
+        "risk", F.coalesce("_all.recent_count", F.lit(0.0)).alias("recent_count"), F.coalesce("_all.base_count", F.lit(0.0)).alias("base_count"),
+        S.half_even(F.coalesce("_all.scaled", F.lit(0.0)), 1).alias("base_avg"), F.col("_all.ratio").alias("rate_ratio"), change.alias("change_pct"),
+        S.change_verdict(change).alias("verdict"), F.col("_all.recent_sentiment").alias("recent_sentiment"),
+        F.col("_all.base_sentiment").alias("base_sentiment"), kept.alias("drivers"))
+
+
 def sentiment_shift(df: DataFrame, date: str = "date", sentiment: str = "sentiment",
                     recent: int = RECENT_DAYS, base: int = BASE_DAYS,
                     keys: Sequence[str] = ()) -> DataFrame:

@@ -231,11 +231,25 @@ def flag_share_trend(df: DataFrame, flag: str, month: str = "month") -> DataFram
         month, "n", "reviews", S.half_even(F.col("n") / F.col("reviews") * 100, 2).alias("pct"))
 
 
-def concat_category_trends(frames: Sequence[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+def concat_category_trends(df: DataFrame, categories: Mapping[str, Sequence[str]], month: str = "month") -> DataFrame:
+    """The shares of ``category_share_trend`` for several columns, stacked; all are counted in one aggregate."""
+    names = {f"{c}|{v}": (c, v) for c, vs in categories.items() for v in vs}
+    counts = known_keys(df, [month]).groupBy(month).agg(
+        F.count("*").alias("_total"), *[F.count_if(F.col(c) == v).alias(n) for n, (c, v) in names.items()])
+    long = counts.unpivot([month, "_total"], list(names), "_name", "_n").filter("_n > 0")
+    return long.select(month, F.substring_index("_name", "|", -1).alias("category"),
+                       S.half_even(F.col("_n") / F.col("_total") * 100, 2).alias("pct"))
+
+
+def trend_with_total(df: DataFrame, value: str, group: str = "company", total: str = "all", month: str = "month") -> DataFrame:
+    """Monthly mean per group and, under the name ``total``, over all rows, in one pass over them.
+
+    Rows without a group count in the total only.
+    """
+    sums = known_keys(df, [month]).groupingSets([[month, group], [month]], month, group).agg(
+        F.avg(value).alias(value), F.grouping(group).alias("_all"))
+    named = F.when(F.col("_all") == 1, total).otherwise(F.col(group))
+    return sums.withColumn(group, named).drop("_all").filter(F.col(group).isNotNull())
 
 
 def company_scorecard(df: DataFrame, sentiment: str, quality: str) -> DataFrame:

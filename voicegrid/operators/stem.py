@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from voicegrid import dims
 from voicegrid.functions import words as W
 from voicegrid.session import broadcast_if_small, materialize
 
@@ -127,13 +128,14 @@ def keyword_forms(df: DataFrame, text: str, keywords: DataFrame) -> DataFrame:
     return stem_words(vocabulary, "word").join(F.broadcast(stems), "stem").select("word", "aspect", "stem")
 
 
-def stemmed_relevance(df: DataFrame, key: str, text: str, keywords: DataFrame) -> DataFrame:
+def stemmed_relevance(df: DataFrame, key: str, text: str, keywords: DataFrame | None = None) -> DataFrame:
     """``(key, aspect, relevance)``: distinct stems of a review among an aspect's keyword stems.
 
     Only vocabulary words whose stem is a keyword stem are joined to the corpus. They are broadcast once
     their number proves small; else the adaptive planner decides by the measured size. Pairs without a hit
     are left out.
     """
+    keywords = keywords or dims.keyword_dim(df.sparkSession, dims.STEM_TERMS)
     forms = broadcast_if_small(materialize(keyword_forms(df, text, keywords)))
     words = F.array_distinct(W.tokens(F.col(text)))
     hits = df.select(key, F.explode(words).alias("word")).join(forms, "word")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from voicegrid import dims
 from voicegrid.functions import scores as S, words as W
-from voicegrid.session import materialize
+from voicegrid.session import materialize, store
 
 
 def token_set(df: DataFrame, text: str, out: str = "tokens") -> DataFrame:
@@ -51,18 +51,6 @@ def _run_lengths(words: Column) -> Column:
     return F.zip_with(starts, ends, lambda a, b: F.struct(F.get(words, a).alias("term"), (b - a).alias("tf")))
 
 
-def vocabulary_counts(df: DataFrame, key: str, text: str, vocabulary: Sequence[str]) -> DataFrame:
-    """``(key, term, tf)`` of a fixed vocabulary, counted inside each row without a shuffle.
-
-    Texts are cut down to vocabulary words first. A text without any keeps one NULL-term row.
-    """
-    hits = df.select(key, F.filter(W.tokens(F.col(text)), W.in_list(list(vocabulary))).alias("_hits"))
-    pairs = F.transform(F.array_distinct("_hits"), lambda t: F.struct(
-        t.alias("term"), F.size(F.filter("_hits", lambda x: x == t)).alias("tf")))
-    return (hits.select(key, F.explode_outer(pairs).alias("_p"))
-            .select(key, F.col("_p.term").alias("term"), F.col("_p.tf").alias("tf")))
-
-
 def document_frequency(counts: DataFrame) -> DataFrame:
     return counts.filter(F.col("term").isNotNull()).groupBy("term").agg(F.count("*").alias("df"))
 
@@ -71,24 +59,35 @@ def smooth_idf(n_docs: Column, df: Column) -> Column:
     return F.log((1 + n_docs) / (1 + df)) + 1
 
 
-def tfidf_topic_score(df: DataFrame, key: str, text: str, terms: Mapping[str, Sequence[str]]) -> DataFrame:
-    """Sum of the L2-normalised TF-IDF weights of a topic's words, per review and topic.
+def with_topic_scores(df: DataFrame, text: str, terms: Mapping[str, Sequence[str]], prefix: str = "tfidf_") -> DataFrame:
+    """Add the sum of the L2-normalised TF-IDF weights of each topic's words as ``tfidf_<topic>``, 3 places.
 
-    The vocabulary is the dictionary itself, so its document frequencies are a bounded table.
+    The vocabulary is the dictionary itself. Its document frequencies are one row of sums over the table, read
+    as a scalar; each text's weights are then computed within its row, so nothing is exploded or joined.
     Phrases of a dictionary cannot match single words and weigh nothing.
     """
-    vocabulary = sorted({t.lower() for ts in terms.values() for t in ts if W.single_words([t])})
-    counts = vocabulary_counts(df, key, text, [v for v in vocabulary if len(v) > 1])
-    n = df.agg(F.count("*").alias("n")).scalar()
-    idf = document_frequency(counts).select("term", smooth_idf(n, F.col("df")).alias("idf"))
-    weighted = counts.join(F.broadcast(idf), "term", "left").withColumn("w", F.col("tf") * F.col("idf"))
-    topic = {a: [t.lower() for t in ts] for a, ts in terms.items()}
-    sums = weighted.groupBy(key).agg(
-        F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"),
-        *[F.sum(F.when(F.col("term").isin(ts), F.col("w"))).alias(f"_{a}") for a, ts in topic.items()])
-    return sums.select(key, *[
-        S.half_even(F.coalesce(F.col(f"_{a}") / F.col("_norm"), F.lit(0.0)), 3).alias(f"tfidf_{a}")
-        for a in terms])
+    vocabulary = sorted({t.lower() for ts in terms.values() for t in ts if len(t) > 1 and W.single_words([t])})
+    place = {t: i for i, t in enumerate(vocabulary)}
+    hits = F.filter(W.tokens(F.col(text)), W.in_list(vocabulary))
+    counts = F.transform(F.array(hits), lambda h: F.array(*[F.size(F.filter(h, W.in_list([t]))) for t in vocabulary]))[0]
+    if not vocabulary:
+        return df.withColumns({f"{prefix}{a}": F.lit(0.0) for a in terms})
+    counted = df.withColumn("_c", F.coalesce(counts, F.array_repeat(F.lit(0), len(vocabulary))))
+    idf = counted.agg(F.array(*[smooth_idf(F.count("*"), F.count_if(F.col("_c")[i] > 0)) for i in range(len(vocabulary))]).alias("x")).scalar()
+    weighted = counted.withColumn("_idf", idf).withColumn("_w", F.zip_with("_c", "_idf", lambda c, w: c * w))
+    norm = F.sqrt(F.aggregate("_w", F.lit(0.0), lambda s, w: s + w * w))
+    scores = {}
+    for a, ts in terms.items():
+        total = F.lit(0.0)
+        for t in sorted({t.lower() for t in ts} & set(vocabulary)):
+            total = total + F.col("_w")[place[t]]
+        scores[f"{prefix}{a}"] = F.when(F.col("_n") > 0, S.half_even(total / F.col("_n"), 3)).otherwise(F.lit(0.0))
+    return weighted.withColumn("_n", norm).withColumns(scores).drop("_c", "_idf", "_w", "_n")
+
+
+def tfidf_topic_score(df: DataFrame, key: str, text: str, terms: Mapping[str, Sequence[str]]) -> DataFrame:
+    """``(key, tfidf_<topic> ...)`` of every review; see ``with_topic_scores``."""
+    return with_topic_scores(df, text, terms).select(key, *[f"tfidf_{a}" for a in terms])
 
 
 HOT_TERMS = 1024
@@ -104,25 +103,24 @@ def with_term_value(counts: DataFrame, terms: DataFrame, key: str, size: str, va
                     hot: int = HOT_TERMS) -> DataFrame:
     """Attach the ``value`` column of ``terms`` to every ``(key, term)`` row without skew.
 
-    The ``hot`` terms with the largest ``size`` are broadcast: that table has a fixed number of
-    rows. Rows they resolve take a unique filler as join key for the second, shuffled join, so a
-    word found in a third of all reviews never gathers in one task.
+    The ``hot`` terms with the largest ``size`` are broadcast: that table has a fixed number of rows. Their
+    rows, and those without a term, are resolved where they are; only rows of other terms take part in the
+    shuffled join. ``counts`` and ``terms`` are read twice, so they should be stored.
     """
-    top = (terms.orderBy(F.desc(size), "term").limit(hot)
-           .select("term", F.col(value).alias("_hot")))
-    rest = terms.select(F.col("term").alias("_term"), F.col(value).alias("_cold"))
-    rows = counts.join(F.broadcast(top), "term", "left").withColumn(
-        "_key", F.when(F.col("_hot").isNull() & F.col("term").isNotNull(), F.col("term"))
-        .otherwise(F.concat(F.lit("\u0000"), F.col(key).cast("string"))))
-    joined = rows.join(rest, F.col("_key") == F.col("_term"), "left")
-    return joined.select(*counts.columns, F.coalesce("_hot", "_cold").alias(value))
+    top = terms.orderBy(F.desc(size), "term").limit(hot).select("term", F.col(value).alias("_hot"))
+    marked = counts.join(F.broadcast(top), "term", "left")
+    resolved = marked.filter(F.col("_hot").isNotNull() | F.col("term").isNull())
+    others = counts.filter(F.col("term").isNotNull()).join(F.broadcast(top.select("term")), "term", "left_anti")
+    found = others.join(terms.select("term", value), "term", "left")
+    return (resolved.select(*counts.columns, F.col("_hot").alias(value))
+            .unionByName(found.select(*counts.columns, value)))
 
 
-def tfidf_aspect_cosine(df: DataFrame, key: str, text: str, terms: Mapping[str, Sequence[str]],
+def tfidf_aspect_cosine(df: DataFrame, key: str, text: str, terms: Mapping[str, Sequence[str]] = dims.COSINE_TERMS,
                         stop_words: Sequence[str] = ()) -> DataFrame:
     """Cosine of each review with each aspect's keyword string, over the full vocabulary."""
-    counts = term_counts(df, key, text, stop_words=stop_words)
-    dfreq = document_frequency(counts)
+    counts = store(term_counts(df, key, text, stop_words=stop_words), "term-counts")
+    dfreq = store(document_frequency(counts), "document-frequency")
     n = df.agg(F.count("*").alias("n")).scalar()
     queries = _keyword_vectors(df.sparkSession, terms, stop_words)
     in_corpus = dfreq.join(F.broadcast(queries), "term").withColumn(
@@ -163,14 +161,19 @@ def relevance_share_sentiment(df: DataFrame, overall: str, aspects: Sequence[str
 def language_profiles(labelled: DataFrame, text: str, lang: str, n: int = 3) -> DataFrame:
     """All character n-grams of each language with their shares.
 
-    N-grams are counted per language with map-side aggregation, so what moves is the set of
-    distinct n-grams, which the alphabets bound, not the text.
+    N-grams are counted within each row and then per language with map-side aggregation, so what moves
+    is the set of distinct n-grams, which the alphabets bound, not the text.
     """
-    grams = labelled.select(lang, F.explode(_ngrams(F.col(text), n)).alias("gram"))
-    counts = grams.groupBy(lang, "gram").agg(F.count("*").alias("c"))
+    grams = labelled.select(lang, F.explode(_ngram_counts(F.col(text), n)).alias("_g")).select(lang, "_g.*")
+    counts = grams.groupBy(lang, F.col("term").alias("gram")).agg(F.sum("tf").alias("c"))
     total = counts.groupBy(lang).agg(F.sum("c").alias("total"))
-    return counts.join(total, lang).select(F.col(lang).alias("lang"), "gram",
-                                        (F.col("c") / F.col("total")).alias("share"))
+    return counts.join(F.broadcast(total), lang).select(F.col(lang).alias("lang"), "gram",
+                                                        (F.col("c") / F.col("total")).alias("share"))
+
+
+def _ngram_counts(text: Column, n: int) -> Column:
+    """``[(term, tf)]`` of the letter n-grams of a text."""
+    return F.transform(F.array(F.array_sort(_ngrams(text, n))), _run_lengths)[0]
 
 
 def _ngrams(text: Column, n: int) -> Column:
@@ -187,18 +190,23 @@ def _ngrams(text: Column, n: int) -> Column:
 def language_tag(df: DataFrame, key: str, text: str, profiles: DataFrame, n: int = 3) -> DataFrame:
     """``(key, detected_lang, is_english)``; the profile with the largest summed share wins.
 
-    ``profiles`` has a row for each language and n-gram (see ``language_profiles``); the planner broadcasts
-    it when its measured size allows. Scores of a review are summed map-side; text without any
-    known n-gram is ``unknown``, kept by the outer join rather than joined back.
+    ``profiles`` has a row for each language and n-gram (see ``language_profiles``). It is stored as one row per
+    n-gram with the shares of all languages, which the planner broadcasts when its measured size allows; the
+    languages themselves are a short list. A text sends each of its n-grams once, with the number of times it
+    has it, and its sums are formed map-side. Text without any known n-gram is ``unknown``.
     """
-    hits = (df.select(key, F.explode_outer(_ngrams(F.col(text), n)).alias("gram"))
-            .join(profiles, "gram", "left"))
-    scores = hits.groupBy(key, "lang").agg(F.bround(F.sum("share"), 9).alias("s"))
-    known = F.when(F.col("lang").isNotNull(), F.struct("s", "lang"))
-    best = scores.groupBy(key).agg(F.max(known).getField("lang").alias("lang"))
-    return best.select(
-        key, F.coalesce("lang", F.lit("unknown")).alias("detected_lang"),
-        F.coalesce(F.col("lang") == "en", F.lit(False)).alias("is_english"))
+    known = store(profiles, "profiles")
+    langs = sorted(r[0] for r in known.select("lang").distinct().collect() if r[0] is not None)
+    shares = [F.sum(F.when(F.col("lang") == x, F.col("share"))) for x in langs]
+    wide = known.groupBy("gram").agg(F.array(*[F.coalesce(x, F.lit(0.0)) for x in shares] or [F.lit(0.0)]).alias("shares"))
+    grams = df.select(key, F.explode_outer(_ngram_counts(F.col(text), n)).alias("_g")).select(key, F.col("_g.term").alias("gram"), F.col("_g.tf").alias("tf"))
+    hits = grams.join(store(wide, "profile-rows"), "gram", "left")
+    sums = hits.groupBy(key).agg(*[F.bround(F.sum(F.col("tf") * F.col("shares")[i]), 9).alias(f"_{i}") for i in range(len(langs))])
+    scores = [F.struct(F.coalesce(F.col(f"_{i}"), F.lit(0.0)).alias("s"), F.lit(x).alias("lang")) for i, x in enumerate(langs)]
+    best = F.greatest(*scores) if len(scores) > 1 else (scores or [F.struct(F.lit(0.0).alias("s"), F.lit("").alias("lang"))])[0]
+    lang = F.when(best["s"] > 0, best["lang"])
+    return sums.select(key, F.coalesce(lang, F.lit("unknown")).alias("detected_lang"),
+                       F.coalesce(lang == "en", F.lit(False)).alias("is_english"))
 
 
 Scorer = Callable[[pd.Series], Iterable[tuple[str, float]]]
@@ -250,7 +258,7 @@ def fit_spam_model(labelled: DataFrame, text: str, label: str) -> SpamModel:
 
 def spam_score_with_model(df: DataFrame, key: str, text: str, model: SpamModel) -> DataFrame:
     """``(key, spam_label, spam_confidence)``; words that no labelled row has say nothing."""
-    counts = term_counts(df, key, text, SPAM_WORDS)
+    counts = store(term_counts(df, key, text, SPAM_WORDS), "term-counts")
     found = with_term_value(counts, model.terms, key, "n", "weight")
     sums = found.groupBy(key).agg(F.coalesce(F.sum(F.col("tf") * F.col("weight")), F.lit(0.0)).alias("_s"))
     odds = sums.select(key, (F.col("_s") + model.prior).alias("_odds"))

@@ -108,6 +108,17 @@ def batch_infer(spark, sf):
     return E.batch_infer(V.reviews(spark, sf), "review_id", "review", _stand_in)
 
 
+@query("stored_replies", V.rev_sql("""
+SELECT review_id, CASE WHEN length(review) % 13 <> 0 THEN 'Score: ' || length(review) % 131
+       || chr(10) || 'Product: Energy' || chr(10) || 'Reason: length' END AS reply,
+       CASE WHEN length(review) % 13 = 0 THEN 'ValueError - busy' END AS error FROM reviews"""))
+def stored_replies(spark, sf):
+    """A first run breaks off after half the prompts; the second one asks for the others only."""
+    path, prompts = work_dir(spark, "replies"), V.reviews(spark, sf)
+    E.stored_replies(prompts.filter("review_id % 2 = 0"), "review_id", "review", _stand_in, path)
+    return E.stored_replies(prompts, "review_id", "review", _stand_in, path, rounds=2)
+
+
 @query("parse_single_reply", f"WITH {SINGLE_CTE} SELECT * FROM single")
 def parse_single_reply(spark, sf):
     return E.parse_single_reply(replies(spark, sf)).drop("reply")

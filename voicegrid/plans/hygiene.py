@@ -43,7 +43,7 @@ def drop_blank_text(spark, sf):
 @query("drop_invalid_dates", f"""WITH {DATE_TEXT_CTE}
 SELECT review_id, parsed AS date FROM dated WHERE parsed IS NOT NULL""")
 def drop_invalid_dates(spark, sf):
-    return C.drop_invalid_dates(date_texts(spark, sf), "date_text", "date").select("review_id", "date")
+    return C.drop_invalid_dates(date_texts(V.reviews(spark, sf)), "date_text", "date").select("review_id", "date")
 
 
 @query("min_length_filter", _holed("SELECT review_id FROM holed WHERE length(coalesce(review, '')) >= 15"))
@@ -66,9 +66,7 @@ c AS (SELECT count(*) AS loaded, count(*) FILTER (WHERE parsed IS NULL) AS inval
 SELECT *, loaded - invalid_date - too_short AS kept,
        round_even((loaded - invalid_date - too_short) / CAST(loaded AS DOUBLE) * 100, 1) AS quality_pct FROM c""")
 def data_quality_report(spark, sf):
-    texts = date_texts(spark, sf).select("review_id", "date_text")
-    df = holed(spark, sf).join(texts, "review_id")
-    return C.data_quality_report(df, "date_text", "review")
+    return C.data_quality_report(date_texts(holed(spark, sf)), "date_text", "review")
 
 
 @query("year_filter", V.rev_sql("SELECT review_id, date FROM reviews WHERE year(date) = 2024"))

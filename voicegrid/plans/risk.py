@@ -80,6 +80,28 @@ def risk_drivers(spark, sf):
     return out.withColumns({c: F.bround(c, 9) for c in ("ratio", "sent_diff")})
 
 
+RISK_ROWS = ", ".join(f"('{r}', '{k}', {w}::DOUBLE)" for r, m in V.RISKS.items() for k, w in m.items())
+
+
+@query("risk_overview", V.ann_sql(f"""{AGED}, k(risk, keyword, w) AS (VALUES {RISK_ROWS}),
+h AS (SELECT review_id, risk, keyword, w, age < 7 AS recent, sentiment FROM aged, k WHERE age < 97 AND contains(low, keyword)),
+m AS (SELECT review_id, risk, any_value(recent) AS recent, any_value(sentiment) AS sentiment, sum(w) AS w FROM h GROUP BY ALL),
+a AS (SELECT risk, coalesce(sum(w) FILTER (WHERE recent), 0) AS recent_count, coalesce(sum(w) FILTER (WHERE NOT recent), 0) AS base_count,
+      avg(sentiment) FILTER (WHERE recent) AS recent_sentiment, avg(sentiment) FILTER (WHERE NOT recent) AS base_sentiment FROM m GROUP BY risk),
+s AS (SELECT risk, keyword, count(*) FILTER (WHERE recent) AS n, count(*) FILTER (WHERE NOT recent) * 7 / 90.0::DOUBLE AS b FROM h GROUP BY ALL),
+d AS (SELECT *, n / nullif(b, 0) AS ratio, row_number() OVER (PARTITION BY risk ORDER BY n / nullif(b, 0) DESC NULLS LAST, keyword) AS place FROM s),
+l AS (SELECT risk, string_agg(keyword || ':' || n, ', ' ORDER BY place) AS drivers FROM d WHERE place <= 3 GROUP BY risk)
+SELECT r.risk, coalesce(recent_count, 0) AS recent_count, coalesce(base_count, 0) AS base_count,
+       round_even(recent_count / nullif(base_count * 7 / 90, 0), 9) AS rate_ratio,
+       CASE WHEN (recent_count / nullif(base_count * 7 / 90, 0) - 1) * 100 <= -10 THEN 'good' ELSE 'bad' END AS verdict,
+       round_even(recent_sentiment, 9) AS recent_sentiment, round_even(base_sentiment, 9) AS base_sentiment, coalesce(drivers, '') AS drivers
+FROM (SELECT DISTINCT risk FROM k) r LEFT JOIN a USING (risk) LEFT JOIN l USING (risk)"""))
+def risk_overview(spark, sf):
+    out = K.risk_overview(V.scored(V.reviews(spark, sf)), "review", V.RISKS).drop("base_avg", "change_pct")
+    drivers = F.array_join(F.transform("drivers", lambda d: F.concat(d["keyword"], F.lit(":"), d["recent_count"].cast("string"))), ", ")
+    return out.withColumns({c: F.bround(c, 9) for c in ("rate_ratio", "recent_sentiment", "base_sentiment")} | {"drivers": F.coalesce(drivers, F.lit(""))})
+
+
 @query("sentiment_shift", V.ann_sql(f"""{AGED},
 s AS (SELECT company, avg(score) FILTER (WHERE age < 7) AS r, avg(score) FILTER (WHERE age >= 7) AS b
       FROM aged WHERE age < 97 GROUP BY company)

@@ -270,8 +270,7 @@ def category_share_trend(spark, sf):
 
 @query("concat_category_trends", V.ann_sql(SHARE_TREND_SQL))
 def concat_category_trends(spark, sf):
-    ann = V.annotated(spark, sf)
-    return U.concat_category_trends([U.category_share_trend(ann, c, v) for c, v in SHARE_TRENDS.items()])
+    return U.concat_category_trends(V.annotated(spark, sf), SHARE_TRENDS)
 
 
 @query("flag_share_trend", V.ann_sql("""
@@ -304,9 +303,8 @@ def company_scorecard(spark, sf):
 
 
 def with_tfidf(spark, sf) -> DataFrame:
-    """Annotated reviews with topic TF-IDF; both sides are keyed by the unique review id."""
-    ann = V.annotated(spark, sf)
-    return ann.join(T.tfidf_topic_score(V.reviews(spark, sf), "review_id", "review", V.TOPICS), "review_id")
+    """Annotated reviews with topic TF-IDF."""
+    return T.with_topic_scores(V.annotated(spark, sf), "review", V.TOPICS)
 
 
 TFIDF_CTE = V.ANN_CTE + f""", vocab(topic, term) AS (VALUES {", ".join(
@@ -350,9 +348,7 @@ def topic_trend_tfidf(spark, sf):
 SELECT month, company, round_even(avg(kw_green), 12) AS kw_green FROM ann GROUP BY month, company
 UNION ALL SELECT month, 'all', round_even(avg(kw_green), 12) FROM ann GROUP BY month"""))
 def green_trend(spark, sf):
-    ann = V.annotated(spark, sf)
-    overall = U.trend(ann, ["month"], "kw_green").withColumn("company", F.lit("all"))
-    return tidy(U.trend(ann, ["month", "company"], "kw_green").unionByName(overall), "kw_green")
+    return tidy(U.trend_with_total(V.annotated(spark, sf), "kw_green"), "kw_green")
 
 
 @query("topic_sentiment_trend", V.ann_sql("""

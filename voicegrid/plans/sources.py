@@ -16,13 +16,14 @@ ANALYSES = ["classification", "sentiment"]
 DATE_FORMS = ["dd/MM/yyyy", "d/M/yyyy", "yyyy-MM-dd", "dd/MM/yy"]
 
 
-def date_texts(spark: SparkSession, sf: str) -> DataFrame:
+def date_texts(df: DataFrame) -> DataFrame:
+    """Reviews with their date written in one of several forms, some of them no dates."""
     form = F.col("review_id") % 6
     text = F.lit("")
     for i, f in enumerate(DATE_FORMS):
         text = F.when(form == i, F.date_format("date", f)).otherwise(text)
     text = F.when(form == 4, "31/02/2024").otherwise(text)
-    return V.reviews(spark, sf).withColumn("date_text", text)
+    return df.withColumn("date_text", text)
 
 
 DATE_TEXT_CTE = V.REVIEWS_CTE + r""", dated AS (
@@ -74,7 +75,7 @@ def parse_date_strict(spark, sf):
 
 @query("parse_date_lenient", f"WITH {DATE_TEXT_CTE} SELECT review_id, parsed FROM dated")
 def parse_date_lenient(spark, sf):
-    return date_texts(spark, sf).select("review_id", D.parse_lenient(F.col("date_text")).alias("parsed"))
+    return date_texts(V.reviews(spark, sf)).select("review_id", D.parse_lenient(F.col("date_text")).alias("parsed"))
 
 
 @query("parse_date_majority", V.rev_sql(r"""

@@ -95,6 +95,15 @@ def cosine_threshold_rollup(spark, sf):
 
 WORDS = ", ".join(f"('{t}', {v}::DOUBLE)" for t, v, r in V.LEXICON if r == "word")
 AROUND = ", ".join(f"('{t}', {v}::DOUBLE, '{r}')" for t, v, r in V.LEXICON if r in ("booster", "negator"))
+
+
+def _phrase(role: str, *places: str) -> str:
+    """SQL for the value of a phrase made of the words at some places, NULL if there is none."""
+    cases = " ".join(f"WHEN '{t}' THEN {v}::DOUBLE" for t, v, r in V.LEXICON if r == role and t.count(" ") == len(places) - 1)
+    words = " || ' ' || ".join(f"lower({p})" for p in places)
+    return f"(CASE {words} {cases} END)" if cases else "NULL::DOUBLE"
+
+
 PUNCT = r"[!-/:-@\[-`{-~]"
 
 
@@ -105,12 +114,20 @@ def compound_ctes(source: str, keys: str, text: str) -> str:
                 "THEN CASE WHEN v > 0 THEN 0.733 ELSE -0.733 END ELSE 0 END")
         return (f"CASE WHEN a{d}.role = 'booster' THEN ((CASE WHEN v < 0 THEN -1 ELSE 1 END) * a{d}.val + {loud}) * {damp} "
                 "ELSE 0 END")
-    neg = lambda d: f"CASE WHEN a{d}.role = 'negator' THEN -0.74::DOUBLE ELSE 1 END"
+    so = lambda p: f"coalesce(list_contains({V._list(V.SPECIAL.so)}, lower({p})), false)"
+    never = {1: "false", 2: f"coalesce(lower(p2) = '{V.SPECIAL.never}', false) AND {so('p1')}",
+             3: f"coalesce(lower(p3) = '{V.SPECIAL.never}', false) AND ({so('p1')} OR {so('p2')})"}
+    neg = lambda d: f"CASE WHEN {never[d]} THEN 1.25::DOUBLE WHEN a{d}.role = 'negator' THEN -0.74::DOUBLE ELSE 1 END"
     k = [x.strip() for x in keys.split(",")]
     part = ", ".join(k)
     value = "(v + CASE WHEN mixed AND upper(w) = w AND lower(w) <> w THEN CASE WHEN v < 0 THEN -0.733 ELSE 0.733 END ELSE 0 END)"
     for d, damp in ((1, "1.0::DOUBLE"), (2, "0.95::DOUBLE"), (3, "0.9::DOUBLE")):
         value = f"(({value} + {step(d, damp)}) * {neg(d)})"
+    idiom = ", ".join(_phrase("idiom", *p) for p in (("p1", "w"), ("p2", "p1", "w"), ("w", "n1"), ("w", "n1", "n2")))
+    more = " + ".join(f"coalesce({_phrase('booster', *p)}, 0)" for p in (("p3", "p2", "p1"), ("p3", "p2"), ("p2", "p1")))
+    least = (f"CASE WHEN lower(p1) = '{V.SPECIAL.least}' AND NOT coalesce(list_contains({V._list(V.SPECIAL.not_least)}, lower(p2)), false) "
+             "THEN -0.74::DOUBLE ELSE 1 END")
+    value = f"((coalesce({idiom}, {value}) + {more}) * {least})"
     return rf"""
 lex(tok, v) AS (VALUES {WORDS}), around(tok, val, role) AS (VALUES {AROUND}),
 pieces AS (SELECT {part}, {text} AS body, list_filter(regexp_split_to_array(coalesce({text}, ''), '[\s\p{{Z}}]+'), lambda x: x <> '') AS ws FROM {source}),
@@ -121,7 +138,8 @@ head AS (SELECT *, list_position(list_transform(ws, lambda x: lower(x)), 'that')
              len(regexp_extract_all(body, '!')) AS bangs, len(regexp_extract_all(body, '\?')) AS asks FROM bare),
 emph AS (SELECT {part}, coalesce(least(bangs, 4) * 0.292::DOUBLE + CASE WHEN asks <= 1 THEN 0 WHEN asks <= 3 THEN asks * 0.18::DOUBLE ELSE 0.96 END, 0) AS emph FROM head),
 flat AS (SELECT {part}, turn, caps > 0 AND caps < len(ws) AS mixed, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos FROM head),
-near AS (SELECT *, {", ".join(f"lag(w, {d}) OVER (PARTITION BY {part} ORDER BY pos) AS p{d}" for d in (1, 2, 3))} FROM flat),
+near AS (SELECT *, {", ".join(f"lag(w, {d}) OVER (PARTITION BY {part} ORDER BY pos) AS p{d}" for d in (1, 2, 3))},
+  {", ".join(f"lead(w, {d}) OVER (PARTITION BY {part} ORDER BY pos) AS n{d}" for d in (1, 2))} FROM flat),
 vals AS (SELECT near.*, {value} * CASE WHEN pos < turn AND turn > 0 THEN 0.5::DOUBLE WHEN pos > turn AND turn > 0 THEN 1.5::DOUBLE ELSE 1 END AS val
   FROM near JOIN lex ON lex.tok = lower(w)
   {" ".join(f"LEFT JOIN around a{d} ON a{d}.tok = lower(p{d})" for d in (1, 2, 3))}),
@@ -132,7 +150,7 @@ compound AS (SELECT {part}, round_even(s / sqrt(s * s + 15), 4) AS compound FROM
 
 @query("lexicon_compound", V.rev_sql(f", {compound_ctes('reviews', 'review_id', 'review')} SELECT * FROM compound"))
 def lexicon_compound(spark, sf):
-    return X.lexicon_compound(V.reviews(spark, sf), "review_id", "review", dims.lexicon_dim(spark, V.LEXICON))
+    return X.lexicon_compound(V.reviews(spark, sf), "review_id", "review", dims.lexicon_dim(spark, V.LEXICON), special=V.SPECIAL)
 
 
 @query("compound_distribution", V.rev_sql(f""", {compound_ctes('reviews', 'review_id', 'review')}
@@ -142,7 +160,7 @@ FROM compound JOIN reviews USING (review_id) GROUP BY company"""))
 def compound_distribution(spark, sf):
     """The lexicon scores of each company's reviews as a five-number summary; the company is part of the key, so nothing is joined."""
     df = V.reviews(spark, sf).select("review_id", "company", "review")
-    scores = X.lexicon_compound(df, ["review_id", "company"], "review", dims.lexicon_dim(spark, V.LEXICON))
+    scores = X.lexicon_compound(df, ["review_id", "company"], "review", dims.lexicon_dim(spark, V.LEXICON), special=V.SPECIAL)
     out = U.score_distribution(scores, "company", "compound")
     return out.withColumns({c: F.bround(c, 9) for c in ("q1", "median", "q3")})
 
@@ -243,7 +261,7 @@ precise AS (SELECT review_id, aspect, md5(scoped) AS digest, CASE WHEN scoped IS
 @query("sentence_scoped_sentiment", f"WITH {scoped_cte()} SELECT * FROM precise")
 def sentence_scoped_sentiment(spark, sf):
     return X.sentence_scoped_sentiment(V.reviews(spark, sf), "review_id", "review", STEMMED_ASPECTS,
-                                       dims.lexicon_dim(spark, V.LEXICON))
+                                       dims.lexicon_dim(spark, V.LEXICON), V.SPECIAL)
 
 
 @query("monthly_precise_rollup", f"""WITH {scoped_cte()},
@@ -255,7 +273,7 @@ FROM p GROUP BY month, company, product""")
 def monthly_precise_rollup(spark, sf):
     reviews = V.scored(V.reviews(spark, sf)).select("review_id", "month", "company", "product", "review")
     scores = X.sentence_scoped_sentiment(reviews, ["review_id", "month", "company", "product"], "review", STEMMED_ASPECTS,
-                                         dims.lexicon_dim(spark, V.LEXICON))
+                                         dims.lexicon_dim(spark, V.LEXICON), V.SPECIAL)
     out = U.monthly_precise_rollup(scores, list(STEMMED_ASPECTS))
     return out.withColumns({f"{a}_{s}": S.half_even(F.col(f"{a}_{s}"), 9 if s == "sentiment_score" else 6)
                             for a in STEMMED_ASPECTS for s in ("sentiment_score", "volatility")})

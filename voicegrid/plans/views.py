@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from voicegrid import dims
 from voicegrid.functions import dates as D, scores as S
-from voicegrid.operators import annotate as A, rollups as U
+from voicegrid.operators import annotate as A, lexicon as X, rollups as U
 from voicegrid.sources.reviews import read_table
 
 PRIMARY = "co0"
@@ -30,10 +30,16 @@ PHRASES = ["of the", "is that"]
 PROMO, REGULATORY = ["ing of", "tion and"], ["sh th", "t&c", "er la"]
 CATEGORIES = {"alpha": ["tionth", "quela"], "beta": ["ingin", "ption"], "gamma": ["and", "und"]}
 RISK = {"tion": 1.0, "ment": 0.5, "sch": 1.0, "ando": 0.5}
+RISKS = {"first": RISK, "second": {"ing of": 1.0, "tion": 0.5, "ungen": 2.0}, "absent": {"no such words": 1.0}}
 LEXICON = [("the", 1.9, "word"), ("of", -1.5, "word"), ("in", 2.7, "word"), ("das", -2.1, "word"),
            ("la", 0.8, "word"), ("des", -0.9, "word"), ("los", 1.2, "word"),
            ("and", 0.293, "booster"), ("to", -0.293, "booster"), ("der", 0.293, "booster"),
-           ("is", -0.74, "negator"), ("que", -0.74, "negator"), ("that", None, "contrast")]
+           ("is", -0.74, "negator"), ("que", -0.74, "negator"), ("that", None, "contrast"),
+           ("of the", 1.1, "idiom"), ("in la", -2.2, "idiom"), ("to of the", 2.4, "idiom"), ("des les", -1.7, "idiom"),
+           ("this is", -0.293, "booster"), ("la que", 0.293, "booster"), ("and to the", 0.4, "booster")]
+
+# Words that occur in the texts, in place of those of the rules.
+SPECIAL = X.Words(least="for", not_least=("as", "with"), never="is", so=("the", "this", "on"))
 
 
 def reviews(spark: SparkSession, sf: str) -> DataFrame:

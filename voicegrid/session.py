@@ -69,3 +69,10 @@ def materialize(df: DataFrame) -> DataFrame:
         context.setCheckpointDir(work_dir(df.sparkSession, "checkpoints"))
     return df.checkpoint()
 
+
+
+def store(df: DataFrame, purpose: str) -> DataFrame:
+    """Write a result that several parts of a plan read to the shared work folder, as Parquet, and read it back."""
+    path = work_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
