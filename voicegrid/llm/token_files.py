@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from voicegrid.llm.common import BROADCAST_ROWS, steps
-from voicegrid.llm.tokens import word_tokenizer
+from voicegrid.llm.tokens import WordTokenizer
 
 STRIPE_BYTES = 16 << 20
 ROWS_PER_INDEX = 1000
@@ -61,7 +61,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         return low + (high - low + 1) * (digest + (1 << 63)) // (1 << 64) if high > low else low
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = word_tokenizer(tokenizer)
+        words = WordTokenizer(tokenizer)
         tokens, end = words.encode, np.array([end_id], words.type).tobytes()
         for batch in batches:
             for part in steps(batch, "text"):
@@ -70,7 +70,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("digest"), pa.array(at, pa.int32()), pa.array(ids, pa.binary())], moved.names)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind, before = word_tokenizer(tokenizer).type, 0
+        kind, before = WordTokenizer(tokenizer).type, 0
         for batch in batches:
             found = batch.column("ids").to_pylist()
             sizes = np.array([len(x) // kind.itemsize for x in found], np.int64)

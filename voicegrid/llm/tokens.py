@@ -2,8 +2,8 @@
 
 The tokenizer cuts at white space and into words, and encodes each word by itself. So chunks between ASCII
 white space are looked up, chunks that are new are put together from their words, and only new words are
-encoded. A worker process keeps its table from task to task. Memory is bounded: a full table becomes the old
-one, of which chunks that come again are taken over, and the old one before it goes.
+encoded. Memory is bounded: a full table becomes the old one, of which chunks that come again are taken over,
+and the old one before it goes.
 """
 
 from __future__ import annotations
@@ -76,12 +76,21 @@ class _Kept(dict):
         return packed
 
 
+@functools.lru_cache(maxsize=2)
+def _library(path: str):
+    """The library's tokenizer for a file, loaded once in each worker process."""
+    from tokenizers import Tokenizer
+    return Tokenizer.from_file(path)
+
+
 class WordTokenizer:
-    """``encode`` gives the same ids as the library's own ``encode(text, add_special_tokens=False)``."""
+    """``encode`` gives the same ids as the library's own ``encode(text, add_special_tokens=False)``.
+
+    Make one for each task: its tables go with it, so an idle worker process holds none.
+    """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-        self.library = Tokenizer.from_file(path)
+        self.library = _library(path)
         self.kept = _Kept(self.library)
         self.type = np.dtype("<u2" if self.kept.code == "H" else "<u4")
 
@@ -90,12 +99,6 @@ class WordTokenizer:
         return b"".join(map(self.kept.__getitem__, text.split())) if text else b""
 
 
-@functools.lru_cache(maxsize=2)
-def word_tokenizer(path: str) -> WordTokenizer:
-    """The tokenizer of this worker process for a file, with the words it has met so far."""
-    return WordTokenizer(path)
-
-
 def default_tokenizer() -> str:
     """The path of the public tokenizer file that the registered queries use."""
     import public_tokenizers
