@@ -1,4 +1,8 @@
-"""From raw documents to packed training sequences: five stages, each stored before the next one reads it."""
+"""From raw documents to packed training sequences: five stages, each stored before the next one reads it.
+
+Every stage takes rows without an id or a text, empty and very long texts, repeated rows, further columns of
+any name and empty tables. All but the last return the columns they got; an empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
@@ -15,12 +19,16 @@ from voicegrid.sources.reviews import read_table
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the model rejects go."""
+    """Documents that the model rejects go. Rows are judged one by one: repeated ones alike, null and empty texts by
+    the features of an empty text."""
     return without_toxic(docs, read_table(spark, sf_dir, "labels"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeats of runs of lines are cut; documents that lose all their text this way go."""
+    """Later repeats of runs of lines are cut; documents that lose all their text this way go.
+
+    Null texts stay null and empty ones empty. Rows equal in id and text are one document: they stay or are cut
+    alike. Documents without an id come after the others."""
     out, lines, _ = without_repeated_lines(docs)
     text = F.col("text")
     kept = out.filter((F.col(lines) == 0) | (F.length(F.trim(text)) > 0))
@@ -29,17 +37,18 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
+    """One row of each group of near duplicates stays, repeated rows included; rows without any word all stay."""
     return without_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of the benchmark go."""
+    """Documents that hold a passage of the benchmark go; those without words stay."""
     return without_benchmark(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's ids in sequences; one row per piece."""
+    """Every row's ids in sequences, one row per piece. Repeated rows are packed each; null and empty texts have the
+    end id alone."""
     return packed_documents(docs, default_tokenizer(), capacity=4096, end_id=2)
 
 
