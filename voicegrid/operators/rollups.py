@@ -58,11 +58,12 @@ def monthly_precise_rollup(df: DataFrame, aspects: Sequence[str], keys: Sequence
     """Mean and deviation of sentence-scoped scores with the group's volume.
 
     Takes one row per review and aspect, as ``sentence_scoped_sentiment`` gives them with the group's keys,
-    and pivots them within the aggregate. Scores in [-1, 1] are first scaled to 100, one place.
+    and pivots them within the aggregate. Scores in [-1, 1] are first scaled to 100 and rounded half to even
+    as decimals, one place.
     """
     stats = []
     for a in aspects:
-        value = F.when(F.col("aspect") == a, S.rescale_100(F.col(score)))
+        value = F.when(F.col("aspect") == a, S.half_even(F.col(score) * 100, 1))
         stats += [F.avg(value).alias(f"{a}_sentiment_score"), F.stddev_samp(value).alias(f"{a}_volatility")]
     volume = F.count_if(F.col("aspect") == aspects[0]).alias("reviews")
     return known_keys(df, keys).groupBy(*keys).agg(*stats, volume)

@@ -265,7 +265,7 @@ def sentence_scoped_sentiment(spark, sf):
 
 
 @query("monthly_precise_rollup", f"""WITH {scoped_cte()},
-p AS (SELECT month, company, product, aspect, review_id, round_even(precise.sentiment * 100, 1) AS s FROM precise JOIN scored USING (review_id))
+p AS (SELECT month, company, product, aspect, review_id, {V.tie_safe('precise.sentiment * 100', 1)} AS s FROM precise JOIN scored USING (review_id))
 SELECT month, company, product, count(DISTINCT review_id) AS reviews,
        {each("round_even(avg(s) FILTER (WHERE aspect = '@'), 9) AS @_sentiment_score, round_even(stddev_samp(s) FILTER (WHERE aspect = '@'), 6) AS @_volatility",
              list(STEMMED_ASPECTS))}
