@@ -1,11 +1,13 @@
 """Corpus jobs against hand calculation and plain-Python brute force."""
 
+import collections
 import hashlib
 import math
 import re
 from collections import Counter
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from voicegrid import dims
@@ -182,6 +184,42 @@ def test_language_tag(spark):
     assert {(r.detected_lang, r.is_english) for r in out} == {("unknown", False)}
 
 
+@pytest.mark.parametrize("n", [1, 3, 5])
+def test_language_profiles_and_tags_by_brute_force(spark, monkeypatch, n):
+    texts = [("en", "The cat, the hat! a"), ("en", "that 𝒜bc 日本語日本語"), ("fr", "le chat, l'été là-bas"), ("fr", None), (None, "x y z the"), ("de", "")]
+    df = spark.createDataFrame([(i, *t) for i, t in enumerate(texts)], "id int, lang string, review string").repartition(2)
+
+    def grams(text):
+        words = regex.findall(r"\p{L}+", (text or "").lower())
+        return [w[i:i + n] for w in (f" {x} " for x in words) for i in range(len(w) - n + 1)]
+
+    counts = collections.defaultdict(collections.Counter)
+    for lang, text in texts:
+        if lang:
+            counts[lang].update(grams(text))
+    want = {(lang, g): c / sum(cs.values()) for lang, cs in counts.items() for g, c in cs.items()}
+    profiles = T.language_profiles(df, "review", "lang", n)
+    assert {(r.lang, r.gram): r.share for r in profiles.collect()} == want
+
+    def tag(text):
+        sums = {lang: round(sum(want.get((lang, g), 0) for g in grams(text)), 9) for lang in ("en", "fr")}
+        best = max(sums, key=lambda lang: (sums[lang], lang))
+        return best if sums[best] > 0 else "unknown"
+
+    monkeypatch.setattr(T, "STEP_CHARS", 16)
+    in_task = {r.id: r.detected_lang for r in T.language_tag(df, "id", "review", profiles, n).collect()}
+    assert in_task == {i: tag(t) for i, (_, t) in enumerate(texts)}
+    monkeypatch.setattr(T, "PROFILE_CELLS", 0)
+    assert {r.id: r.detected_lang for r in T.language_tag(df, "id", "review", profiles, n).collect()} == in_task
+
+
+def test_language_tag_of_empty_tables(spark):
+    df = spark.createDataFrame([], "id int, lang string, review string")
+    profiles = T.language_profiles(df, "review", "lang")
+    assert T.language_tag(df, "id", "review", profiles).collect() == []
+    assert T.language_tag(reviews(spark, ["some words"]), "id", "review", profiles).first().detected_lang == "unknown"
+
+
 def test_spam_scorer_is_pluggable(spark):
     df = reviews(spark, ["win money", "hello", "win again"] * 5)
     scorer = lambda texts: [("spam", 0.95) if "win" in t else ("ham", 0.8) for t in texts]

@@ -29,7 +29,7 @@ def chunks(text: Column) -> Column:
 def sentences(text: Column) -> Column:
     """Sentences of ``text`` without the white space around them; blank ones are left out."""
     found = F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0))
-    return F.filter(F.transform(found, lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
+    return F.filter(F.transform(found, lambda s: F.btrim(s, F.lit(" \t\n\x0b\f\r"))), lambda s: s != "")
 
 
 def any_of(terms: Sequence[str]) -> str:

@@ -8,6 +8,7 @@ negator, contrast or idiom.
 from __future__ import annotations
 
 import functools
+import string
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -27,7 +28,7 @@ QUESTION, MANY_QUESTIONS, MAX_QUESTIONS = 0.18, 0.96, 3
 BEFORE_CONTRAST, AFTER_CONTRAST = 0.5, 1.5
 NEVER_SO = 1.25
 ALPHA = 15.0
-PUNCTUATION = r"[!-/:-@\[-`{-~]"
+PUNCTUATION = string.punctuation
 
 
 @dataclass(frozen=True)
@@ -44,7 +45,7 @@ class Words:
 def _pieces(text: Column) -> Column:
     """White-space pieces without surrounding punctuation; emoticon-sized remains stay whole."""
     def bare(piece: Column) -> Column:
-        core = F.regexp_replace(piece, f"^{PUNCTUATION}+|{PUNCTUATION}+$", "")
+        core = F.btrim(piece, F.lit(PUNCTUATION))
         return F.when(F.length(core) <= 2, piece).otherwise(core)
     return F.transform(W.chunks(text), bare)
 
@@ -68,9 +69,9 @@ def lexicon_compound(df: DataFrame, key: str | Sequence[str], text: str, lexicon
     or ends with, whatever stands around (of several the first: ending here, two words before three, then
     beginning here); a phrase that is a booster adds its value to a lexicon word right behind it or one word on.
 
-    Every word is exploded together with the three words before it, so boosters and negations
-    are found by lookups within one stage, broadcast once the lexicon proves small. What is summed per text is fixed-width, and
-    partial sums leave each task as one row per text; no sort and no window is involved.
+    Every word is exploded beside its text's list of words, from which the neighbours of lexicon words are read, so
+    boosters and negations are found by lookups within one stage, broadcast once the lexicon proves small. What is
+    summed per text is fixed-width, and partial sums leave each task as one row per text; no sort and no window is involved.
     """
     keys = [key] if isinstance(key, str) else list(key)
     lexicon = broadcast_if_small(lexicon)
@@ -88,28 +89,22 @@ def lexicon_compound(df: DataFrame, key: str | Sequence[str], text: str, lexicon
         ((upper > 0) & (upper < F.size("_w"))).alias("_mixed"),
         F.array_min(F.filter(F.transform("_contrast", lambda c: F.array_position(lowered, c)),
                              lambda p: p > 0)).alias("_turn"))
-    blank = F.lit(None).cast("string")
-    shifted = [F.concat(F.array(*[blank] * d), "_w") for d in (1, 2, 3)]
-    ahead = [F.slice("_w", F.lit(d + 1), F.greatest(F.size("_w") - d, F.lit(0))) for d in (1, 2)]
-    rows = prepared.select(*keys, "_emph", "_mixed", "_turn", F.posexplode_outer(
-        F.arrays_zip(F.col("_w").alias("w"), *[s.alias(f"p{i + 1}") for i, s in enumerate(shifted)],
-                     *[s.alias(f"n{i + 1}") for i, s in enumerate(ahead)])))
-    # The shifted lists are longer than the text: rows past its end carry no word and are kept
-    # only where the text is empty.
-    rows = rows.select(*keys, "_emph", "_mixed", "_turn", (F.col("pos") + 1).alias("_pos"),
-                       F.col("col.w").alias("_word"), *[F.col(f"col.p{d}").alias(f"_p{d}") for d in (1, 2, 3)],
-                       *[F.col(f"col.n{d}").alias(f"_n{d}") for d in (1, 2)])
+    rows = prepared.select("*", F.posexplode_outer("_w").alias("_at", "_word")).withColumn("_pos", F.col("_at") + 1)
     phrases = lexicon.filter(F.col("token").contains(" "))
     idioms, phrase_boosters = (phrases.filter(F.col("role") == role).agg(
         F.map_from_entries(F.collect_list(F.struct("token", "valence"))).alias("x")).scalar() for role in ("idiom", "booster"))
     rows = rows.withColumns({"_idioms": idioms, "_phrases": phrase_boosters})
     hits = rows.withColumn("_token", F.lower("_word")).join(words, "_token", "left")
+    # Only words of the lexicon go on, and one row of each text whether it has any or not.
+    hits = hits.filter(F.col("_v").isNotNull() | (F.coalesce("_at", F.lit(0)) == 0))
+    # Neighbours are read from the text's words, and only around words of the lexicon.
+    hits = hits.withColumns({name: F.when(F.col("_v").isNotNull(), F.get("_w", F.col("_at") + d)) for name, d in (
+        ("_p1", -1), ("_p2", -2), ("_p3", -3), ("_n1", 1), ("_n2", 2))})
     around = lexicon.filter(F.col("role").isin("booster", "negator"))
     for d in (1, 2, 3):
         side = around.select(F.col("token").alias(f"_t{d}"), F.col("valence").alias(f"_m{d}"),
                              F.col("role").alias(f"_r{d}"))
-        hits = (hits.withColumn(f"_t{d}", F.when(F.col("_v").isNotNull(), F.lower(f"_p{d}")))
-                .join(side, f"_t{d}", "left"))
+        hits = hits.withColumn(f"_t{d}", F.lower(f"_p{d}")).join(side, f"_t{d}", "left")
     value = F.col("_v")
     sign = F.when(F.col("_v") < 0, -1.0).otherwise(1.0)
     value = value + F.when(F.col("_mixed") & _is_upper(F.col("_word")), sign * CAPITALS_BOOST).otherwise(0.0)
@@ -172,7 +167,7 @@ def aspect_sentences(df: DataFrame, key: str | Sequence[str], text: str,
     def scoped(aspect: str) -> Column:
         words = F.coalesce(F.get(F.array(F.try_element_at("_f", F.lit(aspect))), F.lit(0)), F.array().cast("array<string>"))
         kept = F.filter("_s", lambda s: F.arrays_overlap(s["t"], words))
-        return F.when(F.size(kept) > 0, F.array_join(F.transform(kept, lambda s: s["s"]), ". "))
+        return F.nullif(F.array_join(F.transform(kept, lambda s: s["s"]), ". "), F.lit(""))  # no sentence is empty
 
     rows = F.array(*[F.struct(F.lit(a).alias("aspect"), scoped(a).alias("scoped")) for a in terms])
     return cut.select(*keys, F.explode(rows).alias("_r")).select(*keys, "_r.aspect", "_r.scoped")

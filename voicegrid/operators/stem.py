@@ -122,9 +122,9 @@ def keyword_forms(df: DataFrame, text: str, keywords: DataFrame) -> DataFrame:
                        "_k", "stem").select("aspect", "stem").distinct()
     begin = F.left(F.col("stem"), F.greatest(F.length("stem") - 1, F.lit(1)))
     begins = stems.agg(F.collect_set(begin).alias("x")).scalar()
-    words = F.filter(F.array_distinct(W.tokens(F.col(text))), lambda t: t.rlike(r"^\p{L}+$"))
     near = F.filter("_w", lambda w: F.exists("_b", lambda b: F.startswith(w, b)))
-    vocabulary = (df.select(words.alias("_w"), begins.alias("_b")).select(F.explode(near).alias("word")).distinct())
+    vocabulary = (df.select(F.array_distinct(W.tokens(F.col(text))).alias("_w"), begins.alias("_b"))
+                  .select(F.explode(near).alias("word")).distinct().filter(F.col("word").rlike(r"^\p{L}+$")))
     return stem_words(vocabulary, "word").join(F.broadcast(stems), "stem").select("word", "aspect", "stem")
 
 

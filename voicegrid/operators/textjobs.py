@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from voicegrid import dims
 from voicegrid.functions import scores as S, words as W
@@ -38,7 +41,7 @@ def term_counts(df: DataFrame, key: str, text: str, pattern: str = r"[\p{L}\p{N}
     if stop_words:
         words = F.filter(words, lambda t: ~t.isin(list(stop_words)))
     # A lambda's variable is computed once per row, however often its body reads it.
-    runs = F.transform(F.array(F.array_sort(words)), _run_lengths)[0]
+    runs = F.transform(F.array(F.sort_array(words)), _run_lengths)[0]
     rows = df.select(key, F.explode_outer(runs).alias("_r"))
     return rows.select(key, F.col("_r.term").alias("term"), F.coalesce("_r.tf", F.lit(0)).cast("bigint").alias("tf"))
 
@@ -159,56 +162,157 @@ def relevance_share_sentiment(df: DataFrame, overall: str, aspects: Sequence[str
 
 
 def language_profiles(labelled: DataFrame, text: str, lang: str, n: int = 3) -> DataFrame:
-    """All character n-grams of each language with their shares.
+    """All character n-grams of each language with their shares; rows without a language are left out.
 
-    N-grams are counted within each row and then per language with map-side aggregation, so what moves
-    is the set of distinct n-grams, which the alphabets bound, not the text.
+    Each task counts the n-grams of some million characters at a time; the counts are summed map-side again, so
+    what moves is the set of distinct n-grams, which the alphabets bound, not the text.
     """
-    grams = labelled.select(lang, F.explode(_ngram_counts(F.col(text), n)).alias("_g")).select(lang, "_g.*")
-    counts = grams.groupBy(lang, F.col("term").alias("gram")).agg(F.sum("tf").alias("c"))
-    total = counts.groupBy(lang).agg(F.sum("c").alias("total"))
-    return counts.join(F.broadcast(total), lang).select(F.col(lang).alias("lang"), "gram",
-                                                        (F.col("c") / F.col("total")).alias("share"))
+    rows = labelled.filter(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.coalesce(_padded(F.col(text)), F.lit("")).alias("_p"))
+    schema = T.StructType([rows.schema["lang"], T.StructField("gram", T.StringType()), T.StructField("tf", T.LongType())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _steps(batch.column(1)):
+                mine = batch.slice(part[0], len(part))
+                for x in mine.column(0).unique():
+                    chosen = mine.filter(pc.equal(mine.column(0), x))
+                    grams, counts = _grams_of(chosen.column(1).to_pylist(), n)
+                    yield pa.RecordBatch.from_arrays([pa.array([x.as_py()] * len(grams), mine.column(0).type), pa.array(grams, pa.string()), pa.array(counts, pa.int64())], schema.names)
+
+    counts = rows.mapInArrow(work, schema).groupBy("lang", "gram").agg(F.sum("tf").alias("c"))
+    total = counts.groupBy("lang").agg(F.sum("c").alias("total"))
+    return counts.join(F.broadcast(total), "lang").select("lang", "gram", (F.col("c") / F.col("total")).alias("share"))
+
+
+def _steps(texts: pa.Array) -> list[np.ndarray]:
+    """The places of neighbouring texts with about ``STEP_CHARS`` bytes together."""
+    ends = np.cumsum(np.asarray(pc.binary_length(texts)))
+    return [p for p in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(ends // STEP_CHARS)) + 1) if len(p)]
+
+
+def _points(texts: Sequence[str]) -> np.ndarray:
+    return np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64)
+
+
+def _grams_of(texts: Sequence[str], n: int) -> tuple[list[str], np.ndarray]:
+    """The n-grams of padded texts and how often each occurs. Between two words stand two blanks, between two texts too."""
+    points = code = _points(texts)
+    for k in range(1, n):
+        if k > 2:  # three code points fill a number; longer beginnings are numbered
+            code = np.unique(code, return_inverse=True)[1]
+        code = code[:len(points) - k] << POINT_BITS | points[k:]
+    between = np.r_[0, np.cumsum((points[:-1] == ord(" ")) & (points[1:] == ord(" ")))]
+    at = np.flatnonzero(between[n - 1:] == between[:len(between) - n + 1]) if len(points) >= n else np.zeros(0, np.int64)
+    _, first, counts = np.unique(code[at], return_index=True, return_counts=True)
+    whole = points[at[first][:, None] + np.arange(n)].astype("<u4").tobytes().decode("utf-32-le")
+    return [whole[i:i + n] for i in range(0, len(whole), n)], counts
 
 
 def _ngram_counts(text: Column, n: int) -> Column:
     """``[(term, tf)]`` of the letter n-grams of a text."""
-    return F.transform(F.array(F.array_sort(_ngrams(text, n))), _run_lengths)[0]
+    return F.transform(F.array(F.sort_array(_ngrams(text, n))), _run_lengths)[0]
+
+
+def _padded(text: Column) -> Column:
+    """The words of a text in lower case, each with one blank on either side; NULL without words."""
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0))
+    return F.nullif(F.concat(F.lit(" "), F.array_join(words, "  "), F.lit(" ")), F.lit("  "))
 
 
 def _ngrams(text: Column, n: int) -> Column:
-    """Letter n-grams of each word padded with one blank on either side.
+    """Letter n-grams of each padded word; a look-ahead group reads the overlapping ones in one pass."""
+    grams = F.regexp_extract_all(_padded(text), F.lit(f"(?=(.{{{n}}}))"), F.lit(1))
+    return F.filter(grams, lambda g: ~g.contains("  "))
+
+
+PROFILE_CELLS = 8_000_000  # shares, n-grams times languages, that every Python worker may hold
+POINT_BITS = 21  # of a Unicode code point
+STEP_CHARS = 1 << 20  # bytes of text scored at once; a longer single text is one step of its own
 
-    A look-ahead group reads the overlapping n-grams in one pass over the text.
+
+class _GramTable:
+    """The n-grams of all profiles as sorted numbers, one table for each length of their beginnings.
+
+    A beginning's number is the number of the beginning one character shorter and the last code point, packed,
+    so n-grams of any length are told apart exactly.
     """
-    padded = F.concat(F.lit(" "), F.array_join(
-        F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0)), "  "), F.lit(" "))
-    grams = F.regexp_extract_all(padded, F.lit(f"(?=(.{{{n}}}))"), F.lit(1))
-    return F.filter(grams, lambda g: ~g.contains("  "))
+
+    def __init__(self, grams: Sequence[str], shares: np.ndarray, n: int):
+        points = _points(grams).reshape(len(grams), n)
+        self.tables, code = [], np.zeros(len(grams), np.int64)
+        for k in range(n):
+            known, code = np.unique(code << POINT_BITS | points[:, k], return_inverse=True)
+            self.tables.append(known)
+        self.shares = np.zeros((len(grams) + 1, shares.shape[1]))  # the last row is for unknown n-grams
+        self.shares[code] = shares
+
+    def sums(self, texts: Sequence[str]) -> np.ndarray:
+        """For each padded text and language, the sum of the shares of its n-grams."""
+        sizes = np.array([len(t) for t in texts], np.int64)
+        points = _points(texts)
+        code = np.zeros(len(points), np.int64)
+        for k, known in enumerate(self.tables):
+            wanted = code[:len(points) - k] << POINT_BITS | points[k:]
+            at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+            code = np.where((code[:len(wanted)] >= 0) & (known[at] == wanted), at, -1)
+        of = np.repeat(np.arange(len(texts)), sizes)
+        last = of[len(self.tables) - 1:]
+        code = np.where(of[:len(code)] == last, code, -1)  # no n-gram reaches into the next text
+        return np.stack([np.bincount(last, column[code], len(texts)) for column in self.shares.T], 1)
 
 
 def language_tag(df: DataFrame, key: str, text: str, profiles: DataFrame, n: int = 3) -> DataFrame:
     """``(key, detected_lang, is_english)``; the profile with the largest summed share wins.
 
-    ``profiles`` has a row for each language and n-gram (see ``language_profiles``). It is stored as one row per
-    n-gram with the shares of all languages, which the planner broadcasts when its measured size allows; the
-    languages themselves are a short list. A text sends each of its n-grams once, with the number of times it
-    has it, and its sums are formed map-side. Text without any known n-gram is ``unknown``.
+    ``profiles`` has a row for each language and n-gram (see ``language_profiles``); it is stored as one row per
+    n-gram with the shares of all languages. Up to ``PROFILE_CELLS`` counted shares it is sent to every task, and
+    each text is scored where it is read, so no text is shuffled. A larger one is joined: a text then sends each
+    of its n-grams once, with the number of times it has it. ``key`` is unique. Text without any known n-gram is
+    ``unknown``.
     """
-    known = store(profiles, "profiles")
-    langs = sorted(r[0] for r in known.select("lang").distinct().collect() if r[0] is not None)
+    known = store(profiles.filter((F.length("gram") == n) & F.col("lang").isNotNull()), "profiles")
+    langs = sorted(r[0] for r in known.select("lang").distinct().collect())
+    if not langs:
+        return df.select(key, F.lit("unknown").alias("detected_lang"), F.lit(False).alias("is_english"))
     shares = [F.sum(F.when(F.col("lang") == x, F.col("share"))) for x in langs]
-    wide = known.groupBy("gram").agg(F.array(*[F.coalesce(x, F.lit(0.0)) for x in shares] or [F.lit(0.0)]).alias("shares"))
-    grams = df.select(key, F.explode_outer(_ngram_counts(F.col(text), n)).alias("_g")).select(key, F.col("_g.term").alias("gram"), F.col("_g.tf").alias("tf"))
-    hits = grams.join(store(wide, "profile-rows"), "gram", "left")
-    sums = hits.groupBy(key).agg(*[F.bround(F.sum(F.col("tf") * F.col("shares")[i]), 9).alias(f"_{i}") for i in range(len(langs))])
-    scores = [F.struct(F.coalesce(F.col(f"_{i}"), F.lit(0.0)).alias("s"), F.lit(x).alias("lang")) for i, x in enumerate(langs)]
-    best = F.greatest(*scores) if len(scores) > 1 else (scores or [F.struct(F.lit(0.0).alias("s"), F.lit("").alias("lang"))])[0]
+    wide = store(known.groupBy("gram").agg(F.array(*[F.coalesce(x, F.lit(0.0)) for x in shares]).alias("shares")), "profile-rows")
+    limit = PROFILE_CELLS // len(langs)
+    scored = _scored_in_task if wide.limit(limit + 1).count() <= limit else _scored_by_join
+    sums = scored(df, key, text, wide, len(langs), n)
+    best = F.array_max(F.array(*[F.struct(F.bround(F.col("sums")[i], 9).alias("s"), F.lit(x).alias("lang")) for i, x in enumerate(langs)]))
     lang = F.when(best["s"] > 0, best["lang"])
     return sums.select(key, F.coalesce(lang, F.lit("unknown")).alias("detected_lang"),
                        F.coalesce(lang == "en", F.lit(False)).alias("is_english"))
 
 
+def _scored_in_task(df: DataFrame, key: str, text: str, wide: DataFrame, langs: int, n: int) -> DataFrame:
+    """``(key, sums)`` with the profiles in every task; texts are taken a megabyte at a time."""
+    found = wide.toArrow()
+    grams = found.column("gram").to_pylist()
+    values = np.array(found.column("shares").to_pylist(), float).reshape(len(grams), langs)
+    shared = df.sparkSession.sparkContext.broadcast((grams, values))
+    rows = df.select(key, F.coalesce(_padded(F.col(text)), F.lit("")).alias("_p"))
+    schema = T.StructType([rows.schema[key], T.StructField("sums", T.ArrayType(T.DoubleType()))])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _GramTable(*shared.value, n)
+        for batch in batches:
+            texts, sums = batch.column(1).to_pylist(), []
+            for part in _steps(batch.column(1)):
+                sums.append(table.sums([texts[i] for i in part]))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * langs), pa.array(np.concatenate([np.zeros((0, langs)), *sums]).reshape(-1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], schema.names)
+
+    return rows.mapInArrow(work, schema)
+
+
+def _scored_by_join(df: DataFrame, key: str, text: str, wide: DataFrame, langs: int, n: int) -> DataFrame:
+    """``(key, sums)`` by a join on the n-gram; sums are formed map-side."""
+    grams = df.select(key, F.explode_outer(_ngram_counts(F.col(text), n)).alias("_g")).select(key, F.col("_g.term").alias("gram"), F.col("_g.tf").alias("tf"))
+    hits = grams.join(wide, "gram", "left")
+    return hits.groupBy(key).agg(F.array(*[F.coalesce(F.sum(F.col("tf") * F.col("shares")[i]), F.lit(0.0)) for i in range(langs)]).alias("sums"))
+
+
 Scorer = Callable[[pd.Series], Iterable[tuple[str, float]]]
 
 
