@@ -9,7 +9,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from voicegrid import dims
-from voicegrid.session import materialize
+from voicegrid.session import materialize, store
 
 
 # -- global order without a single-task window ---------------------------------------------
@@ -132,8 +132,8 @@ def group_quantiles(df: DataFrame, groups: Sequence[str], columns: Sequence[str]
     value ranges, so no group's values stand in one list or buffer, however many different ones it has.
     NULLs are left out; a group without values of a column has no row for it. Group keys must not be NULL.
     """
-    df = materialize(df.select(*groups, *[F.col(c).cast("double").alias(c) for c in columns]).dropna(subset=list(groups)) if groups
-                     else df.select(*[F.col(c).cast("double").alias(c) for c in columns]))
+    df = df.select(*groups, *[F.col(c).cast("double").alias(c) for c in columns])
+    df = store(df.dropna(subset=list(groups)) if groups else df, "values")  # written by one job; a checkpoint would run the plan twice
     keys = [*groups, "series"]
     values = distinct_positions(long_values(df, columns, cut_points(df, columns), *groups), *groups)
     totals = values.groupBy(*keys).agg(F.sum("n").alias("_total"))

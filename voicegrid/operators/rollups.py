@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from voicegrid import dims
 from voicegrid.functions import scores as S
 from voicegrid.operators import rank as R
+from voicegrid.session import store
 
 MONTHLY = ("month", "company", "product")
 
@@ -316,7 +317,10 @@ def flag_summary(df: DataFrame, flags: Sequence[str]) -> DataFrame:
 
 
 def describe(df: DataFrame, column: str, places: int = 3) -> DataFrame:
-    """Count, mean, deviation, minimum, exact quartiles and maximum of one score, rounded at the end."""
+    """Count, mean, deviation, minimum, exact quartiles and maximum of one score, rounded at the end.
+
+    The score is stored alone, so whatever computes it runs once."""
+    df = store(df.select(column), "described")
     cuts = R.group_quantiles(df, [], [column], [0.25, 0.5, 0.75]).agg(F.max("q").alias("x")).scalar()
     row = df.agg(F.count(column).alias("count"), F.avg(column).alias("mean"),
                  F.stddev_samp(column).alias("std"), F.min(column).alias("min"), F.max(column).alias("max"))
