@@ -107,6 +107,24 @@ def test_annotate_stream_resumes(spark, tmp_path):
     assert sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [(1, "a", 1), (2, "bb", 2)]
 
 
+@pytest.mark.parametrize("files", [0, 1, 3])
+def test_streams_read_a_table_of_one_file_or_a_folder(spark, tmp_path, files):
+    from voicegrid.plans.streams import streaming_annotate_append, streaming_weekly_mentions
+    docs = spark.createDataFrame([(i, "a bill" if i % 2 else None, "en") for i in range(6)], "doc_id bigint, text string, lang string")
+    days = spark.createDataFrame([event(i, i % 29) for i in range(60)], EVENTS)
+    for df, name in ((docs, "documents"), (days, "events"), (docs, "documents.parquet.old")):
+        df.repartition(max(1, files)).write.parquet(f"{tmp_path}/{name}.parquet")
+        if not files:  # one file instead of a folder
+            part, = (tmp_path / f"{name}.parquet").glob("part-*")
+            (tmp_path / name).mkdir()
+            part.rename(tmp_path / name / f"{name}.parquet")
+    def folder(name):
+        return str(tmp_path if files else tmp_path / name)
+    got = streaming_annotate_append(spark, folder("documents")).select("review_id", "chars").collect()
+    assert sorted(tuple(r) for r in got) == [(i, 6 if i % 2 else None) for i in range(6)]
+    assert streaming_weekly_mentions(spark, folder("events")).agg(F.sum("mentions")).first()[0] == 60
+
+
 def test_csv_with_quotes_lines_and_bom(spark, tmp_path):
     path = tmp_path / "r.csv"
     path.write_text('﻿Date,Rating,Title,Review,Company\n01/02/2024,5,"T, ""x""","line one\nline ""two"", end",Acme\n'

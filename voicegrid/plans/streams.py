@@ -16,7 +16,7 @@ WITH e AS (SELECT event_type, CAST(ts AS DATE) AS date FROM events)
 SELECT {WEEK} AS week, event_type, count(*) AS mentions FROM e GROUP BY ALL""")
 def streaming_weekly_mentions(spark, sf):
     out = work_dir(spark, "weekly-stream")
-    events = J.file_stream(spark, sf, read_table(spark, sf, "events").schema, "events.parquet")
+    events = J.table_stream(spark, sf, "events", read_table(spark, sf, "events").schema)
     J.start_weekly_mentions(events, f"{out}/counts", f"{out}/checkpoint").awaitTermination()
     return J.latest_counts(spark, f"{out}/counts", ["week", "event_type"])
 
@@ -25,7 +25,7 @@ def streaming_weekly_mentions(spark, sf):
 SELECT review_id, kw_billing, kw_service, kw_green, length(review) AS chars FROM ann"""))
 def streaming_annotate_append(spark, sf):
     out = work_dir(spark, "annotate-stream")
-    docs = J.file_stream(spark, sf, read_table(spark, sf, "documents").schema, "documents.parquet")
+    docs = J.table_stream(spark, sf, "documents", read_table(spark, sf, "documents").schema)
 
     def annotate(df):
         df = df.select(F.col("doc_id").alias("review_id"), F.col("text").alias("review"))

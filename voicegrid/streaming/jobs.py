@@ -16,6 +16,14 @@ def file_stream(spark: SparkSession, folder: str, schema: T.StructType, files: s
     return reader.parquet(folder)
 
 
+def table_stream(spark: SparkSession, folder: str, name: str, schema: T.StructType) -> DataFrame:
+    """The table ``name`` of ``folder`` as a stream, whether it is one Parquet file or a folder of them.
+
+    The path is a pattern that only the table matches: a stream of a plain path takes it for a folder.
+    """
+    return spark.readStream.schema(schema).parquet(f"{folder}/{name}.parque[t]")
+
+
 def weekly_mention_stream(events: DataFrame, time: str, key: str, late: str = "1 day") -> DataFrame:
     """Counts per key and Tuesday-to-Monday week; rows later than the watermark are dropped.
 
