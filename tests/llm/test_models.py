@@ -59,3 +59,29 @@ def test_no_label_reaches_a_held_out_row(spark):
     turned = labels.withColumn("quality", F.when(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, 1 - F.col("quality")).otherwise(F.col("quality")))
     a, b = (quality.fit_ranking(docs, x) for x in (labels, turned))
     assert a.weights == pytest.approx(b.weights)
+
+
+def test_quality_learns_from_every_label(spark):
+    """More labels than any former sample: each kind's rows are all counted, in the scale and in the cut."""
+    docs = spark.range(30_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.concat(F.lit("#### "), F.col("id").cast("string"))).otherwise(
+        F.concat(F.lit("a plain sentence of words, number "), F.col("id").cast("string"))).alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 3 > 0).cast("int").alias("quality"))
+    rows = quality.text_features(docs).filter(~labelled.held_out(F.col("doc_id")))
+    means = rows.agg(F.avg(F.col("features")[0])).first()[0]
+    ranking = quality.fit_ranking(docs, labels)
+    assert rows.count() > 20_000 and ranking.scale[0] == pytest.approx(means, rel=1e-9)
+    u = rows.agg(F.stddev_pop(quality.utility(F.col("features"), ranking.scale, ranking.weights))).first()[0]
+    assert ranking.spread == pytest.approx(u, rel=1e-9)
+
+
+def test_best_cut_is_that_of_all_rows(spark):
+    import numpy as np
+    rng = np.random.default_rng(3)
+    y = (rng.random(3000) < 0.8).astype(float)
+    u = np.round(rng.normal(size=3000) + y, 1)
+    u[:700] = 0.25  # a value that many quantiles share
+    levels = np.quantile(u, np.linspace(0.005, 0.995, 199))
+    rates = [((u >= t)[y == 1].mean() + (u < t)[y == 0].mean()) / 2 for t in levels]
+    want = levels[np.isclose(rates, max(rates))].mean()
+    rows = spark.createDataFrame(list(zip(y.tolist(), u.tolist(), strict=True)), "y double, u double").repartition(5)
+    assert quality.best_cut(rows, {1.0: int(y.sum()), 0.0: int((1 - y).sum())}) == pytest.approx(want, abs=1e-12)

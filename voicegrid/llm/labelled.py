@@ -1,4 +1,4 @@
-"""Labelled rows for fitting: a bounded sample of labels, joined with the features of their texts."""
+"""Labelled rows for fitting: all known labels or a bounded sample of them, and the features of texts."""
 
 from __future__ import annotations
 
@@ -34,16 +34,21 @@ def with_features(docs: DataFrame, text_col: str, learned: Terms | None = None)
     return with_columns_from_text(docs, text_col, [T.StructField(name, FEATURES, False)], make), name
 
 
+def known_labels(labels: DataFrame, label: str) -> DataFrame:
+    """``doc_id, y`` of all labels that models may learn from. Null labels don't count; of a document with several
+    labels the largest does."""
+    return (labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+            .groupBy("doc_id").agg(F.max(label).cast("double").alias("y")))
+
+
 def training_texts(docs: DataFrame, labels: DataFrame, label: str, sample: int = SAMPLE,
                    id_col: str = "doc_id", text_col: str = "text", of_each: bool = False) -> DataFrame:
     """``doc_id, y, weight, text`` of at most ``sample`` labels' documents that aren't held out, stored.
 
     The sample is the labels with the smallest hashes; with ``of_each`` half of it may have each of the labels
-    0 and 1, however rare, and ``weight`` tells how many labels of its kind a row stands for. Null labels don't
-    count; of a document with several labels the largest does.
+    0 and 1, however rare, and ``weight`` tells how many labels of its kind a row stands for.
     """
-    known = (labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-             .groupBy("doc_id").agg(F.max(label).cast("double").alias("y")))
+    known = known_labels(labels, label)
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     if of_each:
         half = sample // 2
