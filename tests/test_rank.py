@@ -191,3 +191,19 @@ def test_evidence_text(weighted):
     assert got["A"] == "Review 1 (A): text 7\nReview 2 (A): text 11"
     context = R.side_by_side_context(ranked, "A", "B").first().context
     assert context == "A Reviews (2):\ntext 7 text 11\n\nB Reviews (2):\ntext 3 text 15"
+
+
+def test_reordering_sorts_once_and_moves_no_keys_with_the_values(spark):
+    rows = [(i % 7, i, float(i % 3), None if i % 5 == 0 else float(i % 11)) for i in range(300)]
+    df = spark.createDataFrame(rows, "k int, l int, a double, b double")
+    scores = df.select("k", "l", (F.col("l") * 37 % 101).alias("a"), F.when(F.col("b").isNotNull(), F.col("l") * 53 % 97).alias("b"))
+    out = Q.rank_reorder(df, ["k", "l"], ["a", "b"], scores)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "ExistingRDD" not in plan  # a checkpoint: its rows were sorted twice
+    assert "_value" in plan and not any("_value" in line and "Scan" in line and "k#" in line for line in plan.splitlines())
+    got = {(r.k, r.l): (r.a, r.b) for r in out.collect()}
+    table = {(r[0], r[1]): r for r in rows}
+    for at, name in ((2, "a"), (3, "b")):
+        score = {(r.k, r.l): r[name] for r in scores.collect() if r[name] is not None}
+        order = sorted(score, key=lambda key: (score[key], *key))
+        assert [got[key][at - 2] for key in order] == sorted(table[key][at] for key in table if table[key][at] is not None)

@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from voicegrid.operators import rank as R
-from voicegrid.session import materialize
+from voicegrid.session import store
 
 
 def _pairs(columns: Sequence[str]) -> list[tuple[str, str]]:
@@ -84,14 +84,16 @@ def rank_reorder(df: DataFrame, key: str | Sequence[str], columns: Sequence[str]
     """``(key, <columns>)`` with each column's own values placed in the order of its scores.
 
     The row ranked k by score receives the k-th smallest value. All columns are ranked together, once by
-    value and once by score, and meet in one join: both ranks are gapless, so it is one to one.
+    value and once by score, and meet in one join: both ranks are gapless, so it is one to one. Equal
+    values may change places, so the values are ranked without the keys, of which a hash spreads them.
     """
     keys = _keys(key)
-    by_score = R.series_ranks(scores, keys, columns)
-    by_value = R.series_ranks(df, keys, columns, "_placed").drop(*keys)
+    by_score = R.numbered_ranks(scores, keys, columns, [*keys, "series"])
+    spread = df.select(F.xxhash64(*keys).alias("_tie"), *columns)
+    by_value = R.numbered_ranks(spread, ["_tie"], columns, ["series", "_value"])
     placed = by_score.join(by_value, ["series", "rank"])
     return placed.groupBy(*keys).agg(*[
-        F.max(F.when(F.col("series") == c, F.col("_placed"))).alias(c) for c in columns])
+        F.max(F.when(F.col("series") == i, F.col("_value"))).alias(c) for i, c in enumerate(columns)])
 
 
 def correlation_band(matrix: DataFrame) -> DataFrame:
@@ -121,7 +123,7 @@ def co_exceedance(before: DataFrame, after: DataFrame, columns: Sequence[str], q
 
     The *after* table is usually the end of a long plan and is read three times, so it is stored.
     """
-    after = materialize(after)
+    after = store(after, "after")
     cuts = exact_quantiles(after, columns, q).select(F.struct(*columns).alias("x")).scalar()
     def shares(df: DataFrame, name: str) -> DataFrame:
         row = df.withColumn("_q", cuts).agg(*[

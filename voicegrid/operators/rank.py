@@ -9,7 +9,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from voicegrid import dims
-from voicegrid.session import materialize, store
+from voicegrid.session import store
 
 
 # -- global order without a single-task window ---------------------------------------------
@@ -53,44 +53,47 @@ def _offsets(counted: DataFrame, regions: Sequence[str], n: str, out: str) -> Da
     return counted.withColumn(out, F.coalesce(F.sum(n).over(w), F.lit(0))).drop(n)
 
 
-def positions(df: DataFrame, order: Sequence[str], out: str = "position") -> DataFrame:
+def positions(df: DataFrame, order: Sequence[str], out: str = "position", keep: Sequence[str] | None = None) -> DataFrame:
     """Exact 0-based position of every row in the order of some columns, of whatever types.
 
     Rows are range partitioned in that order, so cut points come from a sample in the columns' own
-    order, and numbered within their range. The result is stored once, because the numbers of rows
-    before each range are added afterwards: those are one row per range. ``order`` should tell rows
-    apart (end it with the key): equal rows cannot be spread over ranges.
+    order, and numbered within their range. The result (all columns, or those of ``keep``) is stored
+    once, because the numbers of rows before each range are added afterwards: those are one row per
+    range. ``order`` should tell rows apart (end it with the key): equal rows cannot be spread over ranges.
     """
     ranged = (df.repartitionByRange(_regions(df), *order).sortWithinPartitions(*order)
               .withColumn("_at", F.monotonically_increasing_id()))
-    kept = materialize(ranged)  # the range is in the upper bits of the number, the place in it below
+    kept = store(ranged.select(*(keep or df.columns), "_at"), "positions")  # sorted by one job; a checkpoint would sort twice
+    # The range is in the upper bits of the number, the place in it below.
     placed = kept.withColumn("_range", F.shiftright("_at", 33))
     counts = placed.groupBy("_range").agg(F.count("*").alias("_n"))
     placed = placed.join(F.broadcast(_offsets(counts, ["_range"], "_n", "_before")), "_range")
     return placed.withColumn(out, F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_range", "_before", "_at")
 
 
-def series_ranks(df: DataFrame, keys: Sequence[str], columns: Sequence[str], value: str | None = None) -> DataFrame:
+def numbered_ranks(df: DataFrame, keys: Sequence[str], columns: Sequence[str], keep: Sequence[str]) -> DataFrame:
+    """``(keep, rank)``: as ``series_ranks``, with ``series`` the number of the column and ``_value`` the value;
+    the columns are of one type, and ``keep`` names those of ``keys``, ``series`` and ``_value`` that are wanted."""
+    cells = F.array(*[F.struct(F.lit(i).alias("series"), F.col(c).alias("_value")) for i, c in enumerate(columns)])
+    long = df.select(*keys, F.explode(cells).alias("_c")).select(*keys, "_c.*").filter(F.col("_value").isNotNull())
+    placed = positions(long, ["series", "_value", *keys], "_position", keep)
+    sizes = _offsets(long.groupBy("series").agg(F.count("*").alias("_n")), ["series"], "_n", "_first")
+    return placed.join(F.broadcast(sizes), "series").select(*keep, (F.col("_position") - F.col("_first") + 1).alias("rank"))
+
+
+def series_ranks(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """``(keys, series, rank)``: 1..n rank of every row in each column by value and keys, NULLs left out.
 
     All columns of one type are one long table in one global order, whatever their number; a column's
-    ranks begin after the rows of the columns before it. ``value`` names a further output column with
-    the value itself, for columns of one type.
+    ranks begin after the rows of the columns before it.
     """
     kinds: dict[str, list[str]] = {}
     for c in columns:
         kinds.setdefault(df.schema[c].dataType.simpleString(), []).append(c)
-    if value and len(kinds) > 1:
-        raise ValueError("values of several types cannot share a column")
     out = None
     for some in kinds.values():
-        cells = F.array(*[F.struct(F.lit(c).alias("series"), F.col(c).alias("_value")) for c in some])
-        long = df.select(*keys, F.explode(cells).alias("_c")).select(*keys, "_c.*").filter(F.col("_value").isNotNull())
-        placed = positions(long, ["series", "_value", *keys], "_position")
-        sizes = _offsets(long.groupBy("series").agg(F.count("*").alias("_n")), ["series"], "_n", "_first")
-        ranked = placed.join(F.broadcast(sizes), "series").select(
-            *keys, "series", (F.col("_position") - F.col("_first") + 1).alias("rank"),
-            *([F.col("_value").alias(value)] if value else []))
+        ranked = numbered_ranks(df, keys, some, [*keys, "series"])
+        ranked = ranked.withColumn("series", F.array(*map(F.lit, some))[F.col("series")])
         out = ranked if out is None else out.unionByName(ranked)
     return out
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from voicegrid.operators import correlate as Q
 from voicegrid.plans.registry import query
-from voicegrid.session import materialize
+from voicegrid.session import store
 from voicegrid.sources.reviews import read_table
 
 COLUMNS = ["l_quantity", "l_extendedprice", "l_discount"]
@@ -22,7 +22,7 @@ def items(spark, sf):
 
 def stored_items(spark, sf):
     """The same table stored once, for operators that rank every column and read it many times."""
-    return materialize(items(spark, sf))
+    return store(items(spark, sf), "items")
 
 
 ITEMS_CTE = f"items AS (SELECT {', '.join(KEYS[:-1])}, CAST(l_quantity AS BIGINT) AS pieces, {', '.join(COLUMNS)} FROM lineitem)"
