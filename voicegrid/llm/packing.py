@@ -161,12 +161,11 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 2,
         starts, totals = (table.column(c).to_numpy() for c in ("start", "doc_tokens"))
         blobs = table.column("ids").to_pylist()
         sizes = [int(min(capacity, n - s)) for s, n in zip(starts, totals, strict=True)]
-        wide = [_wide(b, n) for b, n in zip(blobs, sizes, strict=True)]
         pieces = []
         for number, sequence in enumerate(pack_group(sizes, capacity)):
             offset = 0
             for i, start, length in sequence:
-                ids = wide[i][start:start + length]
+                ids = _wide(blobs[i], sizes[i])[start:start + length]
                 pieces.append((i, int(starts[i]) + start, length, zlib.crc32(ids), int(totals[i]), (group << 32) + number, offset,
                                *([ids.tobytes()] if with_ids else [])))
                 offset += length

@@ -22,7 +22,7 @@ _LETTER = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u012f\u0131\u0134-\u017f"
 _NUMBER = "0-9\xb2\xb3\xb9\xbc-\xbe"
 WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^\\s{_LETTER}{_NUMBER}]+")
 SIGNS = b".,;:!?\"()"
-KEPT_CHUNKS = 500_000
+KEPT_CHUNKS = 80_000
 LONGEST_KEPT = 64  # bytes; longer chunks are encoded each time
 
 
