@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from voicegrid.llm.common import steps, stored
-from voicegrid.llm.tokens import WordTokenizer
+from voicegrid.llm.tokens import STEP_BYTES, WordTokenizer
 
 GROUP_PIECES = 4096
 FULL = 1 << 62  # sequence ids from here on are those of full pieces
@@ -121,14 +121,14 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 2,
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, seen = WordTokenizer(tokenizer), Counter()
-        tokens, end = words.encode, np.array([end_id], words.type).tobytes()
+        end = np.array([end_id], words.type).tobytes()
         number = FULL + (TaskContext.get().partitionId() << 36)
         for batch in batches:
-            for part in steps(batch, "text"):
+            for part in steps(batch, "text", STEP_BYTES):
                 out: tuple[list, ...] = ([], [], [], [], [], [])
                 at = []
-                for row, text in enumerate(part.column("text").cast(pa.binary()).to_pylist()):
-                    ids = tokens(text) + end
+                for row, ids in enumerate(words.encode_all(part.column("text")).to_pylist()):
+                    ids += end
                     width = words.type.itemsize
                     n, crc = len(ids) // width, zlib.crc32(ids)
                     seen[crc] += 1
@@ -147,6 +147,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 2,
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(out[0], pa.bool_()), pa.array(out[1], pa.int64()), part.column("doc_id").take(pa.array(at, pa.int32())),
                      *(pa.array(x, pa.int64()) for x in out[2:5]), pa.array(out[5], pa.binary())], dealt.names)
+        words.close()
 
     numbers = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
     packed = T.StructType([rows.schema["doc_id"], *(field(c, T.LongType()) for c in numbers), *([field("ids", T.BinaryType())] if with_ids else [])])
