@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from voicegrid.llm.common import BROADCAST_ROWS, steps
-from voicegrid.llm.tokens import WordTokenizer
+from voicegrid.llm.tokens import STEP_BYTES, WordTokenizer
 
 STRIPE_BYTES = 16 << 20
 ROWS_PER_INDEX = 1000
@@ -62,12 +62,13 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordTokenizer(tokenizer)
-        tokens, end = words.encode, np.array([end_id], words.type).tobytes()
+        end = np.array([end_id], words.type).tobytes()
         for batch in batches:
-            for part in steps(batch, "text"):
+            for part in steps(batch, "text", STEP_BYTES):
                 at = [place(i, d) for i, d in zip(part.column("doc_id").to_pylist(), part.column("digest").to_pylist(), strict=True)]
-                ids = [tokens(t) + end for t in part.column("text").cast(pa.binary()).to_pylist()]
+                ids = [x + end for x in words.encode_all(part.column("text")).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("digest"), pa.array(at, pa.int32()), pa.array(ids, pa.binary())], moved.names)
+        words.close()
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind, before = WordTokenizer(tokenizer).type, 0

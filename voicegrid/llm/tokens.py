@@ -32,8 +32,8 @@ SIGNS = string.punctuation.encode()
 ODD = r"<\||\p{M}"
 # Signs between a letter and white space are a word of their own.
 SIGNS_BEHIND = rf"([{_LETTER}])([!-/:-@\[-`{{-~]+\s)"
-STEP_BYTES = 4 << 20  # of text that callers should pass at once
-TABLE_BYTES = 16 << 20
+STEP_BYTES = 2 << 20  # of text that callers should pass at once
+TABLE_BYTES = 8 << 20
 KEPT_CHUNKS = 80_000
 LONGEST_KEPT = 64  # bytes; longer words are encoded each time
 
