@@ -1,6 +1,8 @@
 """Ranks, samples and rank correlation, with ties, hot values and different partitionings."""
 
+import os
 import random
+import time
 from datetime import date
 from decimal import Decimal
 
@@ -10,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voicegrid.operators import correlate as Q, rank as R
+from voicegrid.session import FREE_SHUFFLES, store
 
 
 def skewed(spark, n=3000, seed=7):
@@ -208,3 +211,38 @@ def test_reordering_sorts_once_and_moves_no_keys_with_the_values(spark):
         score = {(r.k, r.l): r[name] for r in scores.collect() if r[name] is not None}
         order = sorted(score, key=lambda key: (score[key], *key))
         assert [got[key][at - 2] for key in order] == sorted(table[key][at] for key in table if table[key][at] is not None)
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    def files():
+        dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+        return {f for top in dirs for _, _, names in os.walk(top) for f in names if f.startswith("shuffle_")}
+    before, setting = files(), spark.conf.get(FREE_SHUFFLES, None)
+    kept = store(spark.range(10000).repartition(5, "id").groupBy((F.col("id") % 1000).alias("g")).agg(F.sum("id").alias("s")), "test")
+    until = time.time() + 20  # they are removed in the background
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before
+    assert kept.count() == 1000 and spark.conf.get(FREE_SHUFFLES, None) == setting
+
+
+def test_reordering_moves_no_keys_that_are_not_asked_for(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice([None, *range(12)]), rng.choice(["x", "y", None]), rng.choice([None, float("nan"), *map(float, range(40))]),
+             float(rng.randrange(500)), rng.choice([None, *range(9)]), rng.randrange(100)) for _ in range(300)]
+    df = spark.createDataFrame(rows, "key1 int, key2 string, a double, b double, sa int, sb int").repartition(4)
+    scores = df.select("key1", "key2", F.col("sa").alias("a"), F.when(F.col("key1") > 2, F.col("sb")).alias("b"))
+    out = Q.rank_reorder(df, ["key1", "key2"], ["a", "b"], scores)
+    plan = out.select("a", "b")._jdf.queryExecution().executedPlan().toString()
+    assert "a#" in plan and "key1" not in plan and "key2" not in plan
+
+    nulls_first = lambda values: tuple((v is not None, v) if v is not None else (False, 0 if i != 1 else "") for i, v in enumerate(values))
+    nan_last = lambda v: (v != v, 0 if v != v else v)
+    want = {}
+    for at, score in ((2, lambda r: r[4]), (3, lambda r: r[5] if (r[0] or 0) > 2 else None)):
+        ranked = sorted((r for r in rows if score(r) is not None), key=lambda r: (score(r), nulls_first(r[:2])))
+        for r, v in zip(ranked, sorted((r[at] for r in rows if r[at] is not None), key=nan_last)):
+            cell = want.setdefault(r[:2], [None, None])
+            cell[at - 2] = v if cell[at - 2] is None else max(cell[at - 2], v, key=nan_last)
+    got = {(r.key1, r.key2): [r.a, r.b] for r in out.collect()}
+    assert out.count() == len(got) and {k: str(v) for k, v in got.items()} == {k: str(v) for k, v in want.items()}

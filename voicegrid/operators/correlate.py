@@ -84,16 +84,26 @@ def rank_reorder(df: DataFrame, key: str | Sequence[str], columns: Sequence[str]
     """``(key, <columns>)`` with each column's own values placed in the order of its scores.
 
     The row ranked k by score receives the k-th smallest value. All columns are ranked together, once by
-    value and once by score, and meet in one join: both ranks are gapless, so it is one to one. Equal
-    values may change places, so the values are ranked without the keys, of which a hash spreads them.
+    value and once by score; both ranks are gapless, so the join is one to one. Equal values may change
+    places, so the values are ranked without the keys, of which a hash spreads them. A number stands for the
+    keys of the scores until the end, and the columns are joined one after another, so that little is on
+    disk at a time.
     """
     keys = _keys(key)
-    by_score = R.numbered_ranks(scores, keys, columns, [*keys, "series"])
+    rows = R.key_numbers(scores.select(*keys, *columns), keys)
+    numbered = rows.select(F.col("_at").alias("_row"), *columns)
+    by_score = R.numbered_ranks(numbered, ["_row"], columns, ["_row", "series"])
     spread = df.select(F.xxhash64(*keys).alias("_tie"), *columns)
     by_value = R.numbered_ranks(spread, ["_tie"], columns, ["series", "_value"])
-    placed = by_score.join(by_value, ["series", "rank"])
-    return placed.groupBy(*keys).agg(*[
-        F.max(F.when(F.col("series") == i, F.col("_value"))).alias(c) for i, c in enumerate(columns)])
+    cells = None
+    for i, c in enumerate(columns):
+        score, value = (x.filter(F.col("series") == i).drop("series") for x in (by_score, by_value))
+        placed = store(score.join(value, "rank").select("_row", F.col("_value").alias(c)), "placed")
+        cells = placed if cells is None else cells.unionByName(placed, allowMissingColumns=True)
+    cells = cells.groupBy("_row").agg(*[F.max(c).alias(c) for c in columns])
+    # A left join to one row a number: the planner leaves it out where the keys are not asked for.
+    named = rows.groupBy(F.col("_at").alias("_row")).agg(*[F.max(k).alias(k) for k in keys])
+    return cells.join(named, "_row", "left").select(*keys, *columns)
 
 
 def correlation_band(matrix: DataFrame) -> DataFrame:
@@ -111,9 +121,9 @@ def matrix_gap(achieved: DataFrame, target: DataFrame) -> DataFrame:
         F.max(F.abs(F.col("corr") - F.col("_t"))).alias("max_abs_gap"))
 
 
-def exact_quantiles(df: DataFrame, columns: Sequence[str], q: float) -> DataFrame:
+def exact_quantiles(df: DataFrame, columns: Sequence[str], q: float, stored: bool = False) -> DataFrame:
     """One row with the linearly interpolated quantile of each column (see ``rank.group_quantiles``)."""
-    found = R.group_quantiles(df, [], columns, [q])
+    found = R.group_quantiles(df, [], columns, [q], stored)
     return found.agg(*[F.max(F.when(F.col("series") == c, F.col("q")[0])).alias(c) for c in columns])
 
 
@@ -121,10 +131,10 @@ def co_exceedance(before: DataFrame, after: DataFrame, columns: Sequence[str], q
                   places: int = 6) -> DataFrame:
     """How often both columns of a pair exceed the q-quantile of the *after* table, in each table.
 
-    The *after* table is usually the end of a long plan and is read three times, so it is stored.
+    The *after* table is usually the end of a long plan and is read three times, so its columns are stored.
     """
-    after = store(after, "after")
-    cuts = exact_quantiles(after, columns, q).select(F.struct(*columns).alias("x")).scalar()
+    after = store(after.select(*columns), "after")
+    cuts = exact_quantiles(after, columns, q, stored=True).select(F.struct(*columns).alias("x")).scalar()
     def shares(df: DataFrame, name: str) -> DataFrame:
         row = df.withColumn("_q", cuts).agg(*[
             F.avg(((F.col(a) > F.col(f"_q.{a}")) & (F.col(b) > F.col(f"_q.{b}"))).cast("double"))

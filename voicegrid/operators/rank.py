@@ -67,17 +67,28 @@ def positions(df: DataFrame, order: Sequence[str], out: str = "position", keep:
     # The range is in the upper bits of the number, the place in it below.
     placed = kept.withColumn("_range", F.shiftright("_at", 33))
     counts = placed.groupBy("_range").agg(F.count("*").alias("_n"))
-    placed = placed.join(F.broadcast(_offsets(counts, ["_range"], "_n", "_before")), "_range")
+    placed = placed.join(F.broadcast(store(_offsets(counts, ["_range"], "_n", "_before"), "offsets")), "_range")
     return placed.withColumn(out, F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_range", "_before", "_at")
 
 
+def key_numbers(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """All columns and ``_at``, stored: a number that grows with the keys, the same for equal keys, with gaps.
+
+    It stands for the keys, whatever their number and types, where rows are sorted, joined and grouped by them.
+    Equal keys meet in one range.
+    """
+    ranged = (df.repartitionByRange(_regions(df), *keys).sortWithinPartitions(*keys)
+              .withColumn("_at", F.monotonically_increasing_id()))
+    return store(ranged.withColumn("_at", F.min("_at").over(Window.partitionBy(*keys))), "keys")
+
+
 def numbered_ranks(df: DataFrame, keys: Sequence[str], columns: Sequence[str], keep: Sequence[str]) -> DataFrame:
     """``(keep, rank)``: as ``series_ranks``, with ``series`` the number of the column and ``_value`` the value;
     the columns are of one type, and ``keep`` names those of ``keys``, ``series`` and ``_value`` that are wanted."""
     cells = F.array(*[F.struct(F.lit(i).alias("series"), F.col(c).alias("_value")) for i, c in enumerate(columns)])
     long = df.select(*keys, F.explode(cells).alias("_c")).select(*keys, "_c.*").filter(F.col("_value").isNotNull())
     placed = positions(long, ["series", "_value", *keys], "_position", keep)
-    sizes = _offsets(long.groupBy("series").agg(F.count("*").alias("_n")), ["series"], "_n", "_first")
+    sizes = store(_offsets(long.groupBy("series").agg(F.count("*").alias("_n")), ["series"], "_n", "_first"), "offsets")
     return placed.join(F.broadcast(sizes), "series").select(*keep, (F.col("_position") - F.col("_first") + 1).alias("rank"))
 
 
@@ -128,15 +139,18 @@ def distinct_positions(long: DataFrame, *groups: str) -> DataFrame:
             .select(*keys, "value", "n", "before"))
 
 
-def group_quantiles(df: DataFrame, groups: Sequence[str], columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
+def group_quantiles(df: DataFrame, groups: Sequence[str], columns: Sequence[str], probs: Sequence[float],
+                    stored: bool = False) -> DataFrame:
     """``(groups, series, n, q)``: the linearly interpolated quantiles of each column in each group, exactly.
 
     The order statistics around each position are read off the running counts of distinct values within
     value ranges, so no group's values stand in one list or buffer, however many different ones it has.
     NULLs are left out; a group without values of a column has no row for it. Group keys must not be NULL.
+    ``stored`` tells that the table is stored already; otherwise its values are, as they are read several times.
     """
     df = df.select(*groups, *[F.col(c).cast("double").alias(c) for c in columns])
-    df = store(df.dropna(subset=list(groups)) if groups else df, "values")  # written by one job; a checkpoint would run the plan twice
+    df = df.dropna(subset=list(groups)) if groups else df
+    df = df if stored else store(df, "values")  # written by one job; a checkpoint would run the plan twice
     keys = [*groups, "series"]
     values = distinct_positions(long_values(df, columns, cut_points(df, columns), *groups), *groups)
     totals = values.groupBy(*keys).agg(F.sum("n").alias("_total"))

@@ -122,7 +122,7 @@ CO_SQL = pairs(f"""SELECT '@a' AS col_a, '@b' AS col_b, round_even(b, 6) AS befo
 @query("co_exceedance", f"""WITH {REORDER_CTE},
 cuts AS (SELECT {each("quantile_cont(@, 0.9) AS q_@")} FROM after) {CO_SQL}""")
 def co_exceedance(spark, sf):
-    df = stored_items(spark, sf)
+    df = items(spark, sf)  # read from the table each time: a stored copy would only take disk
     return Q.co_exceedance(df, reordered(df), COLUMNS)
 
 

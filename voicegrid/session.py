@@ -71,8 +71,20 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def store(df: DataFrame, purpose: str) -> DataFrame:
-    """Write a result that several parts of a plan read to the shared work folder, as Parquet, and read it back."""
-    path = work_dir(df.sparkSession, purpose)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write a result that several parts of a plan read to the shared work folder, as Parquet, and read it back.
+
+    What was shuffled for it is not needed any more and is removed from the executors' disks at once.
+    """
+    spark = df.sparkSession
+    path = work_dir(spark, purpose)
+    before = spark.conf.get(FREE_SHUFFLES, None)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(FREE_SHUFFLES) if before is None else spark.conf.set(FREE_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(path)
